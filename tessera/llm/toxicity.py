@@ -102,7 +102,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(out, float), -60, 60)))
 
 
-def fit(y: np.ndarray, rows: list[list[np.ndarray]], strength: float = 2.0, decay: float = 2e-3, least: float = 25.0, most: int = 8192, steps: int = 600, clean: float = 0.02) -> Model:
+def fit(y: np.ndarray, rows: list[list[np.ndarray]], strength: float = 2.0, decay: float = 0.3, least: float = 30.0, most: int = 8192, steps: int = 600, clean: float = 0.02) -> Model:
     """Features: the `most` of highest G2 above `least`, and those of identity terms. strength: of the counterfactual penalty.
     clean: score of a text without features; it is fixed, so that one telling word can decide a short text.
 
