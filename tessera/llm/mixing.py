@@ -104,10 +104,11 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
         extra = fill(size[size > 0], n[size > 0], budget) if passes < most and budget > 0 else np.zeros((size > 0).sum(), np.int64)
         return pd.DataFrame({"source": frame["source"], "size": size, "n": n, "source_size": whole, "target": target, "passes": passes, "extra": np.concatenate([np.zeros((size == 0).sum(), np.int64), extra])})
 
-    joined = counts.join(targets, counts["source"].eqNullSafe(targets["source"])).select(counts["source"], "size", "n", "source_size", "target")
+    t = targets.withColumnRenamed("source", "__s")
+    joined = counts.join(t, F.col("source").eqNullSafe(F.col("__s"))).select("source", "size", "n", "source_size", "target")
     plans = save(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, passes long, extra long"), "mix-plan")
     p = plans.select(F.col("source").alias("__s"), F.col("size").alias("__l"), "n", "source_size", "target", "passes", "extra")
-    rows = own.join(p, own["source"].eqNullSafe(F.col("__s")) & (own["size"] == F.col("__l")))
+    rows = own.join(p, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__l")))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
     unit = F.col("order").cast("double") / F.lit(2.0**64) + 0.5  # 0 to 1, ascending with the hash
     rows = rows.withColumn("__b", F.least(F.floor(unit * blocks), blocks - 1).cast("long"))

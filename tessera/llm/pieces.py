@@ -114,27 +114,28 @@ class Pieces:
         piece = np.concatenate([*found, lone_piece])
         weight = np.log(np.concatenate([*weights, np.full(len(lone), self.fallback)]))
         node = start + length - 1  # an edge's node is the character where it ends
-        order = np.lexsort((start, node, node - first[node]))  # by place in the unit, then unit, then start
-        start, node, piece, weight = start[order], node[order], piece[order], weight[order]
-        place = node - first[node]
+        place, unit = node - first[node], np.repeat(np.arange(len(units)), sizes)[node]
+        order = np.argsort(place.astype(np.uint16) if sizes.max() < 1 << 16 else place, kind="stable")
+        start, node, piece, weight, unit, length = (x[order] for x in (start, node, piece, weight, unit, length))
         share, logs = np.empty(len(node)), np.zeros(total)
-        cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)]):
-            own, begin = node[a:b], start[a:b]
-            w = weight[a:b] + np.where(begin > first[begin], logs[begin - 1], 0.0)
-            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            span = np.diff(np.append(heads, b - a))
-            top = np.maximum.reduceat(w, heads)
-            w = np.exp(w - np.repeat(top, span))
-            sums = np.add.reduceat(w, heads)
-            share[a:b] = w / np.repeat(sums, span)
-            logs[own[heads]] = top + np.log(sums)
-        order = np.lexsort((start, -share, node))
-        start, node, piece, share = start[order], node[order], piece[order], share[order]
+        cuts = np.cumsum(np.bincount(place)).tolist()
+        for j, (a, b) in enumerate(zip([0, *cuts], cuts)):
+            own, begin, of = node[a:b], start[a:b], unit[a:b]
+            if j:  # relative to the node before, from which an edge always comes, so neither end of the range is met
+                last = logs[own - 1]
+                w = np.exp(weight[a:b] + np.where(length[a:b] <= j, logs[begin - 1], 0.0) - last)
+            else:
+                last, w = 0.0, np.exp(weight[a:b])
+            sums = np.bincount(of, w)[of]
+            share[a:b] = w / sums
+            logs[own] = last + np.log(sums)
+        rounded = np.floor(share * 2**24 + 0.5).astype(np.int64)
+        order = np.argsort((node << 30) + ((2**24 - rounded) << 5) + length)
+        start, node, piece, rounded = start[order], node[order], piece[order], rounded[order]
         heads = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        run = np.cumsum(share)
-        run -= np.repeat(run[heads] - share[heads], np.diff(np.append(heads, len(node))))
-        run = np.minimum(np.floor(run * 2**24 + 0.5), 2**24)
+        run = np.cumsum(rounded)
+        run -= np.repeat(run[heads] - rounded[heads], np.diff(np.append(heads, len(node))))
+        run = np.minimum(run, 2**24)
         run[np.append(heads[1:], len(node)) - 1] = 2**24
         base, n = self.nodes, self.edges
         if n + len(node) > len(self.cum):
@@ -246,7 +247,7 @@ def decode(encoded: DataFrame, path: str = MODEL, alpha: float = 3.0) -> DataFra
 
 
 def report(docs: DataFrame, seed: int = 1, alpha: float = 3.0, path: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids joined by commas), decoded_sha256, lossless (decoding gives the text)."""
+    """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256, lossless (decoding gives the text)."""
     import hashlib
 
     @F.pandas_udf("n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean")
@@ -255,7 +256,7 @@ def report(docs: DataFrame, seed: int = 1, alpha: float = 3.0, path: str = MODEL
         for k, t in _batches(keys.tolist(), texts.tolist()):
             for ids, own in zip(p.encode(k, t, seed), t):
                 back = p.decode(ids.tolist())
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == own))
+                rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == own))
         return pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "decoded_sha256", "lossless"])
 
     return docs.select("doc_id", of(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), text_or_empty("text")).alias("r")).select("doc_id", "r.*")
