@@ -61,3 +61,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let the session's Arrow batches hold at most `rows` rows, so that a Python worker's memory stays small with long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

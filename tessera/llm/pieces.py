@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+| +|\n+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 300_000
+CACHE = 100_000
 _BASE, _ALL = 1_000_003, (1 << 64) - 1
 
 
@@ -227,6 +227,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     """docs with ids (array<int>). Null texts count as empty and give no ids; null keys draw as key 0; repeated rows get
     equal ids. A column of docs named ids is replaced. The model file must lie at `path` on every executor."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def of(keys: pd.Series, texts: pd.Series) -> pd.Series:
         p = pieces(path, alpha)
@@ -238,6 +240,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
 def decode(encoded: DataFrame, path: str = MODEL, alpha: float = 3.0) -> DataFrame:
     """encoded with decoded (string) from ids; null ids give an empty text."""
 
+    small_batches(encoded.sparkSession)
+
     @F.pandas_udf(T.StringType())
     def of(ids: pd.Series) -> pd.Series:
         p = pieces(path, alpha)
@@ -250,6 +254,8 @@ def report(docs: DataFrame, seed: int = 1, alpha: float = 3.0, path: str = MODEL
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256, lossless (decoding gives the text)."""
     import hashlib
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean")
     def of(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
         p, rows = pieces(path, alpha), []
