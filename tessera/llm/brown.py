@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, save, text_or_empty
+from .common import held_out, save, small_batches, text_or_empty
 
 FREQUENT, CLUSTERED, CLASSES = 30_000, 1200, 48
 FLUSH = 150_000
@@ -312,6 +312,7 @@ def report(docs: DataFrame, folds: int = 5, fold: int = 1, frequent: int = FREQU
     Learns from the rows outside the held-out fold; null texts count as empty there and here, and an empty text is its
     end token. Rows without an id are held out. Without training rows every class is as likely as any other.
     """
+    small_batches(docs.sparkSession, 1000)
     texts = docs.where(~held_out(F.col("doc_id"), folds, fold)).select(text_or_empty("text").alias("text"))
     model, words = train(texts, frequent, clustered, classes)
     return score(docs, model, words).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

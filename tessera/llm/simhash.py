@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, save, text_or_empty
+from .common import partitions, save, small_batches, text_or_empty
 from .connect import components, star_links
 
 SEED, BITS = 42, 64
@@ -184,6 +184,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have one shingle of all their words. Rows without an id take part by their text but never name a component unless
     no row of it has an id. Copies meet in their fingerprint before any search. No rows give no rows.
     """
+    small_batches(docs.sparkSession, 2000)
     own = save(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "simhash")
     classes = save(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
     parts = components(near_links(classes.where("id is not null"), radius))
