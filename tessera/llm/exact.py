@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_path, save, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: How the state is kept: on disk, with a log of changes in the shared folder, and no file larger than what it holds.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def in_files(docs: DataFrame) -> DataFrame:
@@ -38,8 +42,9 @@ def keep_state(keys: DataFrame, path: str) -> DataFrame:
     spark = keys.sparkSession
     out = fresh_path(spark, "dedup-groups")
     stream = spark.readStream.schema(keys.schema).parquet(path).groupBy("digest").agg(F.max(F.struct("doc_id", "__file", "__row")).alias("keep"), F.count("*").alias("n"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             stream.writeStream.outputMode("update")
@@ -50,7 +55,8 @@ def keep_state(keys: DataFrame, path: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # a group is written again whenever a batch adds to it; the last one counts. No row, no batch.
     empty = keys.groupBy("digest").agg(F.max(F.struct("doc_id", "__file", "__row")).alias("keep"), F.count("*").alias("n"), F.lit(0).alias("batch")).limit(0)
     try:
