@@ -7,6 +7,7 @@ that end alike. A text's probability is the product of smoothed class transition
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 from typing import Iterator
 
@@ -163,33 +164,41 @@ def cluster(texts: DataFrame, top: list[tuple[bytes, int]], clustered: int, clas
     n = len(top)
     counts = texts.mapInPandas(task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = save(counts, "lm-bigrams")
-    inner = counts.where(f"pair >> 32 < {m} and pair & 4294967295 < {m}").toPandas()
-    pair, times = inner["pair"].to_numpy(np.int64), inner["n"].to_numpy(float)
-    square = np.zeros((m, m))
-    square[pair >> 32, pair & 0xFFFFFFFF] = times
-    of = exchange(square, classes) if m else np.empty(0, np.int64)
-    k = max(1, min(classes, m)) if m else 1
-    # the rest of the frequent words go where their neighbours' classes fit best, by sums of counts per (word, class)
-    label = texts.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(of.tolist())], "i long, c int") if m else None
+    k = max(1, min(classes, m))
+
+    def exchanged(frame: pd.DataFrame) -> pd.DataFrame:
+        pair, square = frame["pair"].to_numpy(np.int64), np.zeros((m, m))
+        square[pair >> 32, pair & 0xFFFFFFFF] = frame["n"].to_numpy(float)
+        of = exchange(square, classes)
+        one = np.zeros((m, k))
+        one[np.arange(m), of] = 1
+        return pd.DataFrame({"made": [pickle.dumps((of, one.T @ square @ one))]})
+
+    # at most clustered squared counts, in one task; its few bytes come to the driver
+    inner = counts.where(f"pair >> 32 < {m} and pair & 4294967295 < {m}").groupBy(F.lit(1).alias("all")).applyInPandas(exchanged, "made binary").collect()
+    of, pairs = pickle.loads(inner[0]["made"]) if inner else (np.arange(m) % k, np.zeros((k, k)))
     frequent = {w: int(c) for w, c in zip(head, of.tolist())}
     if n > m:
+        # the rest of the frequent words go where their neighbours' classes fit best, by sums of counts per (word, class)
+        label = F.broadcast(texts.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(m), "c": of}), "i long, c int"))
         a, b = F.shiftright("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)
-        after = counts.where(b < m).select(a.alias("w"), b.alias("i"), "n").where(f"w >= {m}").join(F.broadcast(label), "i").groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("s", F.lit(0))
-        before = counts.where(a < m).select(b.alias("w"), a.alias("i"), "n").where(f"w >= {m}").join(F.broadcast(label), "i").groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("s", F.lit(1))
-        near = after.union(before).toPandas()  # at most 2 x frequent x classes counts
-        sides = np.zeros((2, n, k))
-        sides[near["s"].to_numpy(np.int64), near["w"].to_numpy(np.int64), near["c"].to_numpy(np.int64)] = near["n"].to_numpy(float)
-        one = np.zeros((m, k))
-        one[np.arange(m), of] = 1
-        pairs = one.T @ square @ one + 0.1
-        size = one.sum(0)
-        # log odds of a neighbour's class given this word's class, against its overall share
-        lift = np.log(pairs * pairs.sum() / (pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True)))
-        score = sides[0] @ lift.T + sides[1] @ lift
-        score[:, size == 0] = -np.inf
-        best = score.argmax(1)
-        seen = sides.sum((0, 2)) > 0
-        frequent |= {top[i][0]: int(best[i]) for i in range(m, n) if seen[i]}
+        after = counts.where((a >= m) & (b < m)).select(a.alias("w"), b.alias("i"), "n").join(label, "i").groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("s", F.lit(0))
+        before = counts.where((a < m) & (b >= m)).select(b.alias("w"), a.alias("i"), "n").join(label, "i").groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("s", F.lit(1))
+
+        def placed(frame: pd.DataFrame) -> pd.DataFrame:
+            sides = np.zeros((2, n, k), np.float32)
+            sides[frame["s"].to_numpy(np.int64), frame["w"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)] = frame["n"]
+            own = pairs + 0.1
+            # log odds of a neighbour's class given this word's class, against its overall share
+            lift = np.log(own * own.sum() / (own.sum(1, keepdims=True) * own.sum(0, keepdims=True)))
+            score = sides[0] @ lift.T + sides[1] @ lift
+            score[:, np.bincount(of, minlength=k) == 0] = -np.inf
+            return pd.DataFrame({"made": [pickle.dumps((score.argmax(1), sides.sum((0, 2)) > 0))]})
+
+        # at most 2 x frequent x classes counts, in one task
+        if near := after.union(before).groupBy(F.lit(1).alias("all")).applyInPandas(placed, "made binary").collect():
+            best, seen = pickle.loads(near[0]["made"])
+            frequent |= {top[i][0]: int(best[i]) for i in range(m, n) if seen[i]}
     votes: dict[bytes, np.ndarray] = {}
     weight = dict(top)
     for w, c in frequent.items():
