@@ -8,12 +8,13 @@ that end alike. A text's probability is the product of smoothed class transition
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, save, small_batches, text_or_empty
@@ -30,8 +31,6 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, n) over all texts; tasks add up what they read before it is shuffled, in bounded tables."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
         counts: Counter = Counter()
         for frame in frames:
             for t in frame["text"]:
@@ -130,12 +129,12 @@ class Classes:
         cache = self.cache
         if len(cache) > 200_000:
             cache.clear()
-        out = []
-        for w in words:
-            if (c := cache.get(w)) is None:
-                c = cache[w] = self.of(w)
-            out.append(c)
-        return np.array(out, np.int64)
+        got = list(map(cache.get, words))
+        if None in got:
+            for i, c in enumerate(got):
+                if c is None:
+                    got[i] = cache[words[i]] = self.of(words[i])
+        return np.array(got, np.int64)
 
 
 def cluster(texts: DataFrame, top: list[tuple[bytes, int]], clustered: int, classes: int) -> Classes:
@@ -249,7 +248,10 @@ def transitions(texts: DataFrame, classes: Classes) -> np.ndarray:
 def train(texts: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model, and the table (word, n) of all training words in the shared folder."""
     words = save(count_words(texts), "lm-words")
-    top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    # the words of the least count that at most `frequent` words reach; there are few different counts
+    uses = words.groupBy("n").agg(F.count("*").alias("words")).withColumn("reach", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = uses.where(F.col("reach") <= frequent).agg(F.min("n")).first()[0]
+    top = sorted(((bytes(r["word"]), r["n"]) for r in (words.where(F.col("n") >= least).collect() if least else [])), key=lambda x: (-x[1], x[0]))
     documents = texts.count()
     own = cluster(texts, top, clustered, classes)
     shared, k = texts.sparkSession.sparkContext.broadcast(own), own.count
@@ -292,13 +294,9 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             for row, doc, t in zip(frame["row"], frame["doc_id"], frame["text"]):
                 own = tokens(t)
                 c = np.concatenate([[end], m.classes.all(own), [end]]) if own else np.array([end, end])
-                plain, hits, rare = base_end, int(m.documents > 0), {}
-                for w in own:
-                    if (p := known.get(w)) is not None:
-                        plain += p
-                        hits += 1
-                    else:
-                        rare[w] = rare.get(w, 0) + 1
+                found = list(map(known.get, own))
+                rare = Counter([w for w, p in zip(own, found) if p is None])
+                hits, plain = len(own) - sum(rare.values()) + int(m.documents > 0), base_end + sum(filter(None, found))
                 moves = float(m.transition[c[:-1], c[1:]].sum() - m.emission[c[1:]].sum())
                 rows.append((row, doc, len(own) + 1, hits, plain, -low * (len(own) + 1), moves - base_end, list(rare), list(rare.values())))
             yield pd.DataFrame(rows, columns=["row", "doc_id", "n_tokens", "hits", "plain", "less", "moves", "words", "uses"]).astype({"doc_id": "Int64"})
