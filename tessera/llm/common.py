@@ -63,6 +63,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def first_by_hash(df: DataFrame, cols: list[str], rows: int, seed: int) -> DataFrame:
+    """The `rows` rows of df whose hashes of cols come first: a seeded draw of bounded size. Rows that cannot be among
+    them are left out before they are ordered, so each task passes on a few rows only."""
+    h = F.xxhash64(*cols, F.lit(seed))
+    bound = min(1.0, (2 * rows + 100) / max(df.count(), 1))
+    return df.where(h.cast("double") / F.lit(2.0**64) + 0.5 <= bound).orderBy(h, *cols).limit(rows)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let the session's Arrow batches hold at most `rows` rows, so that a Python worker's memory stays small with long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, text_or_empty
+from .common import first_by_hash, held_out, small_batches, text_or_empty
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, rows: int, seed: int = 7) -> DataFrame:
@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.min(target).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    chosen = first_by_hash(known, ["doc_id"], rows, seed)
     own = docs.select("doc_id", text_or_empty("text").alias("text"))
     return own.join(F.broadcast(chosen), "doc_id")
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import first_by_hash, save
 from .connect import components, star_links
 from .simhash import dealt, whole_groups
 
@@ -37,11 +37,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8, s
     v = F.col("embedding")
     sound = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     own = vectors.select("vec_id", "embedding", F.when(sound, F.xxhash64("embedding")).alias("h"))
-    classes = save(own.where("h is not null").groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("id", F.xxhash64("embedding")), "vectors")
-    # an id of its own for each class: equal hashes of different vectors would clash, so the number of the row decides
-    classes = save(classes.drop("id").withColumn("id", F.monotonically_increasing_id()), "vector-classes")
+    classes = save(own.where("h is not null").groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))), "vectors")
+    # equal hashes of different vectors would clash, so each class is numbered
+    classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     count = classes.count()
-    drawn = classes.orderBy(F.xxhash64("h", F.lit(seed)), "h", "rep").limit(pivot_count(count)).select("embedding").collect()
+    drawn = first_by_hash(classes.select("h", "rep", "embedding"), ["h", "rep"], pivot_count(count), seed).select("embedding").collect()
     by_size: dict[int, list] = {}
     for i, r in enumerate(drawn):  # a bounded, seeded draw; every vector is indexed
         by_size.setdefault(len(r["embedding"]), []).append((i, r["embedding"]))

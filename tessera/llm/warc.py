@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, save
+from .common import first_by_hash, fresh_path, partitions, save
 from .simhash import whole_groups
 
 LEAST, ROLL, CHUNK = 1000, 64 << 20, 1 << 16
@@ -137,7 +137,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFrame:
     """Write archives and capture runs below folder; (range, run, start, length): the slices of the runs, by key range."""
     own = with_revisits(pages).select("*", url_key(F.col("url")).alias("key"), F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss").alias("ts"))
-    drawn = pages.select(url_key(F.col("url")).alias("key"), "page_id").orderBy(F.xxhash64("page_id")).limit(4096).collect()
+    drawn = first_by_hash(pages.select(url_key(F.col("url")).alias("key"), "page_id"), ["page_id", "key"], 4096, 1).collect()
     drawn = sorted((r["key"].encode(), r["page_id"] or 0) for r in drawn)  # a bounded draw: it sets the ranges' sizes, not their content
     cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
 
