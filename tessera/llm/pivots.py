@@ -37,7 +37,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8, s
     v = F.col("embedding")
     sound = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     own = vectors.select("vec_id", "embedding", F.when(sound, F.xxhash64("embedding")).alias("h"))
-    classes = save(own.where("h is not null").groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))), "vectors")
+    classes = save(own.where("h is not null").groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     # equal hashes of different vectors would clash, so each class is numbered
     classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     count = classes.count()
