@@ -9,7 +9,7 @@ holds the largest identifier with the locator of its content, and the number of
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_path, save, text_or_empty
@@ -22,6 +22,10 @@ STATE = {
 }
 
 
+def digest_of(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def in_files(docs: DataFrame) -> DataFrame:
     """docs itself if its rows lie in files, else a copy in the shared folder."""
     try:
@@ -77,7 +81,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = own.select(F.col(id_col).alias("doc_id"), "__file", "__row", ascii_lower(text_or_empty(text_col)).alias("text"))
     spark = docs.sparkSession
     path = fresh_path(spark, "dedup-keys")
-    own.select("doc_id", "__file", "__row", F.sha2("text", 256).alias("digest")).write.parquet(path)
+    own.select("doc_id", "__file", "__row", digest_of(F.col("text")).alias("digest")).write.parquet(path)
     keys = spark.read.parquet(path)
     groups = save(keep_state(keys, path), "dedup-kept")
     hits = keys.join(groups.where("n > 1").select("digest"), "digest", "left_semi").select("__row", "__file", "digest")

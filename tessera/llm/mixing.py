@@ -86,7 +86,8 @@ def fill(length: np.ndarray, count: np.ndarray, budget: int, table: int = 1 << 1
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = 50_000) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
-    Null texts and texts without words have size 0 and take nothing. Null sources are one source. Repeated rows count
+    The uses of a length beyond whole passes go round its documents in their order. Null texts and texts without words have
+    size 0 and take nothing. Null sources are one source. Repeated rows count
     each. A length that holds very many documents of a source is selected in blocks of the hash range, so no task
     orders more than about `block` of them. No rows give no rows.
     """
@@ -101,7 +102,15 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
         whole, target = int(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
         passes = int(min(target // whole, most)) if whole else 0
         budget = int(round(target - passes * whole))
-        extra = fill(size[size > 0], n[size > 0], budget) if passes < most and budget > 0 else np.zeros((size > 0).sum(), np.int64)
+        extra = np.zeros((size > 0).sum(), np.int64)
+        if passes < most and budget > 0:
+            own, many = size[size > 0], n[size > 0]
+            extra = fill(own, many, budget)
+            if (gap := budget - int(extra @ own)) > 0:  # nearer if a document may be taken again or left out of a pass
+                less = max(passes - 1, 0)
+                other = fill(own, many * (most - less), budget + (passes - less) * whole)
+                if budget + (passes - less) * whole - int(other @ own) < gap:
+                    passes, extra = less, other
         return pd.DataFrame({"source": frame["source"], "size": size, "n": n, "source_size": whole, "target": target, "passes": passes, "extra": np.concatenate([np.zeros((size == 0).sum(), np.int64), extra])})
 
     t = targets.withColumnRenamed("source", "__s")
@@ -117,7 +126,8 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
     before = sizes.select(*(F.col(k).alias(f"_{k}") for k in key), (F.sum("__c").over(Window.partitionBy("source", "size").orderBy("__b")) - F.col("__c")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("order", "doc_id", "__n"))
     rows = rows.withColumn("__r", rank).join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("__b") == F.col("___b")), "left")
-    times = F.col("passes") + (F.coalesce("__before", F.lit(0)) + F.col("__r") <= F.col("extra")).cast("long")
+    place = F.coalesce("__before", F.lit(0)) + F.col("__r")
+    times = F.col("passes") + F.floor(F.col("extra") / F.col("n")) + (place <= F.col("extra") % F.col("n")).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"))
 
 

@@ -128,7 +128,7 @@ def _query(nodes):
             parts.append(_any(_query(p) for p in arg[1]))
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
             own = _spell_all(arg[2])
-            parts.append(_query(arg[2]) if own is None else _spelt({"".join([s] * min(arg[0], 3)) for s in own}) if len(own) == 1 else None)
+            parts.append(_query(arg[2]) if own is None else _spelt({s * min(arg[0], 3) if len(own) == 1 else s for s in own}))
     return _all([*parts, _spelt(now)])
 
 
