@@ -44,14 +44,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 def fill(length: np.ndarray, count: np.ndarray, budget: int, table: int = 1 << 15) -> np.ndarray:
     """How many of each length to take so that their sum comes as near to budget as possible from below.
 
-    First the same share of each length; then, longest first, while the remainder exceeds `table`; then a bounded
+    First, for a budget above `table`, the same share of each length; then, longest first, while the remainder exceeds `table`; then a bounded
     knapsack over what is left, as bit sets of reachable sums, in chunks of 1, 2, 4 ... of a length. It ends early
     once the budget is met exactly.
     """
     total = int(length @ count)
     if total <= budget:
         return count.copy()
-    take = (count * budget) // total
+    take = (count * budget) // total if budget > table else np.zeros_like(count)
     left = budget - int(take @ length)
     for i in np.argsort(-length, kind="stable"):
         if left <= table:
