@@ -20,3 +20,11 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Register all queries."""
+    from tessera.plans import evaluation, integrity, relational, retrieval, texts  # noqa: F401
+
+
+load()
