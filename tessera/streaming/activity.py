@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def events_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def events_stream(spark: SparkSession, folder: str, files: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder as they arrive; a stream's source is a folder, never one file."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -143,7 +143,7 @@ def test_streamed_windows(spark, tmp_path):
     from tessera.streaming import activity
 
     path = "/root/testdata/sf0.001/events.parquet"
-    events = activity.events_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = activity.events_stream(spark, "/root/testdata/sf0.001", "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     q = activity.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM windows").first().n == pd.read_parquet(path).shape[0]
