@@ -46,6 +46,11 @@ def cue_score(low: Column, cues: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (low.contains(c).cast("int") for c in cues))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def rubric_shaped(line: Column) -> Column:
     """A row of a heading and three or more short abbreviations."""
     parts = F.split(F.trim(line), r"\s*(?:--|—|:)\s*", 2)
@@ -55,28 +60,41 @@ def rubric_shaped(line: Column) -> Column:
 
 def literature(content: Column, threshold: int = 2) -> Column:
     """struct<categories, state>: the kinds of literature with enough cues, sorted; unclassified where there are none."""
-    low, lines = F.lower(content), F.split(content, "\n")
-    rows = F.size(F.filter(lines, rubric_shaped))
-    labels = F.array_distinct(F.filter(F.transform(lines, T.section_label), lambda x: x != ""))
-    profile = (rows < 3) & (F.size(labels) >= 4) & F.arrays_overlap(labels, F.array(*map(F.lit, PROFILE)))
-    cases = F.size(F.regexp_extract_all(content, F.lit(r"(?i)\bcase\s+[0-9]+\b"), F.lit(0))) >= 2
-    score = {c: cue_score(low, cues) for c, cues in CUES.items()}
-    score["materia_medica"] = F.when((rows >= 3) & ~any_of(low, STRONG), 0).otherwise(score["materia_medica"] + F.when(profile, 2).otherwise(0))
-    score["repertory"] = score["repertory"] + F.when(rows >= 3, 2).otherwise(0)
-    score["clinical_cases"] = score["clinical_cases"] + F.when(cases, 1 + (cue_score(low, NARRATIVE) >= 2).cast("int")).otherwise(0)
-    chosen = F.array_compact(F.array(*(F.when(score[c] >= threshold, F.lit(c)) for c in sorted(score))))
-    none = F.size(chosen) == 0
-    return F.struct(F.when(none, F.array(F.lit("unclassified"))).otherwise(chosen).alias("categories"), F.when(none, "uncertain").otherwise("suggested").alias("state"))
+    lines = F.split(content, "\n")
+    found = F.struct(
+        F.lower(content).alias("low"),
+        F.size(F.filter(lines, rubric_shaped)).alias("rows"),
+        F.array_distinct(F.filter(F.transform(lines, T.section_label), lambda x: x != "")).alias("labels"),
+        (F.size(F.regexp_extract_all(content, F.lit(r"(?i)\bcase\s+[0-9]+\b"), F.lit(0))) >= 2).alias("cases"),
+    )
+
+    def chosen(x: Column) -> Column:
+        low, rows, labels = x["low"], x["rows"], x["labels"]
+        profile = (rows < 3) & (F.size(labels) >= 4) & F.arrays_overlap(labels, F.array(*map(F.lit, PROFILE)))
+        score = {c: cue_score(low, cues) for c, cues in CUES.items()}
+        score["materia_medica"] = F.when((rows >= 3) & ~any_of(low, STRONG), 0).otherwise(score["materia_medica"] + F.when(profile, 2).otherwise(0))
+        score["repertory"] = score["repertory"] + F.when(rows >= 3, 2).otherwise(0)
+        score["clinical_cases"] = score["clinical_cases"] + F.when(x["cases"], 1 + (cue_score(low, NARRATIVE) >= 2).cast("int")).otherwise(0)
+        return F.array_compact(F.array(*(F.when(score[c] >= threshold, F.lit(c)) for c in sorted(score))))
+
+    def told(kinds: Column) -> Column:
+        none = F.size(kinds) == 0
+        return F.struct(F.when(none, F.array(F.lit("unclassified"))).otherwise(kinds).alias("categories"), F.when(none, "uncertain").otherwise("suggested").alias("state"))
+
+    return let(let(found, chosen), told)
 
 
 def evidence_type(content: Column, opening: int = 8000) -> Column:
     """The kind of evidence that the opening of a text describes; the first rule that holds decides."""
-    low = F.lower(F.substring(content, 1, opening))
-    out = F.lit("unknown")
-    for kind, one, also, never in reversed(EVIDENCE):
-        holds = any_of(low, one) & ~any_of(low, never)
-        out = F.when(holds & any_of(low, also) if also else holds, kind).otherwise(out)
-    return out
+
+    def kind_of(low: Column) -> Column:
+        out = F.lit("unknown")
+        for kind, one, also, never in reversed(EVIDENCE):
+            holds = any_of(low, one) & ~any_of(low, never)
+            out = F.when(holds & any_of(low, also) if also else holds, kind).otherwise(out)
+        return out
+
+    return let(F.lower(F.substring(content, 1, opening)), kind_of)
 
 
 def text_check(stored: Column, fresh: Column) -> Column:
