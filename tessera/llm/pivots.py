@@ -45,7 +45,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, nearest: int = 8, s
     by_size: dict[int, list] = {}
     for i, r in enumerate(drawn):  # a bounded, seeded draw; every vector is indexed
         by_size.setdefault(len(r["embedding"]), []).append((i, r["embedding"]))
-    pivots = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x], np.int32), _unit(np.array([p for _, p in x], float))) for d, x in by_size.items()})
+    pivots = spark.sparkContext.broadcast({d: _apart(np.array([i for i, _ in x], np.int32), _unit(np.array([p for _, p in x], float))) for d, x in by_size.items()})
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -102,6 +102,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _apart(ids: np.ndarray, p: np.ndarray, most: float = 0.8, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The reference points without those that lie close to an earlier one: many points of one dense group would order
+    its members by chance."""
+    kept = np.empty((0, p.shape[1]))
+    at: list[int] = []
+    for a in range(0, len(p), block):
+        own = np.arange(a, min(a + block, len(p)))
+        own = own[(p[own] @ kept.T < most).all(axis=1)]
+        near, chosen = p[own] @ p[own].T >= most, []
+        for i in range(len(own)):
+            if not near[i, chosen].any():
+                chosen.append(i)
+        at += own[chosen].tolist()
+        kept = p[at]
+    return ids[at], kept
+
+
 def _top(s: np.ndarray, k: int) -> np.ndarray:
     at = np.argpartition(-s, k, axis=1)[:, :k]
     return np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
