@@ -1,6 +1,6 @@
 from tessera.functions.citations import cited_labels, settled, supported_part
 
-EVIDENCE = [("Burning pain at night, said Farrington.", "Clinical notes", "Farrington"), ("Worse from cold air in the morning.", "Lectures", "Kent")]
+EVIDENCE = [("Burning pain at night, said Alder.", "Clinical notes", "Alder"), ("Worse from cold air in the morning.", "Lectures", "Birch")]
 
 
 def test_sound_drafts():
@@ -10,12 +10,12 @@ def test_sound_drafts():
 
 
 def test_unsound_drafts():
-    for answer, declared in [("", []), ("No label.", []), ("One [E1]. Two.", ["E1"]), ("One [E1] two.", ["E1"]), ("One [E3].", ["E3"]), ("One [E1].", ["E1", "E2"]), ("One [E1] [E99].", ["E1"]), ("As Hering says [E1].", ["E1"]), ('He wrote "never written down" [E1].', ["E1"]), ("x" * 5000 + " [E1].", ["E1"])]:
+    for answer, declared in [("", []), ("No label.", []), ("One [E1]. Two.", ["E1"]), ("One [E1] two.", ["E1"]), ("One [E3].", ["E3"]), ("One [E1].", ["E1", "E2"]), ("One [E1] [E99].", ["E1"]), ("As Rowan says [E1].", ["E1"]), ('He wrote "never written down" [E1].', ["E1"]), ("x" * 5000 + " [E1].", ["E1"])]:
         assert cited_labels(answer, declared, EVIDENCE) is None
 
 
 def test_kept_sentences():
-    assert supported_part("The pain burns [E1]. As Hering says it [E1]. Cold is worse [E2].", EVIDENCE) == ("The pain burns [E1]. Cold is worse [E2].", ["E1", "E2"], 1)
+    assert supported_part("The pain burns [E1]. As Rowan says it [E1]. Cold is worse [E2].", EVIDENCE) == ("The pain burns [E1]. Cold is worse [E2].", ["E1", "E2"], 1)
 
 
 def test_settling():

@@ -52,7 +52,8 @@ def test_quotes():
 
 
 def test_sentences():
-    assert P.sentences("E. B. Nash says so. Natrum mur. produces it. \"Yes!\" He left. and more") == ["E. B. Nash says so.", "Natrum mur. produces it.", "\"Yes!\" He left. and more"] or len(P.sentences("Dr. X went. Then Y.")) == 2
+    assert P.sentences("A. B. Stone says so. Natrum mur. produces it. \"Yes!\" He left. and more") == ["A. B. Stone says so.", "Natrum mur. produces it.", "\"Yes!\" He left. and more"]
+    assert P.sentences("Dr. X went. Then Y.") == ["Dr. X went.", "Then Y."]
 
 
 def test_rubric_rows():
