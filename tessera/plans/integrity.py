@@ -62,10 +62,11 @@ def page_links(spark, sf_dir):
 
 @query()
 def link_graph(spark, sf_dir):
-    """Breadth-first levels over the pages' own links, from the first page."""
+    """Breadth-first levels over the pages' own links, from the first page; a link leads to the first page of its host."""
     pages = table(spark, sf_dir, "pages")
-    by_url = pages.groupBy("url").agg(F.min("page_id").alias("to"))
-    edges = html.links(pages).join(by_url, F.col("target") == F.col("url")).select(F.col("page_id").alias("from"), "to", "number")
+    host = lambda url: F.lower(F.regexp_extract(url, "^[a-z]+://([^/?#:]+)", 1))
+    by_host = pages.where(host(F.col("url")) != "").groupBy(host(F.col("url")).alias("host")).agg(F.min("page_id").alias("to"))
+    edges = html.links(pages).withColumn("host", host(F.col("target"))).join(by_host, "host").select(F.col("page_id").alias("from"), "to", "number")
     return graph.levels(edges, pages.agg(F.min("page_id").alias("node")), most_depth=5)
 
 

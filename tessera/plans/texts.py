@@ -63,7 +63,16 @@ def classify_literature(spark, sf_dir):
     return rows.select("doc_id", "c.categories", "c.state")
 
 
-@query()
+def _evidence_sql() -> str:
+    some = lambda cues: "(" + " OR ".join(f"contains(t, '{c}')" for c in cues) + ")"
+    whens = []
+    for kind, one, also, never in C.EVIDENCE:
+        parts = [some(one), *([some(also)] if also else []), *([f"NOT {some(never)}"] if never else [])]
+        whens.append(f"WHEN {' AND '.join(parts)} THEN '{kind}'")
+    return f"SELECT doc_id, CASE {' '.join(whens)} ELSE 'unknown' END AS category FROM (SELECT doc_id, lower(substring(text, 1, 8000)) AS t FROM documents)"
+
+
+@query(_evidence_sql())
 def classify_evidence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.evidence_type(F.col("text")).alias("category"))
 
