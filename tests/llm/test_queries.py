@@ -143,6 +143,57 @@ def test_bk_search_is_exact_in_blocks(spark):
         assert got == want
 
 
+def shingles(t):
+    w = words(t)
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_groups_by_brute_force(spark, small):
+    """All pairs of a table with near copies of every degree, one of them a large group, and of the edge rows."""
+    from tessera.llm import similar
+
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for base in range(30):
+        own = rng.choice(vocabulary, int(rng.integers(60, 400))).tolist()
+        for copy in range(40 if base == 0 else 5):
+            changed = list(own)
+            for at in rng.integers(0, len(own), int(rng.integers(0, 1 + len(own) // 45))):
+                changed[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(changed))
+    texts += ["", " \t", "a", "A ", "a b c", None]
+    sets = [shingles(t) for t in texts]
+    score = lambda s, t: len(s & t) / len(s | t) if s | t else 1.0
+    near = {(i, j): score(sets[i], sets[j]) for i in range(len(texts)) for j in range(i) if score(sets[i], sets[j]) >= 0.8}
+    part = joined(list(range(len(texts))), near)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(frame).collect()}
+    assert len(near) > 100 and set(got) == set(part)
+    assert all(part[i] == part[c] for i, c in got.items())  # nothing links that should not
+    assert sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+    for folder in small[:2]:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        left = similar.drop_similar(docs)
+        assert left.columns == docs.columns and left.where("doc_id is null").count() == docs.where("doc_id is null").count()
+
+
+def test_forests_span(spark):
+    from tessera.llm import connect, similar
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    a, b = a[a != b], b[a != b]
+    d = rng.integers(0, 30, len(a))
+    for most in range(30):  # the links up to any distance keep their components
+        for times in (1, 3):
+            x, y, z = similar.spanning_forests(a, b, d, times)
+            assert len(x) <= 59 * times
+            parts = [dict(zip(*(v.tolist() for v in connect.star_links(p[q <= most], r[q <= most])))) for p, r, q in ((a, b, d), (x, y, z))]
+            assert parts[0] == parts[1]
+    assert all(len(v) == 0 for v in similar.spanning_forests(*[np.empty(0, np.int64)] * 3))
+
+
 def test_components(spark):
     from tessera.llm import connect
 
