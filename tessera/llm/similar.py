@@ -3,8 +3,9 @@
 The 64-bit fingerprints of `simhash` find copies within a few bits. Texts of similarity 0.8 differ in some 15% of all
 bits, beyond any radius that blocks of a short fingerprint can shard. So here a text has a fingerprint of 256 bits over its
 distinct shingles; each of several tables samples bits of it, and texts that agree in a sample meet in a shard. A shard's
-BK-tree finds pairs within a wide radius, of which a few minimum spanning forests by distance are kept: one links what
-all pairs within any radius link, and their size is that of the shard. The shingles of the linked texts then decide.
+BK-tree finds pairs within a wide radius. Of these a spanning forest is kept, which connects what all of them connect, so
+the components over all shards hold every found pair. The texts of a component are then compared by their shingles, each
+with every other that is not linked to it already, so noisy distances never decide which pairs are checked.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small_batches, text_or_empty
 from .connect import components, star_links
-from .simhash import _BYTE_BITS, BITS, BKForest, dealt, whole_groups
+from .simhash import _BYTE_BITS, _runs, BITS, BKForest, dealt, whole_groups
 
 LONGS = 4
 #: What a sampled bit is taken to differ by at similarity 0.8: its expected 15%, and a margin for fingerprints that differ in more.
@@ -49,21 +50,6 @@ def wide_print(hashes: np.ndarray) -> list[int]:
     return np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<i8").tolist()
 
 
-def similar_texts(a: Column, b: Column, least: float, width: int) -> Column:
-    """Whether the shingle sets of two texts have a Jaccard similarity of `least` or more; two empty sets have."""
-
-    @F.pandas_udf("boolean")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y):
-            s, t = shingle_hashes(s, width), shingle_hashes(t, width)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(both >= least * (len(s) + len(t) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    return of(a, b)
-
-
 def spanning_forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, times: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The links of `times` minimum spanning forests by d of the links (a, b), each of what those before it leave: where
     a link proves wrong, others across the same cut remain."""
@@ -108,8 +94,8 @@ def sampled_keys(rows: int, seed: int, shard: int = 256, miss: float = 0.005) ->
 
 
 def candidates(prints: DataFrame, radius: int = 21, both: int = 34, limit: int = 4096, seed: int = 23) -> DataFrame:
-    """Links (a, b) of ids whose fingerprints (id, f0 to f3) differ in at most `radius` of the first 64 bits and `both` of
-    the first 128: of each shard its spanning forests."""
+    """Links (a, b) with the same components as all pairs of a shard whose fingerprints (id, f0 to f3) differ in at most
+    `radius` of the first 64 bits and `both` of the first 128."""
     tables = sampled_keys(prints.count(), seed)
     hashed = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"f{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks))) for i, masks in enumerate(tables)))
     rows = prints.select("id", "f0", "f1", F.explode(hashed).alias("shard"))
@@ -134,18 +120,84 @@ def candidates(prints: DataFrame, radius: int = 21, both: int = 34, limit: int =
                 x, y, far = x[far <= both], y[far <= both], far[far <= both]
                 a, b, d = np.append(a, x), np.append(b, y), np.append(d, far)
                 if len(a) > 1 << 18:
-                    a, b, d = spanning_forests(a, b, d)
-            a, b, d = spanning_forests(a, b, d)
+                    a, b, d = spanning_forests(a, b, d, times=1)
+            a, b, d = spanning_forests(a, b, d, times=1)
             yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
     return dealt(rows, ["shard"], F.xxhash64("id"), limit).mapInPandas(search, "a long, b long").where("a < b").distinct()
 
 
+def set_links(ids: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, ask: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components as all pairs of `ask` and `tree` (places in sets) whose sets have a Jaccard
+    similarity of `least` or more. Exact: of x's elements, any |x| - least |x| + 1 meet such a y, so y is found in the
+    postings of x's rarest ones; found ones are left out only if they are linked to x already."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(at, minlength=1)
+    in_tree = np.flatnonzero(np.repeat(np.isin(np.arange(len(sets)), tree), sizes))
+    order = in_tree[np.argsort(at[in_tree], kind="stable")]
+    posted, owner = np.bincount(at[order], minlength=len(often)), np.repeat(np.arange(len(sets)), sizes)[order]
+    begins = np.cumsum(posted) - posted
+    part = np.unique(ids, return_inverse=True)[1]
+    marked, a, b = np.zeros(len(often), bool), [], []
+    # sets of common elements first: the original of many edits links them at once
+    common = np.array([often[at[starts[x] : starts[x] + sizes[x]]].mean() if sizes[x] else 0.0 for x in ask])
+    for x in ask[np.argsort(-common, kind="stable")].tolist():
+        if (part[tree] == part[x]).all():
+            continue
+        own = at[starts[x] : starts[x] + sizes[x]]
+        rare = own[np.argsort(often[own], kind="stable")][: max(0, sizes[x] - math.ceil(least * sizes[x] - 1e-9) + 1)]
+        y = np.unique(owner[np.repeat(begins[rare], posted[rare]) + _runs(posted[rare])])
+        y = y[(part[y] != part[x]) & (sizes[y] >= least * sizes[x] - 1e-9) & (sizes[x] >= least * sizes[y] - 1e-9)]
+        if not len(y):
+            continue
+        marked[own] = True
+        theirs = marked[at[np.repeat(starts[y], sizes[y]) + _runs(sizes[y])]].astype(np.int64)
+        marked[own] = False
+        both = np.add.reduceat(theirs, np.cumsum(sizes[y]) - sizes[y])
+        y = y[both >= least * (sizes[x] + sizes[y] - both) - 1e-9]
+        joined, first = np.unique(part[y], return_index=True)
+        a.append(np.full(len(first), ids[x]))
+        b.append(ids[y[first]])
+        part[np.isin(part, joined)] = part[x]
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def similar_links(texts: DataFrame, least: float, width: int, limit: int = 1 << 20) -> DataFrame:
+    """Links (a, b) with the same components as all pairs of one part among texts (part, id, text) whose shingle sets
+    have a Jaccard similarity of `least` or more. Parts of more than `limit` shingles are dealt in blocks, each pair of
+    blocks to a group of its own, so that a task's memory is bounded whatever the part."""
+
+    @F.pandas_udf("binary")
+    def hashes(column: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, width).tobytes() for t in column])
+
+    rows = save(texts.select("part", "id", hashes("text").alias("hashes")), "similar-sets")
+    keys = ["part", "i", "j"]
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in whole_groups(frames, keys):
+            at = g[keys].to_numpy()
+            cuts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1))).tolist()
+            for low, high in zip(cuts, [*cuts[1:], len(g)]):
+                own = g.iloc[low:high]
+                side, sets = own["side"].to_numpy(), [np.frombuffer(x, np.uint64) for x in own["hashes"]]
+                tree, ask = np.flatnonzero(side == own["i"].to_numpy()), np.flatnonzero(side == own["j"].to_numpy())
+                a, b = set_links(own["id"].to_numpy(), sets, tree, ask, least)
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    size = F.octet_length("hashes") / 8
+    return dealt(rows, ["part"], F.xxhash64("id"), limit, size).mapInPandas(check, "a long, b long").where("a < b").distinct()
+
+
 def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """One row per id of docs: doc_id, component_id (the smallest id reachable over links).
 
     Texts of equal shingle sets link; of each such class the smallest id is searched. Others link at a shingle similarity
-    of `least` or more: the decision is exact, the search misses a small share of the pairs near that similarity. Null
+    of `least` or more: the search misses a small share of the pairs near that similarity, and of the texts that what it
+    finds connects all pairs are decided exactly. Null
     texts count as empty; texts of fewer than `width` words have one shingle of all their words, and texts without words
     link. Rows without an id are left out. No rows give no rows.
     """
@@ -161,9 +213,9 @@ def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataF
     prints = save(prints.select("doc_id", F.col("f")[0].alias("same"), *(F.col("f")[k + 1].alias(f"f{k}") for k in range(LONGS))), "similar-prints")
     classes = save(prints.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(LONGS))), "similar-classes")
     links = save(candidates(classes.select("id", *(f"f{k}" for k in range(LONGS))).dropDuplicates(["id"])), "similar-candidates")
-    text = lambda side: docs.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    pairs = links.join(text("a"), "a").join(text("b"), "b")
-    sure = save(pairs.where(similar_texts(F.col("text_a"), F.col("text_b"), least, width)).select("a", "b"), "similar-links")
+    parts = components(links)
+    parts = save(parts.union(parts.select("component", "component").distinct()).toDF("id", "part"), "similar-parts")
+    sure = save(similar_links(parts.join(docs, F.col("id") == F.col("doc_id")).select("part", "id", "text"), least, width), "similar-links")
     own = prints.select("doc_id", "same").join(classes.select("same", "id"), "same").select("doc_id", "id")
     # an id of several rows takes part in the classes of all of them
     joined = components(sure.union(own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))

@@ -178,6 +178,62 @@ def test_similar_groups_by_brute_force(spark, small):
         assert left.columns == docs.columns and left.where("doc_id is null").count() == docs.where("doc_id is null").count()
 
 
+def independent_edits(copies, length=300, edits=6, seed=9):
+    """An original, and copies with words of their own at places of their own: near the original, not near each other."""
+    rng = np.random.default_rng(seed)
+    own = [f"o{k}" for k in range(length)]
+    texts = [" ".join(own)]
+    for c in range(copies):
+        changed = list(own)
+        for k, at in enumerate(rng.choice(np.arange(5, length - 5), edits, replace=False).tolist()):
+            changed[at] = f"e{c}x{k}"
+        texts.append(" ".join(changed))
+    return texts
+
+
+def test_similar_links_of_many_independent_edits(spark):
+    """The copies' links lead over their original, while pairs of copies, most of them nearer by chance than it, do not link."""
+    from tessera.llm import similar
+
+    texts = independent_edits(1200)
+    sets = [shingles(t) for t in texts]
+    score = lambda s, t: len(s & t) / len(s | t)
+    near = [(0, i) for i in range(1, len(texts)) if score(sets[0], sets[i]) >= 0.8]
+    among = sum(score(sets[i], sets[j]) >= 0.8 for i in range(1, 200) for j in range(1, i))
+    assert len(near) == 1200 and among < 0.05 * 199 * 99
+    at = len(texts) // 2  # the original is neither the first nor the last id
+    order = [*range(1, at + 1), 0, *range(at + 1, len(texts))]
+    frame = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    got = {r.component_id for r in similar.similar_groups(frame).collect()}
+    assert got == {0}
+
+
+def test_set_links_by_brute_force():
+    """In one group and in pairs of blocks, with an empty set and ids of several sets."""
+    from tessera.llm import connect, similar
+
+    rng = np.random.default_rng(10)
+    sets = [np.empty(0, np.uint64)]
+    for _ in range(40):
+        own = rng.choice(5000, int(rng.integers(1, 60)), replace=False)
+        sets += [np.unique(np.append(rng.permutation(own)[int(rng.integers(0, 1 + len(own) // 6)) :], rng.integers(0, 5000, int(rng.integers(0, 4))))).astype(np.uint64) for _ in range(6)]
+    ids = rng.permutation(len(sets)) // 2 * 2 + 1
+    rank = np.unique(ids, return_inverse=True)[1].tolist()
+    alike = lambda s, t: len(np.intersect1d(s, t)) >= 0.8 * len(np.union1d(s, t)) - 1e-9 and len(s) + len(t) > 0
+    near = [(rank[i], rank[j]) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    part = joined(list(range(max(rank) + 1)), near)
+    every, half = np.arange(len(sets)), np.arange(len(sets)) % 2
+    for groups in ([(every, every)], [(np.flatnonzero(half == i), np.flatnonzero(half == j)) for i, j in ((0, 0), (0, 1), (1, 1))]):
+        found = [similar.set_links(ids, sets, tree, ask, 0.8) for tree, ask in groups]
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} <= {(min(ids_of), max(ids_of)) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]) for ids_of in [(int(ids[i]), int(ids[j]))]}
+        label = dict(zip(*(v.tolist() for v in connect.star_links(a, b))))
+        low = {r: int(i) for r, i in zip(rank, ids)}
+        assert all(label.get(low[r], low[r]) == label.get(low[p], low[p]) for r, p in part.items())
+        assert len({label.get(i, i) for i in low.values()}) == len(set(part.values()))
+    assert len(near) > 100
+
+
 def test_forests_span(spark):
     from tessera.llm import connect, similar
 
