@@ -37,6 +37,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), np.uint64, n))
 
 
+def class_of(hashes: bytes) -> int:
+    """What names the class of texts of equal shingle sets, from the bytes of their hashes."""
+    return xxhash.xxh64_intdigest(hashes) - (1 << 63)
+
+
 def wide_print(hashes: np.ndarray) -> list[int]:
     """The 256-bit SimHash of distinct shingles as four signed longs; zeros for none."""
     if not len(hashes):
@@ -166,15 +171,20 @@ def set_links(ids: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, ask: np
 
 
 def similar_links(texts: DataFrame, least: float, width: int, limit: int = 1 << 20) -> DataFrame:
-    """Links (a, b) with the same components as all pairs of one part among texts (part, id, text) whose shingle sets
-    have a Jaccard similarity of `least` or more. Parts of more than `limit` shingles are dealt in blocks, each pair of
+    """Links (a, b) with the same components as all pairs of one part among texts (part, text) whose shingle sets
+    have a Jaccard similarity of `least` or more; a and b are classes. Parts of more than `limit` shingles are dealt in blocks, each pair of
     blocks to a group of its own, so that a task's memory is bounded whatever the part."""
 
     @F.pandas_udf("binary")
     def hashes(column: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, width).tobytes() for t in column])
 
-    rows = save(texts.select("part", "id", hashes("text").alias("hashes")), "similar-sets")
+    @F.pandas_udf("long")
+    def classed(column: pd.Series) -> pd.Series:
+        return pd.Series([class_of(x) for x in column], dtype="int64")
+
+    rows = texts.select("part", hashes("text").alias("hashes")).select("part", classed("hashes").alias("id"), "hashes")
+    rows = save(rows.dropDuplicates(["part", "id"]), "similar-sets")
     keys = ["part", "i", "j"]
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +205,7 @@ def similar_links(texts: DataFrame, least: float, width: int, limit: int = 1 <<
 def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """One row per id of docs: doc_id, component_id (the smallest id reachable over links).
 
-    Texts of equal shingle sets link; of each such class the smallest id is searched. Others link at a shingle similarity
+    Texts of equal shingle sets link; each such class is searched once. Others link at a shingle similarity
     of `least` or more: the search misses a small share of the pairs near that similarity, and of the texts that what it
     finds connects all pairs are decided exactly. Null
     texts count as empty; texts of fewer than `width` words have one shingle of all their words, and texts without words
@@ -207,16 +217,18 @@ def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataF
     @F.pandas_udf("array<long>")
     def wide(texts: pd.Series) -> pd.Series:
         sets = [shingle_hashes(t, width) for t in texts]
-        return pd.Series([[xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), *wide_print(s)] for s in sets])
+        return pd.Series([[class_of(s.tobytes()), *wide_print(s)] for s in sets])
 
     prints = docs.select("doc_id", wide("text").alias("f"))
     prints = save(prints.select("doc_id", F.col("f")[0].alias("same"), *(F.col("f")[k + 1].alias(f"f{k}") for k in range(LONGS))), "similar-prints")
-    classes = save(prints.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(LONGS))), "similar-classes")
-    links = save(candidates(classes.select("id", *(f"f{k}" for k in range(LONGS))).dropDuplicates(["id"])), "similar-candidates")
-    parts = components(links)
-    parts = save(parts.union(parts.select("component", "component").distinct()).toDF("id", "part"), "similar-parts")
-    sure = save(similar_links(parts.join(docs, F.col("id") == F.col("doc_id")).select("part", "id", "text"), least, width), "similar-links")
-    own = prints.select("doc_id", "same").join(classes.select("same", "id"), "same").select("doc_id", "id")
+    classes = save(prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(LONGS))), "similar-classes")
+    links = save(candidates(classes.select(F.col("same").alias("id"), *(f"f{k}" for k in range(LONGS)))), "similar-candidates")
+    named = lambda side: classes.select(F.col("same").alias(side), F.col("doc_id").alias(f"id_{side}"))
+    by_id = lambda links: links.join(named("a"), "a").join(named("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    parts = components(by_id(links))
+    parts = save(parts.union(parts.select("component", "component").distinct()).toDF("doc_id", "part"), "similar-parts")
+    sure = by_id(save(similar_links(parts.join(docs, "doc_id").select("part", "text"), least, width), "similar-links"))
+    own = prints.select("doc_id", "same").join(classes.select("same", F.col("doc_id").alias("id")), "same").select("doc_id", "id")
     # an id of several rows takes part in the classes of all of them
     joined = components(sure.union(own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     return own.select("doc_id").distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

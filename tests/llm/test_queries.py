@@ -208,6 +208,17 @@ def test_similar_links_of_many_independent_edits(spark):
     assert got == {0}
 
 
+def test_similar_groups_search_every_text_of_an_id(spark):
+    """Id 1 has rows of three different texts; near copies of each link to it."""
+    from tessera.llm import similar
+
+    texts = [independent_edits(1, seed=s) for s in (1, 2, 3)]
+    texts = [(f"{k} ".join(own.split()) + f"{k}", f"{k} ".join(near.split()) + f"{k}") for k, (own, near) in enumerate(texts)]
+    rows = [(1, own) for own, _ in texts] + [(k + 2, near) for k, (_, near) in enumerate(texts)] + [(9, "another text that is near none")]
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
 def test_set_links_by_brute_force():
     """In one group and in pairs of blocks, with an empty set and ids of several sets."""
     from tessera.llm import connect, similar
