@@ -88,3 +88,16 @@ def conversation_report(spark, sf_dir):
 def plain_text_export(spark, sf_dir):
     parts = F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.left("text", F.lit(20)).alias("t"))))
     return table(spark, sf_dir, "conversations").where("conv_id < 50").groupBy("role").agg(parts.alias("x")).select("role", F.array_join("x.t", " ").alias("exported"))
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN changed THEN coalesce(role, '') || chr(10) ELSE '' END || coalesce(text, ''), chr(10) ORDER BY place) AS exported FROM (
+SELECT *, place = 1 OR role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY place) AS changed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations)) GROUP BY conv_id""")
+def plain_text_export_whole(spark, sf_dir):
+    """Every conversation as one text: whole turns in order, each role as a heading where it changes. plain_text_export
+    gives the openings of a few conversations."""
+    w = Window.partitionBy("conv_id").orderBy(*(F.asc_nulls_last(c) for c in ("turn", "role", "text")))
+    rows = table(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(w))
+    changed = (F.col("place") == 1) | ~F.col("role").eqNullSafe(F.lag("role").over(w))
+    line = F.concat(F.when(changed, F.concat(F.coalesce("role", F.lit("")), F.lit("\n"))).otherwise(""), F.coalesce("text", F.lit("")))
+    lines = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return rows.withColumn("line", line).groupBy("conv_id").agg(lines.alias("x")).select("conv_id", F.array_join("x.line", "\n").alias("exported"))

@@ -61,3 +61,11 @@ def test_tightening_the_gate_never_adds_rows(spark):
     fewer = {r.doc_id for r in eligible(docs.where("lang = 'en'"), labels).collect()}
     assert fewer < every
     assert eligible(docs, labels.limit(0)).count() == 0
+
+
+def test_export_is_whole(spark, tmp_path):
+    """Every conversation, all of each text, and a repeated heading once."""
+    rows = [(3, 2, "user", "c" * 50), (3, 1, "user", "b" * 90), (3, 3, "assistant", None), (75, 1, None, "d"), (75, 2, "user", "e")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.exported for r in catalog.QUERIES["plain_text_export_whole"](spark, str(tmp_path)).collect()}
+    assert got == {3: "user\n" + "b" * 90 + "\n" + "c" * 50 + "\nassistant\n", 75: "\nd\nuser\ne"}
