@@ -135,6 +135,14 @@ def first_n_string_agg(spark, sf_dir):
     return first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("x")).select("source", F.array_join("x.t", "|").alias("opening"))
 
 
+@query("""SELECT source, string_agg(text, '|' ORDER BY r) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, text) AS r FROM documents) WHERE r <= 30 GROUP BY source""")
+def first_n_string_agg_whole(spark, sf_dir):
+    """The whole texts of each source's first 30 documents; first_n_string_agg gives their openings."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_last("text")))
+    first = table(spark, sf_dir, "documents").select("source", "text", place.alias("r")).where("r <= 30")
+    return first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("x")).select("source", F.array_join("x.text", "|").alias("texts"))
+
+
 @query("""WITH w AS (SELECT user_id, event_id, event_type = 'error' AS miss, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS g FROM events)
 SELECT user_id, CAST(max(n) AS BIGINT) AS longest, max(n) < 5 AS ok FROM (SELECT user_id, g, count(*) AS n FROM w WHERE miss GROUP BY user_id, g) GROUP BY user_id""")
 def miss_runs(spark, sf_dir):

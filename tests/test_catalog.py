@@ -69,3 +69,10 @@ def test_export_is_whole(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.exported for r in catalog.QUERIES["plain_text_export_whole"](spark, str(tmp_path)).collect()}
     assert got == {3: "user\n" + "b" * 90 + "\n" + "c" * 50 + "\nassistant\n", 75: "\nd\nuser\ne"}
+
+
+def test_first_texts_are_whole(spark, tmp_path):
+    rows = [(k, f"{k} " + "x" * 500, "s") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    (got,) = catalog.QUERIES["first_n_string_agg_whole"](spark, str(tmp_path)).collect()
+    assert got.texts == "|".join(t for _, t, _ in rows[:30])
