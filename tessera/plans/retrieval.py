@@ -95,6 +95,34 @@ def worksheet_candidates(spark, sf_dir):
     return rows.withColumn("place", place).where("place <= 5").orderBy(F.desc("hits"), "doc_id").limit(10)
 
 
+_ITEM_TERMS = f"terms AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 3 AND w NOT IN ({STOP_SQL}))"
+
+
+@query(f"""WITH {ELIGIBLE}, {_ITEM_TERMS}, words AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM elig),
+lex AS (SELECT item_id, doc_id, source, CAST(count(*) AS BIGINT) AS hits FROM words JOIN terms USING (w) GROUP BY ALL),
+own AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY hits DESC, doc_id) AS place FROM lex) WHERE place <= 5),
+spare AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM elig ORDER BY doc_id LIMIT 10)
+SELECT item_id, doc_id, source, hits, place, false AS fallback FROM own WHERE r <= 10
+UNION ALL SELECT b.item_id, s.doc_id, s.source, 0, s.place, true FROM (SELECT DISTINCT item_id FROM benchmark) b, spare s WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.item_id = b.item_id)""")
+def worksheet_candidates_all(spark, sf_dir):
+    """Candidates for every benchmark item, of one without hits the first eligible documents; worksheet_candidates gives
+    those of item 0."""
+    items = table(spark, sf_dir, "benchmark")
+    terms = items.select("item_id", F.explode(T.query_terms(F.col("text"), most=1 << 30)).alias("w")).distinct()
+    eligible = gate(spark, sf_dir)
+    words = eligible.select("doc_id", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    counts = words.groupBy("doc_id", "source", "w").count()
+    hits = counts.join(F.broadcast(terms), "w").groupBy("item_id", "doc_id", "source").agg(F.sum("count").alias("hits"))
+    order = [F.desc("hits"), "doc_id"]
+    near = hits.withColumn("place", F.row_number().over(Window.partitionBy("item_id", "source").orderBy(*order)).cast("long")).where("place <= 5")
+    own = near.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where("r <= 10").drop("r")
+    spare = eligible.select("doc_id", "source").orderBy("doc_id").limit(10)
+    spare = spare.withColumn("place", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
+    none = items.select("item_id").distinct().join(own.select("item_id"), "item_id", "left_anti")
+    rest = none.crossJoin(F.broadcast(spare)).select("item_id", "doc_id", "source", F.lit(0).cast("long").alias("hits"), "place", F.lit(True).alias("fallback"))
+    return own.select("item_id", "doc_id", "source", "hits", "place", F.lit(False).alias("fallback")).unionByName(rest)
+
+
 @query("""WITH m AS (SELECT doc_id, source, lang FROM documents WHERE lower(text) LIKE '%the%')
 SELECT doc_id, source, (SELECT count(*) FROM m) AS total FROM m ORDER BY lang, source, doc_id LIMIT 50 OFFSET 50""")
 def paged_search_total(spark, sf_dir):

@@ -76,3 +76,16 @@ def test_first_texts_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     (got,) = catalog.QUERIES["first_n_string_agg_whole"](spark, str(tmp_path)).collect()
     assert got.texts == "|".join(t for _, t, _ in rows[:30])
+
+
+def test_worksheet_of_every_item(spark, tmp_path):
+    """More items than one, and the first eligible documents for an item without hits."""
+    docs = [(k, f"alpha text{k} " + "beta " * k, f"s{k % 3}") for k in range(1, 30)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(3, 30)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "alpha"), (1, "beta beta"), (2, "zeta"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for r in catalog.QUERIES["worksheet_candidates_all"](spark, str(tmp_path)).collect():
+        got.setdefault(r.item_id, set()).add((r.doc_id, r.hits, r.fallback))
+    first = range(3, 13)
+    assert got == {0: {(k, 1, False) for k in first}, 1: {(k, k, False) for k in range(20, 30)}, 2: {(k, 0, True) for k in first}, 3: {(k, 0, True) for k in first}}
