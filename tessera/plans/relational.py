@@ -71,7 +71,18 @@ def span_containment(spark, sf_dir):
 SELECT x.doc_id, x.a AS first, y.a AS second FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.a < y.a AND x.a < y.a + 1000 AND y.a < x.a + 1000""")
 def span_overlap(spark, sf_dir):
     """Pairs of overlapping spans: each span is put in every grid cell that it touches; a pair counts in its first common cell."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.length("text").cast("long").alias("n")).where("n > 0")
+    return _overlaps(table(spark, sf_dir, "documents").where("lang = 'de'"))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 700)) AS a FROM documents)
+SELECT x.doc_id, x.a AS first, y.a AS second FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.a < y.a AND x.a < y.a + 1000 AND y.a < x.a + 1000""")
+def span_overlap_all(spark, sf_dir):
+    """The overlaps of span_overlap in the documents of every language, or of none."""
+    return _overlaps(table(spark, sf_dir, "documents"))
+
+
+def _overlaps(docs):
+    docs = docs.select("doc_id", F.length("text").cast("long").alias("n")).where("n > 0")
     own = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(700).cast("long"))).alias("a")).withColumn("b", F.col("a") + 1000)
     cells = own.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / 1000), F.floor((F.col("b") - 1) / 1000))))
     x, y = cells.select("doc_id", "cell", F.col("a").alias("a1"), F.col("b").alias("b1")), cells.select("doc_id", "cell", F.col("a").alias("a2"), F.col("b").alias("b2"))

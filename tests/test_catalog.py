@@ -89,3 +89,10 @@ def test_worksheet_of_every_item(spark, tmp_path):
         got.setdefault(r.item_id, set()).add((r.doc_id, r.hits, r.fallback))
     first = range(3, 13)
     assert got == {0: {(k, 1, False) for k in first}, 1: {(k, k, False) for k in range(20, 30)}, 2: {(k, 0, True) for k in first}, 3: {(k, 0, True) for k in first}}
+
+
+def test_overlaps_in_every_language(spark, tmp_path):
+    rows = [(1, "x" * 1500, "de"), (2, "x" * 1500, "fr"), (3, "x" * 800, None), (4, "x" * 600, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r["first"], r.second) for r in catalog.QUERIES["span_overlap_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 700), (1, 700, 1400), (2, 0, 700), (2, 700, 1400), (3, 0, 700)}
