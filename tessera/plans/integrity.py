@@ -50,6 +50,26 @@ def v_snapshot_difference(spark, sf_dir):
     return gone.select("doc_id", F.lit("gone").alias("change")).unionByName(new.select("doc_id", F.lit("new").alias("change")))
 
 
+@query("""WITH a AS (SELECT CASE WHEN doc_id % 10 = 2 THEN -doc_id ELSE doc_id END AS doc_id, source, CASE WHEN doc_id % 10 = 1 THEN lang || '2' ELSE lang END AS lang FROM documents WHERE doc_id % 10 <> 0),
+d AS (SELECT doc_id, 1 AS gone, 0 AS new FROM (SELECT doc_id, source, lang FROM documents EXCEPT ALL SELECT * FROM a) UNION ALL SELECT doc_id, 0, 1 FROM (SELECT * FROM a EXCEPT ALL SELECT doc_id, source, lang FROM documents))
+SELECT doc_id, CASE WHEN max(gone) = 1 AND max(new) = 1 THEN 'changed' WHEN max(gone) = 1 THEN 'gone' ELSE 'new' END AS change FROM d GROUP BY doc_id""")
+def v_snapshot_difference_whole(spark, sf_dir):
+    """All documents against a derived second state that drops, renames (one goes, one comes) and changes some of them."""
+    before = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    last = F.col("doc_id") % 10
+    after = before.where(last != 0).select(
+        F.when(last == 2, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), "source", F.when(last == 1, F.concat("lang", F.lit("2"))).otherwise(F.col("lang")).alias("lang")
+    )
+    return snapshot_changes(before, after)
+
+
+def snapshot_changes(before, after):
+    """(doc_id, change) of two states with the same columns: gone, new, or changed where the id has rows on both sides."""
+    gone, new = before.exceptAll(after).select("doc_id", F.lit(1).alias("s")), after.exceptAll(before).select("doc_id", F.lit(2).alias("s"))
+    sides = F.array_join(F.array_sort(F.collect_set(F.col("s").cast("string"))), "")
+    return gone.unionByName(new).groupBy("doc_id").agg(sides.alias("s")).select("doc_id", F.when(F.col("s") == "12", "changed").when(F.col("s") == "1", "gone").otherwise("new").alias("change"))
+
+
 @query()
 def html_blocks(spark, sf_dir):
     return html.blocks(table(spark, sf_dir, "pages"))

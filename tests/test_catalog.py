@@ -96,3 +96,10 @@ def test_overlaps_in_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r["first"], r.second) for r in catalog.QUERIES["span_overlap_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, 700), (1, 700, 1400), (2, 0, 700), (2, 700, 1400), (3, 0, 700)}
+
+
+def test_snapshot_reads_every_document(spark, tmp_path):
+    """Ids 1 and 5 modulo 6 too, and a changed row under one id."""
+    spark.createDataFrame([(k, "s", "en") for k in range(1, 13)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.change for r in catalog.QUERIES["v_snapshot_difference_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "changed", 11: "changed", 10: "gone", 2: "gone", 12: "gone", -2: "new", -12: "new"}
