@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,56 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of a save() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name with as many underscores in front as no column of docs has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def in_files(docs: DataFrame, name: str) -> DataFrame:
+    """docs itself if its rows lie in files, else a copy in the shared folder."""
+    try:
+        docs.select(docs.metadataColumn("_metadata"))
+        return docs
+    except AnalysisException:
+        return save(docs, name)
+
+
+def locator(docs: DataFrame) -> Column:
+    """struct<file, row>: where each row of a table in files lies."""
+    at = docs.metadataColumn("_metadata")
+    return F.struct(at["file_path"].alias("file"), at["row_index"].alias("row"))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, by: str, flag: str, most_bits: int = 27) -> DataFrame:
+    """rows with a boolean column: false where column `by` is surely not among those of keys, a saved table.
+
+    A Bloom filter of one hash: about 16 bits a key, at most 2 ** most_bits (16 MB, which bounds what is broadcast); with
+    more keys it only lets more rows pass. It spares rows that match nothing a shuffle; what passes must still be joined.
+    """
+    bits = max(15, min(most_bits, (16 * max(keys.count(), 1) - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)) + 1
+    own, bucket, bitmap = (free_name(rows, n) for n in ("__place", "__bucket", "__map"))
+    maps = keys.select(place(F.col(by)).alias(own)).groupBy(F.bitmap_bucket_number(own).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias(bitmap))
+    at = rows.withColumn(own, place(F.col(by)))
+    bit = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
+    return at.join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col(bucket), "left").select(*(rows[c] for c in rows.columns), hit.alias(flag))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

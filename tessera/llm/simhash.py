@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, save, small_batches, text_or_empty
+from .common import forget, partitions, save, small_batches, text_or_empty
 from .connect import components, star_links
 
 SEED, BITS = 42, 64
@@ -151,17 +151,18 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
 
 
 def near_links(prints: DataFrame, radius: int = 3, limit: int = 4096) -> DataFrame:
-    """Links (a, b) of ids with the same components as all pairs of fingerprints (id, fp: distinct) within radius."""
+    """Links (a, b) of fingerprints with the same components as all pairs of prints (fp: distinct) within radius."""
     blocks = block_count(prints.count(), radius)
     shards = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks(blocks, radius))))
-    rows = prints.select("id", "fp", F.explode(shards).alias("s")).select("id", "fp", "s.combo", "s.bits")
+    rows = prints.select("fp", F.explode(shards).alias("s")).select("fp", "s.combo", "s.bits")
     keys = ["combo", "bits", "i", "j"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in whole_groups(frames, keys):
             at = g[keys].to_numpy()
             shard = np.cumsum(np.append(0, (at[1:] != at[:-1]).any(axis=1)))
-            fp, side, ids = g["fp"].to_numpy().view(np.uint64), g["side"].to_numpy(), g["id"].to_numpy()
+            ids, side = g["fp"].to_numpy(), g["side"].to_numpy()
+            fp = ids.view(np.uint64)
             tree, ask = np.flatnonzero(side == g["i"].to_numpy()), np.flatnonzero(side == g["j"].to_numpy())
             forest, a, b = BKForest(fp[tree], shard[tree]), [], []
             for k in range(0, len(ask), 2048):
@@ -182,25 +183,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: doc_id, fp (signed long), component_id (the smallest id reachable over links).
 
     Null texts count as empty; all texts without words have fingerprint 0 and link. Texts of fewer than `width` words
-    have one shingle of all their words. Rows without an id take part by their text but never name a component unless
-    no row of it has an id. Copies meet in their fingerprint before any search. No rows give no rows.
+    have one shingle of all their words. Links run between fingerprints, so rows without an id connect what they link,
+    but never name a component unless no row of it has an id (then component_id is null). Copies meet in their
+    fingerprint before any search. No rows give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession, 2000)
     own = save(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "simhash")
     classes = save(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    parts = components(near_links(classes.where("id is not null"), radius))
-    label = save(classes.join(parts, classes["id"] == parts["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), "simhash-labels")
+    parts = components(near_links(classes.select("fp"), radius))
+    named = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
+    least = named.groupBy("part").agg(F.min("id").alias("component_id"))
+    label = save(named.join(least, "part").select("fp", "component_id"), "simhash-labels")
+    forget(classes)
     return own.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def drop_near(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; columns as they were.
-
-    Repeated rows of that id stay, and so do rows without an id: nothing tells them apart.
-    """
-    gone = near_groups(docs, width=width, radius=radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
