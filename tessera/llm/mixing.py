@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save, text_or_empty
+from .common import WORD, free_name, in_files, locator, save, text_or_empty
 
 WEIGHTS, MOST = (5, 2, 1), 3
 
@@ -48,11 +48,13 @@ def fill(length: np.ndarray, count: np.ndarray, budget: int, table: int = 1 << 1
     knapsack over what is left, as bit sets of reachable sums, in chunks of 1, 2, 4 ... of a length. It ends early
     once the budget is met exactly.
     """
-    total = int(length @ count)
+    sizes, counts = [int(x) for x in length], [int(x) for x in count]
+    total = sum(map(int.__mul__, sizes, counts))
     if total <= budget:
         return count.copy()
-    take = (count * budget) // total if budget > table else np.zeros_like(count)
-    left = budget - int(take @ length)
+    # Python's integers: a count times a budget of a large corpus passes 64 bits
+    take = np.array([c * budget // total for c in counts] if budget > table else [0] * len(counts), np.int64)
+    left = budget - sum(map(int.__mul__, sizes, take.tolist()))
     for i in np.argsort(-length, kind="stable"):
         if left <= table:
             break
@@ -83,16 +85,18 @@ def fill(length: np.ndarray, count: np.ndarray, budget: int, table: int = 1 << 1
     return take
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = 50_000) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken (words, repeats counted).
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = 50_000, keep: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, times, taken (words, repeats counted).
 
-    The uses of a length beyond whole passes go round its documents in their order. Null texts and texts without words have
-    size 0 and take nothing. Null sources are one source. Repeated rows count
-    each. A length that holds very many documents of a source is selected in blocks of the hash range, so no task
-    orders more than about `block` of them. No rows give no rows.
+    The uses of a length beyond whole passes go round its documents in their order, that of a hash of id and text. Null
+    texts and texts without words have size 0 and take nothing. Null sources are one source. Repeated rows count
+    each; which of equal rows is taken is left open. A length that holds very many documents of a source is selected in
+    blocks of the hash range, so no task orders more than about `block` of them, besides rows that agree in id and text.
+    No rows give no rows; other columns are ignored but for `keep`, which names one to be kept.
     """
-    own = docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"))
-    own = save(own.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("__n", F.monotonically_increasing_id()), "mix-sizes")
+    kept = [keep] if keep else []
+    own = docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"), *kept)
+    own = save(own.withColumn("__n", F.monotonically_increasing_id()), "mix-sizes")
     counts = save(own.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
 
@@ -128,12 +132,19 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
     rows = rows.withColumn("__r", rank).join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("__b") == F.col("___b")), "left")
     place = F.coalesce("__before", F.lit(0)) + F.col("__r")
     times = F.col("passes") + F.floor(F.col("extra") / F.col("n")) + (place <= F.col("extra") % F.col("n")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"))
+    times = F.when(F.col("size") > 0, times).otherwise(0)
+    return rows.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *kept)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of docs as often as they are taken; columns as they were. Rows without an id are taken by
-    the largest number of times of such rows; repeated rows of an id likewise."""
-    times = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    t = times.withColumnRenamed("doc_id", "__id")
-    return docs.join(t, docs["doc_id"].eqNullSafe(F.col("__id"))).select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__again")).drop("__again")
+    """The mix itself: each row of docs as often as mix() takes it; columns as they were, whatever their names.
+
+    Rows are told apart by where they lie, so repeated rows of an id, and rows without one, each have their own uses.
+    Rows without words are never taken; no rows give no rows.
+    """
+    docs = in_files(docs, "mix-input")
+    at, times = free_name(docs, "locator"), free_name(docs, "times")
+    used = mix(docs.select("doc_id", "source", "text", locator(docs).alias("__at")), keep="__at").where("times > 0").select(F.col("__at").alias(at), F.col("times").cast("int").alias(times))
+    rows = docs.withColumn(at, locator(docs)).join(used, at)
+    again = free_name(rows, "again")
+    return rows.withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
