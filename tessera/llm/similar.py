@@ -1,11 +1,12 @@
 """SimHash near-deduplication of texts whose word shingles have a given Jaccard similarity.
 
 The 64-bit fingerprints of `simhash` find copies within a few bits. Texts of similarity 0.8 differ in some 15% of all
-bits, beyond any radius that blocks of a short fingerprint can shard. So here a text has a fingerprint of 256 bits over its
-distinct shingles; each of several tables samples bits of it, and texts that agree in a sample meet in a shard. A shard's
-BK-tree finds pairs within a wide radius. Of these a spanning forest is kept, which connects what all of them connect, so
-the components over all shards hold every found pair. The texts of a component are then compared by their shingles, each
-with every other that is not linked to it already, so noisy distances never decide which pairs are checked.
+bits, beyond any radius that blocks of a fingerprint can shard. So here shards are named by the texts' shingles: a text
+has `BANDS` shard keys, each of the least values of its shingles under `ROWS` hash functions, and texts of similarity s
+share one key with a probability of s ** ROWS, whatever the size of the corpus. A shard's BK-tree over 128-bit
+fingerprints finds pairs within a wide radius. Of these a spanning forest is kept, which connects what all of them connect,
+so the components over all shards hold every found pair. The texts of a component are then compared by their shingles,
+each with every other that is not linked to it already, so noisy distances never decide which pairs are checked.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, small_batches, text_or_empty
+from .common import forget, free_name, in_files, locator, maybe_in, save, small_batches, text_or_empty
 from .connect import components, star_links
-from .simhash import _BYTE_BITS, _runs, BITS, BKForest, dealt, whole_groups
+from .simhash import _BYTE_BITS, _runs, BKForest, dealt, whole_groups
 
-LONGS = 4
-#: What a sampled bit is taken to differ by at similarity 0.8: its expected 15%, and a margin for fingerprints that differ in more.
-DIFFER = 0.18
-#: Odd multipliers that turn a shingle's hash into those of the four longs.
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+LONGS = 2
+#: At similarity 0.8 a pair misses all shard keys with a probability of (1 - 0.8 ** 4) ** 12 = 0.0018, at 0.9 of 0.000007.
+BANDS, ROWS = 12, 4
+#: Odd multipliers that turn a shingle's hash into those of the longs, and into the values of which the least count.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+LEAST = np.random.default_rng(23).integers(1 << 62, (1 << 64) - 1, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -43,7 +45,7 @@ def class_of(hashes: bytes) -> int:
 
 
 def wide_print(hashes: np.ndarray) -> list[int]:
-    """The 256-bit SimHash of distinct shingles as four signed longs; zeros for none."""
+    """The 128-bit SimHash of distinct shingles as two signed longs; zeros for none."""
     if not len(hashes):
         return [0] * LONGS
     h = (hashes[:, None] ^ (hashes[:, None] >> np.uint64(31))) * MIX
@@ -55,6 +57,17 @@ def wide_print(hashes: np.ndarray) -> list[int]:
     return np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<i8").tolist()
 
 
+def shard_keys(hashes: np.ndarray) -> list[int]:
+    """A text's shard keys, one a band: hashes of the band's number and of the least values of the shingles under its
+    functions. Sets without shingles share all keys."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(33))
+    for a in range(0, len(mixed), 4096):
+        values = mixed[a : a + 4096, None] * LEAST
+        least = np.minimum(least, (values ^ (values >> np.uint64(32))).min(axis=0))
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
 def spanning_forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, times: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The links of `times` minimum spanning forests by d of the links (a, b), each of what those before it leave: where
     a link proves wrong, others across the same cut remain."""
@@ -83,27 +96,10 @@ def spanning_forests(a: np.ndarray, b: np.ndarray, d: np.ndarray, times: int = 3
     return a[keep], b[keep], d[keep]
 
 
-def sampled_keys(rows: int, seed: int, shard: int = 256, miss: float = 0.005) -> list[list[int]]:
-    """The bit masks of each table: as many bits as leave about `shard` of the rows in a shard, as many tables as miss
-    a pair in all of them with a probability of `miss`."""
-    bits = min(40, max(8, math.ceil(math.log2(max(rows, 1) / shard)) if rows > shard else 0))
-    rng = np.random.default_rng(seed)
-    tables = math.ceil(math.log(miss) / math.log1p(-((1 - DIFFER) ** bits)))
-    out = []
-    for _ in range(tables):
-        masks = [0] * LONGS
-        for bit in rng.choice(BITS * LONGS, bits, replace=False).tolist():
-            masks[bit // BITS] |= 1 << bit % BITS
-        out.append([m - (1 << BITS) if m >> (BITS - 1) else m for m in masks])
-    return out
-
-
-def candidates(prints: DataFrame, radius: int = 21, both: int = 34, limit: int = 4096, seed: int = 23) -> DataFrame:
-    """Links (a, b) with the same components as all pairs of a shard whose fingerprints (id, f0 to f3) differ in at most
-    `radius` of the first 64 bits and `both` of the first 128."""
-    tables = sampled_keys(prints.count(), seed)
-    hashed = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"f{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks))) for i, masks in enumerate(tables)))
-    rows = prints.select("id", "f0", "f1", F.explode(hashed).alias("shard"))
+def candidates(prints: DataFrame, radius: int = 21, both: int = 34, limit: int = 4096) -> DataFrame:
+    """Links (a, b) with the same components as all pairs of a shard whose fingerprints (id, f0, f1, shards) differ in at
+    most `radius` of the first 64 bits and `both` of all 128."""
+    rows = prints.select("id", "f0", "f1", F.explode("shards").alias("shard"))
     keys = ["shard", "i", "j"]
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,20 +167,15 @@ def set_links(ids: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, ask: np
 
 
 def similar_links(texts: DataFrame, least: float, width: int, limit: int = 1 << 20) -> DataFrame:
-    """Links (a, b) with the same components as all pairs of one part among texts (part, text) whose shingle sets
-    have a Jaccard similarity of `least` or more; a and b are classes. Parts of more than `limit` shingles are dealt in blocks, each pair of
-    blocks to a group of its own, so that a task's memory is bounded whatever the part."""
+    """Links (a, b) with the same components as all pairs of one part among texts (part, id, text: of each id one) whose
+    shingle sets have a Jaccard similarity of `least` or more. Parts of more than `limit` shingles are dealt in blocks,
+    each pair of blocks to a group of its own, so that a task's memory is bounded whatever the part."""
 
     @F.pandas_udf("binary")
     def hashes(column: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, width).tobytes() for t in column])
 
-    @F.pandas_udf("long")
-    def classed(column: pd.Series) -> pd.Series:
-        return pd.Series([class_of(x) for x in column], dtype="int64")
-
-    rows = texts.select("part", hashes("text").alias("hashes")).select("part", classed("hashes").alias("id"), "hashes")
-    rows = save(rows.dropDuplicates(["part", "id"]), "similar-sets")
+    rows = save(texts.select("part", "id", hashes("text").alias("hashes")), "similar-sets")
     keys = ["part", "i", "j"]
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,41 +194,48 @@ def similar_links(texts: DataFrame, least: float, width: int, limit: int = 1 <<
 
 
 def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """One row per id of docs: doc_id, component_id (the smallest id reachable over links).
-
-    Texts of equal shingle sets link; each such class is searched once. Others link at a shingle similarity
-    of `least` or more: the search misses a small share of the pairs near that similarity, and of the texts that what it
-    finds connects all pairs are decided exactly. Null
-    texts count as empty; texts of fewer than `width` words have one shingle of all their words, and texts without words
-    link. Rows without an id are left out. No rows give no rows.
+    """One row per row of docs: doc_id, locator (where the row lies), component_id (the smallest id reachable over links),
+    kept (one row of each component: that of the smallest id, the first to lie there if it has several).
+
+    Texts of equal shingle sets link; each such class is searched once, by one of its texts. Others link at a shingle
+    similarity of `least` or more: the search misses a small share of the pairs near that similarity, and of the texts
+    that what it finds connects all pairs are decided exactly. Null texts count as empty; texts of fewer than `width`
+    words have one shingle of all their words, and texts without words link. Rows without an id, and each row of an id
+    that has several, take part by their text; a component none of whose rows has an id has a null component_id and keeps
+    the row that lies first. No rows give no rows.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", text_or_empty("text").alias("text")).where("doc_id is not null")
+    docs = in_files(docs, "similar-input")
+    docs = docs.select("doc_id", locator(docs).alias("locator"), text_or_empty("text").alias("text"))
 
     @F.pandas_udf("array<long>")
-    def wide(texts: pd.Series) -> pd.Series:
+    def described(texts: pd.Series) -> pd.Series:
         sets = [shingle_hashes(t, width) for t in texts]
-        return pd.Series([[class_of(s.tobytes()), *wide_print(s)] for s in sets])
-
-    prints = docs.select("doc_id", wide("text").alias("f"))
-    prints = save(prints.select("doc_id", F.col("f")[0].alias("same"), *(F.col("f")[k + 1].alias(f"f{k}") for k in range(LONGS))), "similar-prints")
-    classes = save(prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.min(f"f{k}").alias(f"f{k}") for k in range(LONGS))), "similar-classes")
-    links = save(candidates(classes.select(F.col("same").alias("id"), *(f"f{k}" for k in range(LONGS)))), "similar-candidates")
-    named = lambda side: classes.select(F.col("same").alias(side), F.col("doc_id").alias(f"id_{side}"))
-    by_id = lambda links: links.join(named("a"), "a").join(named("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    parts = components(by_id(links))
-    parts = save(parts.union(parts.select("component", "component").distinct()).toDF("doc_id", "part"), "similar-parts")
-    sure = by_id(save(similar_links(parts.join(docs, "doc_id").select("part", "text"), least, width), "similar-links"))
-    own = prints.select("doc_id", "same").join(classes.select("same", F.col("doc_id").alias("id")), "same").select("doc_id", "id")
-    # an id of several rows takes part in the classes of all of them
-    joined = components(sure.union(own.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
-    return own.select("doc_id").distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+        return pd.Series([[class_of(s.tobytes()), *wide_print(s), *shard_keys(s)] for s in sets])
+
+    prints = docs.select("doc_id", "locator", described("text").alias("x"))
+    prints = save(prints.select("doc_id", "locator", F.col("x")[0].alias("same"), F.slice("x", 2, LONGS + BANDS).alias("x")), "similar-prints")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "locator")
+    classes = save(prints.groupBy("same").agg(F.min(row).alias("first"), F.min("x").alias("x")), "similar-classes")
+    found = candidates(classes.select(F.col("same").alias("id"), F.col("x")[0].alias("f0"), F.col("x")[1].alias("f1"), F.slice("x", LONGS + 1, BANDS).alias("shards")))
+    parts = components(found)
+    parts = parts.union(parts.select("component", "component").distinct()).toDF("same", "part")
+    asked = save(classes.join(parts, "same").select("part", F.col("same").alias("id"), F.col("first.locator").alias("locator")), "similar-parts")
+    # only texts that may be asked for are shuffled
+    texts = maybe_in(docs, asked, "locator", "maybe").where("maybe").select("locator", "text").join(asked, "locator")
+    joined = components(similar_links(texts, least, width))
+    forget(asked)
+    named = classes.join(joined, F.col("same") == F.col("node"), "left").select("same", "first", F.coalesce("component", "same").alias("part"))
+    label = save(named.join(named.groupBy("part").agg(F.min("first").alias("best")), "part").select("same", "best"), "similar-labels")
+    rows = prints.select("doc_id", "locator", "same").join(label, "same")
+    return rows.select("doc_id", "locator", F.col("best.doc_id").alias("component_id"), (F.col("best.locator") == F.col("locator")).alias("kept"))
 
 
 def drop_similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; columns as they were.
-
-    Repeated rows of that id stay, and so do rows without an id: nothing tells them apart.
-    """
-    gone = similar_groups(docs, least, width).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group, by the rules of similar_groups(); columns as they were, whatever their names."""
+    docs = in_files(docs, "similar-input")
+    at, maybe = free_name(docs, "locator"), free_name(docs, "maybe")
+    gone = save(similar_groups(docs, least, width).where("not kept").select(F.col("locator").alias(at)), "similar-gone")
+    rows = maybe_in(docs.withColumn(at, locator(docs)), gone, at, maybe)
+    left = rows.where(F.col(maybe)).join(gone, at, "left_anti")
+    return rows.where(~F.col(maybe)).select(*docs.columns).union(left.select(*docs.columns))

@@ -104,6 +104,30 @@ def test_collision_is_settled_by_bytes(spark, tmp_path, monkeypatch):
     assert got == {1: (3, 2), 3: (3, 2), 2: (2, 1)}
 
 
+def test_dedup_state_goes_on(spark, tmp_path):
+    """A second micro-batch adds to the groups that the state holds from the first."""
+    from tessera.llm import exact
+
+    path = str(tmp_path / "keys")
+    schema = "doc_id long, locator struct<file:string,row:long>, digest string"
+    for rows in ([(1, ("f", 0), "a"), (9, ("f", 1), "b"), (4, ("f", 2), "a")], [(3, ("g", 0), "a"), (7, ("g", 1), "a"), (2, ("g", 2), "b"), (5, ("g", 3), "c")], [(8, ("h", 0), "c")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        groups = exact.keep_state(spark.read.parquet(path), path, str(tmp_path / "state"), str(tmp_path / "out"))
+    assert {r.digest: (r.keep.doc_id, r.keep.locator.file, r.n) for r in groups.collect()} == {"a": (7, "g", 4), "b": (9, "f", 2), "c": (8, "h", 2)}
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+
+
+def test_drop_copies_with_any_column_names(spark, tmp_path):
+    from tessera.llm import exact
+
+    names = ("__row", "__file", "locator", "_locator", "maybe", "__map", "__place", "__bucket", "keep", "digest", "n", "batch")
+    rows = [(1, "a"), (2, "A"), (3, "b"), (None, "b"), (None, ""), (None, None), (4, "c"), (4, "c")]
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    left = exact.drop_copies(frame)
+    assert left.columns == frame.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in left.collect()) == [(0, ""), (2, "a"), (3, "b"), (4, "c")]
+
+
 def print_of(t):
     w = words(t)
     grams = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
@@ -134,15 +158,25 @@ def test_bk_search_is_exact_in_blocks(spark):
     rng = np.random.default_rng(4)
     seeds = rng.integers(-(1 << 62), 1 << 62, 40)
     fps = sorted({int(s) ^ int(sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(0, 4))))) for s in seeds for _ in range(12)})
-    frame = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, fp long")
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
     mask = (1 << 64) - 1
-    near = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & mask).bit_count() <= 3]
-    want = {k: v for k, v in joined(list(range(len(fps))), near).items() if k != v}
+    near = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & mask).bit_count() <= 3]
+    want = {k: v for k, v in joined(fps, near).items() if k != v}
     for limit in (4096, 5):
         got = {r.node: r.component for r in connect.components(simhash.near_links(frame, 3, limit)).collect()}
         assert got == want
 
 
+def test_rows_without_id_bridge(spark, monkeypatch):
+    """A fingerprint that no row with an id has still connects those near it."""
+    from tessera.llm import simhash
+
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda text, width: text.cast("long"))
+    rows = [(2, "0"), (None, "7"), (1, "63"), (None, str(1 << 40 | 0xFFFF0)), (5, str(0xFF << 50))]
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(2, 1): 1, (None, 1): 1, (1, 1): 1, (None, None): 1, (5, 5): 1})
+
+
 def shingles(t):
     w = words(t)
     return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
@@ -175,7 +209,10 @@ def test_similar_groups_by_brute_force(spark, small):
     for folder in small[:2]:
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         left = similar.drop_similar(docs)
-        assert left.columns == docs.columns and left.where("doc_id is null").count() == docs.where("doc_id is null").count()
+        own = [shingles(r.text) for r in docs.collect()]
+        groups = joined(list(range(len(own))), [(i, j) for i in range(len(own)) for j in range(i) if score(own[i], own[j]) >= 0.8])
+        assert left.columns == docs.columns and left.count() == len(set(groups.values()))
+        assert similar.similar_groups(docs).count() == len(own)
 
 
 def independent_edits(copies, length=300, edits=6, seed=9):
@@ -328,6 +365,36 @@ def test_fill_is_exact_when_it_can_be():
         assert (take >= 0).all() and (take <= n).all() and take @ size <= budget
 
 
+def test_fill_beyond_64_bits():
+    """Counts times budgets of a corpus of 10 ** 13 words."""
+    from tessera.llm.mixing import fill
+
+    rng = np.random.default_rng(5)
+    size = np.unique(rng.integers(1, 20_000, 4000))
+    n = rng.integers(1, 10**13 // (len(size) * 10_000), len(size))
+    total = sum(int(a) * int(b) for a, b in zip(size, n))
+    assert total > 9 * 10**12 / 2
+    for budget in (total // 7, total - 12345, 10**6):
+        take = fill(size, n, budget)
+        used = sum(int(a) * int(b) for a, b in zip(size, take))
+        assert (take >= 0).all() and (take <= n).all() and budget - 2 <= used <= budget
+
+
+def test_mixed_rows_have_their_own_uses(spark):
+    """Rows without an id, and rows of one id, are each taken as often as the mix says; any column names stay."""
+    from tessera.llm import mixing
+
+    rows = [(None, "a b c", "s"), (None, "a b c d", "s"), (None, "a", "t"), (7, "a b", "t"), (7, "x y z", "t"), (7, "x y z", "t"), (None, "", "s"), (None, None, None), (8, "k " * 9, None)]
+    names = ("times", "locator", "again", "size", "order", "n", "__n", "target", "taken", "passes", "extra")
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    told = Counter()
+    for r in mixing.mix(frame).collect():
+        told[r.doc_id, r.source, r.size] += r.times
+    out = mixing.mixed(frame)
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in out.collect())
+    assert out.columns == frame.columns and got == +told and all((None, s, 0) not in got for s in ("s", None))
+
+
 def test_lm_base(spark):
     docs = pq.read_table(f"{SF}/documents.parquet").to_pandas()
     got = queries.op4_lm_scoring(spark, SF).toPandas().set_index("doc_id")
