@@ -180,6 +180,33 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     whole, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     steps = F.arrays_zip(F.transform(F.slice(pieces, F.lit(1), F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("own"), F.transform(kept, F.length).alias("group"))
+    return let(steps, lambda x: F.flatten(let(_chunks(x), lambda chunks: F.transform(F.arrays_zip(chunks.alias("steps"), _offsets(chunks).alias("at")), lambda c: _placed(c, rule, number)))))
+
+
+CHUNK = 64  # matches whose places are added up together
+
+
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _chunks(steps: Column) -> Column:
+    """steps cut in pieces of CHUNK: an array grows by one element a step only within a piece, so the work grows with the
+    number of matches and not with its square."""
+    last = F.greatest(F.ceil(F.size(steps) / CHUNK).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(steps, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _offsets(chunks: Column) -> Column:
+    """Where each piece begins in the text."""
+    long = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["own"]))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(long, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+
+
+def _placed(chunk: Column, rule: Rule, number: int) -> Column:
+    """The spans of a piece's matches that are long enough."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def step(state: Column, x: Column) -> Column:
@@ -187,7 +214,7 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + x["own"]).alias("end")))
         return F.struct((start + x["own"]).alias("at"), F.when(x["group"] >= rule.least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+    return F.aggregate(chunk["steps"], F.struct(chunk["at"].alias("at"), empty.alias("found")), step, lambda s: s["found"])
 
 
 def _scanned(rule: Rule) -> Rule:
@@ -217,6 +244,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, the numbers of base spans by kind, the digest of the base spans, and all spans.
+
+    As scan(): null texts count as empty, repeated rows and rows without an id are each scanned, no rows give no rows.
+    """
     names = F.array(*(F.lit(r.kind) for r in RULES))
 
     def told(found: Column) -> Column:

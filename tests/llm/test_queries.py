@@ -470,6 +470,22 @@ def test_secret_spans_by_brute_force(spark, small):
     assert got == want and any(a for a, _ in got)
 
 
+def test_many_secrets_in_one_text(spark):
+    """Work grows with the number of matches: 40,000 in one text, around the cuts of the pieces they are added up in."""
+    import re
+    import time
+
+    from tessera.llm import secret_scan as s
+
+    texts = [" ".join(f"key {i:016x} token=abc{i:09d}" for i in range(n)) for n in (0, 1, 63, 64, 65, 128, 20000)]
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in s.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate(texts):
+        found = sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(s.RULES) for m in re.finditer(r.pattern, t, re.A) if len(m[r.group]) >= r.least)
+        assert got[i] == ",".join(f"{kind}:{a}:{b}" for a, k, kind, b in found)
+
+
 def test_trigram_queries_never_miss():
     from tessera.llm import secret_scan as s
 
