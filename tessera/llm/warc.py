@@ -16,13 +16,15 @@ import zlib
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import first_by_hash, fresh_path, partitions, save
 from .simhash import whole_groups
 
 LEAST, ROLL, CHUNK = 1000, 64 << 20, 1 << 16
+#: The first capture time, that of page 0 and of pages without an id; a page's id adds as many seconds, going round after some 63 years.
+FIRST, SECONDS, ROUND = "20000101000000", 946684800, 2_000_000_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
@@ -33,14 +35,40 @@ def url_key(url: Column) -> Column:
     return F.lower(F.concat(host, F.lit(")"), F.regexp_replace(clean, HOST, "")))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and host that Spark itself gives it, under a name that pyarrow knows; another store is refused
+    here, on the driver, before anything is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = whole.partition(":")
+    name = {"s3a": "s3", "s3n": "s3", "gs": "gs", "s3": "s3", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file", "abfss": "abfss", "abfs": "abfs"}.get(scheme)
+    if name is None:
+        raise ValueError(f"archives cannot be written to {scheme}: set spark.checkpoint.dir to a folder of another store")
+    return f"{name}:{rest}"
+
+
 def _files(path: str):
+    """pyarrow's file system of a qualified folder, and the path within it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme, _, rest = path.partition(":")
+    return (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
+
 
+def _date(ts: str) -> str:
+    return f"{ts[:4]}-{ts[4:6]}-{ts[6:8]}T{ts[8:10]}:{ts[10:12]}:{ts[12:]}Z"
 
-def record(page_id, url: str, date: str, payload: bytes, refers_to) -> bytes:
-    """One WARC record; a revisit keeps the HTTP head, with the payload's length, but not the payload."""
+
+def info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    body = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {_date(FIRST)}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def record(page_id, url: str, date: str, payload: bytes, refers_to=None, refers_url: str = "", refers_date: str = "") -> bytes:
+    """One WARC record; a revisit keeps the HTTP head, with the payload's length, but not the payload, and names the
+    response's id, URL and date."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = head + (payload if refers_to is None else b"")
@@ -48,7 +76,7 @@ def record(page_id, url: str, date: str, payload: bytes, refers_to) -> bytes:
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:]}Z",
+        f"WARC-Date: {_date(date)}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -56,6 +84,7 @@ def record(page_id, url: str, date: str, payload: bytes, refers_to) -> bytes:
     ]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Refers-To-Target-URI: {refers_url}", f"WARC-Refers-To-Date: {_date(refers_date)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -73,6 +102,17 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To"))}
 
 
+def _packed(raw: bytes, level: int) -> bytes:
+    """One gzip member."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return pack.compress(raw) + pack.flush()
+
+
+def _order(page: int | None) -> tuple[int, int]:
+    """Where an id stands among captures of one key and time: none first."""
+    return (0, 0) if page is None else (1, page)
+
+
 class LoserTree:
     """k-way merge: inner nodes hold the loser of their match, so each step replays one path from leaf to root."""
 
@@ -119,26 +159,43 @@ def _slice(path: str, start: int, length: int) -> Iterator[tuple]:
         rest = lines.pop()
         for line in lines:
             key, when, page, archive, offset, size = line.split(b" ")
-            yield key, when, (0, 0) if page == b"-" else (1, int(page)), archive, int(offset), int(size)
+            yield key, when, _order(None if page == b"-" else int(page)), archive, int(offset), int(size)
+
+
+def capture_time(page_id: Column) -> Column:
+    """yyyyMMddHHmmss, from the page's id: the table has no time of capture."""
+    return F.date_format(F.timestamp_seconds(F.lit(SECONDS) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(ROUND))), "yyyyMMddHHmmss")
+
+
+def clean_url(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, html, refers_to): of equal payloads of at least `least` bytes, that of the largest page_id is the
-    response and the rest refer to it. Payloads are compared by SHA-256 and length; copies are counted before they meet."""
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    """(page_id, url, html, refers_to, refers_url): of equal payloads of at least `least` bytes, that of the largest page_id
+    is the response and the rest refer to it and its URL. Payloads are compared by SHA-256 and length; copies are counted
+    before they meet."""
+    own = pages.select("page_id", clean_url(F.col("url")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     size = F.octet_length("html")
-    keys = own.where(size >= least).select("page_id", F.sha2("html", 256).alias("sha"))
-    groups = save(keys.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").select("sha", "keep"), "warc-groups")
-    back = save(keys.join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("keep"))).select(F.col("page_id").alias("__page"), F.col("sha").alias("__sha"), F.col("keep").alias("refers_to")).distinct(), "warc-revisits")
+    keys = own.where(size >= least).select("page_id", "url", F.sha2("html", 256).alias("sha"))
+    groups = keys.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("keep"), F.count("*").alias("n")).where("n > 1 and keep.page_id is not null")
+    groups = save(groups.select("sha", F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("refers_url")), "warc-groups")
+    back = keys.join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("keep")))
+    back = save(back.select(F.col("page_id").alias("__page"), F.col("sha").alias("__sha"), F.col("keep").alias("refers_to"), "refers_url").distinct(), "warc-revisits")
     own = own.withColumn("__own", F.when(size >= least, F.sha2("html", 256)))
-    return own.join(back, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__own") == F.col("__sha")), "left").select("page_id", "url", "html", "refers_to")
+    return own.join(back, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__own") == F.col("__sha")), "left").select("page_id", "url", "html", "refers_to", "refers_url")
 
 
 def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFrame:
-    """Write archives and capture runs below folder; (range, run, start, length): the slices of the runs, by key range."""
-    own = with_revisits(pages).select("*", url_key(F.col("url")).alias("key"), F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce("page_id", F.lit(0))), "yyyyMMddHHmmss").alias("ts"))
-    drawn = first_by_hash(pages.select(url_key(F.col("url")).alias("key"), "page_id"), ["page_id", "key"], 4096, 1).collect()
-    drawn = sorted((r["key"].encode(), r["page_id"] or 0) for r in drawn)  # a bounded draw: it sets the ranges' sizes, not their content
+    """Write archives and capture runs below folder; (range, run, start, length): the slices of the runs, by key range.
+
+    A run is sorted by key, time and id (none first), which is the order of the merged history.
+    """
+    place = [url_key(F.col("url")).alias("key"), capture_time(F.col("page_id")).alias("ts")]
+    own = with_revisits(pages).select("*", *place, capture_time(F.col("refers_to")).alias("refers_ts"))
+    drawn = first_by_hash(pages.select("page_id", *place), ["page_id", "key", "ts"], 4096, 1).collect()
+    # a bounded draw: it sets the ranges' sizes, not their content
+    drawn = sorted((r["key"].encode(), r["ts"].encode(), _order(r["page_id"])) for r in drawn)
     cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,22 +205,23 @@ def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFra
         run, place, slices = None, 0, {}
         try:
             for frame in frames:
-                for page, url, html, refers, key, ts in zip(*(frame[c] for c in ("page_id", "url", "html", "refers_to", "key", "ts"))):
+                for page, url, html, refers, refers_url, refers_ts, key, ts in zip(*(frame[c] for c in ("page_id", "url", "html", "refers_to", "refers_url", "refers_ts", "key", "ts"))):
                     page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
                     if out is None or at >= ROLL:
                         if out is not None:
                             out.close()
                         number, at = number + 1, 0
-                        out = filesystem.open_output_stream(f"{base}/{name}-{number}.warc.gz", compression=None)
+                        archive = f"{name}-{number}.warc.gz"
+                        out = filesystem.open_output_stream(f"{base}/{archive}", compression=None)
+                        out.write(head := _packed(info(archive), level))
+                        at = len(head)
                     if run is None:
                         run = filesystem.open_output_stream(f"{base}/{name}.cdx", compression=None)
-                    clean = "".join(c if " " < c != "\x7f" else "%20" for c in url or "")
-                    pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    raw = pack.compress(record(page, clean, ts, html.encode("utf-8", "surrogatepass"), refers)) + pack.flush()
+                    raw = _packed(record(page, url, ts, html.encode("utf-8", "surrogatepass"), refers, refers_url, refers_ts), level)
                     out.write(raw)
-                    line = b" ".join([key.encode(), ts.encode(), b"-" if page is None else b"%d" % page, f"{name}-{number}.warc.gz".encode(), b"%d" % at, b"%d" % len(raw)]) + b"\n"
+                    line = b" ".join([key.encode(), ts.encode(), b"-" if page is None else b"%d" % page, archive.encode(), b"%d" % at, b"%d" % len(raw)]) + b"\n"
                     run.write(line)
-                    part = slices.setdefault(bisect.bisect_right(cuts, (key.encode(), page or 0)), [place, 0])
+                    part = slices.setdefault(bisect.bisect_right(cuts, (key.encode(), ts.encode(), _order(page))), [place, 0])
                     part[1] += len(line)
                     at, place = at + len(raw), place + len(line)
         finally:
@@ -173,7 +231,7 @@ def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFra
         if slices:
             yield pd.DataFrame([(r, f"{folder}/{name}.cdx", a, n) for r, (a, n) in slices.items()], columns=["range", "run", "start", "length"])
 
-    return own.sortWithinPartitions("key", "page_id").mapInPandas(task, "range int, run string, start long, length long")
+    return own.sortWithinPartitions("key", "ts", F.asc_nulls_first("page_id")).mapInPandas(task, "range int, run string, start long, length long")
 
 
 def merge(slices: DataFrame) -> DataFrame:
@@ -222,6 +280,6 @@ def roundtrip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     refer to; repeated rows of the largest page_id are all responses. No pages give no rows and no files.
     """
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
+    folder = qualified(spark, folder or fresh_path(spark, "warc"))
     slices = save(write(pages, folder, ranges=partitions(spark)), "warc-slices")
     return read(save(merge(slices), "warc-history"), folder)

@@ -502,13 +502,46 @@ def test_warc_history_is_in_order(spark, small, tmp_path):
     from tessera.llm import warc
     from tessera.llm.common import save, table
 
-    slices = save(warc.write(table(spark, SF, "pages"), f"file://{tmp_path}/w", ranges=5), "t")
-    h = warc.merge(slices).toPandas().sort_values(["range", "position"])
-    keys = list(zip(h.key, h.ts, h.page_id))
-    assert keys == sorted(keys) and len(keys) == pq.read_table(f"{SF}/pages.parquet").num_rows
+    for folder, name in ((SF, "w"), (small[0], "v")):
+        pages = table(spark, folder, "pages")
+        slices = save(warc.write(pages, f"file:{tmp_path}/{name}", ranges=5), "t")
+        h = warc.merge(slices).toPandas().sort_values(["range", "position"])
+        keys = [(k, t, (0, 0) if pd.isna(p) else (1, p)) for k, t, p in zip(h.key, h.ts, h.page_id)]
+        assert keys == sorted(keys) and len(keys) == pages.count()
     assert list(warc.LoserTree([iter([1, 4, 9]), iter([]), iter([2, 4]), iter([0])])) == [0, 1, 2, 4, 4, 9] and list(warc.LoserTree([])) == []
 
 
+def test_warc_runs_of_any_ids(spark, tmp_path):
+    """Negative, very large, equal and missing ids under one key, in many small runs."""
+    from tessera.llm import warc
+    from tessera.llm.common import save
+
+    ids = [None, -1, 5, -(1 << 62), 1 << 62, 0, None, 5, 2_000_000_003, 3, -2] * 3
+    pages = spark.createDataFrame([(i, "http://a.b/" + "xy"[k % 2], "t" * (k % 4 * 600)) for k, i in enumerate(ids)], "page_id long, url string, html string").repartition(7)
+    h = warc.merge(save(warc.write(pages, f"file:{tmp_path}/w", ranges=4), "t")).toPandas().sort_values(["range", "position"])
+    keys = [(k, t, (0, 0) if pd.isna(p) else (1, p)) for k, t, p in zip(h.key, h.ts, h.page_id)]
+    assert keys == sorted(keys) and Counter(x[2][1] if x[2][0] else None for x in keys) == Counter(ids)
+
+
+def test_warc_archives_say_what_they_hold(spark, tmp_path):
+    """Archives begin with a warcinfo record; a revisit names the response's id, URL and date; a folder is qualified as Spark does."""
+    import gzip
+
+    from tessera.llm import warc
+    from tessera.llm.common import save
+
+    pages = spark.createDataFrame([(1, "http://a/1", "z" * 2000), (60, "http://a/60 x", "z" * 2000)], "page_id long, url string, html string").coalesce(1)
+    folder = warc.qualified(spark, str(tmp_path / "w"))
+    assert folder.startswith("file:/")
+    save(warc.write(pages, folder, ranges=2), "t")
+    (archive,) = (tmp_path / "w").glob("*.warc.gz")
+    raw = gzip.decompress(archive.read_bytes()).decode()
+    assert raw.startswith("WARC/1.1\r\nWARC-Type: warcinfo\r\n") and raw.count("WARC-Type: ") == 3
+    assert "WARC-Refers-To: <urn:page:60>\r\nWARC-Refers-To-Target-URI: http://a/60%20x\r\nWARC-Refers-To-Date: 2000-01-01T00:01:00Z\r\n" in raw
+    with pytest.raises(Exception):
+        warc.qualified(spark, "nosuch://host/w")
+
+
 def test_pieces_are_lossless_reproducible_and_rightly_drawn(spark, small):
     from tessera.llm import pieces
 
