@@ -23,7 +23,8 @@ from .common import small_batches, text_or_empty
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+| +|\n+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 100_000
+#: Units and characters of units that a worker keeps; a node and its edges take some 60 bytes.
+CACHE, NODES = 100_000, 2_000_000
 _BASE, _ALL = 1_000_003, (1 << 64) - 1
 
 
@@ -153,7 +154,7 @@ class Pieces:
         units = [UNIT.findall(t) for t in texts]
         distinct = set().union(*units) if units else set()
         new = distinct - self.end.keys()
-        if len(self.end) + len(new) > CACHE:
+        if len(self.end) + len(new) > CACHE or self.nodes + sum(map(len, new)) > NODES:
             self.clear()
             new = distinct
         if new:
@@ -207,7 +208,7 @@ _loaded: dict[tuple, Pieces] = {}
 
 
 def pieces(path: str, alpha: float) -> Pieces:
-    """One per worker process; its cache of units is bounded."""
+    """One per worker process; its cache is bounded by units and by their characters."""
     return _loaded.get((path, alpha)) or _loaded.setdefault((path, alpha), Pieces(path, alpha))
 
 

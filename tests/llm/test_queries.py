@@ -566,6 +566,18 @@ def test_pieces_are_lossless_reproducible_and_rightly_drawn(spark, small):
     assert all(abs(w / total - drawn[s] / 20000) < 0.01 for w, s in every("then"))
 
 
+def test_piece_cache_is_bounded_by_characters(monkeypatch):
+    """Lines without spaces are units of their own; a worker keeps no more of them than their characters allow."""
+    from tessera.llm import pieces
+
+    monkeypatch.setattr(pieces, "NODES", 12_000)
+    p = pieces.Pieces(pieces.MODEL)
+    for k in range(12):
+        text = f"{k}" + "längeroder" * 300
+        (ids,) = p.encode([k], [text], 1)
+        assert p.decode(ids.tolist()) == text and len(text) <= p.nodes <= 12_000 and len(p.end) <= 4
+
+
 def test_pipeline(spark, small):
     for folder in (SF, small[0], small[1]):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
