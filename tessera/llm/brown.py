@@ -1,8 +1,9 @@
 """LM scoring with Brown class-based bigrams.
 
-Words are counted over all training documents. The most frequent words are put in classes by exchange clustering on
-their bigram counts; the class of any other word follows from its last characters, by the classes of the frequent words
-that end alike. A text's probability is the product of smoothed class transitions and of word emissions within classes.
+Words are counted over all training documents. Frequent words are put in classes by exchange clustering: the most
+frequent ones on their bigram counts with each other, then all others on theirs with those. The class of any rarer word
+follows from its last characters, by the classes of the frequent words that end alike. A text's probability is the
+product of smoothed class transitions and of word emissions within classes.
 """
 
 from __future__ import annotations
@@ -44,6 +45,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(task, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def gains(base: np.ndarray, out: np.ndarray, into: np.ndarray, own: float = 0.0) -> np.ndarray:
+    """What a word adds to the likelihood of the class bigrams `base` in each class.
+
+    out, into: its counts with the classes after it and before it, without those with itself, own. In class d, row d
+    gains out, column d gains into, the corner both.
+    """
+    plain, rows, cols, corner = _xlogx(base), base.sum(1), base.sum(0), np.diag(base)
+    gain = (_xlogx(base + out[None, :]) - plain).sum(1) + (_xlogx(base + into[:, None]) - plain).sum(0)
+    gain += _xlogx(corner + out + into + own) - _xlogx(corner + out) - _xlogx(corner + into) + _xlogx(corner)
+    return gain - (_xlogx(rows + out.sum() + own) - _xlogx(rows) + _xlogx(cols + into.sum() + own) - _xlogx(cols))
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     """Exchange clustering: each word in turn moves to the class that most raises the likelihood of the class bigrams.
 
@@ -58,7 +75,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     one[np.arange(n), of] = 1
     left, right = b.T @ one, b @ one  # of each word: counts with the classes before it and after it
     pairs = one.T @ right
-    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
     for _ in range(rounds):
         moved = 0
         for w in range(n):
@@ -71,14 +87,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
             base[c] -= out
             base[:, c] -= into
             base[c, c] -= own
-            rows, cols = base.sum(1), base.sum(0)
-            so, si = out.sum() + own, into.sum() + own
-            plain = xlogx(base)
-            # gain of w in each class d: row d gains out, column d gains into, the corner both
-            gain = (xlogx(base + out[None, :]) - plain).sum(1) + (xlogx(base + into[:, None]) - plain).sum(0)
-            corner = np.diag(base)
-            gain += xlogx(corner + out + into + own) - xlogx(corner + out) - xlogx(corner + into) + xlogx(corner)
-            gain -= xlogx(rows + so) - xlogx(rows) + xlogx(cols + si) - xlogx(cols)
+            gain = gains(base, out, into, own)
             d = int(np.argmax(gain))
             if gain[d] <= gain[c] + 1e-9:
                 d = c
@@ -98,6 +107,33 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     return of
 
 
+def exchange_rest(pairs: np.ndarray, after: np.ndarray, before: np.ndarray, of: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """Exchange clustering of further words among classes that hold clustered ones: each word in turn moves to the class
+    that most raises the likelihood of the class bigrams in which one of the two words is a clustered one.
+
+    pairs: counts of class bigrams of the clustered words; after, before: each further word's counts with the classes of
+    the clustered words after and before it; of: the classes to start from.
+    """
+    of, pairs = of.copy(), pairs.astype(float)
+    np.add.at(pairs, of, after)
+    np.add.at(pairs.T, of, before)
+    for _ in range(rounds):
+        moved = 0
+        for w in range(len(of)):
+            c, out, into = of[w], after[w], before[w]
+            pairs[c] -= out
+            pairs[:, c] -= into
+            gain = gains(pairs, out, into)
+            d = int(np.argmax(gain))
+            if gain[d] > gain[c] + 1e-9:
+                of[w], c, moved = d, d, moved + 1
+            pairs[c] += out
+            pairs[:, c] += into
+        if not moved:
+            break
+    return of
+
+
 @dataclass
 class Classes:
     """Class of any word; class `end` is that of the end token, and the last one that of words with unknown endings."""
@@ -178,26 +214,28 @@ def cluster(texts: DataFrame, top: list[tuple[bytes, int]], clustered: int, clas
     of, pairs = pickle.loads(inner[0]["made"]) if inner else (np.arange(m) % k, np.zeros((k, k)))
     frequent = {w: int(c) for w, c in zip(head, of.tolist())}
     if n > m:
-        # the rest of the frequent words go where their neighbours' classes fit best, by sums of counts per (word, class)
+        # the other frequent words by their counts with the classes of these, summed per (word, class)
         label = F.broadcast(texts.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(m), "c": of}), "i long, c int"))
         a, b = F.shiftright("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)
         after = counts.where((a >= m) & (b < m)).select(a.alias("w"), b.alias("i"), "n").join(label, "i").groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("s", F.lit(0))
         before = counts.where((a < m) & (b >= m)).select(b.alias("w"), a.alias("i"), "n").join(label, "i").groupBy("w", "c").agg(F.sum("n").alias("n")).withColumn("s", F.lit(1))
 
         def placed(frame: pd.DataFrame) -> pd.DataFrame:
-            sides = np.zeros((2, n, k), np.float32)
-            sides[frame["s"].to_numpy(np.int64), frame["w"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)] = frame["n"]
+            sides = np.zeros((2, n - m, k))
+            sides[frame["s"].to_numpy(np.int64), frame["w"].to_numpy(np.int64) - m, frame["c"].to_numpy(np.int64)] = frame["n"]
+            seen = np.flatnonzero(sides.sum((0, 2)) > 0)
             own = pairs + 0.1
-            # log odds of a neighbour's class given this word's class, against its overall share
+            # log odds of a neighbour's class given this word's class, against its overall share: where the exchange starts
             lift = np.log(own * own.sum() / (own.sum(1, keepdims=True) * own.sum(0, keepdims=True)))
-            score = sides[0] @ lift.T + sides[1] @ lift
+            score = sides[0, seen] @ lift.T + sides[1, seen] @ lift
             score[:, np.bincount(of, minlength=k) == 0] = -np.inf
-            return pd.DataFrame({"made": [pickle.dumps((score.argmax(1), sides.sum((0, 2)) > 0))]})
+            best = exchange_rest(pairs, sides[0, seen], sides[1, seen], score.argmax(1))
+            return pd.DataFrame({"made": [pickle.dumps((seen + m, best))]})
 
         # at most 2 x frequent x classes counts, in one task
         if near := after.union(before).groupBy(F.lit(1).alias("all")).applyInPandas(placed, "made binary").collect():
-            best, seen = pickle.loads(near[0]["made"])
-            frequent |= {top[i][0]: int(best[i]) for i in range(m, n) if seen[i]}
+            seen, best = pickle.loads(near[0]["made"])
+            frequent |= {top[i][0]: int(c) for i, c in zip(seen.tolist(), best.tolist())}
     votes: dict[bytes, np.ndarray] = {}
     weight = dict(top)
     for w, c in frequent.items():
@@ -248,10 +286,15 @@ def transitions(texts: DataFrame, classes: Classes) -> np.ndarray:
 def train(texts: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model, and the table (word, n) of all training words in the shared folder."""
     words = save(count_words(texts), "lm-words")
-    # the words of the least count that at most `frequent` words reach; there are few different counts
+    # all words above the count from which on they would be too many, and a draw by hash of those of that count
     uses = words.groupBy("n").agg(F.count("*").alias("words")).withColumn("reach", F.sum("words").over(Window.orderBy(F.desc("n"))))
-    least = uses.where(F.col("reach") <= frequent).agg(F.min("n")).first()[0]
-    top = sorted(((bytes(r["word"]), r["n"]) for r in (words.where(F.col("n") >= least).collect() if least else [])), key=lambda x: (-x[1], x[0]))
+    edge = uses.where(F.col("reach") > frequent).agg(F.max(F.struct("n", "reach", "words"))).first()[0]  # there are few different counts
+    chosen = words
+    if edge is not None:
+        share = (frequent - (edge["reach"] - edge["words"])) / edge["words"]
+        unit = F.xxhash64("word").cast("double") / F.lit(2.0**64) + 0.5
+        chosen = words.where((F.col("n") > edge["n"]) | ((F.col("n") == edge["n"]) & (unit < share)))
+    top = sorted(((bytes(r["word"]), r["n"]) for r in chosen.collect()), key=lambda x: (-x[1], x[0]))
     documents = texts.count()
     own = cluster(texts, top, clustered, classes)
     shared, k = texts.sparkSession.sparkContext.broadcast(own), own.count
@@ -304,9 +347,11 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty("text").alias("text"))
     told = save(own.mapInPandas(task, "row long, doc_id long, n_tokens long, hits long, plain double, less double, moves double, words array<binary>, uses array<int>"), "lm-told")
     rare = told.select("row", F.explode(F.arrays_zip("words", "uses")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.uses").alias("uses"))
-    met = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("uses")).otherwise(0)).alias("met"), F.sum(F.col("uses") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"))
+    # in units of 1e-10, so that the sum does not hang on the order of the rows
+    part = F.round(F.col("uses") * F.log10(F.coalesce("n", F.lit(0)) + 0.5) * 1e10).cast("long")
+    met = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("uses")).otherwise(0)).alias("met"), F.sum(part).alias("more"))
     both = told.drop("words", "uses").join(met, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    more = F.coalesce(F.col("more") / 1e10, F.lit(0.0))
     return both.select(
         "doc_id", "n_tokens", (F.col("hits") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("plain") + more + F.col("less")).alias("base_score"), (F.col("plain") + more + F.col("moves")).alias("score"),
@@ -314,7 +359,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, folds: int = 5, fold: int = 1, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (by token) for every row of docs.
 
     Learns from the rows outside the held-out fold; null texts count as empty there and here, and an empty text is its
     end token. Rows without an id are held out. Without training rows every class is as likely as any other.
@@ -322,4 +367,5 @@ def report(docs: DataFrame, folds: int = 5, fold: int = 1, frequent: int = FREQU
     small_batches(docs.sparkSession, 1000)
     texts = docs.where(~held_out(F.col("doc_id"), folds, fold)).select(text_or_empty("text").alias("text"))
     model, words = train(texts, frequent, clustered, classes)
-    return score(docs, model, words).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    own = score(docs, model, words).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return own.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
