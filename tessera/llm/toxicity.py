@@ -1,9 +1,9 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Logistic regression over word and word-beginning indicators. For every labelled text a counterfactual is made by
-swapping its identity terms for others (or, in every fourth text that names none, by adding one), and the squared
+swapping its identity terms for others of the same language (or, if it names none, by adding one), and the squared
 change of the score between a text and its counterfactual is part of the loss. A neutral mention of a group then
-moves the score as little as the labels allow.
+moves the score as little as the labels allow. Terms are listed for four languages.
 """
 
 from __future__ import annotations
@@ -21,14 +21,28 @@ from pyspark.sql import types as T
 from .common import held_out, text_or_empty
 from .labelled import fit_in_task, labelled_sample
 
-#: Names of groups that are swapped for one another.
-IDENTITY = (
-    "women", "men", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "african", "european",
-    "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "immigrants", "refugees",
-    "deaf", "blind", "disabled", "elderly", "young",
-)
-_TERMS = tuple(t.encode() for t in IDENTITY)
-_PLACE = {t: i for i, t in enumerate(_TERMS)}
+#: Names of groups, by language; each is swapped for others of its language.
+IDENTITY = {
+    "en": (
+        "women", "men", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "african", "european",
+        "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "immigrants", "refugees",
+        "deaf", "blind", "disabled", "elderly", "young",
+    ),
+    "de": (
+        "frauen", "männer", "schwule", "lesben", "schwarze", "weiße", "asiaten", "afrikaner", "europäer", "muslime", "christen", "juden",
+        "hindus", "buddhisten", "atheisten", "einwanderer", "flüchtlinge", "gehörlose", "blinde", "behinderte", "senioren", "jugendliche",
+    ),
+    "fr": (
+        "femmes", "hommes", "homosexuels", "lesbiennes", "noirs", "blancs", "asiatiques", "africains", "européens", "musulmans", "chrétiens",
+        "juifs", "hindous", "bouddhistes", "athées", "immigrés", "réfugiés", "sourds", "aveugles", "handicapés", "retraités", "jeunes",
+    ),
+    "es": (
+        "mujeres", "hombres", "homosexuales", "lesbianas", "negros", "blancos", "asiáticos", "africanos", "europeos", "musulmanes", "cristianos",
+        "judíos", "hindúes", "budistas", "ateos", "inmigrantes", "refugiados", "sordos", "ciegos", "discapacitados", "ancianos", "jóvenes",
+    ),
+}
+_TERMS = tuple(tuple(t.encode() for t in own) for own in IDENTITY.values())
+_PLACE = {t: (k, i) for k, own in enumerate(_TERMS) for i, t in enumerate(own)}
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 WIDTH = 1 << 24
 CACHE = 300_000
@@ -56,12 +70,19 @@ def features(own: set[bytes]) -> np.ndarray:
 
 
 def counterfactual(own: set[bytes], turn: int) -> set[bytes]:
-    """own with each identity term swapped for the one `turn` places on; texts that name none gain one at every fourth turn."""
+    """own with each identity term swapped for the one `turn` places on in its language; a text that names none gains one,
+    of a language that `turn` draws."""
     bare = {w: w.strip(_MARKS) for w in own}
     if not any(b in _PLACE for b in bare.values()):
-        return own | {_TERMS[turn % len(_TERMS)]} if turn % 4 == 0 else own
-    step = 1 + turn % (len(_TERMS) - 1)
-    return {_TERMS[(_PLACE[b] + step) % len(_TERMS)] if b in _PLACE else w for w, b in bare.items()}
+        terms = _TERMS[turn % len(_TERMS)]
+        return own | {terms[turn // len(_TERMS) % len(terms)]}
+
+    def swapped(word: bytes) -> bytes:
+        language, place = _PLACE[word]
+        terms = _TERMS[language]
+        return terms[(place + 1 + turn % (len(terms) - 1)) % len(terms)]
+
+    return {swapped(b) if b in _PLACE else w for w, b in bare.items()}
 
 
 def pair(text: str | None) -> list[np.ndarray]:
@@ -120,7 +141,7 @@ def fit(y: np.ndarray, rows: list[list[np.ndarray]], strength: float = 2.0, deca
     for seen, expected in ((hit, df * n1 / n), (df - hit, df * (n - n1) / n), (n1 - hit, (n - df) * n1 / n), (n - n1 - df + hit, (n - df) * (n - n1) / n)):
         g2 += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
     order = np.argsort(-g2, kind="stable")[:most]
-    chosen = np.union1d(ids[order[g2[order] >= least]], features(set(_TERMS)))
+    chosen = np.union1d(ids[order[g2[order] >= least]], features(set(_PLACE)))
 
     def placed(k: int) -> tuple[np.ndarray, np.ndarray]:
         row, x = np.repeat(np.arange(n), [len(r[k]) for r in rows]), np.concatenate([r[k] for r in rows])

@@ -318,13 +318,24 @@ def test_embeddings_by_brute_force(spark, small):
     assert all(part[r.vec_id] == r.component_id and links[r.vec_id] == r.n_links for r in own.itertuples())
 
 
-def test_pivot_recall(spark):
-    got = queries.op8_embeddings(spark, "/root/testdata/sf0.1").toPandas()
-    e = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
-    x = np.stack(e.embedding).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    n = ((x @ x.T) >= 0.9).sum(1) - 1
-    assert got.n_links.sum() >= 0.9 * n.sum() and (got.set_index("vec_id").n_links.reindex(e.vec_id).to_numpy() <= n).all()
+def test_pivot_recall(spark, tmp_path):
+    """On groups of every degree of likeness, down to the threshold, among vectors that link with none."""
+    rng = np.random.default_rng(12)
+    rows = [rng.normal(size=(3000, 64))]
+    for group in range(150):
+        centre = rng.normal(size=64)
+        rows.append(centre + rng.normal(size=(int(rng.integers(2, 30)), 64)) * rng.uniform(0.05, 0.45))
+    x = np.concatenate(rows).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})
+    pq.write_table(pa.Table.from_pandas(frame, pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))]), preserve_index=False), tmp_path / "embeddings.parquet")
+    got = queries.op8_embeddings(spark, str(tmp_path)).toPandas().set_index("vec_id").n_links.reindex(range(len(x))).to_numpy()
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = u @ u.T
+    near = (cosine >= 0.9).sum(1) - 1
+    assert near.sum() > 5000 and ((cosine >= 0.9) & (cosine < 0.92)).sum() > 1000
+    assert (got <= near).all() and got.sum() >= 0.97 * near.sum()
 
 
 def test_mixing(spark, small):
@@ -512,6 +523,110 @@ def test_counterfactual_penalty_quiets_mentions():
     assert moved[1] < moved[0] / 2
 
 
+def biased(strength, n=1600):
+    """Share of clean texts, each with a neutral mention of a group, that a model calls toxic whose toxic training texts
+    nearly all name a group; by language. Without the mention, and with it."""
+    from tessera.llm import toxicity
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pandas().dropna(subset=["text"])
+    docs = docs.merge(pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas().dropna(subset=["toxic"]), on="doc_id").sort_values("doc_id")
+    docs = docs[docs.lang.isin(list(toxicity.IDENTITY)) & (docs.text.str.len() < 4000)]
+    rng = np.random.default_rng(3)
+    name = lambda lang: str(rng.choice(toxicity.IDENTITY[lang]))
+    learn, rest = docs[:n], docs[n:]
+    texts = [f"{t} {name(lang)} " if rng.random() < (0.9 if y else 0.03) else t for t, y, lang in zip(learn.text, learn.toxic, learn.lang)]
+    model = toxicity.fit(learn.toxic.to_numpy(), [toxicity.pair(t) for t in texts], strength=strength)
+    clean = rest[rest.toxic == 0]
+    plain = model.score(clean.text) >= 0.3
+    told = model.score([f"{t} {name(lang)}" for t, lang in zip(clean.text, clean.lang)]) >= 0.3
+    caught = (model.score(rest[rest.toxic == 1].text) >= 0.3).mean()
+    return {lang: (plain[(clean.lang == lang).to_numpy()].mean(), told[(clean.lang == lang).to_numpy()].mean()) for lang in toxicity.IDENTITY}, caught
+
+
+def test_neutral_mentions_in_four_languages():
+    """What the penalty is for: labels that go with group names by chance. A mention then calls hardly any clean text toxic
+    that would not be so without it, and more of the toxic texts that name none are found."""
+    (before, missed), (after, caught) = biased(0.0), biased(2.0)
+    assert all(told - plain > 0.1 for plain, told in before.values()), before
+    assert all(told - plain < 0.02 for plain, told in after.values()), after
+    assert caught > missed
+
+
+def test_swaps_stay_within_a_language():
+    from tessera.llm import toxicity
+
+    for lang, terms in toxicity.IDENTITY.items():
+        for turn in range(200):
+            (word,) = toxicity.counterfactual({terms[turn % len(terms)].encode() + b","}, turn)
+            assert word.decode() in terms and word.decode() != terms[turn % len(terms)]
+    assert len(toxicity.counterfactual({b"no", b"names"}, 5)) == 3
+
+
+@pytest.mark.parametrize("kind", ["toxic", "quality"])
+def test_fits_by_brute_force(kind):
+    """Both classifiers on a few texts, against the same models written out over dictionaries."""
+    from tessera.llm import quality, toxicity
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in range(20)]
+    y = rng.integers(0, 2, 60)
+    texts = [" ".join(rng.choice(vocabulary, 15)) + (" vile muslim, " if v and i % 2 else " MEN. ") for i, v in enumerate(y)]
+    probe = [*texts[:20], "", "vile", "men alpha0", None]
+    if kind == "quality":
+        model = quality.fit(y, [[np.unique(quality.grams(t))] for t in texts], epochs=3)
+        sets = [sorted(set(quality.grams(t).tolist())) for t in texts]
+        width = quality.WIDTH
+        seen = [Counter(g for s, v in zip(sets, y) if v == k for g in s) for k in (0, 1)]
+        total = [width + sum(c.values()) for c in seen]
+        ratio = {g: math.log((1 + seen[1][g]) / total[1]) - math.log((1 + seen[0][g]) / total[0]) for g in seen[0].keys() | seen[1].keys()}
+        w, bias, alpha, order = Counter(), 0.0, [0.0] * len(y), np.random.default_rng(5)
+        value = lambda s: {g: ratio.get(g, 0.0) / math.sqrt(max(len(s), 1)) for g in s}
+        cost = [len(y) / (2 * sum(y == v)) for v in y]
+        for _ in range(3):
+            moved = 0.0
+            for i in order.permutation(len(y)):
+                v, sign = value(sets[i]), 1 if y[i] else -1
+                g = sign * (sum(w[k] * x for k, x in v.items()) + bias) - 1
+                new = min(max(alpha[i] - g / (sum(x * x for x in v.values()) + 1), 0.0), cost[i])
+                step, alpha[i] = (new - alpha[i]) * sign, new
+                moved = max(moved, abs(step))
+                bias += step
+                for k, x in v.items():
+                    w[k] += step * x
+            if moved < 1e-3:
+                break
+        margin = [sum(w[k] * x for k, x in value(sorted(set(quality.grams(t).tolist()))).items()) + bias for t in probe]
+        assert np.allclose(model.score(probe), [1 / (1 + math.exp(-2 * m)) for m in margin], atol=1e-4)
+        return
+    model = toxicity.fit(y, [toxicity.pair(t) for t in texts], least=5.0, steps=80)
+    both = [[set(f.tolist()) for f in toxicity.pair(t)] for t in texts]
+    n, n1 = len(y), int(y.sum())
+
+    def g2(f):
+        hit, df = sum(v for (a, _), v in zip(both, y) if f in a), sum(f in a for a, _ in both)
+        cells = ((hit, df * n1 / n), (df - hit, df * (n - n1) / n), (n1 - hit, (n - df) * n1 / n), (n - n1 - df + hit, (n - df) * (n - n1) / n))
+        return 2 * sum(s * math.log(s / e) for s, e in cells if s)
+
+    names = {f for t in toxicity.IDENTITY.values() for x in t for f in toxicity.word_features(x.encode())}
+    chosen = {f for f in set().union(*(a for a, _ in both)) if g2(f) >= 5.0} | names
+    w, m, v, bias = dict.fromkeys(chosen, 0.0), Counter(), Counter(), math.log(0.02 / 0.98)
+    score = lambda s: 1 / (1 + math.exp(-(bias + sum(w[f] for f in s & chosen))))
+    for t in range(1, 81):
+        g = Counter()
+        for (a, b), label in zip(both, y):
+            s0, s1 = score(a), score(b)
+            d = 2 * 2.0 * (s0 - s1)
+            for f in a & chosen:
+                g[f] += (s0 - label + d * s0 * (1 - s0)) / n
+            for f in b & chosen:
+                g[f] -= d * s1 * (1 - s1) / n
+        for f in chosen:
+            x = g[f] + 0.3 / n * w[f]
+            m[f], v[f] = 0.9 * m[f] + 0.1 * x, 0.999 * v[f] + 0.001 * x * x
+            w[f] -= 0.2 * (m[f] / (1 - 0.9**t)) / (math.sqrt(v[f] / (1 - 0.999**t)) + 1e-9)
+    assert np.allclose(model.score(probe), [score(set(toxicity.features(toxicity.words(t)).tolist())) for t in probe], atol=1e-3)
+
+
 def test_secret_spans_by_brute_force(spark, small):
     import re
 
