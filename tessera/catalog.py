@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Register all queries."""
-    from tessera.plans import evaluation, integrity, relational, reports, retrieval, texts  # noqa: F401
+    from tessera.plans import evaluation, integrity, relational, reports, retrieval, scoping, texts  # noqa: F401
 
 
 load()

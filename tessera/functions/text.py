@@ -11,7 +11,7 @@ STOP = (
     "this", "that", "each", "any", "page", "pages", "inspected", "selected", "were", "main", "cite", "supporting", "point", "note", "authors", "report",
 )
 
-# Labels that open a section of an entry; longer ones stand before their beginnings.
+# Labels that open a section of an entry, in the order in which they are tried.
 SECTION_LABELS = (
     "mental symptoms", "respiratory organs", "urinary organs", "female organs", "male organs", "extremities", "generalities", "relationship",
     "relationships", "modalities", "aggravation", "amelioration", "abdomen", "stomach", "vertigo", "throat", "rectum", "urinary", "female", "male",
@@ -78,8 +78,10 @@ def sound_vector(v: Column, size: int) -> Column:
 
 def doi(x: Column) -> Column:
     """A DOI without its address or prefix, in lower case; null if it is none."""
-    bare = F.regexp_replace(F.lower(F.trim(x)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", "")
-    return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), bare)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(x), r"^https://doi\.org/", ""), r"^http://doi\.org/", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^https://dx\.doi\.org/", ""), r"^http://dx\.doi\.org/", "")
+    bare = F.lower(F.trim(F.regexp_replace(bare, "^(?i:doi:)", "")))
+    return F.when(bare.rlike(r"^10\.[0-9]{4,9}/[^\s?#]{1,250}$") & ~bare.rlike(r"[<>\\\"'%]|\.\."), bare)
 
 
 def open_licence(url: Column) -> Column:
@@ -106,5 +108,6 @@ def opening_comparison(text: Column) -> Column:
 
 
 def link_relation(text: Column) -> Column:
-    low = F.lower(F.trim(text))
-    return F.when(low.rlike(r"\bnext\b"), "next").when(low.rlike(r"\b(prev|previous)\b"), "previous").when(low.rlike(r"\b(contents|index)\b"), "index").otherwise("link")
+    """What a link leads to, by its text and its rel attribute."""
+    low = F.lower(text)
+    return F.when(low.rlike("next|previous|prev"), "pagination").when(low.rlike("index|contents"), "index").when(low.rlike("chapter|section"), "section").otherwise("linked_document")
