@@ -17,8 +17,6 @@ _WORD = re.compile(r"[^\W_]+")
 _HYPHEN = re.compile(r"-\s*\n\s*")
 _STRONG = re.compile(r"\n(?=\n)|[.!?;](?=\s)")
 _ABBREVIATION = re.compile(r"[^\W\d_](?:[^\W_]|-){0,29}\.")
-#: Words before a full stop that end no sentence, besides single letters.
-TITLES = {"dr", "mr", "mrs", "prof", "etc", "vs"}
 
 
 def entry_heading(line: str) -> bool:
@@ -111,18 +109,6 @@ def recover_quote(passage: str, quote: str, least: int = 4) -> str | None:
     return passage[start:end]
 
 
-def sentences(answer: str) -> list[str]:
-    """Sentences of an answer; initials, titles and abbreviated names do not end one."""
-    out, start = [], 0
-    for m in re.finditer(r"[.!?][ \t]+(?=\S)", answer):
-        after = answer[m.end()]
-        before = re.split(r"[ \t\n]", answer[: m.start()])[-1].lower()
-        if (after.isupper() or after in "“\"'") and len(before) != 1 and before not in TITLES:
-            out.append(answer[start : m.start() + 1])
-            start = m.end()
-    return [*out, answer[start:]]
-
-
 def rubric_rows(text: str, most: int = 50) -> list[tuple[str, list[str], int, int, str]]:
     """Rows of a heading and abbreviations after a colon: heading, notations, start, end, exact text."""
     out, at = [], 0
@@ -165,7 +151,3 @@ def located(passage: Column, quote: Column) -> Column:
 
 def recovered(passage: Column, quote: Column) -> Column:
     return _udf(lambda p, q: recover_quote(p, q), "string")(passage, quote)
-
-
-def sentence_list(answer: Column) -> Column:
-    return _udf(sentences, "array<string>")(answer)

@@ -44,11 +44,6 @@ def split_passages(spark, sf_dir):
     return P.passages(table(spark, sf_dir, "documents"))
 
 
-@query()
-def answer_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(P.sentence_list(F.col("text"))).alias("number", "sentence"))
-
-
 @query()
 def locate_quote(spark, sf_dir):
     """A few words from within each document, asked for without its punctuation: their exact place."""

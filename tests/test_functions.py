@@ -51,11 +51,6 @@ def test_quotes():
     assert P.recover_quote(p, "one two three four five") is None
 
 
-def test_sentences():
-    assert P.sentences("A. B. Stone says so. Natrum mur. produces it. \"Yes!\" He left. and more") == ["A. B. Stone says so.", "Natrum mur. produces it.", "\"Yes!\" He left. and more"]
-    assert P.sentences("Dr. X went. Then Y.") == ["Dr. X went.", "Then Y."]
-
-
 def test_rubric_rows():
     text = " Fear, dark: Acon., Bell.; Phos.\r\nbad: Acon.,, Bell.\nsame: Acon., Acon.\nhttp://x: y\nprose here: and more"
     rows = P.rubric_rows(text)
