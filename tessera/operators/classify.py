@@ -1,4 +1,4 @@
-"""Rule classifiers and text comparison as Column expressions."""
+"""Rule classifiers as Column expressions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.rules import first_bytes
 
 # The cues of each kind of literature.
 CUES = {
@@ -21,6 +22,8 @@ CUES = {
 }
 NARRATIVE = ("patient", "called to", "prescribed", "recovery", "aged", "suffering")
 STRONG = ("materia medica", "remedy picture", "leading symptoms")
+# What divides a row's heading from its items, lengths in bytes of both, and how cases are numbered.
+DIVIDER, HEADING, ITEM, NUMBERED_CASE = r"\s*(?:--|—|:)\s*", (3, 120), (1, 28), r"(?i)\bcase\s+[0-9]+\b"
 PROFILE = ("modalities", "aggravation", "amelioration", "relationship", "relationships")
 
 # For each kind of evidence, alternatives of (any of these, and any of these, and none of these).
@@ -53,9 +56,9 @@ def let(value: Column, then) -> Column:
 
 def rubric_shaped(line: Column) -> Column:
     """A row of a heading and three or more short abbreviations."""
-    parts = F.split(F.trim(line), r"\s*(?:--|—|:)\s*", 2)
-    short = F.filter(F.split(F.get(parts, F.lit(1)), ","), lambda x: F.octet_length(F.trim(x)).between(1, 28) & x.contains(".") & (F.size(F.split(F.trim(x), r"\s+")) <= 4))
-    return F.coalesce((F.size(parts) == 2) & F.octet_length(F.get(parts, F.lit(0))).between(3, 120) & (F.size(short) >= 3), F.lit(False))
+    parts = F.split(F.regexp_replace(line, rf"^{T.SPACE}+|{T.SPACE}+$", ""), DIVIDER, 2)
+    short = F.filter(F.split(F.get(parts, F.lit(1)), ","), lambda x: F.octet_length(F.trim(x)).between(*ITEM) & x.contains(".") & (F.size(F.split(F.trim(x), r"\s+")) <= 4))
+    return F.coalesce((F.size(parts) == 2) & F.octet_length(F.get(parts, F.lit(0))).between(*HEADING) & (F.size(short) >= 3), F.lit(False))
 
 
 def literature(content: Column, threshold: int = 2) -> Column:
@@ -65,7 +68,7 @@ def literature(content: Column, threshold: int = 2) -> Column:
         F.lower(content).alias("low"),
         F.size(F.filter(lines, rubric_shaped)).alias("rows"),
         F.array_distinct(F.filter(F.transform(lines, T.section_label), lambda x: x != "")).alias("labels"),
-        (F.size(F.regexp_extract_all(content, F.lit(r"(?i)\bcase\s+[0-9]+\b"), F.lit(0))) >= 2).alias("cases"),
+        (F.size(F.regexp_extract_all(content, F.lit(NUMBERED_CASE), F.lit(0))) >= 2).alias("cases"),
     )
 
     def chosen(x: Column) -> Column:
@@ -85,7 +88,7 @@ def literature(content: Column, threshold: int = 2) -> Column:
 
 
 def evidence_type(content: Column, opening: int = 8000) -> Column:
-    """The kind of evidence that the opening of a text describes; the first rule that holds decides."""
+    """The kind of evidence that the opening bytes of a text describe; the first rule that holds decides."""
 
     def kind_of(low: Column) -> Column:
         out = F.lit("unknown")
@@ -94,16 +97,4 @@ def evidence_type(content: Column, opening: int = 8000) -> Column:
             out = F.when(holds & any_of(low, also) if also else holds, kind).otherwise(out)
         return out
 
-    return let(F.lower(F.substring(content, 1, opening)), kind_of)
-
-
-def text_check(stored: Column, fresh: Column) -> Column:
-    """struct<suspect, coverage>: whether a stored text lacks too much of a fresh reading of the same page."""
-    old, new = T.tokens(stored), T.tokens(fresh)
-    n, o = F.size(new), F.size(old)
-    matched = F.aggregate(F.array_distinct(new), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(new, lambda x: x == w)), F.size(F.filter(old, lambda x: x == w))))
-    coverage = matched / n
-    opening = F.size(F.filter(F.slice(new, 1, 12), lambda w: F.array_contains(old, w)))
-    unlike = (o < n * 0.7) | (coverage < 0.88) | (F.abs(o - n) > F.greatest(F.lit(12.0), n * 0.35)) | ((n >= 40) & (opening < 6))
-    early = T.suspicious(stored) | (n < 8)
-    return F.struct((early | unlike).alias("suspect"), F.when(early, 0.0).otherwise(coverage).alias("coverage"))
+    return let(F.lower(first_bytes(content, opening)), kind_of)

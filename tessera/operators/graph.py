@@ -1,10 +1,12 @@
-"""Breadth-first search over an edge table, level by level."""
+"""Trees and link graphs, level by level; each level is a table of its own, so no plan repeats the levels before it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.store import saved
+
 
 def levels(edges: DataFrame, roots: DataFrame, most_depth: int = 5) -> DataFrame:
     """(node, depth, parent, ordinal) of what is reached from roots (node) over edges (from, to, number).
@@ -12,19 +14,46 @@ def levels(edges: DataFrame, roots: DataFrame, most_depth: int = 5) -> DataFrame
     A node belongs to the first edge that reaches it, in the order of (parent's ordinal, number); ordinals give the
     order of discovery within a level. Each level is one join; only whether a level is empty comes to the driver.
     """
-    level = roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit("").alias("ordinal")).distinct()
+    level = saved(roots.select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit("").alias("ordinal")).distinct(), "levels")
     found = level
     for depth in range(1, most_depth + 1):
         reached = level.select(F.col("node").alias("from"), F.col("ordinal").alias("above")).join(edges, "from").where("`to` is not null")
-        order = F.concat("above", F.lit("."), F.lpad(F.col("number").cast("string"), 6, "0"))
+        order = F.concat("above", F.lit("."), F.lpad(F.col("number").cast("string"), 8, "0"))
         first = reached.groupBy(F.col("to").alias("node")).agg(F.min(F.struct(order.alias("ordinal"), "from")).alias("f"))
-        level = first.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), F.col("f.from").alias("parent"), F.col("f.ordinal").alias("ordinal"))
+        rows = first.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), F.col("f.from").alias("parent"), F.col("f.ordinal").alias("ordinal"))
+        level = saved(rows, "levels")
         if level.isEmpty():
             break
         found = found.unionByName(level)
     return found
 
 
+def ancestors(tree: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+    """(id, node, depth): each start's (id) own node and those above it, over tree (id, parent), at most `most` levels; a node
+    that a path has met ends it, so cycles do no harm. There is no limit to the number of rows."""
+    up = tree.select(F.col("id").alias("node"), "parent")
+    level = saved(start.select("id", F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("met")), "ancestors")
+    found = level.select("id", "node", "depth")
+    for depth in range(1, most + 1):
+        above = level.join(up, "node").where(F.col("parent").isNotNull() & ~F.array_contains("met", F.col("parent")))
+        level = saved(above.select("id", F.col("parent").alias("node"), F.lit(depth).alias("depth"), F.concat("met", F.array("parent")).alias("met")), "ancestors")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.select("id", "node", "depth"))
+    return found
+
+
+def descendants(tree: DataFrame, start: DataFrame) -> DataFrame:
+    """(id): start (id) and all below it over tree (id, parent), until a level brings nothing new."""
+    level = saved(start.select("id").distinct(), "descendants")
+    found = level
+    while not level.isEmpty():
+        below = tree.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        level = saved(below.join(found, "id", "left_anti"), "descendants")
+        found = found.unionByName(level)
+    return found
+
+
 def states(links: DataFrame, items: DataFrame) -> DataFrame:
     """links (from, target) with the item each resolves to, by requested or final URL, and its state; the last item with a URL counts."""
     urls = items.select(F.explode(F.array_distinct(F.array("requested_url", "final_url"))).alias("target"), "item_id", "ordinal", "state")
@@ -32,5 +61,65 @@ def states(links: DataFrame, items: DataFrame) -> DataFrame:
     return links.join(last, "target", "left").select(*links.columns, F.col("i.item_id").alias("item_id"), F.coalesce("i.state", F.lit("unresolved")).alias("link_state"))
 
 
-def ranked_levels(found: DataFrame) -> DataFrame:
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("ordinal")))
+def crawl(items: DataFrame, links: DataFrame, root: str, most_depth: int = 0, most_documents: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What a crawl from root would fetch, breadth first: (url, depth, ordinal, final_url, anchors, state) of documents and
+    links with a state.
+
+    items: (url, final_url, state: fetched or failed, anchors); links: (url, number, target, fragment, allowed). Of documents
+    that redirect to one address the first counts, the others are duplicate_redirect and are not followed. A link is queued if
+    it is allowed, new, and within the limits on depth and documents (0: none); the order of links, not of tasks, decides which
+    come first. Queued and repeated links are then resolved by what became of their targets.
+    """
+    level = saved(items.sparkSession.createDataFrame([(root, "")], "url string, ordinal string"), "crawl")
+    seen, entries, told, known, depth = level.select("url"), [], [], 1, 0
+    while not level.isEmpty():
+        own = level.join(items, "url", "left").withColumn("state", F.coalesce("state", F.lit("failed")))
+        landed = own.where("state = 'fetched'").groupBy("final_url").agg(F.min("ordinal").alias("first"))
+        for before in entries:
+            landed = landed.join(before.where("state = 'fetched'").select("final_url"), "final_url", "left_anti")
+        own = own.join(landed, "final_url", "left")
+        state = F.when((F.col("state") == "fetched") & ~F.col("ordinal").eqNullSafe(F.col("first")), "duplicate_redirect").otherwise(F.col("state"))
+        own = saved(own.select("url", F.lit(depth).alias("depth"), "ordinal", "final_url", "anchors", state.alias("state")), "crawl")
+        entries.append(own)
+        before = seen
+        finals = own.where("state = 'fetched'").select(F.col("final_url").alias("url"))
+        seen = saved(seen.union(finals).distinct(), "crawl")
+        place = F.concat("ordinal", F.lit("."), F.lpad(F.col("number").cast("string"), 8, "0"))
+        out = own.where("state = 'fetched'").select("url", "ordinal").join(links, "url").select("url", "number", "target", "fragment", "allowed", place.alias("place"))
+        fresh = out.where("allowed").join(seen.select(F.col("url").alias("target")), "target", "left_anti")
+        fresh = fresh.groupBy("target").agg(F.min("place").alias("place"))
+        deep = 0 < most_depth <= depth
+        count = seen.count()
+        new = fresh.limit(0) if deep else fresh
+        if most_documents:
+            new = new.orderBy("place").limit(max(most_documents - count, 0))
+        new = saved(new, "crawl")
+        there = seen.select(F.col("url").alias("target"), F.lit(True).alias("seen"))
+        rows = out.join(there, "target", "left").join(new.select("target", F.col("place").alias("queued")), "target", "left")
+        kind = (
+            F.when(~F.col("allowed"), "excluded_scope").when(F.col("seen").isNotNull(), "duplicate_or_cycle").when(F.lit(deep), "excluded_depth")
+            .when(F.col("queued").isNull(), "excluded_document_limit").when(F.col("queued") == F.col("place"), "queued").otherwise("duplicate_or_cycle")
+        )
+        told.append(rows.select("url", "number", "target", "fragment", kind.alias("state")))
+        seen = saved(seen.union(new.select("target")), "crawl")
+        level, depth = saved(new.select(F.col("target").alias("url"), F.col("place").alias("ordinal")), "crawl"), depth + 1
+    documents, every = entries[0], told[0]
+    for x in entries[1:]:
+        documents = documents.unionByName(x)
+    for x in told[1:]:
+        every = every.unionByName(x)
+    return documents, resolve(saved(every, "crawl-links"), documents)
+
+
+def resolve(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """links with their states settled by what became of their targets, found by requested or final address; of several
+    documents with an address the last counts."""
+    urls = documents.select(F.explode(F.array_distinct(F.array("url", "final_url"))).alias("target"), "ordinal", "depth", F.col("state").alias("became"), "anchors")
+    last = urls.where("target is not null").groupBy("target").agg(F.max_by(F.struct("became", "anchors"), F.struct("depth", "ordinal")).alias("t"))
+    open_ = F.col("state").isin("queued", "duplicate_or_cycle")
+    missing = (F.col("fragment") != "") & ~F.coalesce(F.array_contains("t.anchors", F.col("fragment")), F.lit(False))
+    settled = (
+        F.when(F.col("t").isNull(), "unfetched").when(F.col("t.became") != "fetched", F.concat(F.lit("target_"), "t.became")).when(missing, "missing_anchor")
+        .when((F.col("state") == "duplicate_or_cycle") & (F.col("fragment") == ""), F.col("state")).otherwise("resolved")
+    )
+    return links.join(last, "target", "left").select(*links.columns[:-1], F.when(open_, settled).otherwise(F.col("state")).alias("state"))

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def settle(jobs: DataFrame, now: Column, lease: int = 90, most: int = 5) -> DataFrame:
+def settle(jobs: DataFrame, now: Column, lease: int = 90, most: int = 5, unit: str = "mins") -> DataFrame:
     """jobs (status, attempts, at) with state and run_after at `now`: an expired lease waits again or, after `most`
-    attempts, has failed; a failure waits attempts squared minutes before the next attempt."""
+    attempts, has failed; a failure waits attempts squared minutes (or `unit`: secs) before the next attempt."""
     status, attempts = F.col("status"), F.col("attempts")
     expired = (status == "running") & (F.col("at") + F.make_dt_interval(secs=F.lit(float(lease))) < now)
     again = attempts < most
     state = F.when(expired, F.when(again, "waiting").otherwise("failed")).when((status == "failed") & again, "waiting").otherwise(status)
-    wait = F.when((status == "failed") & again, F.col("at") + F.make_dt_interval(mins=(attempts * attempts).cast("int")))
+    wait = F.when((status == "failed") & again, F.col("at") + F.make_dt_interval(**{unit: (attempts * attempts).cast("int" if unit == "mins" else "decimal(18,6)")}))
     return jobs.withColumn("state", state).withColumn("run_after", wait)
 
 

@@ -10,14 +10,23 @@ from tessera.operators import jobs
 from tessera.sources.tables import table
 
 
-@query("""WITH gold AS (SELECT l_orderkey AS c, list(DISTINCT l_partkey) AS g FROM lineitem GROUP BY 1), top AS (SELECT l_orderkey AS c, list(l_partkey) AS t FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) <= 3) GROUP BY 1)
-SELECT c AS case_id, round(len(list_intersect(g, t)) / len(g), 6) AS recall FROM gold JOIN top USING (c)""")
+@query("""WITH lists AS (SELECT l_suppkey AS c, l_partkey AS part, max(l_quantity) AS q, bool_or(l_returnflag = 'R') AS gold FROM lineitem GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY q DESC, part) AS r FROM lists)
+SELECT c AS case_id, count(*) FILTER (WHERE gold) AS gold, round(count(*) FILTER (WHERE gold AND r <= 10) / nullif(count(*) FILTER (WHERE gold), 0), 6) AS recall FROM top GROUP BY c""")
 def recall_at_10(spark, sf_dir):
-    """Recall of a ranked list's head against the set that is wanted; the head is 3 here, as orders hold few lines."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", place.alias("p"))
-    own = rows.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_set("l_partkey").alias("g"), F.collect_set(F.when(F.col("p") <= 3, F.col("l_partkey"))).alias("t"))
-    return own.select("case_id", F.round(F.size(F.array_intersect("g", "t")) / F.size("g"), 6).alias("recall"))
+    """Recall of the first ten of each ranked list against the set that is wanted; null where nothing is."""
+    lists = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"), F.col("l_partkey").alias("part")).agg(F.max("l_quantity").alias("q"), F.bool_or(F.col("l_returnflag") == "R").alias("wanted"))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("q"), "part"))
+    own = lists.withColumn("place", place).groupBy("case_id").agg(F.count_if("wanted").alias("gold"), F.count_if(F.col("wanted") & (F.col("place") <= 10)).alias("hit"))
+    return own.select("case_id", "gold", F.round(F.try_divide("hit", "gold"), 6).alias("recall"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS id, count(*) AS claims, count(*) FILTER (WHERE o_orderstatus = 'F') AS held, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS points, sum(o_totalprice) AS took FROM orders GROUP BY 1)
+SELECT round(sum(held) / sum(claims), 6) AS support, round(avg(points / claims), 6) AS coverage, round(median(took), 4) AS median_took, sum(held) / sum(claims) >= 0.95 AND avg(points / claims) >= 0.9 AS gate FROM c""")
+def claim_gates(spark, sf_dir):
+    """Claim support over all claims, mean coverage of points, the median time and the gate on both shares."""
+    own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("claims"), F.count_if(F.col("o_orderstatus") == "F").alias("held"), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("points"), F.sum("o_totalprice").alias("took"))
+    support, coverage = F.sum("held") / F.sum("claims"), F.avg(F.col("points") / F.col("claims"))
+    return own.agg(F.round(support, 6).alias("support"), F.round(coverage, 6).alias("coverage"), F.round(F.median("took"), 4).alias("median_took"), ((support >= 0.95) & (coverage >= 0.9)).alias("gate"))
 
 
 @query("""SELECT round(avg(CASE WHEN role = 'assistant' THEN length(text) END), 6) AS mean_length, round(median(length(text)), 6) AS median_length, bool_and(length(text) > 0) AS none_empty,
@@ -54,10 +63,23 @@ def retry_backoff_state(spark, sf_dir):
     return jobs.settle(rows, F.lit("2024-01-02").cast("timestamp")).select("event_id", "state", "run_after")
 
 
-@query("""SELECT event_id FROM events WHERE event_type = 'view' ORDER BY CASE WHEN value > 90 THEN 0 WHEN value > 50 THEN 1 ELSE 2 END, ts, event_id LIMIT 20""")
+@query("""WITH j AS (SELECT event_id, user_id % 6 AS attempts, ts AS at_time, CASE WHEN value > 90 THEN 0 WHEN value > 50 THEN 1 ELSE 2 END AS priority, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'waiting' ELSE 'running' END AS s FROM events)
+SELECT event_id FROM j WHERE s = 'waiting' OR (s = 'running' AND attempts < 5 AND at_time + INTERVAL 90 SECOND < TIMESTAMP '2024-01-02') OR (s = 'failed' AND attempts < 5 AND at_time + to_minutes(attempts * attempts) <= TIMESTAMP '2024-01-02')
+ORDER BY priority, at_time, event_id LIMIT 20""")
 def next_claimable(spark, sf_dir):
+    """The next twenty jobs: waiting ones, those whose lease has run out, and failures whose time has come again."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "waiting").otherwise("running")
     priority = F.when(F.col("value") > 90, 0).when(F.col("value") > 50, 1).otherwise(2)
-    return table(spark, sf_dir, "events").where("event_type = 'view'").orderBy(priority, "ts", "event_id").limit(20).select("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 6).cast("int").alias("attempts"), F.col("ts").alias("at"), kind.alias("status"), priority.alias("priority"))
+    return jobs.claimable(rows, F.lit("2024-01-02").cast("timestamp"), 20).select(F.col("id").alias("event_id"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 6 < 3 THEN ts + to_seconds((user_id % 6) * (user_id % 6)) END AS run_after FROM events WHERE event_type = 'error'""")
+def capture_retries(spark, sf_dir):
+    """Captures wait attempts squared seconds and are tried three times."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", (F.col("user_id") % 6).cast("int").alias("attempts"), F.col("ts").alias("at"), F.lit("failed").alias("status"))
+    settled = jobs.settle(rows, F.lit("2024-01-02").cast("timestamp"), most=3, unit="secs")
+    return settled.select("event_id", "run_after")
 
 
 @query("""SELECT user_id, event_id, before, event_type AS after FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""")
@@ -84,17 +106,10 @@ def conversation_report(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("p", p).groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.count_if(F.col("p") == F.col("role")).alias("repeated"))
 
 
-@query("""SELECT role, string_agg(opening, ' ' ORDER BY conv_id, turn) AS exported FROM (SELECT conv_id, turn, role, left(text, 20) AS opening FROM conversations WHERE conv_id < 50) GROUP BY role""")
-def plain_text_export(spark, sf_dir):
-    parts = F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.left("text", F.lit(20)).alias("t"))))
-    return table(spark, sf_dir, "conversations").where("conv_id < 50").groupBy("role").agg(parts.alias("x")).select("role", F.array_join("x.t", " ").alias("exported"))
-
-
 @query("""SELECT conv_id, string_agg(CASE WHEN changed THEN coalesce(role, '') || chr(10) ELSE '' END || coalesce(text, ''), chr(10) ORDER BY place) AS exported FROM (
 SELECT *, place = 1 OR role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY place) AS changed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations)) GROUP BY conv_id""")
-def plain_text_export_whole(spark, sf_dir):
-    """Every conversation as one text: whole turns in order, each role as a heading where it changes. plain_text_export
-    gives the openings of a few conversations."""
+def plain_text_export(spark, sf_dir):
+    """Every conversation as one text: whole turns in order, each role as a heading where it changes."""
     w = Window.partitionBy("conv_id").orderBy(*(F.asc_nulls_last(c) for c in ("turn", "role", "text")))
     rows = table(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(w))
     changed = (F.col("place") == 1) | ~F.col("role").eqNullSafe(F.lag("role").over(w))

@@ -22,12 +22,17 @@ def v_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where(~T.sound_vector(F.col("embedding"), 64)).select("vec_id")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS INTEGER) AS number WHERE false")
+_CHUNKS = "SELECT doc_id, a, a + 400 AS b, CASE WHEN (doc_id + a) % 11 = 0 THEN upper(substring(text, CAST(a + 1 AS INT), 400)) ELSE substring(text, CAST(a + 1 AS INT), 400) END AS exact FROM "
+
+
+@query(f"WITH c AS ({_CHUNKS}(SELECT doc_id, text, unnest(range(0, length(text), 400)) AS a FROM documents)) SELECT c.doc_id, a FROM c JOIN documents d ON d.doc_id = c.doc_id WHERE exact <> substring(text, a + 1, 400)")
 def v_passage_text(spark, sf_dir):
-    """Passages that differ from their span of the text; there are none."""
+    """Passages that differ from their span of the text. The tables hold no passages, so they are made of the texts, one in
+    eleven of them in capitals."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = P.passages(docs).join(docs, "doc_id")
-    return rows.where(T.span_text(F.col("text"), F.col("start"), F.col("end")) != F.col("passage")).select("doc_id", "number")
+    spans = F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(400).cast("long"))
+    chunks = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(spans).alias("a")).selectExpr(*_CHUNKS.removeprefix("SELECT ").removesuffix(" FROM ").split(", ", 3))
+    return chunks.join(docs, "doc_id").where(T.span_text(F.col("text"), F.col("a").cast("int"), F.col("b").cast("int")) != F.col("exact")).select("doc_id", "a")
 
 
 @query("SELECT l.doc_id FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.quality NOT IN (0, 1) OR l.toxic NOT IN (0, 1)")
@@ -41,19 +46,10 @@ def v_unique_content(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""WITH b AS (SELECT 1 AS s, doc_id, source, lang FROM documents WHERE doc_id % 2 = 0), a AS (SELECT 1 AS s, doc_id, source, lang FROM documents WHERE doc_id % 3 = 0)
-SELECT doc_id, 'gone' AS change FROM (SELECT doc_id, source, lang FROM b EXCEPT SELECT doc_id, source, lang FROM a) UNION ALL SELECT doc_id, 'new' FROM (SELECT doc_id, source, lang FROM a EXCEPT SELECT doc_id, source, lang FROM b)""")
-def v_snapshot_difference(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    before, after = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0")
-    gone, new = before.exceptAll(after), after.exceptAll(before)
-    return gone.select("doc_id", F.lit("gone").alias("change")).unionByName(new.select("doc_id", F.lit("new").alias("change")))
-
-
 @query("""WITH a AS (SELECT CASE WHEN doc_id % 10 = 2 THEN -doc_id ELSE doc_id END AS doc_id, source, CASE WHEN doc_id % 10 = 1 THEN lang || '2' ELSE lang END AS lang FROM documents WHERE doc_id % 10 <> 0),
 d AS (SELECT doc_id, 1 AS gone, 0 AS new FROM (SELECT doc_id, source, lang FROM documents EXCEPT ALL SELECT * FROM a) UNION ALL SELECT doc_id, 0, 1 FROM (SELECT * FROM a EXCEPT ALL SELECT doc_id, source, lang FROM documents))
 SELECT doc_id, CASE WHEN max(gone) = 1 AND max(new) = 1 THEN 'changed' WHEN max(gone) = 1 THEN 'gone' ELSE 'new' END AS change FROM d GROUP BY doc_id""")
-def v_snapshot_difference_whole(spark, sf_dir):
+def v_snapshot_difference(spark, sf_dir):
     """All documents against a derived second state that drops, renames (one goes, one comes) and changes some of them."""
     before = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     last = F.col("doc_id") % 10
@@ -80,14 +76,30 @@ def page_links(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages")).withColumn("relation", T.link_relation(F.col("anchor")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT d.doc_id AS f, t.doc_id AS t, k AS number FROM documents d, range(1, 4) r(k), documents t WHERE t.doc_id = d.doc_id * 3 + k - (d.doc_id % 2)), up AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, '' AS ordinal
+UNION ALL SELECT t, depth + 1, f, ordinal || '.' || lpad(CAST(number AS VARCHAR), 8, '0') FROM up JOIN e ON f = node WHERE depth < 5 AND t > f)
+SELECT node, min(depth) AS depth, arg_min(parent, ordinal) AS parent, min(ordinal) AS ordinal FROM (SELECT *, min(depth) OVER (PARTITION BY node) AS least FROM up) WHERE depth = least GROUP BY node""")
 def link_graph(spark, sf_dir):
-    """Breadth-first levels over the pages' own links, from the first page; a link leads to the first page of its host."""
-    pages = table(spark, sf_dir, "pages")
-    host = lambda url: F.lower(F.regexp_extract(url, "^[a-z]+://([^/?#:]+)", 1))
-    by_host = pages.where(host(F.col("url")) != "").groupBy(host(F.col("url")).alias("host")).agg(F.min("page_id").alias("to"))
-    edges = html.links(pages).withColumn("host", host(F.col("target"))).join(by_host, "host").select(F.col("page_id").alias("from"), "to", "number")
-    return graph.levels(edges, pages.agg(F.min("page_id").alias("node")), most_depth=5)
+    """Breadth-first levels over links between documents, three from each, some of which lead to one document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    links = docs.select(F.col("doc_id").alias("from"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("number"))
+    links = links.withColumn("to", F.col("from") * 3 + F.col("number") - F.col("from") % 2).where("`to` > `from`")
+    edges = links.join(docs.select(F.col("doc_id").alias("to")), "to", "left_semi")
+    return graph.levels(edges, docs.where("doc_id = 0").select(F.col("doc_id").alias("node")), most_depth=5)
+
+
+@query()
+def crawl_links(spark, sf_dir):
+    """The links of a bounded crawl over documents, with their states: limits on depth and documents, redirects to one address,
+    failures, links out of scope and missing anchors."""
+    d = F.col("doc_id")
+    name = lambda x: F.concat(F.lit("d"), x.cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    items = docs.select(name(d).alias("url"), F.when(d % 17 == 16, name(d - 1)).otherwise(name(d)).alias("final_url"), F.when(d % 13 == 5, "failed").otherwise("fetched").alias("state"), F.array(F.lit("top")).alias("anchors"))
+    ways = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("number")
+    to = F.when(F.col("number") == 0, F.expr("doc_id div 3")).otherwise(d * 3 + F.col("number"))
+    links = docs.select("doc_id", ways).select(name(d).alias("url"), "number", name(to).alias("target"), F.when(d % 5 == 0, "top").when(d % 5 == 1, "end").otherwise("").alias("fragment"), (to % 7 != 6).alias("allowed"))
+    return graph.crawl(items, links, "d0", most_depth=4, most_documents=60)[1]
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, o_custkey % 500 AS doi, o_orderkey % 700 AS pmid FROM orders), f AS (SELECT *, min(id) OVER (PARTITION BY doi) AS a, min(id) OVER (PARTITION BY pmid) AS b FROM k)

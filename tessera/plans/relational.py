@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.functions.rules import non_nulls
+from tessera.operators import graph
 from tessera.sources.tables import sql, table
 
 
@@ -67,17 +69,10 @@ def span_containment(spark, sf_dir):
     return c.join(e, ["doc_id", "cell"]).where("a >= ea and b <= eb").select("doc_id", F.col("a").alias("chunk"), F.col("ea").alias("entry"))
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 700)) AS a FROM documents WHERE lang = 'de')
+@query("""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 700)) AS a FROM documents)
 SELECT x.doc_id, x.a AS first, y.a AS second FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.a < y.a AND x.a < y.a + 1000 AND y.a < x.a + 1000""")
 def span_overlap(spark, sf_dir):
     """Pairs of overlapping spans: each span is put in every grid cell that it touches; a pair counts in its first common cell."""
-    return _overlaps(table(spark, sf_dir, "documents").where("lang = 'de'"))
-
-
-@query("""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 700)) AS a FROM documents)
-SELECT x.doc_id, x.a AS first, y.a AS second FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.a < y.a AND x.a < y.a + 1000 AND y.a < x.a + 1000""")
-def span_overlap_all(spark, sf_dir):
-    """The overlaps of span_overlap in the documents of every language, or of none."""
     return _overlaps(table(spark, sf_dir, "documents"))
 
 
@@ -139,16 +134,9 @@ def object_agg(spark, sf_dir):
     return own.groupBy("source").agg(m.alias("m")).select("source", F.array_join(pairs, ",").alias("counts"))
 
 
-@query("""SELECT source, string_agg(left(text, 40), '|' ORDER BY doc_id) AS opening FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 30 GROUP BY source""")
-def first_n_string_agg(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    first = table(spark, sf_dir, "documents").select("source", "doc_id", F.left("text", F.lit(40)).alias("t"), place.alias("r")).where("r <= 30")
-    return first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("x")).select("source", F.array_join("x.t", "|").alias("opening"))
-
-
 @query("""SELECT source, string_agg(text, '|' ORDER BY r) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, text) AS r FROM documents) WHERE r <= 30 GROUP BY source""")
-def first_n_string_agg_whole(spark, sf_dir):
-    """The whole texts of each source's first 30 documents; first_n_string_agg gives their openings."""
+def first_n_string_agg(spark, sf_dir):
+    """The whole texts of each source's first 30 documents."""
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_last("text")))
     first = table(spark, sf_dir, "documents").select("source", "text", place.alias("r")).where("r <= 30")
     return first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("x")).select("source", F.array_join("x.text", "|").alias("texts"))
@@ -180,26 +168,48 @@ def set_operations(spark, sf_dir):
     return every.subtract(spark.createDataFrame([("fr", "any")], "lang string, source string"))
 
 
-@query("""WITH RECURSIVE up AS (SELECT doc_id, doc_id AS node, 0 AS depth FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id, node // 3, depth + 1 FROM up WHERE node > 0 AND depth < 100)
+@query("""WITH RECURSIVE up AS (SELECT doc_id, doc_id AS node, 0 AS depth FROM documents UNION ALL SELECT doc_id, node // 3, depth + 1 FROM up WHERE node > 0 AND depth < 100)
 SELECT doc_id, string_agg(node, '>' ORDER BY depth DESC) AS path, CAST(max(depth) AS INTEGER) AS depth FROM up GROUP BY doc_id""")
 def ancestors_recursive(spark, sf_dir):
-    text = """WITH RECURSIVE up(doc_id, at, depth) AS (SELECT doc_id, doc_id, 0 FROM {documents} WHERE lang = 'es' UNION ALL SELECT doc_id, at div 3, depth + 1 FROM up WHERE at > 0 AND depth < 100)
-    SELECT doc_id, listagg(string(at), '>') WITHIN GROUP (ORDER BY depth DESC) AS path, max(depth) AS depth FROM up GROUP BY doc_id"""
-    return sql(spark, sf_dir, text, "documents")
+    """Every document's path from the root of a tree over the ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    tree = docs.select("id", F.when(F.col("id") > 0, F.expr("id div 3")).alias("parent"))
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node")), asc=False), lambda x: x["node"].cast("string")), ">")
+    return graph.ancestors(tree, docs).groupBy(F.col("id").alias("doc_id")).agg(path.alias("path"), F.max("depth").alias("depth"))
 
 
 @query("""WITH RECURSIVE hit AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT d.doc_id FROM documents d JOIN hit h ON d.doc_id // 3 = h.doc_id AND d.doc_id > 0) SELECT doc_id FROM hit""")
 def lineage_recursive(spark, sf_dir):
-    """Documents below a withdrawn one: level by level, each level an equi-join, until a level is empty."""
-    docs = table(spark, sf_dir, "documents").where("doc_id > 0").select("doc_id", F.expr("doc_id div 3").alias("parent"))
-    level = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    found = level
-    for _ in range(100):
-        level = docs.join(level.withColumnRenamed("doc_id", "parent"), "parent").select("doc_id").distinct()
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found.distinct()
+    """Documents below a withdrawn one."""
+    tree = table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("id"), F.expr("doc_id div 3").alias("parent"))
+    return graph.descendants(tree, table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"))
+
+
+@query("""SELECT doc_id, kind FROM (SELECT doc_id, 'toxic' AS kind, 0 AS first FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'poor', 1 FROM labels WHERE quality = 0) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first) = 1""")
+def first_blocking_notice(spark, sf_dir):
+    """Of two tables of notices the first that has one for a document."""
+    labels = table(spark, sf_dir, "labels")
+    first = labels.where("toxic = 1").select("doc_id", F.struct(F.lit(0).alias("o"), F.lit("toxic").alias("kind")).alias("n"))
+    other = labels.where("quality = 0").select("doc_id", F.struct(F.lit(1).alias("o"), F.lit("poor").alias("kind")).alias("n"))
+    return first.unionByName(other).groupBy("doc_id").agg(F.min("n").alias("n")).select("doc_id", "n.kind")
+
+
+@query("""SELECT count(*) AS n, min(event_id) AS first, max(event_id) + 1 AS next FROM events WHERE event_type = 'error' HAVING count(*) > 0""")
+def global_having(spark, sf_dir):
+    """An aggregate over everything that gives no row where there is nothing, and the next number of a series."""
+    own = table(spark, sf_dir, "events").where("event_type = 'error'").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), (F.max("event_id") + 1).alias("next"))
+    return own.where("n > 0")
+
+
+@query("""SELECT event_id, json_extract_string(json_merge_patch(props, '{"seen": 1}'), '$.seen') AS seen, len(json_keys(props)) + 1 AS keys, CASE WHEN length(trim(event_type)) < 5 THEN 'short' ELSE nullif(event_type, 'click') END AS kind, list_concat([event_type], ['x'])[2] AS added, (event_id % 2 = 0) <> (value > 50) AS either FROM events""")
+def json_and_nulls(spark, sf_dir):
+    """JSON merged and its keys counted, values that count as none, arrays with one more element, exactly one of two."""
+    merged = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("seen"), F.lit("1")))
+    kind = F.when(F.length(F.trim("event_type")) < 5, "short").otherwise(F.nullif(F.col("event_type"), F.lit("click")))
+    even, high = F.when(F.col("event_id") % 2 == 0, 1), F.when(F.col("value") > 50, 1)
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.element_at(merged, "seen").alias("seen"), F.size(merged).cast("long").alias("keys"), kind.alias("kind"), F.element_at(F.array_append(F.array("event_type"), F.lit("x")), 2).alias("added"), (non_nulls(even, high) == 1).alias("either")
+    )
 
 
 @query("""SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

@@ -6,14 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.operators import ocr_rules
-from tessera.sources.tables import sql, table
+from tessera.operators import graph, ocr_rules
+from tessera.sources.tables import table
 
 
-@query("""SELECT source, lang, count(*) AS citations, string_agg(DISTINCT n_chars % 7, ',' ORDER BY n_chars % 7) AS pages FROM documents GROUP BY source, lang""")
+@query("""SELECT source, lang, count(*) AS citations, (SELECT string_agg(p, ',' ORDER BY i) FROM (SELECT n_chars % 7 AS p, min(doc_id) AS i FROM documents e WHERE e.source IS NOT DISTINCT FROM d.source AND e.lang IS NOT DISTINCT FROM d.lang GROUP BY 1)) AS pages FROM documents d GROUP BY source, lang""")
 def citations_grouped(spark, sf_dir):
-    page = F.array_sort(F.collect_set(F.col("n_chars") % 7))
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("citations"), F.array_join(page.cast("array<string>"), ",").alias("pages"))
+    """Citations by work, with its distinct pages in the order in which they are first cited."""
+    first = table(spark, sf_dir, "documents").groupBy("source", "lang", (F.col("n_chars") % 7).alias("page")).agg(F.min("doc_id").alias("i"), F.count("*").alias("n"))
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("i", "page"))), lambda x: x["page"].cast("string"))
+    return first.groupBy("source", "lang").agg(F.sum("n").alias("citations"), F.array_join(pages, ",").alias("pages"))
 
 
 @query("""SELECT d.lang AS category, count(*) FILTER (WHERE l.doc_id IS NULL) AS waiting, count(*) FILTER (WHERE l.quality = 1 AND l.toxic = 0) AS ready, count(*) FILTER (WHERE l.quality = 0 OR l.toxic = 1) AS rejected FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
@@ -62,17 +64,23 @@ def activation_gate(spark, sf_dir):
     return own.withColumn("complete", (F.col("n") > 0) & (F.col("unready") == 0) & (F.col("sizes") == 1))
 
 
-@query("""WITH RECURSIVE tree AS (SELECT doc_id AS id, doc_id // 4 AS parent, lang AS heading FROM documents WHERE doc_id > 0), path AS (SELECT id, id AS node, 0 AS depth FROM tree WHERE heading = 'fr' UNION ALL SELECT p.id, t.parent, depth + 1 FROM path p JOIN tree t ON t.id = p.node WHERE t.parent > 0 AND depth < 100)
-SELECT p.id, string_agg(node, '/' ORDER BY depth DESC) AS full_path, any_value(coalesce(c.n, 0)) AS children FROM path p LEFT JOIN (SELECT parent, count(*) AS n FROM tree GROUP BY parent) c ON c.parent = p.id GROUP BY p.id ORDER BY p.id LIMIT 50""")
+@query("""WITH RECURSIVE tree AS (SELECT doc_id AS id, doc_id // 4 AS parent, lang AS heading FROM documents WHERE doc_id > 0), page AS (SELECT id, heading FROM tree QUALIFY row_number() OVER (PARTITION BY heading ORDER BY id) <= 50),
+path AS (SELECT id, id AS node, 0 AS depth FROM page UNION ALL SELECT p.id, t.parent, depth + 1 FROM path p JOIN tree t ON t.id = p.node WHERE t.parent > 0 AND depth < 100),
+totals AS (SELECT heading, count(*) AS total FROM tree GROUP BY heading), kids AS (SELECT parent, count(*) AS n, count(DISTINCT heading) AS kinds FROM tree GROUP BY parent)
+SELECT p.id, any_value(page.heading) AS heading, any_value(total) AS total, string_agg(node, '/' ORDER BY depth DESC) AS full_path, any_value(coalesce(k.n, 0)) AS children, any_value(coalesce(k.kinds, 0)) AS kinds FROM path p JOIN page ON page.id = p.id JOIN totals USING (heading) LEFT JOIN kids k ON k.parent = p.id GROUP BY p.id""")
 def rubric_search(spark, sf_dir):
-    """A page of matches in a tree, each with its path from the root and its number of children; paths are made once, for
-    the page only."""
-    text = """WITH RECURSIVE tree AS (SELECT doc_id AS id, doc_id div 4 AS parent, lang AS heading FROM {documents} WHERE doc_id > 0),
-    page AS (SELECT id FROM tree WHERE heading = 'fr' ORDER BY id LIMIT 50),
-    path(id, node, depth) AS (SELECT id, id, 0 FROM page UNION ALL SELECT p.id, t.parent, depth + 1 FROM path p JOIN tree t ON t.id = p.node WHERE t.parent > 0 AND depth < 100),
-    kids AS (SELECT parent, count(*) AS n FROM tree GROUP BY parent)
-    SELECT p.id, listagg(string(node), '/') WITHIN GROUP (ORDER BY depth DESC) AS full_path, any_value(coalesce(k.n, 0)) AS children FROM path p LEFT JOIN kids k ON k.parent = p.id GROUP BY p.id"""
-    return sql(spark, sf_dir, text, "documents")
+    """The first page of every heading's matches in a tree, each with the number of all, its path from the root, its number of
+    children and of their kinds; paths are made for the pages only."""
+    tree = table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("parent"), F.col("lang").alias("heading"))
+    totals = tree.groupBy("heading").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("heading").orderBy("id"))
+    page = tree.select("id", "heading", place.alias("place")).where("place <= 50").drop("place")
+    above = tree.select("id", F.when(F.col("parent") > 0, F.col("parent")).alias("parent"))
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node")), asc=False), lambda x: x["node"].cast("string")), "/")
+    paths = graph.ancestors(above, page).groupBy("id").agg(path.alias("full_path"))
+    kids = tree.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"), F.count_distinct("heading").alias("kinds"))
+    rows = page.join(totals, page["heading"].eqNullSafe(totals["heading"])).select("id", page["heading"], "total").join(paths, "id").join(kids, "id", "left")
+    return rows.select("id", "heading", "total", "full_path", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
 
 
 @query("""SELECT a.doc_id, a.lang FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 4 AND a.doc_id > 0 WHERE a.lang <> b.lang AND b.lang <> 'en'""")

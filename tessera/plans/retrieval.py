@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import text as T
+from tessera.operators import postings as P
 from tessera.operators import retrieve as R
 from tessera.sources.tables import table
 
@@ -81,20 +82,15 @@ def rrf_retrieve(spark, sf_dir):
 FROM elig e JOIN embeddings v ON v.vec_id = e.doc_id JOIN embeddings q ON q.vec_id IN (1, 2, 3) QUALIFY r <= 40)
 SELECT doc_id, round(coalesce(1.0::DOUBLE / (60 + min(r) FILTER (WHERE question = 1)), 0) + coalesce(1.0::DOUBLE / (60 + min(r) FILTER (WHERE question = 2)), 0) + coalesce(1.0::DOUBLE / (60 + min(r) FILTER (WHERE question = 3)), 0), 9) AS score FROM m GROUP BY doc_id""")
 def rrf_multi_query(spark, sf_dir):
-    lists = [vector_list(spark, sf_dir, vec=v) for v in (1, 2, 3)]
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("question"), F.col("embedding").alias("q")).limit(3)
+    rows = gate(spark, sf_dir).select("doc_id").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").crossJoin(F.broadcast(asked))
+    scored = rows.select("question", "doc_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    best = P.best(scored.where("score is not null"), "question", 40)  # one scan for all questions
+    lists = [best.where(F.col("question") == v).select("doc_id", "rank") for v in (1, 2, 3)]
     return R.fuse(lists, []).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {ELIGIBLE}, {TERMS}, lex AS (SELECT doc_id, source, count(*) AS s FROM (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM elig) JOIN terms USING (w) GROUP BY ALL)
-SELECT doc_id, source, s AS hits, CAST(p AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS p FROM lex WHERE s > 0) WHERE p <= 5 ORDER BY s DESC, doc_id LIMIT 10""")
-def worksheet_candidates(spark, sf_dir):
-    question = F.broadcast(table(spark, sf_dir, "benchmark").where("item_id = 0").select(T.query_terms(F.col("text"), most=10_000).alias("terms")))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = gate(spark, sf_dir).select("doc_id", "source", words.alias("words")).join(question).select("doc_id", "source", F.size(F.filter("words", lambda w: F.array_contains("terms", w))).cast("long").alias("hits")).where("hits > 0")
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("hits"), "doc_id")).cast("long")
-    return rows.withColumn("place", place).where("place <= 5").orderBy(F.desc("hits"), "doc_id").limit(10)
-
-
 _ITEM_TERMS = f"terms AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 3 AND w NOT IN ({STOP_SQL}))"
 
 
@@ -104,9 +100,8 @@ own AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, do
 spare AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM elig ORDER BY doc_id LIMIT 10)
 SELECT item_id, doc_id, source, hits, place, false AS fallback FROM own WHERE r <= 10
 UNION ALL SELECT b.item_id, s.doc_id, s.source, 0, s.place, true FROM (SELECT DISTINCT item_id FROM benchmark) b, spare s WHERE NOT EXISTS (SELECT 1 FROM lex l WHERE l.item_id = b.item_id)""")
-def worksheet_candidates_all(spark, sf_dir):
-    """Candidates for every benchmark item, of one without hits the first eligible documents; worksheet_candidates gives
-    those of item 0."""
+def worksheet_candidates(spark, sf_dir):
+    """Candidates for every benchmark item, of one without hits the first eligible documents."""
     items = table(spark, sf_dir, "benchmark")
     terms = items.select("item_id", F.explode(T.query_terms(F.col("text"), most=1 << 30)).alias("w")).distinct()
     eligible = gate(spark, sf_dir)

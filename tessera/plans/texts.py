@@ -8,7 +8,9 @@ from tessera.catalog import query
 from tessera.functions import passages as P
 from tessera.functions import text as T
 from tessera.operators import classify as C
-from tessera.sources.tables import table
+from tessera.operators.page_text import checked_pages as P_checked
+from tessera.operators.page_text import measured
+from tessera.sources.tables import sql, table
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM documents")
@@ -64,7 +66,7 @@ def _evidence_sql() -> str:
     for kind, one, also, never in C.EVIDENCE:
         parts = [some(one), *([some(also)] if also else []), *([f"NOT {some(never)}"] if never else [])]
         whens.append(f"WHEN {' AND '.join(parts)} THEN '{kind}'")
-    return f"SELECT doc_id, CASE {' '.join(whens)} ELSE 'unknown' END AS category FROM (SELECT doc_id, lower(substring(text, 1, 8000)) AS t FROM documents)"
+    return f"SELECT doc_id, CASE {' '.join(whens)} ELSE 'unknown' END AS category FROM (SELECT doc_id, lower(coalesce({', '.join(f'TRY(decode(array_slice(encode(text), 1, {8000 - k})))' for k in range(4))})) AS t FROM documents)"
 
 
 @query(_evidence_sql())
@@ -78,11 +80,32 @@ _SIDES = r"""a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(r
 @query(f"""WITH {_SIDES}, p AS (SELECT doc_id + 1 AS doc_id, w, n FROM a), m AS (SELECT a.doc_id, sum(least(a.n, p.n)) AS hit FROM a JOIN p USING (doc_id, w) GROUP BY a.doc_id), t AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(hit, 0) AS BIGINT) AS matched, CAST(t.n AS BIGINT) AS words, round(coalesce(hit, 0) / t.n, 6) AS coverage FROM t LEFT JOIN m USING (doc_id)""")
 def multiset_coverage(spark, sf_dir):
-    """Share of each document's words, as a multiset, that the document before it holds."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    other = own.select((F.col("doc_id") + 1).alias("doc_id"), "w", F.col("n").alias("m"))
-    both = own.join(other, ["doc_id", "w"], "left").groupBy("doc_id").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("matched"), F.sum("n").alias("words"))
-    return both.select("doc_id", "matched", "words", F.round(F.col("matched") / F.col("words"), 6).alias("coverage"))
+    """Share of each document's words, as a multiset, that the document before it holds: one join of texts by id."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = own.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
+    rows = own.join(before, "doc_id", "left").select("doc_id", measured(F.col("before"), F.col("text")).alias("m")).where("m.new > 0")
+    return rows.select("doc_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.new").cast("long").alias("words"), F.round(F.col("m.matched") / F.col("m.new"), 6).alias("coverage"))
+
+
+_PAGES = """SELECT doc_id AS page_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN concat(text, ' wo[rd ') ELSE text END AS stored, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN replace(text, 'an', 'on') WHEN 2 THEN concat('one two three four five six ', text) WHEN 3 THEN concat(text, ' ', text) ELSE replace(text, 'e', 'c') END AS fresh,
+CASE doc_id % 3 WHEN 0 THEN 'low confidence' WHEN 1 THEN '' ELSE 'dark' END AS warning, CASE WHEN doc_id % 2 = 0 THEN 'PDF text' ELSE 'OCR' END AS method, 0.0001 * (doc_id % 4) AS dark, 0.001 AS edges FROM {documents}"""
+_W = r"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(rf"""WITH p AS ({_PAGES.replace('{documents}', 'documents')}), t AS (SELECT page_id, {_W.format(x='stored')} AS o, {_W.format(x='fresh')} AS n FROM p),
+oc AS (SELECT page_id, w, count(*) AS c FROM (SELECT page_id, unnest(o) AS w FROM t) GROUP BY ALL), nw AS (SELECT page_id, unnest(n) AS w, unnest(range(len(n))) AS i FROM t), nc AS (SELECT page_id, w, count(*) AS c FROM nw GROUP BY ALL),
+mt AS (SELECT page_id, CAST(sum(least(oc.c, nc.c)) AS BIGINT) AS matched FROM nc JOIN oc USING (page_id, w) GROUP BY page_id),
+k AS (SELECT nw.page_id, i, len(n) AS size, oc.w IS NOT NULL AS known, length(nw.w) AS l FROM nw JOIN t ON t.page_id = nw.page_id LEFT JOIN oc ON oc.page_id = nw.page_id AND oc.w = nw.w),
+r AS (SELECT page_id, count(*) FILTER (WHERE known AND i < 12) AS f, count(*) FILTER (WHERE known AND i >= size - 12) AS l FROM k GROUP BY page_id),
+g AS (SELECT page_id, known, l, count(*) FILTER (WHERE known) OVER (PARTITION BY page_id ORDER BY i) AS island FROM k), run AS (SELECT page_id, max(c) AS run FROM (SELECT page_id, island, count(*) FILTER (WHERE NOT known AND l >= 3) AS c FROM g GROUP BY ALL) GROUP BY page_id),
+m AS (SELECT p.*, len(o) AS a, len(n) AS b, coalesce(matched, 0) AS matched, coalesce(f, 0) AS f, coalesce(r.l, 0) AS l, coalesce(run, 0) AS run, contains(stored, chr(65533)) OR regexp_matches(stored, '\p{{L}}[\[\]{{}}]\p{{L}}') AS damaged FROM p JOIN t USING (page_id) LEFT JOIN mt USING (page_id) LEFT JOIN r USING (page_id) LEFT JOIN run USING (page_id)),
+c AS (SELECT *, CASE WHEN b > 0 AND NOT damaged AND b >= 8 THEN matched / b ELSE 0.0 END AS share, CASE WHEN damaged THEN 'damaged' WHEN b < 8 THEN 'unread' WHEN a < b * 0.7 THEN 'shorter' WHEN matched / b < 0.88 OR abs(a - b) > greatest(12, b * 0.35) THEN 'different' WHEN b >= 40 AND f < 6 THEN 'opening' ELSE 'agrees' END AS why FROM m),
+d AS (SELECT *, CASE WHEN warning = '' THEN why WHEN warning = 'low confidence' AND method = 'PDF text' AND NOT damaged AND matched >= 0.8 * b AND a >= 80 AND b >= 80 AND a / greatest(b, 1) BETWEEN 0.9 AND 1.2 AND run < 5 AND f >= 4 AND l >= 4 THEN 'isolated' WHEN why <> 'agrees' THEN why ELSE warning END AS reason, length(trim(stored)) < 10 AS bare FROM c)
+SELECT page_id, CASE WHEN NOT bare THEN 'text' WHEN dark <= 0.0002 AND edges <= 0.0067 THEN 'blank' ELSE 'unclassified' END AS kind, CASE WHEN bare THEN CASE WHEN dark <= 0.0002 AND edges <= 0.0067 THEN 'auto_checked' ELSE 'needs_review' END WHEN reason IN ('agrees', 'isolated') THEN 'auto_checked' ELSE 'needs_review' END AS review,
+CASE WHEN NOT bare THEN reason END AS reason, CASE WHEN NOT bare THEN round(share, 6) END AS coverage FROM d""")
+def checked_pages(spark, sf_dir):
+    """Pages whose stored text and fresh reading are made from each document, judged by both and by their scan's measures."""
+    return P_checked(sql(spark, sf_dir, _PAGES, "documents"))
 
 
 @query("""SELECT doc_id, CAST((contains(lower(text), 'password')) AS INTEGER) + CAST(contains(lower(text), 'token') AS INTEGER) + CAST(contains(lower(text), 'license') AS INTEGER) AS score FROM documents""")

@@ -67,14 +67,14 @@ def test_export_is_whole(spark, tmp_path):
     """Every conversation, all of each text, and a repeated heading once."""
     rows = [(3, 2, "user", "c" * 50), (3, 1, "user", "b" * 90), (3, 3, "assistant", None), (75, 1, None, "d"), (75, 2, "user", "e")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.conv_id: r.exported for r in catalog.QUERIES["plain_text_export_whole"](spark, str(tmp_path)).collect()}
+    got = {r.conv_id: r.exported for r in catalog.QUERIES["plain_text_export"](spark, str(tmp_path)).collect()}
     assert got == {3: "user\n" + "b" * 90 + "\n" + "c" * 50 + "\nassistant\n", 75: "\nd\nuser\ne"}
 
 
 def test_first_texts_are_whole(spark, tmp_path):
     rows = [(k, f"{k} " + "x" * 500, "s") for k in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    (got,) = catalog.QUERIES["first_n_string_agg_whole"](spark, str(tmp_path)).collect()
+    (got,) = catalog.QUERIES["first_n_string_agg"](spark, str(tmp_path)).collect()
     assert got.texts == "|".join(t for _, t, _ in rows[:30])
 
 
@@ -85,7 +85,7 @@ def test_worksheet_of_every_item(spark, tmp_path):
     spark.createDataFrame([(k, 1, 0) for k in range(3, 30)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, "alpha"), (1, "beta beta"), (2, "zeta"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {}
-    for r in catalog.QUERIES["worksheet_candidates_all"](spark, str(tmp_path)).collect():
+    for r in catalog.QUERIES["worksheet_candidates"](spark, str(tmp_path)).collect():
         got.setdefault(r.item_id, set()).add((r.doc_id, r.hits, r.fallback))
     first = range(3, 13)
     assert got == {0: {(k, 1, False) for k in first}, 1: {(k, k, False) for k in range(20, 30)}, 2: {(k, 0, True) for k in first}, 3: {(k, 0, True) for k in first}}
@@ -94,12 +94,12 @@ def test_worksheet_of_every_item(spark, tmp_path):
 def test_overlaps_in_every_language(spark, tmp_path):
     rows = [(1, "x" * 1500, "de"), (2, "x" * 1500, "fr"), (3, "x" * 800, None), (4, "x" * 600, "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r["first"], r.second) for r in catalog.QUERIES["span_overlap_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r["first"], r.second) for r in catalog.QUERIES["span_overlap"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, 700), (1, 700, 1400), (2, 0, 700), (2, 700, 1400), (3, 0, 700)}
 
 
 def test_snapshot_reads_every_document(spark, tmp_path):
     """Ids 1 and 5 modulo 6 too, and a changed row under one id."""
     spark.createDataFrame([(k, "s", "en") for k in range(1, 13)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.change for r in catalog.QUERIES["v_snapshot_difference_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.change for r in catalog.QUERIES["v_snapshot_difference"](spark, str(tmp_path)).collect()}
     assert got == {1: "changed", 11: "changed", 10: "gone", 2: "gone", 12: "gone", -2: "new", -12: "new"}

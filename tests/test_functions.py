@@ -81,10 +81,19 @@ def test_evidence_type(spark):
 
 
 def test_text_check(spark):
+    from tessera.operators import page_text as P
+
     page = " ".join(f"word{i}" for i in range(60))
-    cases = [(page, page, False), (" ".join(page.split()[20:]), page, True), (page.replace("word5 ", "wo[r]d "), page, True), (" ".join(reversed(page.split())), page, False)]
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
-    assert [r.s for r in rows.select("i", C.text_check(F.col("a"), F.col("b"))["suspect"].alias("s")).orderBy("i").collect()] == [c for *_, c in cases]
+    cases = [(page, page, False), (" ".join(page.split()[20:]), page, True), (page.replace("word5 ", "wo[r]d "), page, True), (" ".join(reversed(page.split())), page, False), (None, page, True), (page, "few words", True)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").withColumn("m", P.measured(F.col("a"), F.col("b")))
+    assert [bool(r.s) for r in rows.select("i", P.text_check(F.col("a"), F.col("m"))["suspect"].alias("s")).orderBy("i").collect()] == [c for *_, c in cases]
+    assert P.measures("a b c ddd".split(), "a xxx q yyy b zzz zz zzzz".split())[2:] == (2, 2, 2, 2, 2)
+
+
+def test_evidence_opening_is_cut_by_bytes(spark):
+    """Cues beyond the first 8,000 bytes do not count, however few characters that are."""
+    cue = " case report of a patient"
+    assert column(spark, ["é" * 4000 + cue, "e" * 7900 + cue, "é" * 3980 + cue, "€" * 2700 + cue], C.evidence_type) == ["unknown", "published_case", "published_case", "unknown"]
 
 
 def test_vectors(spark):

@@ -42,6 +42,12 @@ def test_article_blocks():
 def test_scans():
     alto = b"<alto xmlns='x'><TextLine><String CONTENT='a'/><SP/><String CONTENT='b'/></TextLine><TextLine><String CONTENT='c'/></TextLine></alto>"
     assert ocr.alto_text(alto) == "a b\nc\n"
-    assert ocr.grey_measures(b"P5\n# made\n2 2\n255\n\x00\xff\xff\xff") == (0.25, 0.5)
+    assert ocr.grey_measures(b"P5\n# made\n2 2\n255\n\x00\xff\xff\xff") == (0.25, 0.0)
     with pytest.raises(ValueError):
         ocr.grey_measures(b"P5 9 9 255 x")
+    image = b"P5 3 3 255\n" + bytes([0, 0, 0, 0, 90, 90, 0, 90, 200])
+    dark, edges = ocr.grey_measures(image)
+    assert dark == 8 / 9 and edges == 4 / 9
+    for wrong in (image + b"x", b"P5 3 3 255\t" + image[11:], b"P2" + image[2:]):
+        with pytest.raises(ValueError):
+            ocr.grey_measures(wrong)
