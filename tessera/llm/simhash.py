@@ -117,12 +117,16 @@ def masks(blocks: int, radius: int) -> list[int]:
     return [signed(sum(part[i] for i in agree)) for agree in combinations(range(blocks), blocks - radius)]
 
 
-def dealt(rows: DataFrame, keys: list[str], deal_by: Column, limit: int, size: Column | None = None) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], deal_by: Column, limit: int, size: Column | None = None, few: int = 100_000) -> DataFrame:
     """rows dealt in groups of (keys, i, j) with side: groups of up to limit rows, or of that total size, as they are
-    (i = j = 0); larger ones in blocks, each pair of blocks i <= j in a group of its own, where side tells a row's block."""
+    (i = j = 0); larger ones in blocks, each pair of blocks i <= j in a group of its own, where side tells a row's block.
+
+    Only larger groups are listed; up to `few` of them are broadcast, which spares rows a shuffle on their way, more are joined.
+    """
     total = F.count("*") if size is None else F.sum(size)
     sizes = rows.groupBy(*keys).agg(total.alias("count")).where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("__blocks"))
-    own = rows.join(sizes, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    sizes = save(sizes, "dealt-sizes")
+    own = rows.join(F.broadcast(sizes) if sizes.count() <= few else sizes, keys, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     own = own.withColumn("side", F.pmod(F.xxhash64(deal_by), F.col("__blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other")
     own = own.select("*", other).select(*rows.columns, "side", F.least("side", "__other").alias("i"), F.greatest("side", "__other").alias("j"))

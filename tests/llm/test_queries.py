@@ -338,6 +338,28 @@ def test_pivot_recall(spark, tmp_path):
     assert (got <= near).all() and got.sum() >= 0.97 * near.sum()
 
 
+def test_cut_lists_and_blocks_find_the_same(spark, tmp_path):
+    """Short limits, so that lists are cut by second points and these dealt in blocks: the same links as whole lists."""
+    from tessera.llm import pivots
+
+    rng = np.random.default_rng(13)
+    rows = np.concatenate([rng.normal(size=(200, 16)), *(rng.normal(size=16) + rng.normal(size=(60, 16)) * s for s in (0.05, 0.2, 0.3, 0.35))])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    every = [sorted(tuple(r) for r in pivots.near_vectors(frame, limit=n).collect()) for n in (10_000, 40, 7)]
+    assert every[0] == every[1] == every[2] and sum(r[1] for r in every[0]) > 1000
+
+
+def test_codes_bound_cosines():
+    from tessera.llm import pivots
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(400, 64)) * rng.choice([1, 1, 1, 30], size=(400, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    first, second = (k.ravel() for k in np.meshgrid(np.arange(400), np.arange(400)))
+    about, far = pivots.bounds(pivots.coded(x), pivots.coded(x), first, second)
+    assert (np.abs(about - (x[first] * x[second]).sum(1)) <= far).all() and np.median(far) < 0.03
+
+
 def test_mixing(spark, small):
     for folder in (SF, small[0]):
         docs = pq.read_table(f"{folder}/documents.parquet").to_pandas()
