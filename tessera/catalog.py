@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Register all queries."""
-    from tessera.plans import answers, evaluation, integrity, relational, reports, retrieval, scoping, search, texts  # noqa: F401
+    from tessera.plans import answers, evaluation, integrity, lists, relational, reports, retrieval, scoping, search, texts, violations  # noqa: F401
 
 
 load()

@@ -25,27 +25,41 @@ def first_match(rows: DataFrame, key: str, identifiers: list[str]) -> DataFrame:
     return out.select(key, first.alias("first"), (differ & (first < F.col(key))).alias("conflict"))
 
 
-def merge_in_order(rows: DataFrame, group: str, order: str, identifiers: list[str]) -> DataFrame:
-    """rows with kept and identity_conflict, in the order given within a group (one search): a record goes if an earlier
-    kept one shares an identifier and no other identifier of the two disagrees; if one does, both stay, flagged."""
+def merge_in_order(rows: DataFrame, group: str, order: str, identifiers: list[str], native: str | None = None) -> DataFrame:
+    """rows with kept and identity_conflict, in the order given within a group (one search, some dozens of rows): a record goes
+    if an earlier kept one shares an identifier and no other identifier of the two disagrees; if one does, both stay, flagged.
+    Records without identifiers are told apart by `native`, or not at all."""
     schema = rows.withColumns({"kept": F.lit(True), "identity_conflict": F.lit(False)}).schema
+    keys = [*identifiers, *([native] if native else [])]
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order).reset_index(drop=True)
-        holders: dict[tuple, int] = {}
+        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
+        values = frame[keys].astype(object).where(frame[keys].notna(), None).to_numpy()
+        holder: dict[tuple, int] = {}
         kept, flagged = [], set()
-        for i, row in frame.iterrows():
-            own = {n: row[n] for n in identifiers if pd.notna(row[n])}
-            other = next((holders[x] for x in own.items() if x in holders), None)
-            if other is not None:
-                clash = any(n in own and pd.notna(frame.at[other, n]) and frame.at[other, n] != own[n] for n in identifiers)
-                if not clash:
-                    kept.append(False)
-                    continue
-                flagged |= {i, other}
-            kept.append(True)
-            for x in own.items():
-                holders.setdefault(x, i)
+        for i, row in enumerate(values):
+            own = [(k, v) for k, v in enumerate(row[: len(identifiers)]) if v is not None and v != ""] or [(k, v) for k, v in enumerate(row) if v is not None]
+            first = next((holder[x] for x in own if x in holder), None)
+            clash = first is not None and any(v and w and v != w for v, w in zip(row[: len(identifiers)], values[first]))
+            kept.append(first is None or clash)
+            if clash:
+                flagged |= {i, first}
+            elif first is None:
+                holder.update(dict.fromkeys(own, i))
         return frame.assign(kept=kept, identity_conflict=[i in flagged for i in range(len(frame))])
 
     return rows.groupBy(group).applyInPandas(merge, schema)
+
+
+def upsert(known: DataFrame, new: DataFrame, identifiers: list[str], key: str = "id") -> DataFrame:
+    """What becomes of new records (ref, identifiers) beside known ones (key, identifiers): one row per new record with the
+    known key it matches by any identifier, its state (inserted, updated, conflict) and the identifiers that the record then
+    has. One that matches several known records, or one whose other identifiers differ, is a conflict and changes nothing."""
+    exploded = lambda x, own: x.select(own, F.explode(F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in identifiers)))).alias("k"))
+    met = exploded(new, "ref").join(exploded(known, key), "k").groupBy("ref").agg(F.min(key).alias(key), F.count_distinct(key).alias("matches"))
+    old = known.select(F.col(key).alias("__key"), *(F.col(n).alias(f"__{n}") for n in identifiers))
+    rows = new.join(met, "ref", "left").join(old, F.col(key) == F.col("__key"), "left")
+    differ = reduce(lambda a, b: a | b, (F.coalesce(F.col(n) != F.col(f"__{n}"), F.lit(False)) for n in identifiers))
+    state = F.when(F.col(key).isNull(), "inserted").when(differ | (F.col("matches") > 1), "conflict").otherwise("updated")
+    filled = [F.when(state == "conflict", F.col(f"__{n}")).otherwise(F.coalesce(f"__{n}", n)).alias(n) for n in identifiers]
+    return rows.select("ref", key, state.alias("state"), *filled)
