@@ -89,18 +89,16 @@ def recover_quote(passage: str, quote: str, least: int = 4) -> str | None:
     (own, places), (asked, _) = _words(passage), _words(quote)
     if len(asked) < least:
         return None
-    best = (0, 0, 0)
-    run = [0] * (len(own) + 1)
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(own):
+        at.setdefault(w, []).append(j)
+    best, run = (0, 0), {}  # length and first word of the longest run; runs that end at each place of the passage
     for i, w in enumerate(asked):
-        now = [0] * (len(own) + 1)
-        for j, v in enumerate(own):
-            if w == v:
-                now[j + 1] = run[j] + 1
-                n, first = now[j + 1], i - now[j + 1] + 1
-                if n > best[0] or (n == best[0] and first < best[1]):
-                    best = (n, first, j - n + 1)
-        run = now
-    n, first, _ = best
+        run = {j: run.get(j - 1, 0) + 1 for j in at.get(w, ())}
+        longest = max(run.values(), default=0)
+        if longest > best[0]:
+            best = longest, i - longest + 1
+    n, first = best
     if n == len(asked):
         return quote
     if n < least or 2 * n < len(asked):
@@ -109,6 +107,37 @@ def recover_quote(passage: str, quote: str, least: int = 4) -> str | None:
     return passage[start:end]
 
 
+def with_heading(passage: str, claim: str, start: int, reach: int = 220) -> int:
+    """Where an excerpt begins if the line of capitals before it that names the claim's subject is taken in."""
+    if start < 1:
+        return start
+    place, low = 0, claim.lower()
+    for line in passage[:start].split("\n"):
+        letters = [c for c in line if c.isalpha()]
+        capitals = sum(map(str.isupper, letters))
+        if len(letters) >= 5 and capitals * 5 >= len(letters) * 4 and start - place <= reach:
+            if any(len(w) >= 5 and w in low for w in _WORD.findall(line.lower())):
+                return place
+        place += len(line) + 1
+    return start
+
+
+def excerpt(passage: str, quote: str, claim: str) -> tuple[int, int, str] | None:
+    """(start, end, text) of what supports a claim: the quotation, or what of it the passage holds, with its heading."""
+    own = recover_quote(passage, quote)
+    at = own and locate_quote(passage, own)
+    if not at:
+        return None
+    start = with_heading(passage, claim, at[0])
+    return start, at[1], passage[start : at[1]]
+
+
+def entry_spans(text: str, bounds: list[int], limit: int = 1800) -> list[tuple[int, int]]:
+    """Passages that cross no bound of an approved entry: the text is cut at all bounds and each piece is split by itself."""
+    cuts = sorted({0, len(text), *(b for b in bounds if 0 <= b <= len(text))})
+    return [(a + x, a + y) for a, b in zip(cuts, cuts[1:]) for x, y in split_passages(text[a:b], limit)]
+
+
 def rubric_rows(text: str, most: int = 50) -> list[tuple[str, list[str], int, int, str]]:
     """Rows of a heading and abbreviations after a colon: heading, notations, start, end, exact text."""
     out, at = [], 0
@@ -136,6 +165,27 @@ def passages(docs: DataFrame, limit: int = 1800) -> DataFrame:
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(task, "doc_id long, number int, start int, end int, passage string")
 
 
+def entry_passages(docs: DataFrame, entries: DataFrame, limit: int = 1800) -> DataFrame:
+    """(doc_id, number, start, end, passage) of every text, cut at the bounds of its entries (doc_id, start, end); entries that
+    do not lie in the text are left out."""
+    bounds = entries.groupBy("doc_id").agg(F.flatten(F.collect_list(F.when((F.col("start") >= 0) & (F.col("end") > F.col("start")), F.array("start", "end")))).alias("bounds"))
+    rows = docs.where("text is not null").select("doc_id", "text").join(bounds, "doc_id", "left")
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [(i, n, a, b, t[a:b]) for i, t, x in zip(frame["doc_id"], frame["text"], frame["bounds"]) for n, (a, b) in enumerate(entry_spans(t, [] if x is None else [int(v) for v in x], limit))]
+            yield pd.DataFrame(own, columns=["doc_id", "number", "start", "end", "passage"])
+
+    return rows.mapInPandas(task, "doc_id long, number int, start int, end int, passage string")
+
+
+def holds_quote(passage: Column, quote: Column, least: int = 4, longest: int = 500) -> Column:
+    """Whether a passage holds a quotation of four words or more, whatever stands between the words; hyphens at line ends join."""
+    words = lambda x: F.regexp_extract_all(F.lower(F.regexp_replace(x, r"-\s*\n\s*", "")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    pad = lambda x: F.concat(F.lit(" "), F.array_join(words(x), " "), F.lit(" "))
+    return (F.length(quote) <= longest) & (F.size(words(quote)) >= least) & F.contains(pad(passage), pad(quote))
+
+
 def _udf(f, kind: str):
     @F.pandas_udf(kind)
     def of(*columns: pd.Series) -> pd.Series:
@@ -151,3 +201,15 @@ def located(passage: Column, quote: Column) -> Column:
 
 def recovered(passage: Column, quote: Column) -> Column:
     return _udf(lambda p, q: recover_quote(p, q), "string")(passage, quote)
+
+
+def excerpted(passage: Column, quote: Column, claim: Column) -> Column:
+    """struct<start, end, text> of the excerpt of a passage that supports a claim, or null."""
+
+    @F.pandas_udf("array<string>")
+    def of(passages: pd.Series, quotes: pd.Series, claims: pd.Series) -> pd.Series:
+        found = [excerpt(*x) if None not in x else None for x in zip(passages, quotes, claims)]
+        return pd.Series([f and [str(f[0]), str(f[1]), f[2]] for f in found], dtype=object)
+
+    x = of(passage, quote, claim)
+    return F.when(x.isNotNull(), F.struct(x[0].cast("int").alias("start"), x[1].cast("int").alias("end"), x[2].alias("text")))

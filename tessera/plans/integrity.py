@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import passages as P
 from tessera.functions import text as T
-from tessera.operators import graph, identity
+from tessera.operators import classify, graph, identity
 from tessera.sources import html
 from tessera.sources.tables import table
 
@@ -73,7 +73,23 @@ def html_blocks(spark, sf_dir):
 
 @query()
 def page_links(spark, sf_dir):
-    return html.links(table(spark, sf_dir, "pages")).withColumn("relation", T.link_relation(F.col("anchor")))
+    return html.links(table(spark, sf_dir, "pages")).withColumn("relation", T.link_relation(F.concat_ws(" ", "anchor", "rel")))
+
+
+_ENTITIES = "replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_ENTITIES}, '\\s+', ' ', 'g')) AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS x FROM pages)")
+def page_titles(spark, sf_dir):
+    return html.inspect(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query()
+def page_roles(spark, sf_dir):
+    """What each page is: a candidate for content, an index or neither, its kinds of literature and of evidence, and a sample."""
+    rows = html.inspect(table(spark, sf_dir, "pages"))
+    kinds = classify.literature(F.col("evidence"))
+    return rows.select("page_id", "role", "blocks", "excluded", "sample", F.size("anchors").alias("anchors"), kinds["categories"].alias("categories"), classify.evidence_type(F.col("evidence")).alias("evidence_type"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT d.doc_id AS f, t.doc_id AS t, k AS number FROM documents d, range(1, 4) r(k), documents t WHERE t.doc_id = d.doc_id * 3 + k - (d.doc_id % 2)), up AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, '' AS ordinal

@@ -1,84 +1,315 @@
-"""HTML pages to text blocks with byte offsets, and their links: a small scanner over the raw markup."""
+"""HTML pages to text blocks with byte offsets, what is navigation among them, and their links.
+
+One scanner passes over the markup once; blocks, quality and links are read off its tokens, with byte offsets carried along.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 from typing import Iterator
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?-->|<(script|style|nav|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
-_HREF = re.compile(r"""href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, **dict.fromkeys(("p", "li", "blockquote", "pre", "td", "th", "caption", "div", "section", "article", "body", "title"), "paragraph")}
-INLINE = {"a", "b", "i", "em", "strong", "span", "code", "u", "small", "sub", "sup", "font", "mark", "abbr", "cite", "q", "img", "br"}
+from tessera.functions.passages import _LABEL, entry_heading
 
+# Elements that make blocks, that have no end, whose text is not read, and marks of what is hidden.
+HEADINGS = {f"h{n}": n for n in range(1, 7)}
+PARAGRAPHS = {"p", "li", "blockquote", "pre", "td", "th", "caption"}
+VOID = {"br", "meta", "link", "img", "input", "hr", "source", "area", "base", "embed", "wbr"}
+HIDDEN = {"script", "style", "noscript", "template", "svg", "form", "nav", "footer", "header", "aside", "iframe"}
+HIDDEN_NAMES = {"nav", "navbar", "menu", "sidebar", "breadcrumbs", "cookiebanner"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp"}
+# Texts of links that lead on, and labels of advertisements.
+WAYS = {"main", "home", "back", "next", "previous", "back to top", "buy a copy"}
+ADVERTS = {"(advertising)", "(advertisement)", "(adversting)", "advertisement"}
+DOCUMENTS = {"", ".htm", ".html", ".txt"}
 
-def page_blocks(source: str) -> list[tuple[str, str, str, int, int]]:
-    """(kind, heading, text, start, end) in order; offsets are bytes of the UTF-8 source, heading the path of headings above."""
-    out, above, kind, parts, first, last, at = [], [], "paragraph", [], -1, 0, 0
+_TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/]""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 
-    def close() -> None:
-        nonlocal parts, first
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            own = [t for n, t in above]
-            if kind.startswith("h"):
-                n = int(kind[1])
-                above[:] = [x for x in above if x[0] < n]
-                own = [t for _, t in above]
-                above.append((n, text))
-            a = len(source[:first].encode())
-            out.append((KINDS.get(kind, "paragraph"), " > ".join(own), text, a, a + len(source[first:last].encode())))
-        parts, first = [], -1
-
-    for m in [*_TAG.finditer(source), None]:
-        piece = source[at : m.start()] if m else source[at:]
-        if piece.strip():
-            first = at + len(piece) - len(piece.lstrip()) if first < 0 else first
-            last = at + len(piece.rstrip())
-        parts.append(piece)
-        if m is None:
-            close()
-            break
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if tag and tag not in INLINE:
-            close()
-            kind = "paragraph" if m[2] else tag if tag in KINDS and tag[0] == "h" and tag[1:].isdigit() else "paragraph"
-        elif tag == "br":
-            parts.append(" ")
+
+@dataclass
+class Token:
+    kind: str  # text, start or end
+    name: str
+    attributes: dict[str, str]
+    start: int  # bytes of the UTF-8 source
+    end: int
+
+
+def tokens(source: str) -> Iterator[Token]:
+    """The texts and tags of a page in order; comments and declarations are passed over, texts are unescaped. An open comment
+    or raw element reaches to the page's end, so each character is passed once."""
+    low, at, place = source.lower(), 0, 0
+
+    def step(to: int) -> tuple[int, int]:
+        nonlocal at, place
+        before = place
+        place += len(source[at:to].encode("utf-8", "surrogatepass"))
+        at = to
+        return before, place
+
+    def text(to: int, plain: bool = False) -> Iterator[Token]:
+        if to > at:
+            own = source[at:to] if plain else html.unescape(source[at:to])
+            yield Token("text", own, {}, *step(to))
+
+    seek = 0
+    while m := _TOKEN.search(source, seek):
+        if m[2] is None:  # a comment or a declaration
+            stop = source.find("-->", m.end()) if m[0] == "<!--" else source.find(">", m.end())
+            yield from text(m.start())
+            seek = len(source) if stop < 0 else stop + (3 if m[0] == "<!--" else 1)
+            step(seek)
+            continue
+        yield from text(m.start())
+        name = m[2].lower()
+        attributes: dict[str, str] = {}
+        if not m[1]:
+            for a in _ATTRIBUTE.finditer(m[3]):
+                attributes.setdefault(a[1].lower(), html.unescape(next((x for x in a.groups()[1:] if x is not None), "")))
+        yield Token("end" if m[1] else "start", name, attributes, *step(m.end()))
+        seek = m.end()
+        if name in RAW and not m[1] and not m[3].rstrip().endswith("/"):
+            stop = low.find(f"</{name}", seek)
+            seek = len(source) if stop < 0 else stop
+            yield from text(seek, plain=name in ("script", "style"))
+    yield from text(len(source))
+
+
+def _hides(name: str, attributes: dict[str, str]) -> bool:
+    if name in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() == "navigation":
+        return True
+    return any(part in HIDDEN_NAMES for a in ("class", "id") for part in re.split("[ _-]", attributes.get(a, "").lower()))
+
+
+@dataclass
+class Block:
+    key: str
+    kind: str
+    heading: str
+    text: str
+    start: int
+    end: int
+    level: int = 0
+    links: int = 0
+    linked: int = 0  # characters of linked text
+    images: int = 0  # linked ones
+    bold: bool = True  # all text is emphasised and no part of it a link
+    exclusion: str | None = None
+
+
+def _stands_alone(text: str) -> bool:
+    """Whether emphasised text is a heading: a label with nothing behind it, or a short line of capitals."""
+    if "\n" in text or len(text) > 80:
+        return False
+    label = _LABEL.match(text)
+    return not text[label.end() :].strip(" .:—-") if label else entry_heading(text)
+
+
+def page_blocks(source: str) -> list[Block]:
+    """A page's blocks in order, with the path of the headings above each, unique keys, and a reason for those that are
+    navigation. An emphasised paragraph that stands alone counts as a heading."""
+    out: list[Block] = []
+    path, above, keys = [""] * 6, "", {}
+    stack: list[tuple[str, bool]] = []
+    now: Block | None = None
+    parts: list[str] = []
+    anchor, emphasis, depth = "", 0, []
+
+    def close(end: int) -> None:
+        nonlocal now, anchor, above
+        if now is None:
+            return
+        now.end, now.text = end, "\n".join(" ".join(x.split()) for x in "".join(parts).split("\n")).strip()
+        block, now = now, None
+        if not block.text:
+            return
+        if anchor:
+            block.key, anchor = anchor, ""
+        keys[block.key] = keys.get(block.key, 0) + 1
+        if keys[block.key] > 1:
+            block.key += f"-{keys[block.key]}"
+        if block.kind == "paragraph" and block.bold and _stands_alone(block.text):
+            block.kind, block.level = "heading", 2 if _LABEL.match(block.text) else 1
+        if block.kind == "heading":
+            path[block.level - 1 :] = [block.text, *[""] * (6 - block.level)]
+            above = " > ".join(filter(None, path))
+        else:
+            block.heading = above
+        out.append(block)
+
+    last = 0
+    for t in tokens(source):
+        last = t.end
+        if t.kind == "start":
+            hidden = bool(stack and stack[-1][1]) or _hides(t.name, t.attributes)
+            kind = None if hidden else "heading" if t.name in HEADINGS else "paragraph" if t.name in PARAGRAPHS else None
+            if kind:
+                close(t.start)
+                now, emphasis, depth = Block(t.attributes.get("id") or f"block-{len(out) + 1}", kind, "", "", t.start, 0, HEADINGS.get(t.name, 0)), 0, []
+                parts.clear()
+            if not hidden and t.name == "a":
+                name = t.attributes.get("id") or t.attributes.get("name")
+                if name and (now is None or not "".join(parts).strip()):
+                    anchor = name
+            if now is not None:
+                if t.name == "a":
+                    now.bold = False
+                    if "href" in t.attributes:
+                        now.links += 1
+                        depth.append(len(stack))
+                elif t.name == "img" and depth:
+                    now.images += 1
+                elif t.name in ("b", "strong"):
+                    emphasis += 1
+                elif t.name == "br":
+                    parts.append("\n")
+            if t.name not in VOID:
+                stack.append((t.name, hidden))
+        elif t.kind == "end":
+            if now is not None and now.kind == ("heading" if t.name in HEADINGS else "paragraph" if t.name in PARAGRAPHS else ""):
+                close(t.end)
+            if t.name in ("b", "strong") and emphasis:
+                emphasis -= 1
+            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
+                if stack[k][0] == t.name:
+                    del stack[k:]
+                    break
+            while depth and depth[-1] >= len(stack):
+                depth.pop()
+        elif now is not None and not (stack and stack[-1][1]):
+            parts.append(" " + " ".join(t.name.split()) if t.name.strip() else " ")
+            if t.name.strip():
+                now.bold = now.bold and emphasis > 0
+                now.linked += len(t.name.strip()) if depth else 0
+    close(last)
+    assess(out)
     return out
 
 
-def page_links(url: str, source: str) -> list[tuple[str, str]]:
-    """(target, anchor text) of each link in order, resolved against the page's URL and without fragments."""
-    out = []
-    for m in re.finditer(r"<a\b([^>]*)>(.*?)</a\s*>", source, re.S | re.I):
-        if h := _HREF.search(m[1]):
+def assess(blocks: list[Block]) -> None:
+    """Name what is no text of its own: single links, advertisements, footers, menus, and on pages of links the links."""
+    alone = []
+    for b in blocks:
+        low = b.text.lower().strip()
+        letters = [c for c in b.text if c.isalpha()]
+        listed = "--" in low or "—" in low
+        dense = b.linked * 100 >= len(low) * 65
+        alone.append(b.links > 0 and not listed and dense)
+        rules = {
+            "navigation": b.links > 0 and low in WAYS,
+            "advertisement": low in ADVERTS,
+            "copyright": low.startswith("copyright ©") and len(low) < 160,
+            "image list": b.images >= 3 and not listed and len(letters) > 0 and sum(map(str.isupper, letters)) * 100 >= len(letters) * 90,
+            "banner": "presented by" in low and "by " in low and len(low) < 200,
+            "menu": b.links >= 2 and ("*" in low or "|" in low) and "--" not in low and dense,
+        }
+        b.exclusion = next((name for name, holds in rules.items() if holds), None)
+    if (n := sum(alone)) >= 5 and n * 4 >= len(blocks):
+        for b, own in zip(blocks, alone):
+            if own and len(b.text) < 160 and b.exclusion is None:
+                b.exclusion = "link"
+
+
+def page_title(source: str) -> str:
+    inside, parts = False, []
+    for t in tokens(source):
+        if t.name == "title" and t.kind != "text":
+            if t.kind == "end":
+                break
+            inside = True
+        elif inside and t.kind == "text":
+            parts.append(t.name)
+    title = " ".join("".join(parts).split())
+    return title if len(title) <= 2000 else ""
+
+
+def page_links(url: str, source: str) -> list[tuple[str, str, str, str]]:
+    """(target, fragment, text, rel) of each link to a document in order, resolved against the page's URL."""
+    out, held = [], None
+
+    def close() -> None:
+        nonlocal held
+        if held:
+            target, rel, parts = held
+            held = None
+            out.append((*target, " ".join(" ".join(parts).split()), rel))
+
+    for t in tokens(source):
+        if t.kind == "start" and t.name in ("a", "link"):
+            if t.name == "a":
+                close()
+            rel, href = t.attributes.get("rel", ""), t.attributes.get("href", "")
+            if not href or (t.name == "link" and "next" not in rel.lower()):
+                continue
             try:
-                target = urljoin(url, html.unescape(h[1].strip("\"'"))).partition("#")[0]
+                whole = urljoin(url, href.strip())
+                parsed = urlsplit(whole)
+                sound = parsed.scheme in ("http", "https") and parsed.hostname and "@" not in parsed.netloc
             except ValueError:
                 continue
-            out.append((target, " ".join(html.unescape(_TAG.sub(" ", m[2])).split())))
+            if sound and (re.search(r"\.[^./]*$", parsed.path) or [""])[0].lower() in DOCUMENTS:
+                target = whole.partition("#")[0], parsed.fragment
+                if t.name == "link":
+                    out.append((*target, "", rel))
+                else:
+                    held = target, rel, []
+        elif t.kind == "end" and t.name == "a":
+            close()
+        elif t.kind == "text" and held:
+            held[2].append(t.name)
+    close()
     return out
 
 
-def blocks(pages: DataFrame) -> DataFrame:
+def page_anchors(source: str) -> list[str]:
+    """The places of a page that a link's fragment may name."""
+    found = (t.attributes.get(a) for t in tokens(source) if t.kind == "start" for a in ("id", *(["name"] if t.name == "a" else [])))
+    return list(dict.fromkeys(x for x in found if x))
+
+
+def evidence_text(blocks: list[Block]) -> str:
+    return "".join(f"{b.heading}\n{b.text}\n" for b in blocks if b.exclusion is None)
+
+
+def inspected(url: str, source: str, most: int = 600) -> tuple[str, str, int, int, str, str, list[str]]:
+    """(title, role, blocks, excluded, sample, evidence, anchors): whether a page is a candidate for content, an index or neither."""
+    blocks = page_blocks(source)
+    kept = [b for b in blocks if b.exclusion is None]
+    role = "content_candidate" if kept else "index_only" if page_links(url, source) else "unresolved"
+    return page_title(source), role, len(kept), len(blocks) - len(kept), "\n".join(b.text for b in kept)[:most], evidence_text(blocks), page_anchors(source)
+
+
+def _mapped(pages: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, n, *b) for i, h in zip(frame["page_id"], frame["html"]) for n, b in enumerate(page_blocks(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "number", "kind", "heading", "text", "start_byte", "end_byte"])
+            for row in zip(*(frame[c] for c in columns)):  # a page at a time, so memory follows the longest page
+                if rows := f(*row):
+                    yield pd.DataFrame(rows, columns=names)
+
+    return pages.select(*columns).mapInPandas(task, schema)
 
-    return pages.where("html is not null").select("page_id", "html").mapInPandas(task, "page_id long, number int, kind string, heading string, text string, start_byte int, end_byte int")
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, number, key, kind, heading, text, start_byte, end_byte, exclusion) of every page."""
+    rows = lambda i, h: [(i, n, b.key, b.kind, b.heading, b.text, b.start, b.end, b.exclusion) for n, b in enumerate(page_blocks(h))]
+    return _mapped(pages.where("html is not null"), ["page_id", "html"], rows, "page_id long, number int, key string, kind string, heading string, text string, start_byte int, end_byte int, exclusion string")
 
 
 def links(pages: DataFrame) -> DataFrame:
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, *x) for i, u, h in zip(frame["page_id"], frame["url"], frame["html"]) for n, x in enumerate(page_links(u, h))]
-            yield pd.DataFrame(rows, columns=["page_id", "number", "target", "anchor"])
+    rows = lambda i, u, h: [(i, n, *x) for n, x in enumerate(page_links(u, h))]
+    return _mapped(pages.where("html is not null and url is not null"), ["page_id", "url", "html"], rows, "page_id long, number int, target string, fragment string, anchor string, rel string")
+
 
-    return pages.where("html is not null and url is not null").select("page_id", "url", "html").mapInPandas(task, "page_id long, number int, target string, anchor string")
+def inspect(pages: DataFrame) -> DataFrame:
+    """One row per page: title, role, blocks, excluded, sample, evidence, anchors."""
+    own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return _mapped(own, ["page_id", "url", "html"], lambda i, u, h: [(i, *inspected(u, h))], "page_id long, title string, role string, blocks int, excluded int, sample string, evidence string, anchors array<string>")

@@ -8,7 +8,6 @@ from tessera.functions import passages as P
 from tessera.functions import text as T
 from tessera.operators import classify as C
 from tessera.operators import graph, identity, jobs, retrieve
-from tessera.sources import html
 
 
 def column(spark, values, f, kind="string"):
@@ -136,14 +135,6 @@ def test_leases(spark):
     assert [r.id for r in jobs.claimable(rows, now).collect()] == [4]
 
 
-def test_html_blocks_keep_their_bytes():
-    source = "<html><body><h1>Ünder</h1><p>One &amp; <b>two</b><script>x</script></p><h2>B</h2><li>ä</li><p>open"
-    rows = html.page_blocks(source)
-    assert [(k, h, t) for k, h, t, *_ in rows] == [("heading", "", "Ünder"), ("paragraph", "Ünder", "One & two"), ("heading", "Ünder", "B"), ("paragraph", "Ünder > B", "ä"), ("paragraph", "Ünder > B", "open")]
-    assert [source.encode()[a:b].decode() for *_, a, b in rows][::4] == ["Ünder", "open"]
-    assert html.page_links("http://a.org/x/", '<a href="../y#z">to <i>y</i></a><a>none</a>') == [("http://a.org/y", "to y")]
-
-
 def test_streamed_windows(spark, tmp_path):
     from tessera.streaming import activity
 
