@@ -7,16 +7,17 @@ from bisect import bisect_right
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import SECTION_LABELS
+from .text import SECTION_LABELS, SPACE
 
 _LABEL = re.compile(rf"\s*(?:{'|'.join(SECTION_LABELS)})\s*(?:$|[.:—]|--)", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _HYPHEN = re.compile(r"-\s*\n\s*")
 _STRONG = re.compile(r"\n(?=\n)|[.!?;](?=\s)")
-_ABBREVIATION = re.compile(r"[^\W\d_](?:[^\W_]|-){0,29}\.")
+# The form of an abbreviated name, and how long a row's heading may be in characters and words.
+ABBREVIATION, HEADING_CHARACTERS, HEADING_WORDS, MOST_NAMES, MOST_ROWS = r"^\p{L}[\p{L}\p{N}-]{0,29}\.$", 200, 12, 200, 50
 
 
 def entry_heading(line: str) -> bool:
@@ -138,22 +139,6 @@ def entry_spans(text: str, bounds: list[int], limit: int = 1800) -> list[tuple[i
     return [(a + x, a + y) for a, b in zip(cuts, cuts[1:]) for x, y in split_passages(text[a:b], limit)]
 
 
-def rubric_rows(text: str, most: int = 50) -> list[tuple[str, list[str], int, int, str]]:
-    """Rows of a heading and abbreviations after a colon: heading, notations, start, end, exact text."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        bare, start = line.strip(), at + len(line) - len(line.lstrip())
-        at += len(line) + 1
-        heading, colon, rest = bare.partition(":")
-        heading, items = heading.strip(), [x.strip() for x in re.split("[,;]", rest)]
-        if colon and heading and len(heading) <= 200 and len(heading.split()) <= 12 and not set(heading) & set(".;:"):
-            if len(items) == len(set(items)) <= 200 and all(map(_ABBREVIATION.fullmatch, items)):
-                out.append((heading, items, start, start + len(bare), bare))
-        if len(out) == most:
-            break
-    return out
-
-
 def passages(docs: DataFrame, limit: int = 1800) -> DataFrame:
     """(doc_id, number, start, end, passage) of every text; passages come from exact offsets, null texts have none."""
 
@@ -165,6 +150,24 @@ def passages(docs: DataFrame, limit: int = 1800) -> DataFrame:
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(task, "doc_id long, number int, start int, end int, passage string")
 
 
+def rubric_rows(pages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line, heading, notations, start, end, exact) of a page's (key, text) first rows of a heading and abbreviated names
+    behind a colon; offsets are those of the row without the white space around it."""
+    lines = pages.select(key, F.posexplode(F.split("text", "\n", -1)).alias("line", "whole"))
+    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.length("whole") + 1).over(before), F.lit(0))
+    exact = F.regexp_replace("whole", rf"^{SPACE}+|{SPACE}+$", "")
+    lead = F.length("whole") - F.length(F.regexp_replace("whole", rf"^{SPACE}+", ""))
+    rows = lines.select(key, "line", exact.alias("exact"), (offset + lead).cast("int").alias("start")).where(F.instr("exact", ":") > 0)
+    heading = F.trim(F.substring_index("exact", ":", 1))
+    names = F.transform(F.split(F.substr(F.col("exact"), F.instr("exact", ":") + 1), "[,;]", -1), lambda x: F.trim(x))
+    rows = rows.withColumns({"heading": heading, "notations": names, "end": F.col("start") + F.length("exact")})
+    titled = F.length("heading").between(1, HEADING_CHARACTERS) & (F.size(F.split("heading", rf"{SPACE}+")) <= HEADING_WORDS) & ~F.col("heading").rlike("[.;]")
+    named = F.forall("notations", lambda x: x.rlike(ABBREVIATION)) & (F.size(F.array_distinct("notations")) == F.size("notations")) & (F.size("notations") <= MOST_NAMES)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("line"))
+    return rows.where(titled & named).withColumn("place", place).where(F.col("place") <= MOST_ROWS).select(key, "line", "heading", "notations", "start", "end", "exact")
+
+
 def entry_passages(docs: DataFrame, entries: DataFrame, limit: int = 1800) -> DataFrame:
     """(doc_id, number, start, end, passage) of every text, cut at the bounds of its entries (doc_id, start, end); entries that
     do not lie in the text are left out."""

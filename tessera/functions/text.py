@@ -104,7 +104,8 @@ def title_matches(title: Column, text: Column) -> Column:
 
 
 def opening_comparison(text: Column) -> Column:
-    return F.lower(F.ltrim(text)).rlike(r"^(like |as with |similar to )")
+    """Whether a text begins with a comparison, so that its subject stands in the text before it."""
+    return F.lower(text).rlike(rf"^{SPACE}*(?:like|as{SPACE}+with|similar{SPACE}+to)(?:{SPACE}|$)")
 
 
 def link_relation(text: Column) -> Column:

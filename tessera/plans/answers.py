@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import citations as C
+from tessera.operators import claims
 from tessera.sources.tables import sql, table
 
 _TURN = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) AS n FROM {conversations}"
@@ -78,3 +79,33 @@ def settled_drafts(spark, sf_dir):
     size = lambda x: x.groupBy("draft_id").agg(F.count("*").alias("sentences"), F.sum(F.regexp_count("sentence", F.lit(C.NUMBERED))).alias("labels"), F.sum(F.length("sentence")).alias("size"))
     both = size(rows).join(size(C.sentence_rows(before)).select("draft_id", F.col("labels").alias("had")), "draft_id")
     return both.select("draft_id", (F.col("labels") - F.col("had")).alias("filled"), "sentences", "size")
+
+
+@query("""SELECT o_orderkey AS claim, '[' || coalesce(string_agg('{"label":"E' || l_linenumber || '","part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey), '') || ']' AS supports FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag <> 'N' GROUP BY o_orderkey""")
+def claim_supports(spark, sf_dir):
+    """Each claim with its supports as a nested list, empty where it has none."""
+    item = F.struct(F.col("l_linenumber"), F.col("l_partkey"), F.struct(F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("label"), F.col("l_partkey").alias("part")).alias("s"))
+    own = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(own, "o_orderkey", "left")
+    return rows.select(F.col("o_orderkey").alias("claim"), F.coalesce(F.to_json("x.s"), F.lit("[]")).alias("supports"))
+
+
+@query()
+def answer_sections(spark, sf_dir):
+    """The drafts' sentences by proposed groups or, where these leave one out, by the authors they cite."""
+    rows = C.sentence_rows(drafts(spark, sf_dir)).withColumn("number", F.col("number") + 1)
+    numbers = rows.groupBy("draft_id").agg(F.array_sort(F.collect_list("number")).alias("n"))
+    halves = F.array(F.struct(F.lit(0).alias("place"), F.lit("First").alias("title"), F.filter("n", lambda x: x % 2 == 1).alias("numbers")), F.struct(F.lit(1).alias("place"), F.lit("Second").alias("title"), F.filter("n", lambda x: (x % 2 == 0) & ((F.col("draft_id") % 3 > 0) | (x > 2))).alias("numbers")))
+    groups = numbers.select("draft_id", F.explode(halves).alias("g")).select("draft_id", "g.*")
+    return claims.sections(rows, groups, evidence(spark, sf_dir)).select("draft_id", "place", "title", "body")
+
+
+@query()
+def claim_decisions(spark, sf_dir):
+    """The drafts' sentences by recorded quotations and verdicts: the first words of each cited passage are quoted."""
+    own, proof = drafts(spark, sf_dir), evidence(spark, sf_dir)
+    numbers = C.sentence_rows(own).select("draft_id", "number")
+    quoted = F.regexp_extract("text", r"^((?:\S+\s+){6})", 1)
+    quotes = numbers.join(proof.select("draft_id", "label", quoted.alias("quote")), "draft_id").where("draft_id % 5 > 0 or number % 2 = 0").withColumn("place", F.lit(0))
+    verdicts = numbers.withColumns({"supported": F.col("number") % 3 > 0, "relevant": F.col("number") % 4 < 3})
+    return claims.decided_claims(own, proof, quotes, verdicts).select("draft_id", "number", "decision", F.size("supports").alias("supports"))

@@ -111,3 +111,35 @@ def checked_pages(spark, sf_dir):
 @query("""SELECT doc_id, CAST((contains(lower(text), 'password')) AS INTEGER) + CAST(contains(lower(text), 'token') AS INTEGER) + CAST(contains(lower(text), 'license') AS INTEGER) AS score FROM documents""")
 def cue_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.cue_score(F.lower("text"), ("password", "token", "license")).alias("score"))
+
+
+_RUBRICS = "SELECT doc_id, concat('  ', lang, ' roots: Moss., Fern.', chr(10), source, ': Pine.;Ash-t. ', chr(10), 'bad: Moss.,, Fern.', chr(10), 'same: Moss., Moss.', chr(10), text, chr(10), 'Last: Oak.') AS text FROM {documents}"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(x) AS whole, unnest(range(len(x))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM ({_RUBRICS.replace('{documents}', 'documents')}))),
+o AS (SELECT *, coalesce(sum(length(whole) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM l),
+r AS (SELECT doc_id, line, trim(whole) AS exact, base + length(whole) - length(ltrim(whole)) AS start, trim(split_part(trim(whole), ':', 1)) AS heading, list_transform(string_split_regex(substr(trim(whole), instr(trim(whole), ':') + 1), '[,;]'), lambda x: trim(x)) AS names FROM o WHERE contains(whole, ':'))
+SELECT doc_id, CAST(line AS INTEGER) AS line, heading, array_to_string(names, ' ') AS names, CAST(start AS INTEGER) AS start, exact FROM r
+WHERE heading <> '' AND length(heading) <= 200 AND NOT regexp_matches(heading, '[.;]') AND len(string_split(heading, ' ')) <= 12 AND len(list_distinct(names)) = len(names) AND len(list_filter(names, lambda x: NOT regexp_matches(x, '^\p{{L}}[\p{{L}}\p{{N}}-]{{0,29}}\.$'))) = 0""")
+def rubric_rows(spark, sf_dir):
+    """Rows of a heading and abbreviated names on pages made of the documents with such rows around them."""
+    rows = P.rubric_rows(sql(spark, sf_dir, _RUBRICS, "documents"))
+    return rows.select("doc_id", "line", "heading", F.array_join("notations", " ").alias("names"), "start", "exact")
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(regexp_replace(text, '-\s*\n\s*', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents), q AS (SELECT doc_id, w, CASE doc_id % 3 WHEN 0 THEN array_to_string(w[11:16], ' ') WHEN 1 THEN array_to_string(w[11:13], ' ') ELSE array_to_string(w[11:14], '-, ') || ' elsewhere' END AS quote FROM w)
+SELECT doc_id, length(quote) <= 500 AND len(regexp_extract_all(quote, '[\p{L}\p{N}]+')) >= 4 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(regexp_extract_all(quote, '[\p{L}\p{N}]+'), ' ') || ' ') AS held FROM q""")
+def quotes_held(spark, sf_dir):
+    """Whether documents hold quotations of some of their words, of too few, and of words that are not theirs."""
+    w = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"-\s*\n\s*", "")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.array_join(F.slice(w, 11, 6), " ")).when(F.col("doc_id") % 3 == 1, F.array_join(F.slice(w, 11, 3), " ")).otherwise(F.concat(F.array_join(F.slice(w, 11, 4), "-, "), F.lit(" elsewhere")))
+    return table(spark, sf_dir, "documents").select("doc_id", P.holds_quote(F.col("text"), quote).alias("held"))
+
+
+@query()
+def entry_passages(spark, sf_dir):
+    """Passages that cross no bound of an entry; an entry for every 2,500 characters of a text."""
+    docs = table(spark, sf_dir, "documents")
+    starts = F.sequence(F.lit(0), F.length("text"), F.lit(2500))
+    entries = docs.where("text is not null").select("doc_id", F.explode(starts).alias("start"), F.length("text").alias("n")).select("doc_id", "start", F.least(F.col("start") + 2400, F.col("n")).alias("end"))
+    return P.entry_passages(docs, entries).select("doc_id", "number", "start", "end")

@@ -19,3 +19,30 @@ def originals(spark: SparkSession, glob: str) -> DataFrame:
     """Stored originals with their digest, for checks against a manifest: path, length, sha256, content."""
     files = spark.read.format("binaryFile").load(glob)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def manifest_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, problem) of stored originals (path, length, sha256) beside a manifest (path, bytes, sha256): what is missing, not
+    listed, of another size or of another content."""
+    own = files.select("path", "length", F.col("sha256").alias("found"))
+    both = manifest.join(own, "path", "full_outer")
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "not listed").when(F.col("length") != F.col("bytes"), "size").when(F.lower("sha256") != F.col("found"), "content")
+    return both.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def page_map_problems(pages: DataFrame) -> DataFrame:
+    """(source, problem) of page maps (source, page) that do not run from 0 without gaps or repeats."""
+    own = pages.groupBy("source").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count("*").alias("n"), F.count_distinct("page").alias("d"))
+    problem = F.when(F.col("a") != 0, "start").when(F.col("d") < F.col("n"), "repeated").when(F.col("b") + 1 != F.col("d"), "gap")
+    return own.select("source", problem.alias("problem")).where("problem is not null")
+
+
+def report(rows: DataFrame, folder: str) -> None:
+    """Write a report as JSON: a reader sees the old folder or the whole new one, as it is put in place when it is complete."""
+    spark = rows.sparkSession
+    path, part = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (folder, f"{folder}.part"))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.coalesce(1).write.mode("overwrite").json(part.toString())
+    store.delete(path, True)
+    if not store.rename(part, path):
+        raise OSError(f"the report could not be put in place at {folder}")

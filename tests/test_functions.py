@@ -50,12 +50,12 @@ def test_quotes():
     assert P.recover_quote(p, "one two three four five") is None
 
 
-def test_rubric_rows():
-    text = " Fear, dark: Acon., Bell.; Phos.\r\nbad: Acon.,, Bell.\nsame: Acon., Acon.\nhttp://x: y\nprose here: and more"
-    rows = P.rubric_rows(text)
-    assert [(h, n) for h, n, *_ in rows] == [("Fear, dark", ["Acon.", "Bell.", "Phos."])]
-    assert all(text[a:b] == exact for *_, a, b, exact in rows)
-    assert len(P.rubric_rows("a: B.\n" * 60)) == 50
+def test_rubric_rows(spark):
+    text = "\u2003Roots, old: Moss., Fern.;  Pine. \r\nbad: Moss.,, Fern.\nsame: Moss., Moss.\nhttp://x: y\nprose here: and more\na.b: Moss.\nno colon\nLast é: Ash-t."
+    rows = P.rubric_rows(spark.createDataFrame([(1, text), (2, "a: B.\n" * 60), (3, None), (4, "")], "doc_id int, text string")).orderBy("doc_id", "line").collect()
+    own = [r for r in rows if r.doc_id == 1]
+    assert [(r.heading, r.notations) for r in own] == [("Roots, old", ["Moss.", "Fern.", "Pine."]), ("Last é", ["Ash-t."])]
+    assert all(text[r.start : r.end] == r.exact for r in own) and sum(r.doc_id == 2 for r in rows) == 50 and len(rows) == 52
 
 
 def test_query_terms_and_questions(spark):
