@@ -773,7 +773,7 @@ def test_piece_cache_is_bounded_by_characters(monkeypatch):
 
 
 def test_pipeline(spark, small):
-    for folder in (SF, small[0], small[1]):
+    for folder in (small[0], small[1]):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES[:3]:
@@ -781,3 +781,30 @@ def test_pipeline(spark, small):
             assert out.columns == docs.columns and out.count() <= n
         end = corpus_pipeline.run(spark, folder)
         assert {"doc_id", "ids"} <= set(end.columns) and (end.count() > 0) == (n > 0)
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage by hand on what the stage before it leaves: accepted, one of equal texts, one of near ones, mixed, encoded."""
+    from tessera.llm import mixing, pieces
+    from tessera.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    good = {r.doc_id for r in queries.op5_quality(spark, SF).where("predicted = 1").collect()}
+    left = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in good}
+    last = {t.encode().lower(): i for i, t in sorted(left.items())}
+    left = {i: left[i] for i in last.values()}
+    sets = {i: shingles(t) for i, t in left.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and (not sets[i] | sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)]
+    part = joined(sorted(left), near)
+    left = {i: t for i, t in left.items() if part[i] == i}
+    assert 0 < len(left) < len(good) < docs.count() and near
+    kept = docs.where(docs.doc_id.isin(list(left)))
+    times = {r.doc_id: r.times for r in mixing.mix(kept).collect() if r.times}
+    end = corpus_pipeline.run(spark, SF)
+    rows = pieces.decode(end).collect()
+    assert Counter(r.doc_id for r in rows) == times and all(r.decoded == left[r.doc_id] for r in rows)
+    words_by, target = Counter(), {}
+    for r in mixing.mix(kept).collect():
+        words_by[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(words_by[s] - t) <= 60 for s, t in target.items())
