@@ -7,8 +7,6 @@ then selected by length count in the order of a seeded hash.
 
 from __future__ import annotations
 
-from itertools import cycle, islice
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
