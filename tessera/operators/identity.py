@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.functions import passages as P
 from tessera.functions import text as T
 from tessera.operators import classify, graph, identity
 from tessera.sources import html

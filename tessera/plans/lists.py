@@ -9,7 +9,6 @@ from tessera.catalog import query
 from tessera.functions import names as N
 from tessera.functions import text as T
 from tessera.operators import identity
-from tessera.operators import retrieve as R
 from tessera.plans.retrieval import ELIGIBLE, FUSED, LEXICAL, TERMS, VECTOR, fused, gate
 from tessera.plans.scoping import held_names
 from tessera.sources.tables import sql, table
