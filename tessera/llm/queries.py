@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, exact, mixing, pieces, pivots, quality, secret_scan, simhash, toxicity, warc
+from . import align, audit, brown, decontaminate, exact, mixing, pieces, pivots, quality, secret_scan, simhash, toxicity, warc
 from .common import LOWER, UPPER, table
 
 
@@ -50,7 +50,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_mixing, op4_lm_scoring, op5_quality, op6_secrets, op7_simhash, op8_embeddings, op9_warc, op10_exact_dedup)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_pieces, op3_mixing, op4_lm_scoring, op5_quality, op6_secrets, op7_simhash, op8_embeddings, op9_warc, op10_exact_dedup, op11_alignment, op12_decontamination, op13_filter_audit)
+}
 
 
 def _secret_sql() -> str:
@@ -74,7 +89,43 @@ told AS (SELECT rid, {counts}, coalesce(string_agg({base}, ',' ORDER BY a, k) FI
 SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (rid)"""
 
 
+def _audit_sql() -> str:
+    """Every order of the filters as rows; a document meets the first filter of the order that it fails."""
+    names = audit.FILTERS
+    orders = ", ".join(f"f{i} AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l{i})" for i in range(5))
+    apart = " AND ".join(f"l{i} <> l{j}" for i in range(5) for j in range(i))
+    steps = " UNION ALL ".join(f"SELECT l0 || l1 || l2 || l3 || l4 AS filter_order, {i + 1} AS step, l{i} AS f, {' || '.join(["''", *(f'l{j}' for j in range(i))])} AS before FROM orders" for i in range(5))
+    told = "concat(" + ", ".join(f"CASE WHEN {f} THEN '{f}' ELSE '' END" for f in names) + ")"
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * len(regexp_extract_all(w.t, '[A-Z]')) > 2 * length(w.t) AS C,
+    regexp_matches(w.t, '[#$%&*|]') AS D, coalesce(doc_id > first, FALSE) AS E FROM w JOIN first USING (t) LEFT JOIN said USING (doc_id)),
+d AS (SELECT part, {told} AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM flags GROUP BY ALL),
+{orders}, orders AS (SELECT * FROM f0, f1, f2, f3, f4 WHERE {apart}), steps AS ({steps}),
+met AS (SELECT part, filter_order, step, f, fails, n, good, toxic, contains(fails, f) AS bad, translate(before, fails, '') <> before AS gone FROM d, steps),
+sums AS (SELECT part, filter_order, step, f, sum(n) FILTER (WHERE NOT gone AND NOT bad) AS kept, sum(n) FILTER (WHERE bad AND NOT gone) AS removed, sum(n) FILTER (WHERE bad AND gone) AS redundant,
+    sum(n) FILTER (WHERE fails = f) AS unique_fails, sum(good) FILTER (WHERE bad AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE bad AND NOT gone) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))}, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM sums"""
+
+
+_WINDOWS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), {decontaminate.WINDOW}) AS n, unnest(list_transform(range(1, len(w) - least(len(w), {decontaminate.WINDOW}) + 2), lambda i: array_to_string(w[i:i + least(len(w), {decontaminate.WINDOW}) - 1], ' '))) AS x FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+starts AS (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes),
+dw AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS x FROM starts),
+met AS (SELECT rid, n, i, item FROM dw JOIN bw USING (n, x)),
+hit AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM met) GROUP BY rid),
+told AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM met) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN told USING (rid)"""
+
 ORACLE_SQL = {
+    "op12_decontamination": _WINDOWS_SQL,
+    "op13_filter_audit": _audit_sql(),
     "op6_secrets": _secret_sql(),
     "op8_embeddings": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -29,13 +29,14 @@ def rows():
     return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": texts, "lang": [None if i % 9 == 0 else "en" for i in range(len(texts))], "source": [None if i % 7 == 0 else f"src{i % 4}" for i in range(len(texts))], "n_chars": pd.array([None if t is None else len(t) for t in texts], "Int64")})
 
 
-def write(folder, docs, labels, vectors, pages):
+def write(folder, docs, labels, vectors, pages, items):
     folder.mkdir()
     for name, (frame, schema) in {
         "documents": (docs, [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]),
         "labels": (labels, [("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())]),
         "embeddings": (vectors, [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int64())]),
         "pages": (pages, [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]),
+        "benchmark": (items, [("item_id", pa.int64()), ("text", pa.string())]),
     }.items():
         extra = [c for c in CLASH if c not in frame and (name, c) not in {("labels", "quality"), ("labels", "toxic")}]
         frame = frame.assign(**{c: 7 for c in extra})
@@ -53,14 +54,15 @@ def small(tmp_path_factory):
     html = ["<p>" + "é" * 600 + "</p>"] * 3 + ["<p>small</p>"] * 3 + [None, "", "<html>" + "z" * 200000 + "</html>"]
     pages = pd.DataFrame({"page_id": pd.array([1, 2, 2, 3, 4, 5, 6, None, 8], "Int64"), "url": ["http://A.example.com/x y", None, "", "no url", "https://b.org/?q=1", "http://a.example.com/x y", "x\r\ny", "http://c", "http://d/"], "html": html})
     vectors = pd.DataFrame({"vec_id": pd.array([*range(len(vec) - 1), None], "Int64"), "embedding": vec, "label": 0})
+    items = pd.DataFrame({"item_id": pd.array([10, 9, 9, None, 2, 3, 4], "Int64"), "text": [docs.text[2], docs.text[3], "A-B", "one two", None, "...", docs.text[2]]})
     root = tmp_path_factory.mktemp("small")
-    return write(root / "full", docs, labels, vectors, pages), write(root / "none", docs[:0], labels[:0], vectors[:0], pages[:0]), docs, pages, vectors
+    return write(root / "full", docs, labels, vectors, pages, items), write(root / "none", docs[:0], labels[:0], vectors[:0], pages[:0], items[:0]), docs, pages, vectors
 
 
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_edges_and_empty_tables(spark, small, name):
     full, none, docs, pages, vectors = small
-    n = {"op8_embeddings": len(vectors), "op9_warc": len(pages)}.get(name, len(docs))
+    n = {"op8_embeddings": len(vectors), "op9_warc": len(pages), "op13_filter_audit": 600 * (docs.source.nunique() + 1)}.get(name, len(docs))
     got = queries.QUERIES[name](spark, full).toPandas()
     assert len(got) == n
     assert queries.QUERIES[name](spark, none).count() == 0
@@ -73,7 +75,7 @@ def test_edges_and_empty_tables(spark, small, name):
 def test_oracle(spark, name):
     own = queries.QUERIES[name](spark, SF).toPandas()
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     other = db.execute(queries.ORACLE_SQL[name]).fetchdf()[list(own.columns)]
     text = lambda x: x.astype(object).where(x.notna(), None).map(lambda v: "-" if v is None else str(int(v)) if isinstance(v, float) else str(v)).sort_values(list(own.columns)).reset_index(drop=True)
