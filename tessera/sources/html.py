@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from typing import Iterator
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.passages import _LABEL, entry_heading
 
@@ -29,11 +31,12 @@ WAYS = {"main", "home", "back", "next", "previous", "back to top", "buy a copy"}
 ADVERTS = {"(advertising)", "(advertisement)", "(adversting)", "advertisement"}
 DOCUMENTS = {"", ".htm", ".html", ".txt"}
 
-_TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/]""")
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_MARK = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)|</")
+_KEY = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+)?+")
+_BARE = re.compile(r"[^\s>]*+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str  # text, start or end
     name: str
@@ -42,15 +45,40 @@ class Token:
     end: int
 
 
+def _rest_of_tag(source: str, at: int) -> tuple[dict[str, str], int, bool] | None:
+    """The attributes of a tag whose name ends at `at`, where the tag ends, whether it closes itself; None if the page ends first."""
+    found: dict[str, str] = {}
+    while True:
+        m = _KEY.match(source, at)
+        at = m.end()
+        if at == len(source):
+            return None
+        if m[1] is None:  # only white space and slashes: the tag's end
+            return found, at + 1, source[at - 1] == "/"
+        value = ""
+        if m[2]:
+            quote = source[at]
+            if quote in "\"'":
+                stop = source.find(quote, at + 1)
+                if stop < 0:
+                    return None
+                value, at = source[at + 1 : stop], stop + 1
+            else:
+                value = _BARE.match(source, at)[0]
+                at += len(value)
+        found.setdefault(m[1].lower(), html.unescape(value))
+
+
 def tokens(source: str) -> Iterator[Token]:
-    """The texts and tags of a page in order; comments and declarations are passed over, texts are unescaped. An open comment
-    or raw element reaches to the page's end, so each character is passed once."""
+    """The texts and tags of a page in order; comments and declarations are passed over, texts are unescaped. An open comment,
+    raw element or tag reaches to the page's end, and the tag is none, so each character is passed once."""
     low, at, place = source.lower(), 0, 0
 
     def step(to: int) -> tuple[int, int]:
         nonlocal at, place
         before = place
-        place += len(source[at:to].encode("utf-8", "surrogatepass"))
+        own = source[at:to]
+        place += len(own) if own.isascii() else len(own.encode("utf-8", "surrogatepass"))
         at = to
         return before, place
 
@@ -60,22 +88,20 @@ def tokens(source: str) -> Iterator[Token]:
             yield Token("text", own, {}, *step(to))
 
     seek = 0
-    while m := _TOKEN.search(source, seek):
+    while m := _MARK.search(source, seek):
+        yield from text(m.start())
         if m[2] is None:  # a comment or a declaration
             stop = source.find("-->", m.end()) if m[0] == "<!--" else source.find(">", m.end())
-            yield from text(m.start())
             seek = len(source) if stop < 0 else stop + (3 if m[0] == "<!--" else 1)
             step(seek)
             continue
-        yield from text(m.start())
-        name = m[2].lower()
-        attributes: dict[str, str] = {}
-        if not m[1]:
-            for a in _ATTRIBUTE.finditer(m[3]):
-                attributes.setdefault(a[1].lower(), html.unescape(next((x for x in a.groups()[1:] if x is not None), "")))
-        yield Token("end" if m[1] else "start", name, attributes, *step(m.end()))
-        seek = m.end()
-        if name in RAW and not m[1] and not m[3].rstrip().endswith("/"):
+        rest = _rest_of_tag(source, m.end())
+        if rest is None:
+            step(len(source))
+            return
+        name, (attributes, seek, closed) = m[2].lower(), rest
+        yield Token("end" if m[1] else "start", name, {} if m[1] else attributes, *step(seek))
+        if name in RAW and not m[1] and not closed:
             stop = low.find(f"</{name}", seek)
             seek = len(source) if stop < 0 else stop
             yield from text(seek, plain=name in ("script", "style"))
@@ -88,7 +114,7 @@ def _hides(name: str, attributes: dict[str, str]) -> bool:
     return any(part in HIDDEN_NAMES for a in ("class", "id") for part in re.split("[ _-]", attributes.get(a, "").lower()))
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     key: str
     kind: str
@@ -118,8 +144,10 @@ def page_blocks(source: str) -> list[Block]:
     out: list[Block] = []
     path, above, keys = [""] * 6, "", {}
     stack: list[tuple[str, bool]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of a name, in the stack
     now: Block | None = None
     parts: list[str] = []
+    filled = False  # whether parts hold more than white space
     anchor, emphasis, depth = "", 0, []
 
     def close(end: int) -> None:
@@ -154,9 +182,10 @@ def page_blocks(source: str) -> list[Block]:
                 close(t.start)
                 now, emphasis, depth = Block(t.attributes.get("id") or f"block-{len(out) + 1}", kind, "", "", t.start, 0, HEADINGS.get(t.name, 0)), 0, []
                 parts.clear()
+                filled = False
             if not hidden and t.name == "a":
                 name = t.attributes.get("id") or t.attributes.get("name")
-                if name and (now is None or not "".join(parts).strip()):
+                if name and (now is None or not filled):
                     anchor = name
             if now is not None:
                 if t.name == "a":
@@ -171,21 +200,24 @@ def page_blocks(source: str) -> list[Block]:
                 elif t.name == "br":
                     parts.append("\n")
             if t.name not in VOID:
+                places.setdefault(t.name, []).append(len(stack))
                 stack.append((t.name, hidden))
         elif t.kind == "end":
             if now is not None and now.kind == ("heading" if t.name in HEADINGS else "paragraph" if t.name in PARAGRAPHS else ""):
                 close(t.end)
             if t.name in ("b", "strong") and emphasis:
                 emphasis -= 1
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == t.name:
-                    del stack[k:]
-                    break
+            if own := places.get(t.name):
+                k = own[-1]
+                for inner, _ in stack[k:]:  # an end tag ends what is still open within its element
+                    places[inner].pop()
+                del stack[k:]
             while depth and depth[-1] >= len(stack):
                 depth.pop()
         elif now is not None and not (stack and stack[-1][1]):
             parts.append(" " + " ".join(t.name.split()) if t.name.strip() else " ")
             if t.name.strip():
+                filled = True
                 now.bold = now.bold and emphasis > 0
                 now.linked += len(t.name.strip()) if depth else 0
     close(last)
@@ -287,15 +319,26 @@ def inspected(url: str, source: str, most: int = 600) -> tuple[str, str, int, in
 
 
 def _mapped(pages: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in zip(*(frame[c] for c in columns)):  # a page at a time, so memory follows the longest page
-                if rows := f(*row):
-                    yield pd.DataFrame(rows, columns=names)
-
-    return pages.select(*columns).mapInPandas(task, schema)
+    kind = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch[c] for c in columns)):  # what a task holds is bounded by bytes, or one page
+                row = [x.as_py() for x in row]
+                rows += f(*row)
+                size += len(row[-1])
+                if size > 1 << 21:
+                    yield from _batch(rows, kind)
+                    rows, size = [], 0
+        yield from _batch(rows, kind)
+
+    return pages.select(*columns).mapInArrow(task, schema)
+
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kind.types)], schema=kind)
 
 
 def blocks(pages: DataFrame) -> DataFrame:
