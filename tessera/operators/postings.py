@@ -2,7 +2,7 @@
 
 A text's words are runs of letters and digits. The `simple` kind keeps them in lower case; the `english` kind leaves out
 stop words, which still count as positions, and stems the rest. A posting keeps at most 256 positions, none beyond 16,383.
-Stored postings lie in buckets by lexeme, sorted within, so a question reads only its own lexemes.
+They are kept in an index (operators/index.py), so a question reads only its own lexemes.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ import re
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import STOP, stem
 
-POSITIONS, LAST, WEIGHT, BUCKETS = 256, 16_383, 0.1, 64
+POSITIONS, LAST, WEIGHT = 256, 16_383, 0.1
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,23 +49,6 @@ def postings(docs: DataFrame, english: bool, key: str = "doc_id", text: str = "t
     return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(task, f"lexeme string, {key} {kind}, positions array<int>")
 
 
-def _bucket(lexeme: Column) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int")
-
-
-def store(own: DataFrame, folder: str) -> DataFrame:
-    """The postings in folder, by bucket of the lexeme and sorted within."""
-    rows = own.withColumn("bucket", _bucket(F.col("lexeme")))
-    rows.repartition("bucket").sortWithinPartitions("lexeme").write.partitionBy("bucket").parquet(folder)
-    return own.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
-def of_terms(spark: SparkSession, stored: DataFrame, terms: list[str]) -> DataFrame:
-    """The stored postings of a question's lexemes; other buckets and other parts of a bucket's files are not read."""
-    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t")).alias("b")).distinct().collect()]  # of one question
-    return stored.where(F.col("bucket").isin(buckets) & F.col("lexeme").isin(terms)).drop("bucket")
-
-
 def covers(places: list[list[int]], weight: float = WEIGHT) -> float:
     """Cover density: over the shortest spans that hold every lexeme, weight / (1 + other words in the span)."""
     merged = sorted((p, k) for k, own in enumerate(places) for p in own)

@@ -10,6 +10,7 @@ from tessera.catalog import query
 from tessera.functions import text as T
 from tessera.operators import postings as P
 from tessera.operators import retrieve as R
+from tessera.operators.index import Index
 from tessera.sources.tables import table
 
 ELIGIBLE = "elig AS (SELECT d.* FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND l.toxic = 0))"
@@ -37,10 +38,12 @@ def vector_list(spark: SparkSession, sf_dir: str, most: int = 40, vec: int = 1)
 
 
 def lexical_list(spark: SparkSession, sf_dir: str, most: int = 40, item: int = 0) -> DataFrame:
-    question = F.broadcast(table(spark, sf_dir, "benchmark").where(F.col("item_id") == item).select(T.query_terms(F.col("text"), most=10_000).alias("terms")).limit(1))
-    rows = gate(spark, sf_dir).select("doc_id", "source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words")).join(question)
-    hits = F.size(F.filter("words", lambda w: F.array_contains("terms", w)))
-    return R.ranked(rows.select("doc_id", "source", hits.alias("hits")).where("hits > 0"), 0.1 * F.col("hits"), most).select("doc_id", "source", "list_score", "rank")
+    """The list of one item by the occurrences of its terms, from the documents' index."""
+    docs = table(spark, sf_dir, "documents")
+    terms = T.query_terms(F.col("text"), most=1 << 30)
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") == item).select(F.col("item_id").alias("question"), F.explode(terms).alias("lexeme")).distinct()
+    found = Index.of(docs, "plain").best(asked, most, gate(spark, sf_dir).select("doc_id"))
+    return docs.select("doc_id", "source").join(F.broadcast(found.withColumnRenamed("key", "doc_id")), "doc_id").select("doc_id", "source", (0.1 * F.col("hits")).alias("list_score"), "rank")  # `most` rows
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +106,10 @@ UNION ALL SELECT b.item_id, s.doc_id, s.source, 0, s.place, true FROM (SELECT DI
 def worksheet_candidates(spark, sf_dir):
     """Candidates for every benchmark item, of one without hits the first eligible documents."""
     items = table(spark, sf_dir, "benchmark")
-    terms = items.select("item_id", F.explode(T.query_terms(F.col("text"), most=1 << 30)).alias("w")).distinct()
+    terms = items.select("item_id", F.explode(T.query_terms(F.col("text"), most=1 << 30)).alias("lexeme")).distinct()
     eligible = gate(spark, sf_dir)
-    words = eligible.select("doc_id", "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("doc_id", "source", "w").count()
-    hits = counts.join(F.broadcast(terms), "w").groupBy("item_id", "doc_id", "source").agg(F.sum("count").alias("hits"))
+    met = Index.of(table(spark, sf_dir, "documents"), "plain").postings(terms).join(terms, "lexeme")
+    hits = met.groupBy("item_id", F.col("key").alias("doc_id")).agg(F.sum("n").alias("hits")).join(eligible.select("doc_id", "source"), "doc_id")
     order = [F.desc("hits"), "doc_id"]
     near = hits.withColumn("place", F.row_number().over(Window.partitionBy("item_id", "source").orderBy(*order)).cast("long")).where("place <= 5")
     own = near.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where("r <= 10").drop("r")

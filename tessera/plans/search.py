@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import text as T
 from tessera.operators import postings as P
-from tessera.operators.store import new_folder
+from tessera.operators.index import Index
 from tessera.plans.retrieval import ELIGIBLE, STOP_SQL, gate
 from tessera.sources.tables import table
 
+EVERY = 1 << 30
 _WORDS = r"""words AS (SELECT doc_id, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM elig)),
 kept AS (SELECT doc_id, w, least(p, 16383) AS p FROM words QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY p) <= 256 AND count(*) FILTER (WHERE p >= 16383) OVER (PARTITION BY doc_id, w ORDER BY p) <= 1)"""
 _ASKED = f"asked AS (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM benchmark)) WHERE length(w) >= 3 AND w NOT IN ({STOP_SQL}) GROUP BY item_id, w)"
 
 
-def stored(spark, sf_dir, english: bool):
-    return P.store(P.postings(gate(spark, sf_dir).select("doc_id", "text"), english), new_folder(spark, "postings"))
-
-
 def asked(spark, sf_dir, most: int, english: bool = False):
     """(item_id, lexeme, wanted): the distinct lexemes of the first `most` terms of each benchmark item."""
     terms = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.query_terms(F.col("text"), most=most)).alias("n", "lexeme"))
@@ -35,7 +32,11 @@ def asked(spark, sf_dir, most: int, english: bool = False):
 
 
 def matched(spark, sf_dir, most: int, english: bool):
-    return stored(spark, sf_dir, english).join(asked(spark, sf_dir, most, english), "lexeme")
+    """The postings of the items' lexemes in documents that pass the gate, read from the index of the documents."""
+    own = asked(spark, sf_dir, most, english)
+    rows = Index.of(table(spark, sf_dir, "documents"), "english" if english else "simple").postings(own)
+    rows = rows.select("lexeme", F.col("key").alias("doc_id"), "positions").join(gate(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    return rows.join(own, "lexeme")
 
 
 @query(f"WITH {ELIGIBLE}, {_WORDS} SELECT w AS lexeme, doc_id, CAST(count(*) AS INTEGER) AS n, CAST(min(p) AS INTEGER) AS first, CAST(max(p) AS INTEGER) AS last FROM kept GROUP BY ALL")
@@ -52,14 +53,17 @@ def fts_any(spark, sf_dir):
     return P.best(ranked, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {ELIGIBLE}, {_WORDS}, {_ASKED}, two AS (SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 2),
-met AS (SELECT item_id, doc_id, w, p, lag(w) OVER (PARTITION BY item_id, doc_id ORDER BY p) AS before, lag(p) OVER (PARTITION BY item_id, doc_id ORDER BY p) AS prior FROM kept JOIN two USING (w)),
-hit AS (SELECT item_id, doc_id, sum(0.1::DOUBLE / (p - prior)) AS s FROM met WHERE before <> w GROUP BY ALL)
-SELECT item_id, doc_id, round(s, 6) AS score FROM hit""")
+@query(f"""WITH {ELIGIBLE}, {_WORDS}, {_ASKED}, want AS (SELECT item_id, count(*) AS n FROM asked GROUP BY item_id),
+whole AS (SELECT item_id, doc_id FROM kept JOIN asked USING (w) JOIN want USING (item_id) GROUP BY item_id, doc_id, n HAVING count(DISTINCT w) = n),
+met AS (SELECT item_id, doc_id, w, p, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY p) AS i FROM kept JOIN asked USING (w) JOIN whole USING (item_id, doc_id)),
+last AS (SELECT e.item_id, e.doc_id, e.i AS e, m.w, max(m.i) AS s FROM met e JOIN met m ON m.item_id = e.item_id AND m.doc_id = e.doc_id AND m.i <= e.i GROUP BY ALL),
+span AS (SELECT item_id, doc_id, e, min(s) AS s FROM last JOIN want USING (item_id) GROUP BY item_id, doc_id, e, n HAVING count(*) = n),
+cover AS (SELECT item_id, doc_id, s, min(e) AS e FROM span GROUP BY ALL)
+SELECT c.item_id, c.doc_id, round(sum(0.1::DOUBLE / (1 + b.p - a.p - (e - s))), 6) AS score FROM cover c JOIN met a ON a.item_id = c.item_id AND a.doc_id = c.doc_id AND a.i = s JOIN met b ON b.item_id = c.item_id AND b.doc_id = c.doc_id AND b.i = e GROUP BY ALL""")
 def fts_all(spark, sf_dir):
-    """Texts that hold both of an item's first two terms, by cover density: every text, not only the best."""
-    ranked = P.rank_all(matched(spark, sf_dir, 2, False), ["item_id", "doc_id"], F.col("wanted"))
-    return ranked.join(asked(spark, sf_dir, 2).where("wanted = 2").select("item_id").distinct(), "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    """Texts that hold all of an item's terms, by cover density: every text, not only the best."""
+    ranked = P.rank_all(matched(spark, sf_dir, EVERY, False), ["item_id", "doc_id"], F.col("wanted"))
+    return ranked.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
@@ -71,6 +75,6 @@ def fts_english(spark, sf_dir):
 
 @query()
 def fts_english_all(spark, sf_dir):
-    """Texts that hold the stems of all of an item's first three terms, by cover density."""
-    ranked = P.rank_all(matched(spark, sf_dir, 3, True), ["item_id", "doc_id"], F.col("wanted"))
+    """Texts that hold the stems of all of an item's terms, by cover density."""
+    ranked = P.rank_all(matched(spark, sf_dir, EVERY, True), ["item_id", "doc_id"], F.col("wanted"))
     return P.best(ranked, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")

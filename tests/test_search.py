@@ -43,12 +43,19 @@ def test_cover_density_by_brute_force():
         assert abs(P.covers(own) - want) < 1e-12
 
 
-def test_a_question_reads_its_own_lexemes(spark, tmp_path):
+def test_texts_with_all_lexemes(spark):
     docs = spark.createDataFrame([(k, f"word{k} common text {k % 3}") for k in range(500)], "doc_id long, text string")
-    stored = P.store(P.postings(docs, english=False), str(tmp_path / "p"))
-    own = P.of_terms(spark, stored, ["word7", "common"])
-    plan = own._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "In(lexeme" in plan
-    assert own.where("lexeme = 'word7'").count() == 1 and own.count() == 501
-    ranked = P.rank_all(own.withColumn("q", F.lit(1)), ["q", "doc_id"], F.lit(2)).collect()
-    assert [(r.doc_id, round(r.score, 9)) for r in ranked] == [(7, 0.1)]
+    own = P.postings(docs, english=False).where("lexeme in ('word7', 'common')").withColumn("q", F.lit(1))
+    assert [(r.doc_id, round(r.score, 9)) for r in P.rank_all(own, ["q", "doc_id"], F.lit(2)).collect()] == [(7, 0.1)]
+
+
+def test_the_flagship_reads_its_lexemes(spark):
+    """No text is read for the lexical list, and of the index only the buckets of the question's lexemes."""
+    from tessera import catalog  # noqa: F401
+    from tessera.plans.retrieval import lexical_list
+
+    plan = lexical_list(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    physical = lexical_list(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in physical.split("FileScan")[1:] if "lexeme" in x.split("ReadSchema")[0]]
+    assert len(scans) >= 3 and all("bucket" in x.split("PartitionFilters")[1].split("]")[0] for x in scans)
+    assert "regexp_extract_all" not in plan.split("Relation", 1)[1]
