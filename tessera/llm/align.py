@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the bytes of the same texts, by DuckDB within each Arrow partition.
 
-Both tokenizers cut every text at a single space between two other characters that are no white space, so the distinct
-units between such spaces are encoded once per batch of texts, and their tokens laid out on one axis of bytes as two
-interval tables. In DuckDB an ASOF join finds, for each token of the first tokenizer, the token of the second in which
+Both tokenizers cut every text before a single space, and before a single line feed, between two characters that are no
+white space, so the distinct units between such places are encoded once as long as a worker remembers them, and their
+tokens laid out on one axis of bytes as two interval tables. In DuckDB an ASOF join finds, for each token of the first tokenizer, the token of the second in which
 it begins; a range join finds those of the second that begin inside it; together they are the pairs that overlap. Sums
 over windows number the groups between offsets where both end. Each batch also yields how many of its texts hold each
 pair; Spark adds these partial counts up, and a second pass weighs every text's links with them. The counts are
@@ -11,24 +11,33 @@ broadcast in blocks of bounded size, one pass a block.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import save, small_batches
 
 BYTES, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Where both tokenizers cut: their pre-tokenizers split before such a space, and no piece holds a space after a letter.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Where both tokenizers cut: the first splits there before it merges, and no piece of the second holds a space behind
+#: another character, or a line feed.
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 SHIFT = 1 << 24
-#: Characters of texts whose units are told apart together, and of units that are aligned together.
-BATCH, UNITS = 6 << 20, 1 << 19
+#: Characters of texts that are aligned together, and of units that DuckDB takes together; units that a worker remembers,
+#: some 250 bytes each.
+BATCH, UNITS, KEPT = 6 << 20, 1 << 19, 400_000
 
 _LINKS = """
 WITH link AS (
@@ -57,37 +66,44 @@ class Aligner:
         self.a_bytes = [b"".join(byte_of.get(c, c.encode()) for c in self.a.id_to_token(i) or "") for i in range(size)]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in names]
-        if any("▁" in p.lstrip("▁") for p in names):
-            raise ValueError("a piece of the model holds a space after another character; units cannot be cut at spaces")
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in names):
+            raise ValueError("a piece of the model holds a space behind another character, or a line feed; texts cannot be cut there")
         self.db = duckdb.connect(config={"threads": 1})
+        self.clear()
         self.names = np.array([f"{i}{end}" for i in range(max(size, len(names))) for end in ("", ";", "|", ",")], object)
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
 
-    def units(self, texts: list[str]) -> tuple[list[bool], list[list[int]], list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Align the distinct units of texts, none of them empty.
-
-        For each text whether both tokenizers give its bytes back, and its units by number; of the units their groups as
-        text, (tokens of a, of b, groups), and their links: pairs, how often each, and where the pairs of a unit begin.
-        """
-        place: dict[str, int] = {}
-        of = [[place.setdefault(u, len(place)) for u in CUT.split(t)] for t in texts]
-        every, sound, told, counts, pairs, times, sizes = list(place), [], [], [], [], [], []
-        for some in _slices(every, UNITS):
-            ok, *found = self._align(some)
-            for x, new in zip((sound, told), (ok, found[0])):
-                x += new
-            for x, new in zip((counts, pairs, times, sizes), found[1:]):
+    def clear(self) -> None:
+        """Forget the units; texts name theirs by number."""
+        self.place: dict[str, int] = {}
+        self.sound: list[bool] = []
+        self.told: list[str] = []
+        self.counts, self.pairs, self.times, self.first = np.zeros((3, 0), np.int64), *(np.zeros(n, np.int64) for n in (0, 0, 1))
+
+    def units(self, texts: list[str]) -> tuple[list[bool], list[list[int]]]:
+        """For each text, none of them empty, whether both tokenizers give its bytes back, and its units by number. Units that
+        were not met before are aligned: of each its groups as text (told), its tokens of a, of b and its groups (counts),
+        and its links, as pairs, how often each (times), and where those of a unit begin (first)."""
+        if len(self.place) > KEPT:
+            self.clear()
+        old, place = len(self.place), self.place
+        of = [[place.setdefault(u, len(place)) for u in CUT.split(" " + t)] for t in texts]
+        found: list[list[np.ndarray]] = [[self.counts], [self.pairs], [self.times], [self.first]]
+        for some in _slices(list(islice(place, old, None)), UNITS):
+            ok, told, counts, pairs, times, sizes = self._align(some)
+            self.sound += ok
+            self.told += told
+            for x, new in zip(found, (counts, pairs, times, found[3][-1][-1] + np.cumsum(sizes))):
                 x.append(new)
-        good = [all(map(sound.__getitem__, u)) for u in of]
-        join = lambda x, axis=0: np.concatenate(x, axis) if x else np.zeros((3, 0) if axis else 0, np.int64)
-        return good, of, told, join(counts, 1), join(pairs), join(times), np.concatenate([[0], np.cumsum(join(sizes))]).astype(np.int64)
+        self.counts, self.pairs, self.times, self.first = (np.concatenate(x, axis=-1) for x in found)
+        return [all(map(self.sound.__getitem__, u)) for u in of], of
 
     def _align(self, units: list[str]):
-        whole = [" " + u for u in units]
-        a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        # the second adds a space: that of the unit, or before a line feed a token of its own
+        b = [x if u[0] == " " else x[1:] for u, x in zip(units, self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1))]
         get_a, get_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        sound = [b"".join(map(get_a, x)) == u.encode() == b"".join(map(get_b, y)) for u, x, y in zip(whole, a, b)]
+        sound = [b"".join(map(get_a, x)) == u.encode() == b"".join(map(get_b, y)) for u, x, y in zip(units, a, b)]
         some = [i for i, s in enumerate(sound) if s]
         a_table, b_table = self._table(some, a, self.a_size), self._table(some, b, self.b_size)
         self.db.register("a_frame", a_table)
@@ -116,34 +132,41 @@ class Aligner:
     def _table(some: list[int], ids: list[list[int]], size: np.ndarray) -> pd.DataFrame:
         """The interval table of one tokenizer: n in order, unit, id, s and e; units follow each other on one axis."""
         unit = np.repeat(np.array(some, np.int64), [len(ids[i]) for i in some])
-        every = np.array([x for i in some for x in ids[i]], np.int64)
+        every = np.fromiter(chain.from_iterable(ids[i] for i in some), np.int64, len(unit))
         end = np.cumsum(size[every])
         return pd.DataFrame({"n": np.arange(len(every)), "unit": unit, "id": every, "s": end - size[every], "e": end})
 
-    def rows(self, texts: list[str | None]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
+    def rows(self, texts: list[str | None]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
         """The columns of each text, and the pairs of all texts with the number of texts that hold them linked."""
-        out: dict[str, list] = {"n_a": [], "n_b": [], "n_groups": [], "n_links": [], "groups_sha256": [], "pairs": [], "times": []}
-        held = []
-        good, of, told, counts, pairs, times, first = self.units([t for t in texts if t])
-        at = iter(zip(good, of))
-        for t in texts:
-            ok, units = next(at) if t else (False, [])
-            if not ok:
-                for c, x in zip(out.values(), (0, 0, 0, 0, "", [], [])):
-                    c.append(x)
-                continue
-            number, often = np.unique(np.array(units), return_counts=True)
-            from_, to = first[number], first[number + 1]
-            every = np.repeat(from_ - np.concatenate([[0], np.cumsum(to - from_)[:-1]]), to - from_) + np.arange((to - from_).sum())
-            own, back = np.unique(pairs[every], return_inverse=True)
-            n = np.bincount(back, np.repeat(often, to - from_) * times[every], len(own)).astype(np.int64)
-            held.append(own)
-            na, nb, groups = (counts[:, units]).sum(axis=1).tolist()
-            digest = hashlib.sha256(";".join([told[u] for u in units]).encode()).hexdigest()
-            for c, x in zip(out.values(), (na, nb, groups, int(n.sum()), digest, own, n.astype(np.int32))):
-                c.append(x)
-        whole, docs = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-        return out, whole, docs.astype(np.int64)
+        some = [i for i, t in enumerate(texts) if t]
+        good, of = self.units([texts[i] for i in some])
+        some, of = [i for i, ok in zip(some, good) if ok], [u for u, ok in zip(of, good) if ok]
+        size = np.array(list(map(len, of)), np.int64)
+        unit = np.fromiter(chain.from_iterable(of), np.int64, size.sum())
+        # the distinct units of a text, how often each, and their links
+        number, often = np.unique(np.repeat(np.array(some, np.int64), size) << 40 | unit, return_counts=True)
+        text, number = number >> 40, number & (1 << 40) - 1
+        links = self.first[number + 1] - self.first[number]
+        every = np.repeat(self.first[number] - np.cumsum(links) + links, links) + np.arange(links.sum())
+        own, back = np.unique(np.repeat(text, links) << 40 | self.pairs[every], return_inverse=True)  # a pair is less than 2**40
+        times = np.bincount(back, np.repeat(often, links) * self.times[every], len(own)).astype(np.int32)
+        pairs, ends = own & (1 << 40) - 1, np.searchsorted(own >> 40, np.arange(len(texts) + 1)).astype(np.int32)
+        columns = np.zeros((4, len(texts)), np.int64)
+        if some:
+            columns[:3, some] = np.add.reduceat(self.counts[:, unit], np.cumsum(size) - size, axis=1)
+            columns[3] = np.diff(np.concatenate([[0], np.cumsum(times, dtype=np.int64)])[ends])
+        digest = [""] * len(texts)
+        for i, u in zip(some, of):
+            digest[i] = hashlib.sha256(";".join(map(self.told.__getitem__, u)).encode()).hexdigest()
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pairs, times)]
+        whole, docs = np.unique(pairs, return_counts=True)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(digest), *lists], ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]), whole, docs.astype(np.int64)
+
+
+@lru_cache(1)
+def aligner(first: str, second: str) -> Aligner:
+    """A worker's own, also for its later tasks."""
+    return Aligner(first, second)
 
 
 def _slices(texts: list[str], most: int) -> Iterator[list[str]]:
@@ -166,7 +189,7 @@ def _byte_level() -> dict[str, bytes]:
     return {chr(b): bytes([b]) for b in plain} | {chr(256 + i): bytes([b]) for i, b in enumerate(other)}
 
 
-_SCHEMA = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>, docs array<long>"
 
 
 def aligned(docs: DataFrame, first: str = BYTES, second: str = PIECES) -> tuple[DataFrame, DataFrame]:
@@ -177,34 +200,34 @@ def aligned(docs: DataFrame, first: str = BYTES, second: str = PIECES) -> tuple[
     Repeated rows count each; rows without an id are as others; no rows give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
+    kind = to_arrow_schema(T._parse_datatype_string(_SCHEMA))
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Aligner(first, second)
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = aligner(first, second)
+        gc.disable()  # the lists of tokens hold no cycles; what else does is collected with each batch
 
-        def batch(ids: list, texts: list) -> pd.DataFrame:
-            columns, pairs, n = own.rows(texts)
-            columns["pairs"].append(pairs)  # a row more, of the batch itself
-            frame = {"doc_id": pd.array([*ids, None], "Int64")}
-            for c, x in columns.items():
-                x = x if c == "pairs" else [*x, None]
-                frame[c] = pd.array(x, "Int64") if c.startswith("n_") else pd.Series(x, dtype=object)
-            return pd.DataFrame(frame | {"partial": [False] * len(ids) + [True], "docs": pd.Series([None] * len(ids) + [n], dtype=object)})
+        def rows(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+            found, pairs, docs = own.rows(texts)
+            gc.collect()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *found.columns, pa.nulls(len(ids), pa.list_(pa.int64()))], kind.names)
+            whole = {"pairs": [pairs], "docs": [docs]}  # a row more, of the batch itself
+            yield pa.RecordBatch.from_arrays([pa.array(whole.get(f.name, [None]), f.type) for f in kind], kind.names)
 
         ids, texts, size = [], [], 0
-        for frame in frames:
-            for i, t in zip(frame["doc_id"], frame["text"]):
-                ids.append(None if pd.isna(i) else int(i))
+        for batch in batches:
+            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                ids.append(i)
                 texts.append(t)
                 size += len(t or "") + 50
                 if size > BATCH:
-                    yield batch(ids, texts)
+                    yield from rows(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
-            yield batch(ids, texts)
+            yield from rows(ids, texts)
 
-    both = save(docs.select("doc_id", "text").mapInPandas(align, f"doc_id long, {_SCHEMA}, partial boolean, docs array<long>"), "align-texts")
-    part = both.where("partial").select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("x.pairs", "x.docs")
-    return both.where("not partial").drop("partial", "docs"), save(part.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("docs")), "align-pairs")
+    both = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(align, _SCHEMA), "align-texts")
+    part = both.where("docs is not null").select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("x.pairs", "x.docs")
+    return both.where("docs is null").drop("docs"), save(part.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("docs")), "align-pairs")
 
 
 def report(docs: DataFrame, first: str = BYTES, second: str = PIECES, block: int = 1 << 22) -> DataFrame:
@@ -223,19 +246,20 @@ def report(docs: DataFrame, first: str = BYTES, second: str = PIECES, block: int
         some = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(blocks)) == k).toPandas().sort_values("pair")
         shared = spark.sparkContext.broadcast(tuple(some[c].to_numpy() for c in ("pair", "docs", "best")))
 
-        def weigh(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def weigh(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known, docs_of, best = shared.value
-            for frame in frames:
-                for i, (p, t) in enumerate(zip(frame["pairs"], frame["times"])):
-                    if not len(p) or not len(known):
-                        continue
-                    at = np.minimum(np.searchsorted(known, p), len(known) - 1)
-                    n = np.where(known[at] == p, t, 0).astype(np.int64)
-                    frame.iat[i, frame.columns.get_loc("n_best")] += int(n[best[at]].sum())
-                    frame.iat[i, frame.columns.get_loc("count_sum")] += int(n @ docs_of[at])
-                yield frame
-
-        rows = rows.mapInPandas(weigh, rows.schema)
+            for batch in batches:
+                lists, times = batch["pairs"], batch["times"]
+                p, n, ends = lists.flatten().to_numpy(), times.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                at = np.minimum(np.searchsorted(known, p), max(len(known) - 1, 0))
+                n = np.where(known[at] == p, n, 0) if len(known) else n[:0]
+                for name, own in (("n_best", n * best[at]), ("count_sum", n * docs_of[at])):
+                    sums = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], ends])] if len(own) else np.zeros(len(lists) + 1, np.int64)
+                    k = batch.schema.get_field_index(name)
+                    batch = batch.set_column(k, batch.schema.field(k), pa.array(batch[name].to_numpy() + np.diff(sums)))
+                yield batch
+
+        rows = rows.mapInArrow(weigh, rows.schema)
         if k < blocks - 1:
             rows = save(rows, "align-weighed")
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

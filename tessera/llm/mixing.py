@@ -1,12 +1,14 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source and exact length. A source takes whole passes over its documents, an even share of each
-length, and for the budget that then remains a bounded-knapsack dynamic programme over the counts left; documents are
-then selected by length count in the order of a seeded hash.
+Documents are counted by source and exact length. A source takes whole passes over its documents and an even share of each
+length, and for the budget that then remains a bounded-knapsack dynamic programme over changes to these counts finds the
+nearest sum there is; documents are then selected by length count in the order of a seeded hash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,48 +41,92 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return own.withColumn("target", F.least(F.lit(float(most)) * F.col("source_size"), level * F.col("weight"))).select("source", "source_size", "target")
 
 
-def fill(length: np.ndarray, count: np.ndarray, budget: int, table: int = 1 << 15) -> np.ndarray:
-    """How many of each length to take so that their sum comes as near to budget as possible from below.
+def fill(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take so that their sum comes as near to budget as any choice does, from below if two do.
 
-    First, for a budget above `table`, the same share of each length; then, longest first, while the remainder exceeds `table`; then a bounded
-    knapsack over what is left, as bit sets of reachable sums, in chunks of 1, 2, 4 ... of a length. It ends early
-    once the budget is met exactly.
+    First the same share of each length, then, longest first, what still fits. What then lacks is met by taking more of
+    some lengths and less of others: a bounded knapsack over such changes, as bit sets of the sums that they reach, at
+    first of few copies of the shortest lengths, at last of all. It ends early once no choice can be nearer. A nearest
+    choice differs from any start near the budget by at most 2 * longest + 2 documents: in a longer list of changes, put in
+    an order that keeps their sums within the longest length, a sum comes twice, and what lies between can be left
+    out. So no more copies of a length need be tried, whatever the budget.
     """
     sizes, counts = [int(x) for x in length], [int(x) for x in count]
     total = sum(map(int.__mul__, sizes, counts))
     if total <= budget:
         return count.copy()
     # Python's integers: a count times a budget of a large corpus passes 64 bits
-    take = np.array([c * budget // total for c in counts] if budget > table else [0] * len(counts), np.int64)
-    left = budget - sum(map(int.__mul__, sizes, take.tolist()))
-    for i in np.argsort(-length, kind="stable"):
-        if left <= table:
-            break
-        n = min(int(count[i] - take[i]), (left - table) // int(length[i]) + 1, left // int(length[i]))
+    take = [c * budget // total for c in counts]
+    left = budget - sum(map(int.__mul__, sizes, take))
+    short = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    for i in reversed(short):
+        n = min(counts[i] - take[i], left // sizes[i])
         take[i] += n
-        left -= n * int(length[i])
-    sums, kept, mask = 1, [], (1 << (left + 1)) - 1
-    for i in np.argsort(length, kind="stable")[::-1]:
-        size, free, chunk = int(length[i]), int(count[i] - take[i]), 1
-        if size > left:
-            continue
-        free = min(free, left // size)
-        while free > 0:
-            n = min(chunk, free)
-            new = (sums | (sums << (n * size))) & mask
-            if new != sums:
-                kept.append((i, n, sums))
-                sums = new
-            free -= n
-            chunk *= 2
-        if sums >> left & 1:
+        left -= n * sizes[i]
+    step = math.gcd(*sizes)
+    least = min(budget % step, -budget % step)  # sums are its multiples
+    most = 2 * sizes[short[-1]] + 2
+    for lengths, copies in ((16, 4), (64, 8), (256, 16), (len(sizes), 2), (len(sizes), most)):
+        some = short[:lengths]
+        changes = [(i, -n) for i in some for n in _chunks(min(take[i], copies))] + [(i, n) for i in some for n in _chunks(min(counts[i] - take[i], copies))]
+        weights = [sizes[i] * n for i, n in changes]
+        sums, low = _reached(weights, left + sizes[short[-1]], left)  # beyond one more document, one less is nearer
+        gap, at = min(((abs(left - x), x > left, x) for x in _around(sums, low, left)), default=(abs(left), False, 0))[::2]
+        if gap <= least or (lengths, copies) == (len(sizes), most):
+            for k in _used(weights, at):
+                take[changes[k][0]] += changes[k][1]
+            break
+    return np.array(take, np.int64)
+
+
+def _chunks(n: int) -> list[int]:
+    """Numbers whose sums of some are all of 0 to n: 1, 2, 4 ... and the rest."""
+    out = []
+    while n > 0:
+        out.append(min(1 << len(out), n))
+        n -= out[-1]
+    return out
+
+
+def _reached(weights: list[int], high: int, stop: int | None = None) -> tuple[int, int]:
+    """The sums up to high of some of the weights, those below zero first, as a bit set whose bit k stands for low + k, and low.
+    It ends once `stop` is reached."""
+    low = sum(w for w in weights if w < 0)
+    sums, mask = 1 << -low, (1 << max(high - low + 1, 1 - low)) - 1
+    for w in weights:
+        sums |= sums << w & mask if w > 0 else sums >> -w
+        if stop is not None and stop >= low and sums >> (stop - low) & 1:
             break
-    at = sums.bit_length() - 1
-    for i, n, before in reversed(kept):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * int(length[i])
-    return take
+    return sums, low
+
+
+def _around(sums: int, low: int, x: int) -> list[int]:
+    """The sums next to x: the greatest up to x and the least above."""
+    at = max(x - low + 1, 0)
+    below, above = sums & ((1 << at) - 1), sums >> at
+    return [*([low + below.bit_length() - 1] if below else []), *([low + at + (above & -above).bit_length() - 1] if above else [])]
+
+
+def _used(weights: list[int], total: int) -> list[int]:
+    """Places of some weights that add up to total, which their sums reach: halves of the list are split by what each adds, so no
+    more than two bit sets are held at a time."""
+    if len(weights) <= 1:
+        return [0] if weights and total else []
+    half = len(weights) // 2
+    low_a, low_b = (sum(w for w in x if w < 0) for x in (weights[:half], weights[half:]))
+    (a, _), (b, _) = _reached(weights[:half], total - low_b), _reached(weights[half:], total - low_a)
+    first, last = max(low_a, total - (low_b + b.bit_length() - 1)), min(low_a + a.bit_length() - 1, total - low_b)
+    own = _bits(a, first - low_a, last - low_a)
+    other = _bits(b, total - last - low_b, total - first - low_b)[::-1]
+    x = first + int(np.argmax(own & other))
+    return [*_used(weights[:half], x), *(half + k for k in _used(weights[half:], total - x))]
+
+
+def _bits(sums: int, first: int, last: int) -> np.ndarray:
+    """Bits first to last of a bit set, as booleans."""
+    n = last - first + 1
+    raw = ((sums >> first) & ((1 << n) - 1)).to_bytes((n + 7) // 8, "little")
+    return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n).astype(bool)
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = 50_000, keep: str | None = None) -> DataFrame:
@@ -102,24 +148,17 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
         frame = frame.sort_values("size")
         size, n = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
         whole, target = int(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
-        passes = int(min(target // whole, most)) if whole else 0
-        budget = int(round(target - passes * whole))
-        extra = np.zeros((size > 0).sum(), np.int64)
-        if passes < most and budget > 0:
-            own, many = size[size > 0], n[size > 0]
-            extra = fill(own, many, budget)
-            if (gap := budget - int(extra @ own)) > 0:  # nearer if a document may be taken again or left out of a pass
-                less = max(passes - 1, 0)
-                other = fill(own, many * (most - less), budget + (passes - less) * whole)
-                if budget + (passes - less) * whole - int(other @ own) < gap:
-                    passes, extra = less, other
-        return pd.DataFrame({"source": frame["source"], "size": size, "n": n, "source_size": whole, "target": target, "passes": passes, "extra": np.concatenate([np.zeros((size == 0).sum(), np.int64), extra])})
+        extra = np.zeros(len(size), np.int64)
+        if (size > 0).any():
+            extra[size > 0] = fill(size[size > 0], n[size > 0] * most, round(target))  # whole passes are shares of all lengths
+        return pd.DataFrame({"source": frame["source"], "size": size, "n": n, "source_size": whole, "target": target, "extra": extra})
 
     t = targets.withColumnRenamed("source", "__s")
     joined = counts.join(t, F.col("source").eqNullSafe(F.col("__s"))).select("source", "size", "n", "source_size", "target")
-    plans = save(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, passes long, extra long"), "mix-plan")
-    p = plans.select(F.col("source").alias("__s"), F.col("size").alias("__l"), "n", "source_size", "target", "passes", "extra")
-    rows = own.join(p, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__l")))
+    plans = save(joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, extra long"), "mix-plan")
+    p = plans.select(F.col("source").alias("__s"), F.col("size").alias("__l"), "n", "source_size", "target", "extra")
+    every = own.join(p, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__l")))
+    rows, empty = every.where("size > 0"), every.where("size = 0")  # texts without words are never taken, so none is ordered
     blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
     unit = F.col("order").cast("double") / F.lit(2.0**64) + 0.5  # 0 to 1, ascending with the hash
     rows = rows.withColumn("__b", F.least(F.floor(unit * blocks), blocks - 1).cast("long"))
@@ -129,9 +168,9 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("order", "doc_id", "__n"))
     rows = rows.withColumn("__r", rank).join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("__b") == F.col("___b")), "left")
     place = F.coalesce("__before", F.lit(0)) + F.col("__r")
-    times = F.col("passes") + F.floor(F.col("extra") / F.col("n")) + (place <= F.col("extra") % F.col("n")).cast("long")
-    times = F.when(F.col("size") > 0, times).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *kept)
+    times = F.floor(F.col("extra") / F.col("n")) + (place <= F.col("extra") % F.col("n")).cast("long")
+    told = lambda df, x: df.select("doc_id", "source", "size", "source_size", "target", x.cast("long").alias("times"), (x * F.col("size")).cast("long").alias("taken"), *kept)
+    return told(rows, times).unionByName(told(empty, F.lit(0)))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
