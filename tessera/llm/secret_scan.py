@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_or_empty
+from .common import maybe_in, save, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -232,7 +232,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     own = docs.select("doc_id", text_or_empty("text").alias("text"))
     cand = save(candidates(build_index(own, rules), rules), "secret-candidates")
-    rows = own.join(cand, "doc_id", "left").select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.coalesce("rules", F.lit(0))).alias("rules"))
+    own = maybe_in(own, cand, "doc_id", "may")  # only texts that may be candidates are shuffled
+    met = own.where("may").join(cand, "doc_id", "left").select("doc_id", "text", F.coalesce("rules", F.lit(0)).alias("rules"))
+    rest = own.where("not may").select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast(cand.schema["rules"].dataType).alias("rules"))
+    rows = met.unionByName(rest)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, r in enumerate(map(_scanned, rules)):

@@ -16,13 +16,15 @@ import zlib
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, fresh_path, partitions, save
+from .common import first_by_hash, fresh_path, maybe_in, partitions, save
 from .simhash import whole_groups
 
 LEAST, ROLL, CHUNK = 1000, 64 << 20, 1 << 16
+#: Runs that a task merges at once.
+WIDTH = 256
 #: The first capture time, that of page 0 and of pages without an id; a page's id adds as many seconds, going round after some 63 years.
 FIRST, SECONDS, ROUND = "20000101000000", 946684800, 2_000_000_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -148,18 +150,23 @@ class LoserTree:
 
 
 def _slice(path: str, start: int, length: int) -> Iterator[tuple]:
-    """Captures of a byte slice of a run, read in chunks; no file stays open between them."""
+    """Captures of a byte slice of a run, read in chunks."""
     filesystem, own = _files(path)
     rest = b""
-    while length:
-        with filesystem.open_input_file(own) as f:
+    with filesystem.open_input_file(own) as f:
+        while length:
             got = f.read_at(min(CHUNK, length), start)
-        start, length = start + len(got), length - len(got)
-        lines = (rest + got).split(b"\n")
-        rest = lines.pop()
-        for line in lines:
-            key, when, page, archive, offset, size = line.split(b" ")
-            yield key, when, _order(None if page == b"-" else int(page)), archive, int(offset), int(size)
+            start, length = start + len(got), length - len(got)
+            lines = (rest + got).split(b"\n")
+            rest = lines.pop()
+            for line in lines:
+                key, when, page, archive, offset, size = line.split(b" ")
+                yield key, when, _order(None if page == b"-" else int(page)), archive, int(offset), int(size)
+
+
+def _line(key: bytes, when: bytes, page: int | None, archive: bytes, offset: int, size: int) -> bytes:
+    """A capture as a line of a run."""
+    return b" ".join([key, when, b"-" if page is None else b"%d" % page, archive, b"%d" % offset, b"%d" % size]) + b"\n"
 
 
 def capture_time(page_id: Column) -> Column:
@@ -174,7 +181,7 @@ def clean_url(url: Column) -> Column:
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, url, html, refers_to, refers_url): of equal payloads of at least `least` bytes, that of the largest page_id
     is the response and the rest refer to it and its URL. Payloads are compared by SHA-256 and length; copies are counted
-    before they meet."""
+    before they meet, and only rows whose digest may have a copy are shuffled with their payloads."""
     own = pages.select("page_id", clean_url(F.col("url")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     size = F.octet_length("html")
     keys = own.where(size >= least).select("page_id", "url", F.sha2("html", 256).alias("sha"))
@@ -182,8 +189,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     groups = save(groups.select("sha", F.col("keep.page_id").alias("keep"), F.col("keep.url").alias("refers_url")), "warc-groups")
     back = keys.join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("keep")))
     back = save(back.select(F.col("page_id").alias("__page"), F.col("sha").alias("__sha"), F.col("keep").alias("refers_to"), "refers_url").distinct(), "warc-revisits")
-    own = own.withColumn("__own", F.when(size >= least, F.sha2("html", 256)))
-    return own.join(back, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__own") == F.col("__sha")), "left").select("page_id", "url", "html", "refers_to", "refers_url")
+    own = maybe_in(own.withColumn("__own", F.when(size >= least, F.sha2("html", 256))), back.select(F.col("__sha").alias("__own")), "__own", "__may")
+    met = own.where("__may").join(back, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__own") == F.col("__sha")), "left").select("page_id", "url", "html", "refers_to", "refers_url")
+    none = F.lit(None)
+    rest = own.where("not __may").select("page_id", "url", "html", none.cast(back.schema["refers_to"].dataType).alias("refers_to"), none.cast("string").alias("refers_url"))
+    return met.unionByName(rest)
 
 
 def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFrame:
@@ -219,7 +229,7 @@ def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFra
                         run = filesystem.open_output_stream(f"{base}/{name}.cdx", compression=None)
                     raw = _packed(record(page, url, ts, html.encode("utf-8", "surrogatepass"), refers, refers_url, refers_ts), level)
                     out.write(raw)
-                    line = b" ".join([key.encode(), ts.encode(), b"-" if page is None else b"%d" % page, archive.encode(), b"%d" % at, b"%d" % len(raw)]) + b"\n"
+                    line = _line(key.encode(), ts.encode(), page, archive.encode(), at, len(raw))
                     run.write(line)
                     part = slices.setdefault(bisect.bisect_right(cuts, (key.encode(), ts.encode(), _order(page))), [place, 0])
                     part[1] += len(line)
@@ -234,8 +244,33 @@ def write(pages: DataFrame, folder: str, ranges: int, level: int = 5) -> DataFra
     return own.sortWithinPartitions("key", "ts", F.asc_nulls_first("page_id")).mapInPandas(task, "range int, run string, start long, length long")
 
 
+def narrow(slices: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
+    """slices of at most `width` runs a range: passes that merge `width` runs at a time to one, below folder. So no task holds
+    more open files, and a range's merge is spread over tasks while it has many runs."""
+    while (slices.groupBy("range").count().agg(F.max("count")).first()[0] or 0) > width:
+        place = F.row_number().over(Window.partitionBy("range").orderBy("run", "start")) - 1
+        groups = slices.withColumn("part", F.floor(place / width).cast("int"))
+
+        def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            filesystem, base = _files(folder)
+            for frame in whole_groups(frames, ["range", "part"]):
+                for (number, _), own in frame.groupby(["range", "part"]):
+                    name, length = f"{uuid.uuid4().hex}.cdx", 0
+                    with filesystem.open_output_stream(f"{base}/{name}", compression=None) as out:
+                        for key, ts, (there, page), *rest in LoserTree([_slice(*x) for x in zip(own["run"], own["start"].tolist(), own["length"].tolist())]):
+                            line = _line(key, ts, page if there else None, *rest)
+                            out.write(line)
+                            length += len(line)
+                    yield pd.DataFrame([(number, f"{folder}/{name}", 0, length)], columns=["range", "run", "start", "length"])
+
+        n = partitions(slices.sparkSession)
+        slices = save(groups.repartition(n, "range", "part").sortWithinPartitions("range", "part", "run").mapInPandas(task, "range int, run string, start long, length long"), "warc-slices")
+    return slices
+
+
 def merge(slices: DataFrame) -> DataFrame:
-    """The capture history: (range, position, key, ts, page_id, archive, offset, length), ordered over all ranges."""
+    """The capture history: (range, position, key, ts, page_id, archive, offset, length), ordered over all ranges. Slices of
+    more than WIDTH runs a range are brought down by narrow() first."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["range", "position", "key", "ts", "page_id", "archive", "offset", "length"]
@@ -282,4 +317,4 @@ def roundtrip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = qualified(spark, folder or fresh_path(spark, "warc"))
     slices = save(write(pages, folder, ranges=partitions(spark)), "warc-slices")
-    return read(save(merge(slices), "warc-history"), folder)
+    return read(save(merge(narrow(slices, folder)), "warc-history"), folder)

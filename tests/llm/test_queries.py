@@ -388,16 +388,40 @@ def test_mixing(spark, small):
             assert (sums.taken - sums.target * many).abs().max() <= 30
 
 
-def test_fill_is_exact_when_it_can_be():
+def test_fill_is_nearest_by_brute_force():
+    """On both sides, below where two are as near, for lengths of any size."""
+    from itertools import product
+
     from tessera.llm.mixing import fill
 
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        size = np.unique(rng.integers(1, 12, 5))
-        n = rng.integers(0, 4, len(size))
-        budget = int(rng.integers(0, size @ n + 3))
-        take = fill(size, n, budget)
-        assert (take >= 0).all() and (take <= n).all() and take @ size <= budget
+    for most in (12, 60, 100_000):
+        for _ in range(120):
+            size = np.unique(rng.integers(1, most, 5))
+            n = rng.integers(1, 4, len(size))
+            budget = int(rng.integers(0, size @ n + 3))
+            take = fill(size, n, budget)
+            near = min((abs(s - budget), s > budget) for s in {int(size @ x) for x in product(*(range(c + 1) for c in n))})
+            assert (take >= 0).all() and (take <= n).all() and (abs(take @ size - budget), take @ size > budget) == near
+    assert fill(np.array([49_999, 50_001, 65_000]), np.array([1, 1, 1]), 100_000).tolist() == [1, 1, 0]
+    assert fill(np.array([60_000]), np.array([3]), 44_625).tolist() == [1]
+    assert fill(np.array([3, 1000]), np.array([1, 10**6]), 500_499) @ np.array([3, 1000]) == 500_003
+    assert fill(np.array([1000, 3000]), np.array([10**6, 7]), 10**8 + 501) @ np.array([1000, 3000]) == 10**8 + 1000
+
+
+def test_mix_of_texts_beyond_a_table(spark):
+    """Sources of long texts take the nearest sum that any choice of up to three uses gives."""
+    from itertools import product
+
+    from tessera.llm import mixing
+
+    size = {"a": [33_000, 40_001], "b": [49_999, 50_001, 65_000], "c": [60_000], None: [10, 7]}
+    rows = [(i, "w " * n, s) for s, ns in size.items() for i, n in enumerate(ns)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for s, ns in size.items():
+        own = got[got.source.isna() if s is None else got.source == s]
+        sums = {sum(x * n for x, n in zip(xs, ns)) for xs in product(range(4), repeat=len(ns))}
+        assert abs(abs(own.taken.sum() - own.target.iloc[0]) - min(abs(x - own.target.iloc[0]) for x in sums)) <= 1
 
 
 def test_fill_beyond_64_bits():
@@ -714,7 +738,12 @@ def test_warc_runs_of_any_ids(spark, tmp_path):
 
     ids = [None, -1, 5, -(1 << 62), 1 << 62, 0, None, 5, 2_000_000_003, 3, -2] * 3
     pages = spark.createDataFrame([(i, "http://a.b/" + "xy"[k % 2], "t" * (k % 4 * 600)) for k, i in enumerate(ids)], "page_id long, url string, html string").repartition(7)
-    h = warc.merge(save(warc.write(pages, f"file:{tmp_path}/w", ranges=4), "t")).toPandas().sort_values(["range", "position"])
+    slices = save(warc.write(pages, f"file:{tmp_path}/w", ranges=4), "t")
+    h = warc.merge(slices).toPandas().sort_values(["range", "position"])
+    wide = warc.narrow(slices, f"file:{tmp_path}/w", width=2)  # several passes
+    assert wide.groupBy("range").count().where("count > 2").count() == 0 < slices.groupBy("range").count().where("count > 4").count()
+    same = ["range", "position", "key", "ts", "page_id"]
+    assert warc.merge(wide).toPandas().sort_values(["range", "position"])[same].astype(str).values.tolist() == h[same].astype(str).values.tolist()
     keys = [(k, t, (0, 0) if pd.isna(p) else (1, p)) for k, t, p in zip(h.key, h.ts, h.page_id)]
     assert keys == sorted(keys) and Counter(x[2][1] if x[2][0] else None for x in keys) == Counter(ids)
 
@@ -810,3 +839,21 @@ def test_pipeline_by_brute_force(spark):
         words_by[r.source] += r.taken
         target[r.source] = r.target
     assert all(abs(words_by[s] - t) <= 60 for s, t in target.items())
+
+
+@pytest.mark.parametrize("name", ["op6_secrets", "op9_warc"])
+def test_texts_that_match_nothing_are_not_shuffled(spark, monkeypatch, name):
+    """Without broadcasts: the shuffles that hold texts follow a filter by the bits of what may match."""
+    from tessera.llm import secret_scan, warc
+    from tessera.llm.common import table
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = secret_scan.scan(table(spark, SF, "documents")) if name == "op6_secrets" else warc.with_revisits(table(spark, SF, "pages"))
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "bitmap_construct_agg" in plan and "Union" in plan.split("\n")[0] + plan.split("\n")[1]
+        before = rows.toPandas().astype(str).sort_values(list(rows.columns)).values.tolist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = secret_scan.scan(table(spark, SF, "documents")) if name == "op6_secrets" else warc.with_revisits(table(spark, SF, "pages"))
+    assert rows.toPandas().astype(str).sort_values(list(rows.columns)).values.tolist() == before
