@@ -71,8 +71,11 @@ def only_scope(q: Column, names: tuple[str, ...]) -> Column:
 
 def search_plan(raw: Column, original: Column) -> Column:
     """The two searches of a JSON plan, or null: they must have 8 to 160 bytes, stand on one line, and differ from each other
-    and from the question."""
-    asked = F.transform(F.from_json(F.trim(raw), "queries array<string>")["queries"], lambda x: F.trim(x))
+    and from the question. Nothing may stand before or behind the plan: it is read within an object whose last value, which
+    no plan can know, must be met."""
+    seal = F.sha2(raw, 256)
+    whole = F.from_json(F.concat(F.lit('{"plan":'), raw, F.lit(',"seal":"'), seal, F.lit('"}')), "plan struct<queries:array<string>>, seal string")
+    asked = F.transform(F.when(whole["seal"] == seal, whole["plan"]["queries"]), lambda x: F.trim(x))
     own = F.transform(asked, lambda x: F.lower(x))
     sound = F.forall(asked, lambda x: F.octet_length(x).between(8, 160) & ~x.rlike(r"[\r\n]"))
     return F.when((F.size(asked) == 2) & sound & (own[0] != own[1]) & ~F.array_contains(own, F.lower(F.trim(original))), asked)

@@ -137,19 +137,22 @@ def valid_set(values, allowed: tuple[str, ...]):
 
 @query("SELECT b.item_id, CAST(count(*) AS BIGINT) AS n FROM benchmark b JOIN (SELECT DISTINCT lang, source FROM documents) d ON contains(' ' || trim(regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' ' || lower(d.lang) || ' ') GROUP BY b.item_id")
 def names_in_questions(spark, sf_dir):
-    """Questions joined with the names they hold as whole words: a question's runs of up to `most` words against the names, by
-    equality, so no question meets every name."""
+    """Questions joined with the names they hold as whole words: a question's runs of words against the names, by equality, so
+    no question meets every name."""
     named = table(spark, sf_dir, "documents").select("lang", "source").distinct()
     asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return held_names(asked, named.select(F.col("lang").alias("name"), "source")).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
-def held_names(questions, named, most: int = 6):
-    """(item_id, name, ...): names (name, ...) of up to `most` words that a question (item_id, text) holds as whole words."""
+def held_names(questions, named):
+    """(item_id, name, ...): names (name, ...) of any length that a question (item_id, text) holds as whole words: its runs of as
+    many words as some name has, against the names by equality."""
+    own = named.withColumn("key", T.norm_name(F.col("name"))).where("key <> ''")
+    sizes = own.agg(F.collect_set(F.size(F.split("key", " "))).alias("sizes"))  # one row, of as many numbers as lengths occur
     words = F.filter(F.split(T.norm_name(F.col("text")), " "), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    keys = questions.select("item_id", words.alias("w")).where("size(w) > 0").select("item_id", F.explode(F.array_distinct(runs)).alias("key"))
-    return keys.join(named.withColumn("key", T.norm_name(F.col("name"))).where("key <> ''"), "key").drop("key")
+    runs = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    keys = questions.select("item_id", words.alias("w")).where("size(w) > 0").crossJoin(F.broadcast(sizes)).select("item_id", F.explode(F.array_distinct(runs)).alias("key"))
+    return keys.join(own, "key").drop("key")
 
 
 @query("""SELECT o_orderkey, l.n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1) l ON l_orderkey = o_orderkey""")

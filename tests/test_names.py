@@ -26,6 +26,23 @@ def test_plans_must_differ_and_fit(told):
     assert told(N.search_plan, *rows) == [["one search here", "second search"], None, None, None, None, ["x" * 8, "y" * 160], None, None, None]
 
 
+def test_plans_stand_alone(told):
+    """Text before or behind a plan, or a second value, makes it no plan; white space and other keys do not."""
+    plan = '{"queries": ["one search here", "second search"]}'
+    rows = [plan + " and more", plan + plan, "x" + plan, plan + "}", plan + ', "seal": "x"}', "```json\n" + plan + "\n```", " \n" + plan + " ", plan[:-1] + ', "why": [1]}']
+    assert told(N.search_plan, *((r, "q") for r in rows)) == [None] * 6 + [["one search here", "second search"]] * 2
+
+
+def test_names_of_any_length(spark):
+    from tessera import catalog  # noqa: F401
+    from tessera.plans.scoping import held_names
+
+    long = "the very long name of one that has more than six words"
+    asked = spark.createDataFrame([(1, f"Who is {long.upper()}?"), (2, "name of one"), (3, None), (4, "")], "item_id int, text string")
+    named = spark.createDataFrame([(long,), ("Name",), ("of one",), ("",), ("x " * 500,)], "name string")
+    assert {(r.item_id, r.name) for r in held_names(asked, named).collect()} == {(1, long), (1, "Name"), (1, "of one"), (2, "Name"), (2, "of one")}
+
+
 def test_names_in_questions(told):
     assert told(N.person_asked, ("Who is Dr. Ada Pell?",), ("tell me about Prof. Pell in medicine",), ("Who was the author of Pell?",), ("who is one two three four five",), ("What is Pell?",), ("who's “Pell”?",)) == ["Ada Pell", "Pell", "", "", "", "Pell"]
     assert told(N.related_names, ("How is Ann Pell related to Dr. Bo Kerr?",), ("Are Pell and pell related?",), ("are A B C D E and F related",), ("what was the relationship between X and Y",), ("why",)) == [("Ann Pell", "Bo Kerr"), None, None, ("X", "Y"), None]
