@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.store import saved
@@ -61,48 +61,77 @@ def states(links: DataFrame, items: DataFrame) -> DataFrame:
     return links.join(last, "target", "left").select(*links.columns, F.col("i.item_id").alias("item_id"), F.coalesce("i.state", F.lit("unresolved")).alias("link_state"))
 
 
-def crawl(items: DataFrame, links: DataFrame, root: str, most_depth: int = 0, most_documents: int = 0) -> tuple[DataFrame, DataFrame]:
-    """What a crawl from root would fetch, breadth first: (url, depth, ordinal, final_url, anchors, state) of documents and
-    links with a state.
+def before(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with a column more: the sum of value over the rows that come before in the order, whose values differ. Ranges of
+    the order are summed on their own and then added up, so no task orders more than a range."""
+    own = saved(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = own.groupBy("__part").agg(F.sum(value).alias("__sum"))  # a row for each range
+    above = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__above"))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(order)) - F.col(value)
+    return own.withColumn("__within", within).join(F.broadcast(above), "__part").withColumn(name, F.col("__within") + F.col("__above")).drop("__part", "__within", "__above")
 
-    items: (url, final_url, state: fetched or failed, anchors); links: (url, number, target, fragment, allowed). Of documents
-    that redirect to one address the first counts, the others are duplicate_redirect and are not followed. A link is queued if
-    it is allowed, new, and within the limits on depth and documents (0: none); the order of links, not of tasks, decides which
-    come first. Queued and repeated links are then resolved by what became of their targets.
+
+def crawl(items: DataFrame, links: DataFrame, root: str, most_depth: int = 0, most_documents: int = 0, most_bytes: int = 0, most_seconds: int = 0, most_links: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What a crawl from root fetches, breadth first: (url, depth, ordinal, final_url, anchors, state) of documents and links
+    with a state, as a queue that takes one document after another would have it.
+
+    items: (url, final_url, state: fetched or failed, anchors, and, if these are limited, bytes and seconds); links: (url,
+    number, target, fragment, allowed). Before each document the limits on documents, bytes and seconds are looked at: the one
+    that passes a limit is still fetched, those behind it are not. Of documents that redirect to one address the first
+    counts, the others are duplicate_redirect and are not followed. Links beyond most_links are left out. A link is queued if it
+    is allowed, new, not too deep, and fewer addresses than most_documents are known then: queued ones and final addresses of the
+    documents up to then. Limits of 0 are none. Queued and repeated links are then resolved by what became of their targets.
     """
     level = saved(items.sparkSession.createDataFrame([(root, "")], "url string, ordinal string"), "crawl")
-    seen, entries, told, known, depth = level.select("url"), [], [], 1, 0
+    seen, entries, told, depth = level.select("url"), [], [], 0
+    fetched, spent, linked = 0, {"bytes": 0, "seconds": 0}, 0
     while not level.isEmpty():
         own = level.join(items, "url", "left").withColumn("state", F.coalesce("state", F.lit("failed")))
+        if most_documents:
+            own = own.orderBy("ordinal").limit(max(most_documents - fetched, 0))
+        for name, most in (("bytes", most_bytes), ("seconds", most_seconds)):
+            if most:
+                own = before(own.withColumn(name, F.coalesce(name, F.lit(0))), "ordinal", name, f"__{name}").where(F.col(f"__{name}") + spent[name] < most)
+        own = saved(own, "crawl")
         landed = own.where("state = 'fetched'").groupBy("final_url").agg(F.min("ordinal").alias("first"))
-        for before in entries:
-            landed = landed.join(before.where("state = 'fetched'").select("final_url"), "final_url", "left_anti")
-        own = own.join(landed, "final_url", "left")
+        for x in entries:
+            landed = landed.join(x.where("state = 'fetched'").select("final_url"), "final_url", "left_anti")
         state = F.when((F.col("state") == "fetched") & ~F.col("ordinal").eqNullSafe(F.col("first")), "duplicate_redirect").otherwise(F.col("state"))
-        own = saved(own.select("url", F.lit(depth).alias("depth"), "ordinal", "final_url", "anchors", state.alias("state")), "crawl")
+        sums = own.agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x, most in (("bytes", most_bytes), ("seconds", most_seconds)) if most)).first()
+        cut = sums.n < level.count()  # a limit was met: this level is the last
+        fetched, spent = fetched + sums.n, {k: v + ((sums[k] or 0) if k in sums else 0) for k, v in spent.items()}
+        own = saved(own.join(landed, "final_url", "left").select("url", F.lit(depth).alias("depth"), "ordinal", "final_url", "anchors", state.alias("state")), "crawl")
         entries.append(own)
-        before = seen
-        finals = own.where("state = 'fetched'").select(F.col("final_url").alias("url"))
-        seen = saved(seen.union(finals).distinct(), "crawl")
+        good = own.where("state = 'fetched'")
         place = F.concat("ordinal", F.lit("."), F.lpad(F.col("number").cast("string"), 8, "0"))
-        out = own.where("state = 'fetched'").select("url", "ordinal").join(links, "url").select("url", "number", "target", "fragment", "allowed", place.alias("place"))
-        fresh = out.where("allowed").join(seen.select(F.col("url").alias("target")), "target", "left_anti")
-        fresh = fresh.groupBy("target").agg(F.min("place").alias("place"))
+        out = good.select("url", "ordinal").join(links, "url").select("url", "number", "target", "fragment", "allowed", place.alias("place"))
+        if most_links:
+            out = saved(out.orderBy("place").limit(max(most_links - linked, 0)), "crawl")
+            linked += out.count()
+        out = saved(out, "crawl")
+        # addresses become known in order: a document's own before its links
+        finals = good.select(F.col("final_url").alias("target"), F.concat("ordinal", F.lit(".")).alias("place"), F.lit(True).alias("final"))
         deep = 0 < most_depth <= depth
-        count = seen.count()
-        new = fresh.limit(0) if deep else fresh
-        if most_documents:
-            new = new.orderBy("place").limit(max(most_documents - count, 0))
-        new = saved(new, "crawl")
-        there = seen.select(F.col("url").alias("target"), F.lit(True).alias("seen"))
-        rows = out.join(there, "target", "left").join(new.select("target", F.col("place").alias("queued")), "target", "left")
+        asked = out.where("allowed").select("target", "place", F.lit(False).alias("final"))
+        known = seen.select(F.col("url").alias("target"))
+        new = saved((finals if deep else finals.unionByName(asked)).groupBy("target").agg(F.min(F.struct("place", "final")).alias("f")).select("target", "f.place", "f.final").join(known, "target", "left_anti"), "crawl")
+        if most_documents:  # the first links beyond the limit, and all behind them, are not queued
+            free = max(most_documents - seen.count(), 0)
+            last = new.orderBy("place").limit(free).agg(F.max("place")).first()[0]
+            within = new.where(F.col("place") <= last) if last is not None else new.limit(0)
+        else:
+            within = new
+        queued = saved(within.where("not final").select("target", F.col("place").alias("queued")), "crawl")
+        met = within.select("target", F.col("place").alias("met")).unionByName(finals.select("target", F.col("place").alias("met"))).groupBy("target").agg(F.min("met").alias("met"))
+        there = known.distinct().withColumn("seen", F.lit(True))
+        rows = out.join(there, "target", "left").join(met, "target", "left").join(queued, "target", "left")
         kind = (
-            F.when(~F.col("allowed"), "excluded_scope").when(F.col("seen").isNotNull(), "duplicate_or_cycle").when(F.lit(deep), "excluded_depth")
-            .when(F.col("queued").isNull(), "excluded_document_limit").when(F.col("queued") == F.col("place"), "queued").otherwise("duplicate_or_cycle")
+            F.when(~F.col("allowed"), "excluded_scope").when(F.col("seen").isNotNull() | (F.col("met") < F.col("place")), "duplicate_or_cycle")
+            .when(F.lit(deep), "excluded_depth").when(F.col("queued") == F.col("place"), "queued").otherwise("excluded_document_limit")
         )
         told.append(rows.select("url", "number", "target", "fragment", kind.alias("state")))
-        seen = saved(seen.union(new.select("target")), "crawl")
-        level, depth = saved(new.select(F.col("target").alias("url"), F.col("place").alias("ordinal")), "crawl"), depth + 1
+        seen = saved(seen.union(finals.select("target")).union(queued.select("target")).distinct(), "crawl")
+        level, depth = saved(queued.select(F.col("target").alias("url"), F.col("queued").alias("ordinal")).where(F.lit(not cut)), "crawl"), depth + 1
     documents, every = entries[0], told[0]
     for x in entries[1:]:
         documents = documents.unionByName(x)
