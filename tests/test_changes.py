@@ -100,3 +100,30 @@ def test_table_functions(spark):
     links = spark.sql("SELECT d.page_id, l.* FROM lateral_pages d, LATERAL html_links(d.url, d.html) l")
     assert sorted(map(str, links.collect())) == sorted(map(str, html.links(pages).select(links.columns).collect()))
     assert spark.sql("SELECT * FROM passages(CAST(NULL AS STRING), 100)").count() == 0
+
+
+def test_every_check_of_the_gate(spark):
+    """A passage passes; each change of one table alone keeps it out; so does each choice that it does not meet."""
+    from dataclasses import replace
+
+    from tessera.operators.evidence import Library, eligible
+
+    make = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    sources = "source string, source_key string, author string, title string, status string, rights string, superseded string"
+    lib = Library(
+        make("id int, source string", (1, "s")), make("id int, page_kind string, scan int", (1, "text", 3), (1, "index", 4)), make(sources, ("s", "moss-1", "A. Moss", "Walls", "published", "allowed", None)),
+        make("publication int, source string", (7, "s")), make("run int, publication int, config int, status string", (5, 7, 1, "ready"), (6, 7, 1, "building")), make("publication int, run int", (7, 5)),
+        make("id int, config int", (1, 1)), make("id int, categories array<string>", (1, ["x"])), make("source string, snapshot int", ("s", 2), ("t", 3)), make("snapshot int, collection int", (2, 9), (3, 9), (4, 8)), make("collection int, snapshot int", (9, 2), (8, 4)),
+    )
+    ids = lambda x, *a, **k: [(r.id, r.author, r.scan) for r in eligible(x, *(a or (1,)), **k).collect()]
+    assert ids(lib) == [(1, "A. Moss", 3)]
+    row = ("s", "moss-1", "A. Moss", "Walls", "published", "allowed", None)
+    for at, value in ((4, "review"), (4, None), (5, "denied"), (6, "2024")):
+        assert ids(replace(lib, sources=make(sources, (*row[:at], value, *row[at + 1 :])))) == []
+    for change in ({"active": make("publication int, run int", (7, 6))}, {"active": make("publication int, run int", (8, 5))}, {"live": make("collection int, snapshot int", (9, 3))}, {"locations": make("id int, page_kind string, scan int", (1, "index", 3))}):
+        assert ids(replace(lib, **change)) == []
+    for name in ("locations", "sources", "publications", "runs", "active", "vectors", "categories"):
+        assert ids(replace(lib, **{name: getattr(lib, name).limit(0)})) == []
+    assert ids(replace(lib, items=lib.items.limit(0))) == ids(replace(lib, live=lib.live.limit(0))) == [(1, "A. Moss", 3)]
+    assert ids(lib, 2) == [] and ids(lib, scope="moss") == ids(lib, scope="WALL") == ids(lib, selected=["s"], asked=["y", "x"]) == [(1, "A. Moss", 3)]
+    assert ids(lib, scope="fern") == ids(lib, selected=["t"]) == ids(lib, asked=["y"]) == []
