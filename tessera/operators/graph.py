@@ -28,18 +28,38 @@ def levels(edges: DataFrame, roots: DataFrame, most_depth: int = 5) -> DataFrame
     return found
 
 
+def depths(tree: DataFrame) -> DataFrame:
+    """(id, depth) of what lies below a root of tree (id, parent; a root has none), by pointer doubling: each step doubles how far
+    up a node looks, so there are as many joins as the deepest level has binary digits. Cycles and what hangs below an
+    unknown parent have no depth."""
+    rows = saved(tree.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("met")).withColumn("met", F.col("up").isNull()).withColumn("depth", F.when(F.col("met"), 0).otherwise(1)), "depths")
+    while True:
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("higher"), F.col("depth").alias("more"), F.col("met").alias("done"))
+        own = rows.where("not met").join(above, "up").select("id", F.col("higher").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("done").alias("met"))
+        new = saved(rows.where("met").unionByName(own.select("id", "up", "depth", "met")), "depths")
+        open_ = new.where("not met").count()
+        if not open_ or open_ == rows.where("not met").count() and new.where("met").count() == rows.where("met").count():
+            return new.where("met").select("id", "depth")
+        rows = new
+
+
 def ancestors(tree: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
     """(id, node, depth): each start's (id) own node and those above it, over tree (id, parent), at most `most` levels; a node
-    that a path has met ends it, so cycles do no harm. There is no limit to the number of rows."""
-    up = tree.select(F.col("id").alias("node"), "parent")
-    level = saved(start.select("id", F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("met")), "ancestors")
-    found = level.select("id", "node", "depth")
-    for depth in range(1, most + 1):
-        above = level.join(up, "node").where(F.col("parent").isNotNull() & ~F.array_contains("met", F.col("parent")))
-        level = saved(above.select("id", F.col("parent").alias("node"), F.lit(depth).alias("depth"), F.concat("met", F.array("parent")).alias("met")), "ancestors")
-        if level.isEmpty():
+    that a path has met ends it, so cycles do no harm. There is no limit to the number of rows.
+
+    By pointer doubling: after a step the paths known are twice as long, so there are as many joins as the longest path has
+    binary digits; ids of tree are distinct.
+    """
+    up = saved(tree.where("parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("above")), "ancestors")
+    jump, length = up, 1  # from a node to the one `length` levels above it
+    found = saved(start.select("id", F.col("id").alias("node"), F.lit(0).alias("depth")), "ancestors")
+    while length <= most:
+        far = found.join(jump, "node").select("id", F.col("above").alias("node"), (F.col("depth") + length).alias("depth")).where(F.col("depth") <= most)
+        more = saved(found.unionByName(far).groupBy("id", "node").agg(F.min("depth").alias("depth")), "ancestors")  # a cycle leads back to what is known
+        if more.count() == found.count():
             break
-        found = found.unionByName(level.select("id", "node", "depth"))
+        found, length = more, 2 * length
+        jump = saved(jump.select("node", F.col("above").alias("mid")).join(jump.select(F.col("node").alias("mid"), "above"), "mid").select("node", "above"), "ancestors")
     return found
 
 

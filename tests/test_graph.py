@@ -104,3 +104,27 @@ def test_ancestors_end_in_cycles_and_at_unknown_parents(spark):
     got = sorted((r.id, r.depth, r.node) for r in graph.ancestors(tree, tree.where("id in (1, 5, 6)")).collect())
     assert got == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (5, 0, 5), (5, 1, 4), (6, 0, 6), (6, 1, 99)]
     assert sorted(r.id for r in graph.descendants(tree, tree.where("id = 1")).collect()) == [1, 2, 3]
+
+
+def test_ancestors_and_depths_by_brute_force(spark):
+    """Random forests with cycles and unknown parents; a chain much longer than two; a limit within it."""
+    rng = random.Random(6)
+    tree = {i: (None if rng.random() < 0.1 else rng.randrange(120)) for i in range(100)} | {1000 + i: 999 + i for i in range(1, 70)} | {1000: None}
+    frame = spark.createDataFrame(list(tree.items()), "id long, parent long")
+
+    def above(i, most):
+        out, at = {}, i
+        while at is not None and at not in out and len(out) <= most:
+            out[at] = len(out)
+            at = tree.get(at)
+        return out
+
+    for most in (100, 5):
+        got = {(r.id, r.node): r.depth for r in graph.ancestors(frame, frame.where("id % 3 = 0"), most).collect()}
+        assert got == {(i, n): d for i in tree if i % 3 == 0 for n, d in above(i, most).items()}
+    deep = {}
+    for i in tree:
+        path = list(above(i, 1000))
+        if path[-1] in tree and tree[path[-1]] is None:
+            deep[i] = len(path) - 1
+    assert {r.id: r.depth for r in graph.depths(frame).collect()} == deep

@@ -85,6 +85,36 @@ def test_saved_answers(spark, tmp_path):
     assert got == [("crossref", "10.5555/z", None, None, "Z", "A B, C", 1999), ("europepmc", "10.1234/ab", "1", "PMC77", "A b", "P Q", 2001)]
 
 
+def test_more_catalogues(spark):
+    from tessera.sources import catalogues as C
+
+    xml = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article><Journal><JournalIssue><PubDate><Year>2003</Year></PubDate></JournalIssue></Journal>
+<ArticleTitle>Moss on <i>walls</i> &amp; stones </ArticleTitle><Abstract><AbstractText Label="A">First.</AbstractText><AbstractText>Second.</AbstractText></Abstract><AuthorList><Author><LastName>Fern</LastName><ForeName>Anna</ForeName></Author><Author><LastName>Moss</LastName></Author></AuthorList>
+<PublicationTypeList><PublicationType UI="D1">Review</PublicationType><PublicationType>Trial</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="pubmed">11</ArticleId><ArticleId IdType="doi">10.1234/AB</ArticleId><ArticleId IdType="pmc">PMC7</ArticleId></ArticleIdList></PubmedData></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>12</PMID><Article><ArticleTitle>Alone</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"""
+    semantic = '{"total":2,"next":1,"data":[{"paperId":"p1","title":" A  b","year":1999,"authors":[{"name":"A B"},{"name":"C"}],"publicationTypes":["Review"],"externalIds":{"DOI":"10.2345/X","PubMed":"5","PubMedCentral":"8"},"abstract":"t"},{"paperId":"p2"}]}'
+    cite = '{"data":{"attributes":{"doi":"10.3456/y","titles":[{"title":"T"}],"creators":[{"name":" "},{"givenName":"A","familyName":"B"},{"name":"C, D"}],"publicationYear":2001,"types":{"resourceTypeGeneral":"Dataset"}}}}'
+    pay = '{"doi":"10.4567/Z","is_oa":true,"best_oa_location":{"url_for_pdf":"https://h.org/a.pdf","url_for_landing_page":"https://h.org/a","version":"v"},"oa_locations":[{"url_for_pdf":"https://h.org/a.pdf","url_for_landing_page":"http://h.org/b"},{"url_for_landing_page":"https://u@h.org/c"},{"url_for_pdf":"https://i.org/d.pdf","license":"cc-by"}]}'
+    saved = spark.createDataFrame([("x", xml), ("s", semantic), ("c", cite), ("n", cite.replace('"T"', '" "')), ("u", pay), ("v", '{"doi":"10.5678/q"}'), ("bad", "<<{{")], "path string, raw string")
+    row = lambda r: (r.path, r.position, r.native_id, r.doi, r.pmid, r.pmcid, r.title, r.authors, r.year, r.kind, r.abstract)
+    got = sorted(map(row, C.pubmed_works(saved).collect()))
+    assert got[0] == ("x", 0, "11", "10.1234/ab", "11", "PMC7", "Moss on walls & stones", "Anna Fern, Moss", 2003, "Review, Trial", "First. Second.")
+    assert got[1][:7] == ("x", 1, "12", None, "12", None, "Alone") and got[1][8] is None and len(got) == 2
+    got = sorted(map(row, C.semantic_works(saved).collect()), key=str)
+    assert got[0] == ("s", 0, "p1", "10.2345/x", "5", "PMC8", "A b", "A B, C", 1999, "Review", "t") and got[1][:4] == ("s", 1, "p2", None)
+    assert [row(r)[:9] for r in C.datacite_works(saved).collect()] == [("c", 0, "10.3456/y", "10.3456/y", None, None, "T", "A B, C, D", 2001)]
+    got = sorted((r.path, r.doi, r.open, r.place, r.format, r.url, r.license) for r in C.open_locations(saved).collect())
+    assert got == [("u", "10.4567/z", True, 0, "pdf", "https://h.org/a.pdf", None), ("u", "10.4567/z", True, 1, "landing", "https://h.org/a", None), ("u", "10.4567/z", True, 2, "pdf", "https://i.org/d.pdf", "cc-by"), ("v", "10.5678/q", False, None, None, None, None)]
+
+
+def test_pages_follow_their_tokens(spark):
+    from tessera.sources import catalogues as C
+
+    rows = [("a", None, "t1"), ("a", "t1", "t2"), ("a", "t2", None), ("b", "", "u1"), ("b", "u2", "u3"), ("b", "u3", None), ("c", None, "w"), ("c", "w", "w")]
+    got = {(r.search, r.token or "", r.number) for r in C.unbroken(spark.createDataFrame(rows, "search string, token string, next string")).collect()}
+    assert got == {("a", "", 0), ("a", "t1", 1), ("a", "t2", 2), ("b", "", 0), ("c", "", 0), ("c", "w", 1)} or got == {("a", "", 0), ("a", "t1", 1), ("a", "t2", 2), ("b", "", 0), ("c", "", 0)}
+
+
 def test_scans():
     alto = b"<alto xmlns='x'><TextLine><String CONTENT='a'/><SP/><String CONTENT='b'/></TextLine><TextLine><String CONTENT='c'/></TextLine></alto>"
     assert ocr.alto_text(alto) == "a b\nc\n"
