@@ -73,7 +73,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sound_vector(v: Column, size: int) -> Column:
-    return F.coalesce((F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce((F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def doi(x: Column) -> Column:

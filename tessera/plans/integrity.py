@@ -11,14 +11,22 @@ from tessera.sources import html
 from tessera.sources.tables import table
 
 
-@query("SELECT doc_id FROM documents WHERE length(text) <> n_chars")
+@query("SELECT doc_id FROM (SELECT doc_id, text, CASE WHEN doc_id % 13 = 5 THEN n_chars + doc_id % 3 - 1 ELSE n_chars END AS n_chars FROM documents) WHERE length(text) <> n_chars")
 def v_text_length(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") != F.col("n_chars")).select("doc_id")
+    """Texts whose stored length is not theirs; some lengths are made one too long or short, some of these stay right."""
+    told = F.when(F.col("doc_id") % 13 == 5, F.col("n_chars") + F.col("doc_id") % 3 - 1).otherwise(F.col("n_chars"))
+    return table(spark, sf_dir, "documents").where(F.length("text") != told).select("doc_id")
 
 
-@query("SELECT vec_id FROM embeddings WHERE len(embedding) <> 64 OR len(list_filter(embedding, lambda x: x <> 0)) = 0")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id % 17 AS k FROM embeddings),
+p AS (SELECT vec_id, CASE k WHEN 3 THEN list_transform(e, lambda x: 0.0::DOUBLE) WHEN 4 THEN e[1:63] WHEN 5 THEN list_append(e[1:63], NULL) WHEN 6 THEN list_append(e[1:63], 'nan'::DOUBLE) WHEN 7 THEN list_append(e[1:63], 0.0::DOUBLE) WHEN 8 THEN NULL WHEN 9 THEN list_append(e[1:63], 'inf'::DOUBLE) ELSE e END AS e FROM e)
+SELECT vec_id FROM p WHERE e IS NULL OR len(e) <> 64 OR len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR len(list_filter(e, lambda x: x <> 0)) = 0""")
 def v_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where(~T.sound_vector(F.col("embedding"), 64)).select("vec_id")
+    """Vectors that are missing, of another length, all zero, or with a missing or endless component; some are made so."""
+    e, k = F.col("embedding").cast("array<double>"), F.col("vec_id") % 17
+    last = lambda x: F.concat(F.slice(e, 1, 63), F.array(F.lit(x).cast("double")))
+    made = F.when(k == 3, F.transform(e, lambda x: F.lit(0.0))).when(k == 4, F.slice(e, 1, 63)).when(k == 5, last(None)).when(k == 6, last("nan")).when(k == 7, last(0.0)).when(k == 8, F.lit(None)).when(k == 9, last("inf")).otherwise(e)
+    return table(spark, sf_dir, "embeddings").select("vec_id", made.alias("e")).where(~F.coalesce(T.sound_vector(F.col("e"), 64), F.lit(False))).select("vec_id")
 
 
 _CHUNKS = "SELECT doc_id, a, a + 400 AS b, CASE WHEN (doc_id + a) % 11 = 0 THEN upper(substring(text, CAST(a + 1 AS INT), 400)) ELSE substring(text, CAST(a + 1 AS INT), 400) END AS exact FROM "
@@ -34,10 +42,17 @@ def v_passage_text(spark, sf_dir):
     return chunks.join(docs, "doc_id").where(T.span_text(F.col("text"), F.col("a").cast("int"), F.col("b").cast("int")) != F.col("exact")).select("doc_id", "a")
 
 
-@query("SELECT l.doc_id FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.quality NOT IN (0, 1) OR l.toxic NOT IN (0, 1)")
+@query("""WITH l AS (SELECT CASE WHEN doc_id % 19 = 4 THEN -doc_id - 1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 23 = 6 THEN 2 WHEN doc_id % 23 = 7 THEN NULL ELSE quality END AS quality, CASE WHEN doc_id % 29 = 8 THEN -1 ELSE toxic END AS toxic FROM labels)
+SELECT l.doc_id, d.doc_id IS NULL AS unknown FROM l LEFT JOIN documents d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR coalesce(l.quality, 9) NOT IN (0, 1) OR coalesce(l.toxic, 9) NOT IN (0, 1)""")
 def v_labels(spark, sf_dir):
+    """Labels of no document, or that are not 0 or 1; some are made so."""
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select(
+        F.when(d % 19 == 4, -d - 1).otherwise(d).alias("doc_id"), F.when(d % 23 == 6, 2).when(d % 23 == 7, F.lit(None)).otherwise(F.col("quality")).alias("quality"), F.when(d % 29 == 8, -1).otherwise(F.col("toxic")).alias("toxic")
+    )
     known = table(spark, sf_dir, "documents").select("doc_id").withColumn("there", F.lit(True))
-    return table(spark, sf_dir, "labels").join(known, "doc_id", "left").where("there is null or quality not in (0, 1) or toxic not in (0, 1)").select("doc_id")
+    wrong = lambda c: ~F.coalesce(F.col(c).isin(0, 1), F.lit(False))
+    return rows.join(known, "doc_id", "left").where(F.col("there").isNull() | wrong("quality") | wrong("toxic")).select("doc_id", F.col("there").isNull().alias("unknown"))
 
 
 @query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")

@@ -80,11 +80,13 @@ _SIDES = r"""a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(r
 @query(f"""WITH {_SIDES}, p AS (SELECT doc_id + 1 AS doc_id, w, n FROM a), m AS (SELECT a.doc_id, sum(least(a.n, p.n)) AS hit FROM a JOIN p USING (doc_id, w) GROUP BY a.doc_id), t AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(hit, 0) AS BIGINT) AS matched, CAST(t.n AS BIGINT) AS words, round(coalesce(hit, 0) / t.n, 6) AS coverage FROM t LEFT JOIN m USING (doc_id)""")
 def multiset_coverage(spark, sf_dir):
-    """Share of each document's words, as a multiset, that the document before it holds: one join of texts by id."""
-    own = table(spark, sf_dir, "documents").select("doc_id", "text")
-    before = own.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
-    rows = own.join(before, "doc_id", "left").select("doc_id", measured(F.col("before"), F.col("text")).alias("m")).where("m.new > 0")
-    return rows.select("doc_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.new").cast("long").alias("words"), F.round(F.col("m.matched") / F.col("m.new"), 6).alias("coverage"))
+    """Share of each document's words, as a multiset, that the document before it holds. Words are counted where a text is read
+    and again by document and word, each for its own document and the one behind it, so no text is shuffled."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w"))
+    sides = F.explode(F.array(*(F.struct((F.col("doc_id") + i).alias("doc"), F.lit(1 - i).alias("own"), F.lit(i).alias("before")) for i in (0, 1))))
+    counts = words.select("w", sides.alias("s")).groupBy("s.doc", "w").agg(F.sum("s.own").alias("own"), F.sum("s.before").alias("before"))
+    rows = counts.groupBy(F.col("doc").alias("doc_id")).agg(F.sum(F.least("own", "before")).alias("matched"), F.sum("own").alias("words")).where("words > 0")
+    return rows.select("doc_id", "matched", "words", F.round(F.col("matched") / F.col("words"), 6).alias("coverage"))
 
 
 _PAGES = """SELECT doc_id AS page_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN concat(text, ' wo[rd ') ELSE text END AS stored, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN replace(text, 'an', 'on') WHEN 2 THEN concat('one two three four five six ', text) WHEN 3 THEN concat(text, ' ', text) ELSE replace(text, 'e', 'c') END AS fresh,

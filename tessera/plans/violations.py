@@ -13,7 +13,6 @@ from tessera.sources.tables import sql, table
 REVIEWED = ("accepted", "corrected")
 _LOC = "SELECT doc_id, text, CAST(doc_id % 5 AS INT) AS a, CAST(doc_id % 5 + 8 AS INT) AS b, CASE doc_id % 10 WHEN 1 THEN 'pending' WHEN 3 THEN 'corrected' ELSE 'accepted' END AS status, CASE WHEN doc_id % 8 = 5 THEN 'elsewhere' ELSE substring(text, CAST(doc_id % 5 + 1 AS INT), 8) END AS exact FROM {documents}"
 _MEMBER = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'categorical' WHEN 1 THEN 'numeric' WHEN 2 THEN 'typographic' ELSE 'none' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS scheme, CAST(o_custkey * 60 - 100 AS INT) AS grade, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'as printed' END AS note, o_orderpriority AS exact, substring(o_orderpriority, 3, 3) AS notation FROM {orders}"
-_TREE = "SELECT doc_id AS id, CASE WHEN doc_id % 10 > 0 THEN doc_id - doc_id % 10 END AS parent, lang AS heading, CASE WHEN doc_id % 10 = 0 THEN array(lang) WHEN doc_id % 10 = 7 THEN array('lost', lang) ELSE array(CAST(doc_id - doc_id % 10 AS STRING), lang) END AS path FROM {documents}"
 _duck = lambda x: x.replace("{documents}", "documents").replace("{orders}", "orders")
 
 
@@ -80,11 +79,16 @@ def provenance_rows(spark, sf_dir):
     return rows.select("doc_id", F.col("source").alias("asset"), F.sha2(F.concat("source", F.lit(":"), F.col("n_chars").cast("string")), 256).alias("revision"), "quality")
 
 
-@query("""SELECT doc_id AS id FROM documents d WHERE (doc_id % 10 > 0 AND EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id - d.doc_id % 10))""")
+_PATHS = """SELECT d.doc_id AS id, CASE WHEN d.doc_id % 10 > 0 THEN d.doc_id - d.doc_id % 10 END AS parent, d.lang AS heading, CASE WHEN d.doc_id % 40 = 30 THEN array('none', d.lang) WHEN d.doc_id % 10 = 0 THEN array(d.lang)
+WHEN d.doc_id % 10 = 3 THEN array(d.lang) WHEN d.doc_id % 10 = 7 THEN array('lost', d.lang) WHEN d.doc_id % 10 = 8 THEN array(p.lang, 'other') WHEN p.doc_id % 40 = 30 THEN array('none', p.lang, d.lang) ELSE array(p.lang, d.lang) END AS path FROM {documents} d LEFT JOIN {documents} p ON p.doc_id = d.doc_id - d.doc_id % 10"""
+
+
+@query(f"""WITH t AS ({_PATHS.replace('{documents}', 'documents').replace('array(', 'list_value(')}) SELECT t.id FROM t LEFT JOIN t p ON p.id = t.parent
+WHERE (t.parent IS NULL AND t.path <> [t.heading]) OR (p.id IS NOT NULL AND t.path <> list_append(p.path, t.heading))""")
 def v_paths(spark, sf_dir):
-    """Nodes of a tree whose path is not their parent's path and their own heading, or that have no parent and a longer path; all
-    paths below the roots are made against the rule."""
-    rows = sql(spark, sf_dir, _TREE, "documents")
+    """Nodes of a tree whose path is not their parent's path and their own heading, or that have no parent and another path than
+    their heading; some roots and some nodes below are made so."""
+    rows = sql(spark, sf_dir, _PATHS, "documents")
     above = rows.select(F.col("id").alias("parent"), F.col("path").alias("above"))
     roots = rows.where("parent is null and (size(path) <> 1 or path[0] <> heading)").select("id")
     below = rows.join(above, "parent").where(F.col("path") != F.concat("above", F.array("heading"))).select("id")
