@@ -37,7 +37,7 @@ CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 SHIFT = 1 << 24
 #: Characters of texts that are aligned together, and of units that DuckDB takes together; units that a worker remembers,
 #: some 250 bytes each.
-BATCH, UNITS, KEPT = 6 << 20, 1 << 19, 400_000
+BATCH, UNITS, KEPT = 4 << 20, 1 << 17, 400_000
 
 _LINKS = """
 WITH link AS (
