@@ -184,6 +184,7 @@ def editor_lines(original: Column) -> Column:
 
 def editor_offset(original: Column, at: Column) -> Column:
     """Where a byte offset of editor_lines(original) lies in original: each pair of return and newline became one byte."""
-    ends = F.aggregate(F.split(original, "\r\n", -1), F.array().cast("array<int>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1), F.lit(0)) + F.octet_length(x) + 1)))
-    ends = F.slice(ends, F.lit(1), F.size(ends) - 1)
-    return at + F.size(F.filter(ends, lambda e: e <= at))
+    pieces = F.split(original, "\r\n", -1)  # a pair stands behind each but the last
+    end = lambda s, x: s["end"] + F.octet_length(x) + 1
+    step = lambda s, x: F.struct(end(s, x).alias("end"), (s["pairs"] + (end(s, x) <= at).cast("int")).alias("pairs"))
+    return at + F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("end"), F.lit(0).alias("pairs")), step)["pairs"]

@@ -37,12 +37,18 @@ def page_map_problems(pages: DataFrame) -> DataFrame:
     return own.select("source", problem.alias("problem")).where("problem is not null")
 
 
-def report(rows: DataFrame, folder: str) -> None:
-    """Write a report as JSON: a reader sees the old folder or the whole new one, as it is put in place when it is complete."""
+def report(rows: DataFrame, file: str) -> None:
+    """Write a report as one file of JSON lines: a reader sees the old one or the whole new one, as it takes the old one's place in
+    one step once it is complete. Reports are small; their rows pass one task."""
     spark = rows.sparkSession
-    path, part = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (folder, f"{folder}.part"))
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = spark._jvm.org.apache.hadoop.fs
+    path, part = fs.Path(file), fs.Path(f"{file}.part")
+    conf = spark._jsc.hadoopConfiguration()
+    store = path.getFileSystem(conf)
     rows.coalesce(1).write.mode("overwrite").json(part.toString())
-    store.delete(path, True)
-    if not store.rename(part, path):
-        raise OSError(f"the report could not be put in place at {folder}")
+    (made,) = (s.getPath() for s in store.listStatus(part) if s.getPath().getName().startswith("part-"))
+    kinds = getattr(fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    fs.FileContext.getFileContext(store.getUri(), conf).rename(store.makeQualified(made), store.makeQualified(path), over)
+    store.delete(part, True)
