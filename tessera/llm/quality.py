@@ -133,10 +133,14 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = 6000, folds: int =
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs. Null texts are empty; repeated rows are each scored, alike; rows
+    without an id are held out; ties of features and of drawn rows are broken by hash. No rows give no rows; other
+    columns of docs and labels are ignored. Without labels, or with one kind of them, all texts have one score."""
     return classify(docs.select("doc_id", "text"), labels).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the classifier accepts; columns as they were."""
+    """docs that the classifier accepts; columns as they were, whatever their names. Repeated rows stay or go together; see
+    report() for other edges."""
     own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row"))
     return classify(own, labels).where("predicted = 1").select("__row.*")
