@@ -225,7 +225,7 @@ _SCAN = "CASE c_custkey % 4 WHEN 0 THEN concat('xii', chr(10), repeat('word ', c
 
 
 @query(rf"""WITH s AS (SELECT c_custkey AS id, c_nationkey AS k, {_SCAN} AS raw FROM customer), n AS (SELECT *, len(regexp_extract_all(raw, '[\p{{L}}\p{{N}}]+')) AS words FROM s)
-SELECT id, CASE id % 4 WHEN 0 THEN 'xii' WHEN 1 THEN CAST(k AS VARCHAR) END AS label, CASE WHEN id % 5 = 0 OR words < 40 THEN 'suspect' ELSE 'passed' END AS status, id % 5 <> 0 AND words >= 8 AND words * 10 >= 30 * 9 AS retry FROM n""")
+SELECT id, CASE WHEN len(string_split(raw, chr(10))) >= 3 THEN list_filter([trim(string_split(raw, chr(10))[1], ' '), trim(string_split(raw, chr(10))[-1], ' ')], lambda x: regexp_matches(x, '(?i)^([0-9]{{1,4}}|[ivxlcdm]{{1,12}})$'))[1] END AS label, CASE WHEN id % 5 = 0 OR words < 40 THEN 'suspect' ELSE 'passed' END AS status, id % 5 <> 0 AND words >= 8 AND words * 10 >= 30 * 9 AS retry FROM n""")
 def scan_quality(spark, sf_dir):
     """Page numbers, first quality and whether a second reading is preferred, of pages made from the customers' keys."""
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{_SCAN} AS raw", "CASE WHEN c_custkey % 5 = 0 THEN 'low confidence' END AS warning", "repeat('word ', 30) AS before")

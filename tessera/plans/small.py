@@ -11,10 +11,12 @@ from tessera.functions import text as T
 from tessera.operators import classify
 from tessera.sources.tables import sql, table
 
-_NOTE = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('Like the others, ', lang) WHEN 1 THEN ' as  with rain' WHEN 2 THEN concat('wo[rd ', lang) WHEN 3 THEN 'Liked by some' WHEN 4 THEN concat('search_document: ', lang) ELSE 'similar to � x' END AS note, CASE WHEN doc_id % 3 = 0 THEN 'A small green river mountain' ELSE 'The old road' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'By a River, a small and GREEN mountain stands' ELSE 'Nothing of it' END AS body FROM {documents}"
+_NOTE = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('Like the others, ', lang) WHEN 1 THEN ' as  with rain' WHEN 2 THEN concat('wo[rd ', lang) WHEN 3 THEN 'Liked by some' WHEN 4 THEN concat('search_document: ', lang) ELSE 'similar to � x' END AS note, CASE doc_id % 5 WHEN 0 THEN 'A small green river mountain' WHEN 1 THEN 'Small green river mountain lakes' WHEN 2 THEN 'green green Green river' WHEN 3 THEN concat('The small river in ', substring(text, 1, 30)) ELSE 'The old road' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'By a River, a small and GREEN mountain stands' ELSE concat('river small ', text) END AS body FROM {documents}"
 
 
-@query(rf"""SELECT doc_id, regexp_matches(lower(ltrim(note)), '^(like|as\s+with|similar\s+to)(\s|$)') AS opens, contains(note, chr(65533)) OR regexp_matches(note, '\p{{L}}[\[\]{{}}]\p{{L}}') AS damaged, regexp_replace(note, '^search_document: ', '') AS input, doc_id % 6 = 0 AS matches, doc_id % 3 = 0 AS long FROM ({_NOTE.replace('{documents}', 'documents')})""")
+@query(rf"""WITH n AS ({_NOTE.replace('{documents}', 'documents')}), w AS (SELECT *, list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'), lambda x: strlen(x) >= 4) AS long, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS said FROM n)
+SELECT doc_id, regexp_matches(lower(ltrim(note)), '^(like|as\s+with|similar\s+to)(\s|$)') AS opens, contains(note, chr(65533)) OR regexp_matches(note, '\p{{L}}[\[\]{{}}]\p{{L}}') AS damaged, regexp_replace(note, '^search_document: ', '') AS input,
+len(list_distinct(long)) >= 3 AND len(list_distinct(list_filter(long, lambda x: list_contains(said, x)))) * 5 >= len(list_distinct(long)) * 4 AS matches, len(long) >= 3 AS long FROM w""")
 def text_rules(spark, sf_dir):
     """Openings that compare, damaged words, inputs of an embedding model, and titles that a text holds."""
     rows = sql(spark, sf_dir, _NOTE, "documents")
@@ -25,10 +27,11 @@ def text_rules(spark, sf_dir):
     )
 
 
-_LINES = "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'Mind.— quiet' WHEN 1 THEN ' urinary organs: x' WHEN 2 THEN 'Headlong words' WHEN 3 THEN concat('ROOT AND LEAF (', upper(o_orderstatus), ')') WHEN 4 THEN 'RELATIONSHIPS -- here' WHEN 5 THEN 'ONE TWO THREE FOUR FIVE SIX SEVEN' WHEN 6 THEN 'Skin' ELSE 'AB' END AS line FROM {orders}"
+_LINES = "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'Mind.— quiet' WHEN 1 THEN ' urinary organs: x' WHEN 2 THEN 'Headlong words' WHEN 3 THEN concat('ROOT AND LEAF (', upper(o_orderstatus), ')') WHEN 4 THEN 'RELATIONSHIPS -- here' WHEN 5 THEN 'ONE TWO THREE FOUR FIVE SIX SEVEN' WHEN 6 THEN 'Skin' ELSE CASE WHEN o_orderkey % 3 = 0 THEN concat(upper(o_orderstatus), CAST(o_custkey AS STRING)) WHEN o_orderkey % 3 = 1 THEN upper(o_orderpriority) ELSE concat(o_orderstatus, 'B') END END AS line FROM {orders}"
 
 
-@query(f"""SELECT id, CASE id % 8 WHEN 0 THEN 'mind' WHEN 1 THEN 'urinary organs' WHEN 4 THEN 'relationships' WHEN 6 THEN 'skin' ELSE '' END AS label, id % 8 IN (0, 1, 3, 4, 6) AS heading FROM ({_LINES.replace('{orders}', 'orders')})""")
+@query(rf"""WITH l AS ({_LINES.replace('{orders}', 'orders')}), k AS (SELECT id, line, lower(regexp_extract(line, '(?i)^[\s\p{{Z}}]*({'|'.join(T.SECTION_LABELS)})[\s\p{{Z}}]*(?:$|[.:—]|--)', 1)) AS label, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS bare FROM l)
+SELECT id, label, label <> '' OR (regexp_full_match(bare, '(\p{{Lu}}|[\s\p{{Z}}]|[()-])+') AND len(regexp_extract_all(bare, '\p{{Lu}}')) >= 3 AND len(string_split_regex(bare, '[\s\p{{Z}}]+')) <= 6 AND length(bare) <= 80) AS heading FROM k""")
 def line_kinds(spark, sf_dir):
     """The section label that opens a line, and whether the line is a heading."""
     rows = sql(spark, sf_dir, _LINES, "orders")
@@ -50,7 +53,8 @@ def cue_categories(spark, sf_dir):
 _PLACE = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN ' CC-BY' WHEN 1 THEN 'cc0-1.0' WHEN 2 THEN 'cc-by-nc' ELSE 'cc-by-4.0' END AS licence, CASE o_orderkey % 3 WHEN 0 THEN 'publishedVersion' WHEN 1 THEN 'acceptedVersion' ELSE 'submittedVersion' END AS version, CASE o_orderkey % 5 WHEN 0 THEN 'landing' WHEN 1 THEN 'xml' ELSE 'pdf' END AS form, concat('http://h/', o_orderkey) AS url, CASE o_orderkey % 6 WHEN 0 THEN 'https://creativecommons.org/licenses/by/4.0/' WHEN 1 THEN 'HTTP://CREATIVECOMMONS.ORG/publicdomain/zero/1.0/' WHEN 2 THEN 'https://creativecommons.org/licenses/by-nd/4.0/' ELSE 'https://other.org/licenses/by/4.0/' END AS address FROM {orders}"
 
 
-@query(f"""SELECT id, CASE WHEN id % 4 <> 2 AND id % 3 < 2 AND id % 5 <> 1 THEN url || ' ' || CASE WHEN id % 5 = 0 THEN 'html' ELSE 'pdf' END END AS place, id % 6 < 2 AS open FROM ({_PLACE.replace('{orders}', 'orders')})""")
+@query(rf"""SELECT id, CASE WHEN lower(trim(licence)) IN ({', '.join(f"'{x}'" for x in R.LICENCES)}) AND version IN ({', '.join(f"'{x}'" for x in R.VERSIONS)}) AND form IN ('pdf', 'html', 'landing') THEN url || ' ' || CASE form WHEN 'landing' THEN 'html' ELSE form END END AS place,
+regexp_matches(lower(address), '^https?://creativecommons\.org/(licenses/by(-sa)?|publicdomain/zero)/') AS open FROM ({_PLACE.replace('{orders}', 'orders')})""")
 def open_places(spark, sf_dir):
     """Where papers may be fetched, by licence, version and format, and whether a licence's address is an open one."""
     rows = sql(spark, sf_dir, _PLACE, "orders")
