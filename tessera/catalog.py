@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Register all queries."""
-    from tessera.plans import answers, evaluation, integrity, library, lists, reading, relational, reports, retrieval, scoping, search, small, texts, violations  # noqa: F401
+    from tessera.plans import answers, changes, evaluation, integrity, library, lists, reading, relational, reports, retrieval, scoping, search, small, texts, violations  # noqa: F401
 
 
 load()
