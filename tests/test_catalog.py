@@ -43,7 +43,8 @@ def test_oracle(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    sf = "/root/testdata/sf0.01" if name == "fts_english_all" else SF  # no text of the smaller tables holds all of an item's terms
+    assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry_has_every_query():
