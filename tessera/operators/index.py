@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 from typing import Iterator
 
@@ -87,7 +88,14 @@ class Index:
             told.append(f"{f} {status.getLen()} {status.getModificationTime()}")
         folder = f"{shared_folder(spark)}/tessera/index-{kind}-{hashlib.sha256(' '.join([*told, key, text]).encode()).hexdigest()[:32]}"
         own = cls(spark, folder)
-        return own if own.state else cls.create(spark, folder, docs, kind, key=key, text=text)
+        if own.state:
+            return own
+        try:
+            return cls.create(spark, folder, docs, kind, key=key, text=text)
+        except Exception:
+            if not (own := cls(spark, folder)).state:  # another writer was first
+                raise
+            return own
 
     def _store(self, path):
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -122,19 +130,23 @@ class Index:
             own.groupBy("bucket", "lexeme", "block").agg(F.max("n").alias("most")).repartition("bucket", F.floor(F.col("block") / SLICE)).sortWithinPartitions("bucket", "lexeme", "block").write.partitionBy("bucket").parquet(f"{self.folder}/maxima/gen={generation}")
 
     def _read(self, name: str, generations: list[int]) -> DataFrame | None:
-        kinds = {"postings": "lexeme string, key long, n long, positions array<int>, block long, gen int, bucket int", "maxima": "lexeme string, block long, most long, gen int, bucket int", "gone": "key long, gen int"}
+        kinds = {"postings": "lexeme string, key long, n long, positions array<int>, block long, gen long, bucket int", "maxima": "lexeme string, block long, most long, gen long, bucket int", "gone": "key long, gen long"}
         paths = [f"{self.folder}/{name}/gen={g}" for g in generations]
         try:
             return self.spark.read.schema(kinds[name]).option("basePath", f"{self.folder}/{name}").parquet(*paths) if paths else None
         except AnalysisException:  # a generation without postings
             return None
 
+    def _number(self) -> int:
+        """The number of a new generation: greater than those before, and no other writer's, nor one that a lost writer left."""
+        return self.state["next"] << 24 | random.getrandbits(24)
+
     def _next(self, **changes) -> dict:
         return self.state | {"next": self.state["next"] + 1} | changes
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Add documents; those that the index holds already are replaced, by nothing where they have no words now."""
-        g, live = self.state["next"], self.state["live"]
+        g, live = self._number(), self.state["live"]
         self._write(lexed(docs, self.state["kind"], key, text), g)
         if live:
             docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct().write.parquet(f"{self.folder}/gone/gen={g}")
@@ -142,13 +154,13 @@ class Index:
 
     def remove(self, keys: DataFrame, key: str = "doc_id") -> None:
         """Remove documents by key; keys that the index does not hold change nothing."""
-        g = self.state["next"]
+        g = self._number()
         keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct().write.parquet(f"{self.folder}/gone/gen={g}")
         self._commit(self._next(gone=[*self.state["gone"], g]))
 
     def compact(self) -> None:
         """One generation without what is hidden; the old ones stay until vacuum()."""
-        g, own = self.state["next"], self.postings()
+        g, own = self._number(), self.postings()
         self._write(own.select("lexeme", "key", "n", "positions"), g)
         self._commit(self._next(live=[g], gone=[]))
 
@@ -181,7 +193,7 @@ class Index:
     def _postings(self, choice) -> DataFrame:
         rows = self._read("postings", self.state["live"])
         if rows is None:
-            return self.spark.createDataFrame([], "lexeme string, key long, n long, positions array<int>, block long, gen int")
+            return self.spark.createDataFrame([], "lexeme string, key long, n long, positions array<int>, block long, gen long")
         rows = choice(rows).drop("bucket")
         gone = self._read("gone", self.state["gone"])
         if gone is None:

@@ -59,7 +59,7 @@ def test_changes_are_exact(spark, tmp_path, kind):
     before = again.postings().count()
     again.compact()
     again.vacuum()
-    assert again.state["live"] == [4] and not again.state["gone"]
+    assert [g >> 24 for g in again.state["live"]] == [4] and not again.state["gone"]
     assert len({p.name for p in (tmp_path / "i/postings").iterdir()}) == 1
     last = Index(spark, own.folder)
     assert rows(last.best(questions, 7)) == plain(held, asked, 7) and last.postings().count() == before
@@ -79,6 +79,9 @@ def test_a_late_writer_fails(spark, tmp_path):
 def test_an_unfinished_change_is_not_seen(spark, tmp_path):
     own = Index.create(spark, str(tmp_path / "i"), frame(spark, {1: "ax", 2: "ax bx"}), "simple")
     own._write(frame(spark, {3: "ax"}).select(F.col("text").alias("lexeme"), F.col("doc_id").alias("key"), F.lit(1).cast("long").alias("n"), F.array(F.lit(1)).alias("positions")), 1)
+    with pytest.raises(Exception):  # noqa: B017  a writer that was lost while it made the first generation
+        Index.create(spark, str(tmp_path / "j"), frame(spark, {1: "ax"}).select("doc_id", F.expr("if(doc_id = 1, raise_error('lost'), text)").alias("text")), "simple")
+    assert {r.key for r in Index.create(spark, str(tmp_path / "j"), frame(spark, {1: "ax"}), "simple").postings().collect()} == {1}
     (tmp_path / "i/manifest/00000001").mkdir()  # a writer that was lost before its manifest was complete
     assert {r.key for r in Index(spark, own.folder).postings().collect()} == {1, 2}
 
@@ -95,7 +98,7 @@ def test_only_what_may_matter_is_read(spark, tmp_path):
     assert all("EqualTo(lexeme,common)" in x or "In(lexeme" in x for x in scans)
     assert rows(found) == {(1, k): (50, k + 1) for k in range(10)}
     found.collect()
-    bounds = own._read("maxima", [0]).where("lexeme = 'common'")
+    bounds = own._read("maxima", own.state["live"]).where("lexeme = 'common'")
     assert bounds.count() == 250 and bounds.where("most >= 50").count() == 4  # the blocks that a list of 10 has to read
 
 
