@@ -95,7 +95,7 @@ _ENTITIES = "replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>
 
 @query(f"SELECT page_id, trim(regexp_replace({_ENTITIES}, '\\s+', ' ', 'g')) AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS x FROM pages)")
 def page_titles(spark, sf_dir):
-    return html.inspect(table(spark, sf_dir, "pages")).select("page_id", "title")
+    return html.titles(table(spark, sf_dir, "pages"))
 
 
 @query()

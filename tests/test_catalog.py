@@ -104,3 +104,19 @@ def test_snapshot_reads_every_document(spark, tmp_path):
     spark.createDataFrame([(k, "s", "en") for k in range(1, 13)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.change for r in catalog.QUERIES["v_snapshot_difference"](spark, str(tmp_path)).collect()}
     assert got == {1: "changed", 11: "changed", 10: "gone", 2: "gone", 12: "gone", -2: "new", -12: "new"}
+
+
+def _pages_differ(spark, tmp_path, name, rows):
+    """The query's rows on pages of our own, beside the rows of its SQL."""
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    other = own.execute(catalog.ORACLE[name])
+    columns = [d[0] for d in other.description]
+    return ordered(catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), ordered(other.fetchall())
+
+
+def test_titles_cut_off_in_a_reference(spark, tmp_path):
+    pages = ["<title>moss &amp;&amp</title>", "<title>a &lt;b&gt; &quot;c&#39; &am</title>", "<title>&amp;lt; &ampx &lt</title>", f"<title>{'x' * 2001}</title>", "<p>none</p>", "<title> a\n b </title>", None]
+    got, told = _pages_differ(spark, tmp_path, "page_titles", [(i, "", h) for i, h in enumerate(pages)])
+    assert got == told and (0, "moss &&amp") in got
