@@ -16,10 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
-import re
-from typing import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,31 +25,13 @@ from tessera.operators import postings as P
 from tessera.operators.store import new_folder, shared_folder
 
 KINDS = ("plain", "simple", "english")
-#: Blocks of a slice; blocks that a question scores first.
-SLICE, FIRST = 1 << 13, 16
-_PLAIN = re.compile("[a-z]+")
+#: Blocks of a slice; blocks that a question scores first; rows of a question that are told to the driver.
+SLICE, FIRST, FEW = 1 << 13, 16, 1000
 
 
 def lexed(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(lexeme, key, n, positions) of each text, made where it is read. `plain` words are runs of a-z, of which all count;
-    `simple` and `english` are those of postings. Rows without a key or text have none; rows that share a key add up."""
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, t in zip(frame["k"], frame["t"]):
-                if kind == "plain":
-                    found: dict[str, list[int]] = {}
-                    for n, w in enumerate(_PLAIN.findall(t.lower()), 1):
-                        found.setdefault(w, []).append(n)
-                    rows += [(w, k, len(at), at[: P.POSITIONS]) for w, at in found.items()]
-                else:
-                    rows += [(w, k, len(at), at) for w, at in P.positions(t, kind == "english").items()]
-            for a in range(0, len(rows), 50_000):
-                yield pd.DataFrame(rows[a : a + 50_000], columns=["lexeme", "key", "n", "positions"])
-
-    own = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return own.mapInPandas(task, "lexeme string, key long, n long, positions array<int>")
+    """(lexeme, key, n, positions) of each text; see postings. Keys are integers; rows that share a key are rows of their own."""
+    return P.lexed(docs.withColumn(key, F.col(key).cast("long")), kind, key, text)
 
 
 class Index:
@@ -120,12 +99,15 @@ class Index:
     def _bucket(self, lexeme: Column) -> Column:
         return F.pmod(F.xxhash64(lexeme), F.lit(self.state["buckets"])).cast("int")
 
-    def _write(self, rows: DataFrame, generation: int) -> None:
-        """The postings of a generation and, read off them, its block maxima."""
-        block = F.floor(F.col("key") / self.state["width"])
-        rows = rows.withColumn("block", block).withColumn("bucket", self._bucket(F.col("lexeme"))).withColumn("slice", F.floor(F.col("block") / SLICE))
-        rows = rows.repartition("bucket", "slice").groupBy("bucket", "slice", "lexeme", "block", "key").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("positions")).alias("positions"))  # where they lie
-        rows.drop("slice").sortWithinPartitions("bucket", "lexeme", "block", "key").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={generation}")
+    def _write(self, rows: DataFrame, generation: int, shared: bool = True) -> None:
+        """The postings of a generation and, read off them, its block maxima. shared: rows may share lexeme and key, and add up."""
+        block, bucket = F.floor(F.col("key") / self.state["width"]), self._bucket(F.col("lexeme"))
+        if shared:
+            own = rows.withColumns({"block": block, "bucket": bucket, "slice": F.floor(block / SLICE)}).repartition("bucket", "slice").groupBy("bucket", "slice", "lexeme", "block", "key")
+            rows = own.agg(F.sum("n").alias("n"), F.flatten(F.collect_list("positions")).alias("positions")).drop("slice")  # where they lie
+        else:
+            rows = rows.repartition(bucket, F.floor(block / SLICE)).withColumns({"block": block, "bucket": bucket})  # a shuffled row holds no more than it must
+        rows.sortWithinPartitions("bucket", "lexeme", "block", "key").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={generation}")
         if (own := self._read("postings", [generation])) is not None:
             own.groupBy("bucket", "lexeme", "block").agg(F.max("n").alias("most")).repartition("bucket", F.floor(F.col("block") / SLICE)).sortWithinPartitions("bucket", "lexeme", "block").write.partitionBy("bucket").parquet(f"{self.folder}/maxima/gen={generation}")
 
@@ -147,7 +129,8 @@ class Index:
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Add documents; those that the index holds already are replaced, by nothing where they have no words now."""
         g, live = self._number(), self.state["live"]
-        self._write(lexed(docs, self.state["kind"], key, text), g)
+        shared = not docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long")).count().where("count > 1").isEmpty()
+        self._write(lexed(docs, self.state["kind"], key, text), g, shared)
         if live:
             docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct().write.parquet(f"{self.folder}/gone/gen={g}")
         self._commit(self._next(live=[*live, g], gone=[*self.state["gone"], g] if live else []))
@@ -161,7 +144,7 @@ class Index:
     def compact(self) -> None:
         """One generation without what is hidden; the old ones stay until vacuum()."""
         g, own = self._number(), self.postings()
-        self._write(own.select("lexeme", "key", "n", "positions"), g)
+        self._write(own.select("lexeme", "key", "n", "positions"), g, shared=False)
         self._commit(self._next(live=[g], gone=[]))
 
     def vacuum(self) -> None:
@@ -173,7 +156,7 @@ class Index:
                 if int(s.getPath().getName().removeprefix("gen=")) not in self.state[kept]:
                     store.delete(s.getPath(), True)
 
-    def _choice(self, lexemes: DataFrame | None, few: int = 1000):
+    def _choice(self, lexemes: DataFrame | None, few: int = FEW):
         """A function that leaves of stored rows those of the lexemes: by bucket, and by up to `few` lexemes themselves, so
         what lies elsewhere is not read; more are joined."""
         if lexemes is None:
@@ -211,6 +194,9 @@ class Index:
         maxima = self._read("maxima", self.state["live"])
         if maxima is None:
             return self.spark.createDataFrame([], asked.select("question").schema.add("key", "long").add("hits", "long").add("rank", "long"))
+        told = asked.select("question", "lexeme").limit(FEW + 1).collect()
+        if len(told) <= FEW:  # they are used several times: what they are made of is read once
+            asked = self.spark.createDataFrame(told, asked.select("question", "lexeme").schema)
         choice = self._choice(asked)
         ways = choice(maxima).groupBy("lexeme", "block").agg(F.max("most").alias("most"))
         bounds = ways.join(asked, "lexeme").groupBy("question", "block").agg(F.sum("most").alias("bound"))

@@ -8,16 +8,20 @@ They are kept in an index (operators/index.py), so a question reads only its own
 from __future__ import annotations
 
 import re
+from itertools import chain
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import STOP, stem
 
 POSITIONS, LAST, WEIGHT = 256, 16_383, 0.1
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _PLAIN = re.compile(r"[^\W_]+"), re.compile("[a-z]+")
 
 
 def lexemes(text: str, english: bool) -> list[str | None]:
@@ -36,17 +40,63 @@ def positions(text: str | None, english: bool) -> dict[str, list[int]]:
     return out
 
 
-def postings(docs: DataFrame, english: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(lexeme, key, positions) of every text; a text's postings are made where it is read, without a shuffle."""
+def _numbered(words: list[str], english: bool) -> tuple[np.ndarray, list[str]]:
+    """For each word the place of its lexeme among the lexemes in order, -1 for a stop word; and these lexemes."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    own = coded.dictionary.to_pylist()
+    if english:
+        own = [None if w in STOP else stem(w) for w in own]
+    found = sorted({w for w in own if w is not None})
+    place = {w: i for i, w in enumerate(found)}
+    return np.array([-1 if w is None else place[w] for w in own], np.int64)[coded.indices.to_numpy()], found
+
+
+def inverted(keys: pa.Array, texts: list[str], kind: str) -> pa.RecordBatch:
+    """(lexeme, key, n, positions) of some texts by lexeme and key. `simple` and `english` are positions() of each text; `plain`
+    words are runs of a-z, of which n counts all and the first are kept."""
+    split = _PLAIN.findall if kind == "plain" else _WORD.findall
+    own = [split(t.lower()) for t in texts]
+    sizes = np.array([len(x) for x in own], np.int64)
+    codes, found = _numbered(list(chain.from_iterable(own)), kind == "english")
+    at = np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    group = codes * len(texts) + np.repeat(np.arange(len(texts)), sizes)
+    order = np.argsort(group, kind="stable")[np.count_nonzero(codes < 0) :]
+    group, at = group[order], at[order]
+    first = np.append(True, group[1:] != group[:-1])[: len(group)]
+    starts = np.flatnonzero(first)
+    count = np.diff(np.append(starts, len(group)))
+    kept = np.arange(len(group)) - np.repeat(starts, count) < POSITIONS
+    if kind != "plain":
+        kept &= first | (np.append(0, at[:-1])[: len(at)] < LAST)
+        at = np.minimum(at, LAST)
+    held = np.add.reduceat(kept, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    word, text = np.divmod(group[starts], max(len(texts), 1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(at[kept], pa.int32()))
+    columns = [pa.array(found, pa.string()).take(pa.array(word)), keys.take(pa.array(text)), pa.array(count if kind == "plain" else held, pa.int64()), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["lexeme", "key", "n", "positions"])
+
+
+def lexed(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "text", most: int = 1 << 21) -> DataFrame:
+    """(lexeme, key, n, positions) of every text with a key, made where it is read, without a shuffle. A task inverts texts of
+    `most` characters, or one text, at a time, so what it holds does not grow with the table."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.utf8_length(batch["t"]).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < len(ends):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+                yield inverted(batch["k"].slice(a, b - a), batch["t"].slice(a, b - a).to_pylist(), kind)
+                a = b
+
+    named = dict(docs.dtypes)[key]
+    own = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return own.mapInArrow(task, f"lexeme string, key {named}, n long, positions array<int>")
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(w, k, at) for k, t in zip(frame["k"], frame["t"]) for w, at in positions(t, english).items()]
-            for a in range(0, len(rows), 50_000):
-                yield pd.DataFrame(rows[a : a + 50_000], columns=["lexeme", key, "positions"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(task, f"lexeme string, {key} {kind}, positions array<int>")
+def postings(docs: DataFrame, english: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(lexeme, key, positions) of every text."""
+    return lexed(docs, "english" if english else "simple", key, text).select("lexeme", F.col("key").alias(key), "positions")
 
 
 def covers(places: list[list[int]], weight: float = WEIGHT) -> float:

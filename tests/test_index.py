@@ -65,6 +65,14 @@ def test_changes_are_exact(spark, tmp_path, kind):
     assert rows(last.best(questions, 7)) == plain(held, asked, 7) and last.postings().count() == before
 
 
+def test_rows_that_share_a_key_add_up(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ax bx"), (1, "ax"), (2, "ax")], "doc_id long, text string")
+    own = Index.create(spark, str(tmp_path / "i"), rows, "simple")
+    assert sorted((r.lexeme, r.key, r.n) for r in own.postings().collect()) == [("ax", 1, 2), ("ax", 2, 1), ("bx", 1, 1)]
+    alone = Index.create(spark, str(tmp_path / "j"), rows.where("text <> 'ax bx'"), "simple")
+    assert sorted((r.lexeme, r.key, r.n) for r in alone.postings().collect()) == [("ax", 1, 1), ("ax", 2, 1)]
+
+
 def test_a_late_writer_fails(spark, tmp_path):
     one = Index.create(spark, str(tmp_path / "i"), frame(spark, {1: "ax"}), "plain")
     other = Index(spark, one.folder)

@@ -43,6 +43,21 @@ def test_cover_density_by_brute_force():
         assert abs(P.covers(own) - want) < 1e-12
 
 
+def test_texts_are_inverted_in_bounded_parts(spark):
+    """Postings equal those of each text alone, and leave a task in parts that do not grow with its rows."""
+    random.seed(5)
+    words = ["the", "Running", "run", "a1", "É", "b_c", "studies", "study", "x"]
+    texts = ["", "The İß", "a " * 300 + "b " * 17_000, "x " * 10 + "y" + " z" * 16_400 + " w v w"] + [" ".join(random.choices(words, k=random.randint(0, 400))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "x"), (-1, None)], "doc_id long, text string").coalesce(1)
+    for kind in ("simple", "english"):
+        found = P.lexed(docs, kind, most=1000)
+        own = {(r.lexeme, r.key): (r.n, r.positions) for r in found.collect()}
+        assert own == {(w, k): (len(at), at) for k, t in enumerate(texts) for w, at in P.positions(t, kind == "english").items()}
+        assert found.count() == len(own)
+    plain = {(r.lexeme, r.key): (r.n, len(r.positions)) for r in P.lexed(docs, "plain").where("lexeme in ('z', 'running')").collect()}
+    assert plain["z", 3] == (16_400, 256) and plain["running", 7][0] == texts[7].count("Running")
+
+
 def test_texts_with_all_lexemes(spark):
     docs = spark.createDataFrame([(k, f"word{k} common text {k % 3}") for k in range(500)], "doc_id long, text string")
     own = P.postings(docs, english=False).where("lexeme in ('word7', 'common')").withColumn("q", F.lit(1))
