@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
+from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def first_match(rows: DataFrame, key: str, identifiers: list[str]) -> DataFrame:
@@ -31,9 +35,7 @@ def merge_in_order(rows: DataFrame, group: str, order: str, identifiers: list[st
     schema = rows.withColumns({"kept": F.lit(True), "identity_conflict": F.lit(False)}).schema
     keys = [*identifiers, *([native] if native else [])]
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        values = frame[keys].astype(object).where(frame[keys].notna(), None).to_numpy()
+    def merged(values: list[tuple]) -> tuple[list[bool], set[int]]:
         holder: dict[tuple, int] = {}
         kept, flagged = [], set()
         for i, row in enumerate(values):
@@ -45,9 +47,24 @@ def merge_in_order(rows: DataFrame, group: str, order: str, identifiers: list[st
                 flagged |= {i, first}
             elif first is None:
                 holder.update(dict.fromkeys(own, i))
-        return frame.assign(kept=kept, identity_conflict=[i in flagged for i in range(len(frame))])
+        return kept, flagged
 
-    return rows.groupBy(group).applyInPandas(merge, schema)
+    kinds, at, places = to_arrow_schema(schema), rows.columns.index(group), [rows.columns.index(k) for k in keys]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, own in groupby((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), itemgetter(at)):
+            own = list(own)
+            kept, flagged = merged([tuple(row[k] for k in places) for row in own])
+            out += [(*row, k, i in flagged) for i, (row, k) in enumerate(zip(own, kept))]
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.types)], schema=kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.types)], schema=kinds)
+
+    # groups lie one after the other in a task: a call of Python for each would cost more than its rows
+    return rows.repartition(F.col(group)).sortWithinPartitions(group, F.col(order).asc_nulls_last()).mapInArrow(task, schema)
 
 
 def upsert(known: DataFrame, new: DataFrame, identifiers: list[str], key: str = "id") -> DataFrame:

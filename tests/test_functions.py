@@ -127,6 +127,17 @@ def test_identity_in_order(spark):
     assert got == {1: (True, False), 2: (False, False), 3: (True, True), 4: (True, True), 5: (True, False)}
 
 
+def test_identity_of_many_searches(spark):
+    """A task merges its searches one after the other, also those that lie across batches; each as if it were alone."""
+    cases = [("d1", None), ("d1", "p2"), ("d3", "p3"), ("d4", "p3"), (None, None)]
+    keys = [None, *(1 << 60 | k for k in range(3000))]
+    rows = spark.createDataFrame([(k, n, *x) for k in keys for n, x in enumerate(cases)], "search long, n int, doi string, pmid string").repartition(3, "n")
+    merged = identity.merge_in_order(rows, "search", "n", ["doi", "pmid"])
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    told = [(True, False), (False, False), (True, True), (True, True), (True, False)]
+    assert {(r.search, r.n): (r.kept, r.identity_conflict) for r in merged.collect()} == {(k, n): x for k in keys for n, x in enumerate(told)}
+
+
 def test_leases(spark):
     rows = spark.createDataFrame([(1, "running", 1, 0), (2, "running", 5, 0), (3, "failed", 2, 0), (4, "waiting", 0, 1), (5, "running", 1, 9)], "id int, status string, attempts int, minute int")
     rows = rows.withColumn("at", F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.col("minute"), F.lit(0))).withColumn("priority", -F.col("id"))
