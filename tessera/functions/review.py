@@ -61,6 +61,31 @@ def mapped(edited: str, originals: list[str]) -> list[tuple[int, int] | None]:
     return spans
 
 
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["key", "number", "start", "end", "excerpt", "problem"]).astype({"number": "Int32", "start": "Int32", "end": "Int32"})
+
+
+def reviewed(frames: Iterator[pd.DataFrame], most: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """The rows of review() for rows of key, edited, numbers and originals; those of many documents leave together, as a frame of
+    its own costs more than a document. `most` bounds the characters that they are of, or they are one document's."""
+    out, size = [], 0
+    for frame in frames:
+        for key, edited, numbers, originals in zip(frame["key"], frame["edited"], frame["numbers"], frame["originals"]):
+            numbers, originals = ([] if x is None else list(x) for x in (numbers, originals))
+            try:
+                spans = mapped(edited, originals)
+                out += [(key, n, *(s or (None, None)), o[s[0] : s[1]] if s else None, None) for n, o, s in zip(numbers, originals, spans)]
+            except ValueError as e:
+                out.append((key, None, None, None, None, str(e)))
+            size += len(edited) + 100 * len(numbers)
+            if size > most:
+                if out:
+                    yield _frame(out)
+                out, size = [], 0
+    if out:
+        yield _frame(out)
+
+
 def review(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     """(key, number, start, end, excerpt, problem) of documents with an edit: blocks (key, number, original), edits (key, edited).
 
@@ -71,17 +96,5 @@ def review(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     own = blocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("number", F.coalesce("original", F.lit("")).alias("original")))).alias("blocks"))
     rows = edits.select("key", F.coalesce("edited", F.lit("")).alias("edited")).join(own, "key", "left").select("key", "edited", F.col("blocks.number").alias("numbers"), F.col("blocks.original").alias("originals"))
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for key, edited, numbers, originals in zip(frame["key"], frame["edited"], frame["numbers"], frame["originals"]):
-                numbers, originals = ([] if x is None else list(x) for x in (numbers, originals))
-                try:
-                    spans = mapped(edited, originals)
-                    out = [(key, n, *(s or (None, None)), o[s[0] : s[1]] if s else None, None) for n, o, s in zip(numbers, originals, spans)]
-                except ValueError as e:
-                    out = [(key, None, None, None, None, str(e))]
-                if out:
-                    yield pd.DataFrame(out, columns=["key", "number", "start", "end", "excerpt", "problem"]).astype({"number": "Int32", "start": "Int32", "end": "Int32"})
-
     kind = dict(edits.dtypes)["key"]
-    return rows.mapInPandas(task, f"key {kind}, number int, start int, end int, excerpt string, problem string")
+    return rows.mapInPandas(reviewed, f"key {kind}, number int, start int, end int, excerpt string, problem string")

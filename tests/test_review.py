@@ -131,3 +131,15 @@ def test_places_move_with_corrections(spark):
 def test_article_tables():
     assert reader.article_table(b'<table><tr><th colspan="2" x="1">a &amp; b</th></tr><tr><td rowspan="0">1<break/><b>2</b> 3</td>skip<td/></tr></table>') == '<table><tr><th colspan="2">a &amp; b</th></tr><tr><td>1<br>2 3</td><td></td></tr></table>'
     assert reader.article_table(b"<p>x</p>") is None and reader.article_table(b"<table>") is None
+
+
+def test_rows_of_many_documents_leave_together():
+    import pandas as pd
+
+    from tessera.functions import review as own
+
+    rows = pd.DataFrame([(k, "a\n\nb" if k % 3 else "c", [1, 2], ["a", "xb"]) for k in range(500)], columns=["key", "edited", "numbers", "originals"])
+    (one,) = own.reviewed(iter([rows]))
+    parts = list(own.reviewed(iter([rows]), most=1000))
+    assert len(parts) > 50 and pd.concat(parts, ignore_index=True).equals(one)
+    assert len(one) == sum(2 if k % 3 else 1 for k in range(500))
