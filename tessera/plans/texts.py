@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
@@ -80,15 +85,37 @@ _SIDES = r"""a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(r
 @query(f"""WITH {_SIDES}, p AS (SELECT doc_id + 1 AS doc_id, w, n FROM a), m AS (SELECT a.doc_id, sum(least(a.n, p.n)) AS hit FROM a JOIN p USING (doc_id, w) GROUP BY a.doc_id), t AS (SELECT doc_id, sum(n) AS n FROM a GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(hit, 0) AS BIGINT) AS matched, CAST(t.n AS BIGINT) AS words, round(coalesce(hit, 0) / t.n, 6) AS coverage FROM t LEFT JOIN m USING (doc_id)""")
 def multiset_coverage(spark, sf_dir):
-    """Share of each document's words, as a multiset, that the document before it holds. Words are counted where a text is read
-    and again by document and word, each for its own document and the one behind it, so no text is shuffled."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w"))
-    sides = F.explode(F.array(*(F.struct((F.col("doc_id") + i).alias("doc"), F.lit(1 - i).alias("own"), F.lit(i).alias("before")) for i in (0, 1))))
-    counts = words.select("w", sides.alias("s")).groupBy("s.doc", "w").agg(F.sum("s.own").alias("own"), F.sum("s.before").alias("before"))
-    rows = counts.groupBy(F.col("doc").alias("doc_id")).agg(F.sum(F.least("own", "before")).alias("matched"), F.sum("own").alias("words")).where("words > 0")
+    """Share of each document's words, as a multiset, that the document before it holds. A document's words go once to its own
+    number and once to the next, as one row; where they lie, they are counted one document after the other."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("w")).where("w <> ''")
+    sides = words.select("doc_id", F.lit(True).alias("own"), "w").unionByName(words.where("doc_id is not null").select(F.col("doc_id") + 1, F.lit(False), "w").toDF("doc_id", "own", "w"))
+    rows = sides.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_overlaps, "doc_id long, matched long, words long")
     return rows.select("doc_id", "matched", "words", F.round(F.col("matched") / F.col("words"), 6).alias("coverage"))
 
 
+def _overlaps(batches):
+    """(doc_id, matched, words) of rows (doc_id, own, w) in the order of doc_id: w are words of the document itself or of the one
+    before it. Rows of a document add up; those that have no words of their own are left out."""
+    sides = ((d, own, w) for batch in batches for a in range(0, len(batch), 100) for d, own, w in zip(*(c.to_pylist() for c in batch.slice(a, 100).columns)))
+    out = []
+    for d, rows in groupby(sides, itemgetter(0)):
+        counts = {True: Counter(), False: Counter()}
+        for _, own, w in rows:
+            counts[own].update(w.split(" "))
+        if n := counts[True].total():
+            before = counts[False]
+            out.append((d, sum(min(k, before[w]) for w, k in counts[True].items() if w in before), n))
+        if len(out) == 10_000:
+            yield _counted(out)
+            out = []
+    if out:
+        yield _counted(out)
+
+
+def _counted(rows):
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "matched", "words"])
+
+
 _PAGES = """SELECT doc_id AS page_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN concat(text, ' wo[rd ') ELSE text END AS stored, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN replace(text, 'an', 'on') WHEN 2 THEN concat('one two three four five six ', text) WHEN 3 THEN concat(text, ' ', text) ELSE replace(text, 'e', 'c') END AS fresh,
 CASE doc_id % 3 WHEN 0 THEN 'low confidence' WHEN 1 THEN '' ELSE 'dark' END AS warning, CASE WHEN doc_id % 2 = 0 THEN 'PDF text' ELSE 'OCR' END AS method, 0.0001 * (doc_id % 4) AS dark, 0.001 AS edges FROM {documents}"""
 _W = r"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}]+')"

@@ -126,3 +126,15 @@ def test_scopes_leave_fragments_out(spark, tmp_path):
     urls = ["http://a.org/x#top", "https://A.org/fr2/y.htm#a/b?c", "http://a.org", "http://a.org?q=1", "http://a.org#z", "http://b.org/x#top", "http://a.org/x.pdf?q#t", "http://a.org/x?q=/#t"]
     got, told = _pages_differ(spark, tmp_path, "url_scopes", [(i, u, "") for i, u in enumerate(urls)])
     assert got == told
+
+
+def test_coverage_of_odd_rows(spark, tmp_path):
+    """One row a document and side is shuffled; rows of one document add up, also those before it, and empty ones are left out."""
+    rows = [(1, "a b"), (1, "b É"), (2, "b B b é"), (3, " .,"), (4, "x"), (5, None), (6, "y y"), (7, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    own = catalog.QUERIES["multiset_coverage"](spark, str(tmp_path))
+    assert "Generate" not in own._jdf.queryExecution().optimizedPlan().toString()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    other = db.execute(catalog.ORACLE["multiset_coverage"])
+    assert ordered(own.select(*[d[0] for d in other.description]).collect()) == ordered(other.fetchall())
