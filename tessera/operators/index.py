@@ -6,9 +6,10 @@ between. A document that is added again, or removed, leaves a tombstone that hid
 compact() writes one generation without what is hidden.
 
 Postings (lexeme, key, n, positions) lie by bucket of the lexeme and are sorted by lexeme and block, a run of `width` keys.
-They are dealt to files by bucket and by a slice of the blocks, so a lexeme that most documents hold is no single task's.
-For each lexeme and block the maximum of n is kept: best() scores the most promising blocks of a question first and then
-reads only the blocks whose maxima can reach what it has found.
+They are dealt to files by bucket and by a slice of the blocks, so a lexeme that most documents hold is no single task's;
+on their way there they are gathered by lexeme, and only then become rows. The first posting of a block carries the maximum
+of n there (`most`): best() scores the most promising blocks of a question first and then reads only the blocks whose maxima
+can reach what it has found.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tessera.operators.store import new_folder, shared_folder
 KINDS = ("plain", "simple", "english")
 #: Blocks of a slice; blocks that a question scores first; rows of a question that are told to the driver.
 SLICE, FIRST, FEW = 1 << 13, 16, 1000
+#: The form of the stored tables; an index of another form is not read. Keys in order are stored as their steps.
+FORM, STORED = 2, {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 
 
 def lexed(docs: DataFrame, kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,6 +44,8 @@ class Index:
         self.spark, self.folder = spark, folder
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.version, self.state = self._last()
+        if self.state and self.state.get("form") != FORM:
+            raise ValueError(f"{folder} holds an index of another form: make it again")
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, docs: DataFrame, kind: str = "simple", buckets: int = 64, width: int = 128, key: str = "doc_id", text: str = "text") -> Index:
@@ -50,7 +55,7 @@ class Index:
         own = cls(spark, folder)
         if own.state:
             raise ValueError(f"{folder} holds an index")
-        own.state = {"kind": kind, "buckets": buckets, "width": width, "next": 0, "live": [], "gone": []}
+        own.state = {"kind": kind, "buckets": buckets, "width": width, "next": 0, "live": [], "gone": [], "form": FORM}
         own.add(docs, key, text)
         return own
 
@@ -65,7 +70,7 @@ class Index:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
             told.append(f"{f} {status.getLen()} {status.getModificationTime()}")
-        folder = f"{shared_folder(spark)}/tessera/index-{kind}-{hashlib.sha256(' '.join([*told, key, text]).encode()).hexdigest()[:32]}"
+        folder = f"{shared_folder(spark)}/tessera/index-{kind}-{hashlib.sha256(' '.join([*told, key, text, str(FORM)]).encode()).hexdigest()[:32]}"
         own = cls(spark, folder)
         if own.state:
             return own
@@ -99,20 +104,37 @@ class Index:
     def _bucket(self, lexeme: Column) -> Column:
         return F.pmod(F.xxhash64(lexeme), F.lit(self.state["buckets"])).cast("int")
 
-    def _write(self, rows: DataFrame, generation: int, shared: bool = True) -> None:
-        """The postings of a generation and, read off them, its block maxima. shared: rows may share lexeme and key, and add up."""
-        block, bucket = F.floor(F.col("key") / self.state["width"]), self._bucket(F.col("lexeme"))
-        if shared:
-            own = rows.withColumns({"block": block, "bucket": bucket, "slice": F.floor(block / SLICE)}).repartition("bucket", "slice").groupBy("bucket", "slice", "lexeme", "block", "key")
-            rows = own.agg(F.sum("n").alias("n"), F.flatten(F.collect_list("positions")).alias("positions")).drop("slice")  # where they lie
-        else:
-            rows = rows.repartition(bucket, F.floor(block / SLICE)).withColumns({"block": block, "bucket": bucket})  # a shuffled row holds no more than it must
-        rows.sortWithinPartitions("bucket", "lexeme", "block", "key").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={generation}")
-        if (own := self._read("postings", [generation])) is not None:
-            own.groupBy("bucket", "lexeme", "block").agg(F.max("n").alias("most")).repartition("bucket", F.floor(F.col("block") / SLICE)).sortWithinPartitions("bucket", "lexeme", "block").write.partitionBy("bucket").parquet(f"{self.folder}/maxima/gen={generation}")
+    def _write(self, rows: DataFrame, generation: int) -> None:
+        """The postings (lexeme, key, n, positions) of a generation; rows that share lexeme and key add up."""
+        block = F.floor(F.col("key") / self.state["width"])
+        own = rows.withColumns({"block": block, "bucket": self._bucket(F.col("lexeme")), "slice": F.floor(block / SLICE)}).repartition("bucket", "slice")
+        own = own.groupBy("bucket", "slice", "lexeme", "block", "key").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("positions")).alias("positions"))  # where they lie
+        top = Window.partitionBy("bucket", "slice", "lexeme", "block").orderBy("key")
+        every = top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        own = own.withColumn("most", F.when(F.row_number().over(top) == 1, F.max("n").over(every)))
+        self._store_rows(own.drop("slice").sortWithinPartitions("bucket", "lexeme", "block", "key"), generation)
+
+    def _write_parts(self, parts: DataFrame, generation: int) -> None:
+        """The postings of a generation from postings.PARTS, whose keys are of one row each."""
+        bucket, width = self._bucket(F.col("lexeme")), self.state["width"]
+        own = parts.repartition(bucket, F.floor(F.col("first") / (width * SLICE))).withColumn("bucket", bucket)  # a shuffled row holds no more than it must
+        self._store_rows(P.from_parts(own.sortWithinPartitions("bucket", "lexeme", "first"), width), generation)
+
+    def _store_rows(self, rows: DataFrame, generation: int) -> None:
+        """Write postings that are in order. They arrive bucket by bucket: with a file open for each, Spark need not sort them again."""
+        name = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(self.state["buckets"]))
+        try:
+            rows.write.partitionBy("bucket").options(**STORED).parquet(f"{self.folder}/postings/gen={generation}")
+        finally:
+            self.spark.conf.set(name, before)
 
     def _read(self, name: str, generations: list[int]) -> DataFrame | None:
-        kinds = {"postings": "lexeme string, key long, n long, positions array<int>, block long, gen long, bucket int", "maxima": "lexeme string, block long, most long, gen long, bucket int", "gone": "key long, gen long"}
+        kinds = {"postings": "lexeme string, key long, n long, positions array<int>, most long, block long, gen long, bucket int", "gone": "key long, gen long"}
+        if name == "maxima":  # of the lexemes in a block
+            rows = self._read("postings", generations)
+            return rows and rows.where("most is not null").groupBy("bucket", "lexeme", "block").agg(F.max("most").alias("most"))
         paths = [f"{self.folder}/{name}/gen={g}" for g in generations]
         try:
             return self.spark.read.schema(kinds[name]).option("basePath", f"{self.folder}/{name}").parquet(*paths) if paths else None
@@ -130,7 +152,10 @@ class Index:
         """Add documents; those that the index holds already are replaced, by nothing where they have no words now."""
         g, live = self._number(), self.state["live"]
         shared = not docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long")).count().where("count > 1").isEmpty()
-        self._write(lexed(docs, self.state["kind"], key, text), g, shared)
+        if shared:
+            self._write(lexed(docs, self.state["kind"], key, text), g)
+        else:
+            self._write_parts(P.parts(docs, self.state["kind"], self.state["width"] * SLICE, key, text), g)
         if live:
             docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct().write.parquet(f"{self.folder}/gone/gen={g}")
         self._commit(self._next(live=[*live, g], gone=[*self.state["gone"], g] if live else []))
@@ -144,12 +169,12 @@ class Index:
     def compact(self) -> None:
         """One generation without what is hidden; the old ones stay until vacuum()."""
         g, own = self._number(), self.postings()
-        self._write(own.select("lexeme", "key", "n", "positions"), g, shared=False)
+        self._write(own.select("lexeme", "key", "n", "positions"), g)
         self._commit(self._next(live=[g], gone=[]))
 
     def vacuum(self) -> None:
         """Delete generations that the last manifest does not name. Readers of an earlier one must have ended."""
-        for name, kept in (("postings", "live"), ("maxima", "live"), ("gone", "gone")):
+        for name, kept in (("postings", "live"), ("gone", "gone")):
             path = self._path(f"{self.folder}/{name}")
             store = self._store(path)
             for s in store.listStatus(path) if store.exists(path) else []:
@@ -177,7 +202,7 @@ class Index:
         rows = self._read("postings", self.state["live"])
         if rows is None:
             return self.spark.createDataFrame([], "lexeme string, key long, n long, positions array<int>, block long, gen long")
-        rows = choice(rows).drop("bucket")
+        rows = choice(rows).drop("bucket", "most")
         gone = self._read("gone", self.state["gone"])
         if gone is None:
             return rows
@@ -198,8 +223,7 @@ class Index:
         if len(told) <= FEW:  # they are used several times: what they are made of is read once
             asked = self.spark.createDataFrame(told, asked.select("question", "lexeme").schema)
         choice = self._choice(asked)
-        ways = choice(maxima).groupBy("lexeme", "block").agg(F.max("most").alias("most"))
-        bounds = ways.join(asked, "lexeme").groupBy("question", "block").agg(F.sum("most").alias("bound"))
+        bounds = choice(maxima).join(asked, "lexeme").groupBy("question", "block").agg(F.sum("most").alias("bound"))
         own = self._postings(choice)
         if allowed is not None:
             own = own.join(allowed.select(F.col(allowed.columns[0]).cast("long").alias("key")).distinct(), "key", "left_semi")

@@ -8,6 +8,7 @@ from tessera.catalog import query
 from tessera.functions import text as T
 from tessera.operators import postings as P
 from tessera.operators.index import Index
+from tessera.operators.store import saved
 from tessera.plans.retrieval import ELIGIBLE, STOP_SQL, gate
 from tessera.sources.tables import table
 
@@ -31,12 +32,33 @@ def asked(spark, sf_dir, most: int, english: bool = False):
     return terms.join(terms.groupBy("item_id").agg(F.count("*").alias("wanted")), "item_id")
 
 
-def matched(spark, sf_dir, most: int, english: bool):
-    """The postings of the items' lexemes in documents that pass the gate, read from the index of the documents."""
-    own = asked(spark, sf_dir, most, english)
+def found(spark, sf_dir, own, english: bool):
+    """(lexeme, doc_id, n, positions) of the items' lexemes, read from the index of the documents."""
     rows = Index.of(table(spark, sf_dir, "documents"), "english" if english else "simple").postings(own)
-    rows = rows.select("lexeme", F.col("key").alias("doc_id"), "positions").join(gate(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
-    return rows.join(own, "lexeme")
+    return rows.select("lexeme", F.col("key").alias("doc_id"), "n", "positions")
+
+
+def matched(spark, sf_dir, rows, own):
+    """Postings without positions beside the items that ask for them, in documents that pass the gate. They are dealt by document
+    first: what follows for an item and document needs no further shuffle, of a row for each item."""
+    slim = rows.select("lexeme", "doc_id", "n").repartition("doc_id")
+    return slim.join(gate(spark, sf_dir).select("doc_id"), "doc_id", "left_semi").join(own, "lexeme")
+
+
+def ranked_any(spark, sf_dir, english: bool):
+    own = asked(spark, sf_dir, 16, english)
+    return P.rank_any(matched(spark, sf_dir, found(spark, sf_dir, own, english), own), ["item_id", "doc_id"])
+
+
+def ranked_all(spark, sf_dir, english: bool):
+    """(item_id, doc_id, score) of texts that hold all of an item's lexemes: which they are is told by counts, and positions are
+    read of these alone."""
+    own = asked(spark, sf_dir, EVERY, english)
+    rows = found(spark, sf_dir, own, english)
+    held = matched(spark, sf_dir, rows, own).groupBy("item_id", "doc_id").agg(F.count("*").alias("held"), F.first("wanted").alias("wanted"))
+    whole = saved(held.where("held = wanted").select("item_id", "doc_id"), "whole")
+    met = rows.join(whole, "doc_id").join(own, ["item_id", "lexeme"])
+    return P.rank_all(met, ["item_id", "doc_id"], F.col("wanted"))
 
 
 @query(f"WITH {ELIGIBLE}, {_WORDS} SELECT w AS lexeme, doc_id, CAST(count(*) AS INTEGER) AS n, CAST(min(p) AS INTEGER) AS first, CAST(max(p) AS INTEGER) AS last FROM kept GROUP BY ALL")
@@ -49,8 +71,7 @@ def postings_simple(spark, sf_dir):
 SELECT item_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM hit QUALIFY rank <= 40""")
 def fts_any(spark, sf_dir):
     """The lexical list of every item: texts that hold any of its terms."""
-    ranked = P.rank_any(matched(spark, sf_dir, 16, False), ["item_id", "doc_id"])
-    return P.best(ranked, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return P.best(ranked_any(spark, sf_dir, False), "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {ELIGIBLE}, {_WORDS}, {_ASKED}, want AS (SELECT item_id, count(*) AS n FROM asked GROUP BY item_id),
@@ -62,19 +83,16 @@ cover AS (SELECT item_id, doc_id, s, min(e) AS e FROM span GROUP BY ALL)
 SELECT c.item_id, c.doc_id, round(sum(0.1::DOUBLE / (1 + b.p - a.p - (e - s))), 6) AS score FROM cover c JOIN met a ON a.item_id = c.item_id AND a.doc_id = c.doc_id AND a.i = s JOIN met b ON b.item_id = c.item_id AND b.doc_id = c.doc_id AND b.i = e GROUP BY ALL""")
 def fts_all(spark, sf_dir):
     """Texts that hold all of an item's terms, by cover density: every text, not only the best."""
-    ranked = P.rank_all(matched(spark, sf_dir, EVERY, False), ["item_id", "doc_id"], F.col("wanted"))
-    return ranked.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return ranked_all(spark, sf_dir, False).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def fts_english(spark, sf_dir):
     """The lexical list of every item by English stems."""
-    ranked = P.rank_any(matched(spark, sf_dir, 16, True), ["item_id", "doc_id"])
-    return P.best(ranked, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return P.best(ranked_any(spark, sf_dir, True), "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def fts_english_all(spark, sf_dir):
     """Texts that hold the stems of all of an item's terms, by cover density."""
-    ranked = P.rank_all(matched(spark, sf_dir, EVERY, True), ["item_id", "doc_id"], F.col("wanted"))
-    return P.best(ranked, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return P.best(ranked_all(spark, sf_dir, True), "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -5,8 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera import catalog  # noqa: F401
 from tessera.functions.stem import stem
 from tessera.operators import postings as P
+from tessera.operators.index import Index
+from tessera.plans import search
 
 STEMS = "consigned consign, consistency consist, consolatory consolatori, knives knive, knightly knight, generally general, communism communism, happy happi, enjoy enjoy, dying die, skies sky, proceeding proceed, ties tie, cries cri, gas gas, kiwis kiwi, hopping hop, hoping hope, agreed agre, relational relat, rational ration, electricity electr, hopefulness hope, replacement replac, geology geolog, studies studi, analysis analysi, bed bed, controlling control, say say, cry cri, by by"
 
@@ -58,6 +61,56 @@ def test_texts_are_inverted_in_bounded_parts(spark):
     assert plain["z", 3] == (16_400, 256) and plain["running", 7][0] == texts[7].count("Running")
 
 
+def shuffled(spark):
+    """Rows written to shuffles by all stages so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    none = spark._sc._gateway.new_array(spark._jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_parts_hold_the_postings(spark):
+    """Gathered and scattered again, postings are those of lexed(), and each block tells its greatest n once in a part."""
+    random.seed(6)
+    words = ["the", "Running", "run", "a1", "É", "studies", "study", "x"]
+    texts = ["", "The İß", "a " * 300 + "b " * 17_000, "x " * 10 + "y" + " z" * 16_400 + " w v w"] + [" ".join(random.choices(words, k=random.randint(0, 300))) for _ in range(200)]
+    keys = random.sample(range(-500, 500), 200) + [-(1 << 62), 1 << 62, 1 << 40, 7_000]
+    docs = spark.createDataFrame([*zip(keys, texts), (None, "x"), (-1_000, None)], "doc_id long, text string").coalesce(1)
+    for kind in ("plain", "simple", "english"):
+        made = P.parts(docs, kind, 64).withColumn("bucket", F.lit(3))
+        found = P.from_parts(made, 8, most=500).collect()
+        want = {(r.lexeme, r.key): (r.n, r.positions) for r in P.lexed(docs, kind).collect()}
+        assert {(r.lexeme, r.key): (r.n, r.positions) for r in found} == want and len(found) == len(want)
+        assert all(r.block == r.key // 8 and r.bucket == 3 for r in found)
+        best = {}
+        for (w, k), (n, _) in want.items():
+            best[w, k // 8] = max(best.get((w, k // 8), 0), n)
+        told = [((r.lexeme, r.block), r.most) for r in found if r.most is not None]
+        assert dict(told) == best and len(told) == len(best)
+
+
+def test_an_index_shuffles_a_lexeme_once_for_many_texts(spark, tmp_path):
+    random.seed(7)
+    docs = spark.createDataFrame([(k, " ".join(random.choices([f"w{i}" for i in range(300)], k=200))) for k in range(2000)], "doc_id long, text string").coalesce(2)
+    before = shuffled(spark)
+    own = Index.create(spark, str(tmp_path / "i"), docs, "simple")
+    rows = shuffled(spark) - before
+    assert rows < 10_000 and own.postings().count() > 250_000
+
+
+def test_texts_with_all_terms_are_told_without_positions(spark):
+    """A posting is shuffled once, not once for each item that asks for it, and positions only of texts that hold all terms."""
+    sf = "/root/testdata/sf0.01"
+    own = search.asked(spark, sf, search.EVERY, True)
+    rows = search.found(spark, sf, own, True)  # the index is made
+    met = rows.join(own, "lexeme").count()
+    before = shuffled(spark)
+    found = search.ranked_all(spark, sf, True).collect()
+    assert shuffled(spark) - before < 0.8 * met and len(found) == 5
+    plan = search.matched(spark, sf, rows, own)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan and "positions" not in plan.split("Relation", 1)[0]
+
+
 def test_texts_with_all_lexemes(spark):
     docs = spark.createDataFrame([(k, f"word{k} common text {k % 3}") for k in range(500)], "doc_id long, text string")
     own = P.postings(docs, english=False).where("lexeme in ('word7', 'common')").withColumn("q", F.lit(1))
